@@ -7,9 +7,10 @@ or five components, so each document is filed under every choice of three compon
 allowed in a chunk), 104 keys in all, and no pair within the distance is lost.
 
 Documents with equal sets are one class from the start. A key's documents are not paired with one another: each is paired
-with the key's smallest document first, the best such pair of each document is confirmed, and only where a key then still
-has documents of different components, pairs across components are compared by signature (in blocks, inside the task)
-and confirmed. So a group of n near copies costs about n confirmations. Components come from large-star/small-star
+with the key's hub first, the document that shares the most keys with others, and the best such pair of each document is
+confirmed; a second round does the same with hubs of other components. Only where a key then still has documents of different
+components, pairs across components are compared by a longer signature (in blocks, inside the task, each pair under its
+first common key only) and confirmed. So a group of n near copies costs about n confirmations. Components come from large-star/small-star
 rounds on the linked pairs; nothing of that passes the driver but a few counts.
 
 Null or empty texts, and texts without words, have an empty set: they link with nothing and are kept. Texts with fewer
@@ -32,8 +33,10 @@ WORDS = 5
 HASHES, CHUNKS, AGREE = 64, 14, 3
 #: With 30 or more equal components, one of 14 chunks has three or more.
 DISTANCE = HASHES - CHUNKS * (AGREE - 1) - 2
+#: More components, of one byte, for documents that share keys; over all 512 a true pair differs in at most 172, but for a chance below one in 100,000.
+MORE, FAR = 448, 172
 _rng = np.random.default_rng(75)
-_MUL, _ADD = _rng.integers(0, 2**63, HASHES, dtype=U) * U(2) + U(1), _rng.integers(0, 2**64, HASHES, dtype=U)
+_MUL, _ADD = _rng.integers(0, 2**63, HASHES + MORE, dtype=U) * U(2) + U(1), _rng.integers(0, 2**64, HASHES + MORE, dtype=U)
 _CHOICES = [c for part in np.array_split(np.arange(HASHES), CHUNKS) for c in combinations(part.tolist(), AGREE)]
 
 
@@ -54,6 +57,26 @@ def shingle_sets(texts, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     return out, off
 
 
+def _least(h, off, full, components):
+    """Each component's least value over each set that is not empty."""
+    v = np.empty_like(h)
+    for k in components if len(full) else ():
+        np.multiply(h, _MUL[k], out=v)
+        v += _ADD[k]
+        yield k, mix(np.minimum.reduceat(v, off[full]))
+
+
+def _sign_more(batches):
+    for whole in batches:
+        for batch in slices(whole):
+            h, off = shingle_sets(batch.column("text"))
+            more = np.zeros((batch.num_rows, MORE), np.uint8)
+            full = np.flatnonzero(np.diff(off))
+            for k, least in _least(h, off, full, range(HASHES, HASHES + MORE)):
+                more[full, k - HASHES] = (least & U(0xFF)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in more], pa.binary())], names=["id", "more"])
+
+
 def _sign(batches):
     import xxhash
 
@@ -62,9 +85,8 @@ def _sign(batches):
             h, off = shingle_sets(batch.column("text"))
             full = np.flatnonzero(np.diff(off))
             sig = np.zeros((batch.num_rows, HASHES), "<u2")
-            if len(full):
-                for k in range(HASHES):
-                    sig[full, k] = (mix(np.minimum.reduceat(h * _MUL[k] + _ADD[k], off[full])) & U(0xFFFF)).astype("<u2")
+            for k, least in _least(h, off, full, range(HASHES)):
+                sig[full, k] = (least & U(0xFFFF)).astype("<u2")
             n, one, two, sigs = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
             for i in full.tolist():
                 own = np.unique(h[off[i] : off[i + 1]])
@@ -75,6 +97,15 @@ def _sign(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "sig"])
 
 
+def _bytes(column, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+def _key(sig: np.ndarray, choice: int) -> np.ndarray:
+    a, b, c = (sig[:, i].astype(U) for i in _CHOICES[choice])
+    return mix((a << U(32) | b << U(16) | c) * U(0x9E3779B97F4A7C15) + U(choice))
+
+
 def _file(buckets: int):
     """Each class under all its keys, packed by bucket."""
 
@@ -83,10 +114,8 @@ def _file(buckets: int):
             if not batch.num_rows:
                 continue
             ids = batch.column("id").to_numpy()
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, HASHES).astype(U)
-            keys = np.empty((len(_CHOICES), len(ids)), U)
-            for i, (a, b, c) in enumerate(_CHOICES):
-                keys[i] = mix((sig[:, a] << U(32) | sig[:, b] << U(16) | sig[:, c]) * U(0x9E3779B97F4A7C15) + U(i))
+            sig = _bytes(batch.column("sig"), 2 * HASHES).view("<u2")
+            keys = np.stack([_key(sig, i) for i in range(len(_CHOICES))])
             key, who = keys.reshape(-1), np.tile(ids, len(_CHOICES))
             bucket = (key % U(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
@@ -98,11 +127,11 @@ def _file(buckets: int):
     return run
 
 
-_MET = "key long, id long, hub long, n long"
+_MET = "key long, id long, size long"
 
 
 def _meet(batches):
-    """Members of the keys that two classes or more share, and for each member its keys' smallest members, counted."""
+    """Members of the keys that two classes or more share, and how many each key has."""
     keys, ids = [], []
     for batch in batches:
         for raw in batch.column("payload").to_pylist():
@@ -116,22 +145,21 @@ def _meet(batches):
     key, who = key[order], who[order]
     fresh = np.ones(len(key), bool)
     fresh[1:] = key[1:] != key[:-1]
-    first = np.flatnonzero(fresh)
-    size = np.diff(np.append(first, len(key)))
-    shared = np.repeat(size > 1, size)
-    hub = np.repeat(who[first], size)
-    none = lambda n: pa.nulls(n, pa.int64())
-    if not shared.any():
-        return
-    yield pa.RecordBatch.from_arrays([pa.array(key[shared].view(np.int64)), pa.array(who[shared]), none(int(shared.sum())), none(int(shared.sum()))], names=["key", "id", "hub", "n"])
-    pair = shared & (who != hub)
-    a, b = who[pair], hub[pair]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    fresh = np.ones(len(a), bool)
-    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    first = np.flatnonzero(fresh)
-    yield pa.RecordBatch.from_arrays([none(len(first)), pa.array(a[first]), pa.array(b[first]), pa.array(np.diff(np.append(first, len(a))))], names=["key", "id", "hub", "n"])
+    size = np.diff(np.append(np.flatnonzero(fresh), len(key)))
+    size = np.repeat(size, size)
+    shared = size > 1
+    yield pa.RecordBatch.from_arrays([pa.array(key[shared].view(np.int64)), pa.array(who[shared]), pa.array(size[shared])], names=["key", "id", "size"])
+
+
+def best_hubs(members: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+    """(a, b): for each class the hub of another label that it shares the most keys with, of those not tried.
+
+    A key's hub is its most connected member; counts and maxima only, so no key's members come together."""
+    hub = members.groupBy("key").agg(F.max(F.struct("links", (-F.col("id")).alias("hub"), "label")).alias("h")).select("key", (-F.col("h.hub")).alias("hub"), F.col("h.label").alias("hub_label"))
+    pairs = members.join(hub, "key").where("label <> hub_label").groupBy("id", "hub").agg(F.count("*").alias("n")).select(F.col("id").alias("a"), F.col("hub").alias("b"), "n")
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    return pairs.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b")))["b"].alias("b")).select("a", (-F.col("b")).alias("b"))
 
 
 def _confirm(percent: int):
@@ -167,9 +195,27 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def _across(percent: int):
     """Pairs of a key's members, in different components, whose signatures are near enough."""
 
-    def group(ids, label, n, sig, block=256):
+    def near(key, ids, sig, more, p, q):
+        """Of the index pairs those that are near enough and have this as their first common key."""
+        same = sig[p] == sig[q]
+        equal = same.sum(axis=1)
+        keep = np.flatnonzero(equal >= HASHES - DISTANCE)
+        keep = keep[HASHES + MORE - equal[keep] - (more[p[keep]] == more[q[keep]]).sum(axis=1) <= FAR]
+        p, q, same = p[keep], q[keep], same[keep]
+        if not len(p):
+            return p, q
+        first = np.full(len(p), -1)
+        for i, c in enumerate(_CHOICES):
+            first = np.where((first < 0) & same[:, c].all(axis=1), i, first)
+        own = np.zeros(len(p), bool)
+        for i in np.unique(first):
+            some = first == i
+            own[some] = _key(sig[p[some]], int(i)) == key
+        return p[own], q[own]
+
+    def group(key, ids, label, n, sig, more, block=256):
         order = np.argsort(label, kind="stable")
-        ids, label, n, sig = ids[order], label[order], n[order], sig[order]
+        ids, label, n, sig, more = ids[order], label[order], n[order], sig[order], more[order]
         for i in range(0, len(ids), block):
             mine = slice(i, i + block)
             for j in range(i, len(ids), 4096):
@@ -178,10 +224,8 @@ def _across(percent: int):
                 if j < i + block:
                     fits &= np.arange(i, min(i + block, len(ids)))[:, None] < np.arange(j, min(j + 4096, len(ids)))[None, :]
                 x, y = np.nonzero(fits)
-                for k in range(0, len(x), 200_000):
-                    p, q = x[k : k + 200_000] + i, y[k : k + 200_000] + j
-                    near = (sig[p] != sig[q]).sum(axis=1) <= DISTANCE
-                    p, q = p[near], q[near]
+                for k in range(0, len(x), 50_000):
+                    p, q = near(key, ids, sig, more, x[k : k + 50_000] + i, y[k : k + 50_000] + j)
                     if len(p):
                         yield np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])
 
@@ -191,9 +235,9 @@ def _across(percent: int):
         def emit(table):
             key = table.column("key").to_numpy()
             ids, label, n = (table.column(c).to_numpy() for c in ("id", "label", "n"))
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
+            sig, more = _bytes(table.column("sig"), 2 * HASHES).view("<u2"), _bytes(table.column("more"), MORE)
             edges = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
-            out = [p for a, b in zip(edges[:-1], edges[1:], strict=True) for p in group(ids[a:b], label[a:b], n[a:b], sig[a:b])]
+            out = [p for a, b in zip(edges[:-1], edges[1:], strict=True) for p in group(key[a : a + 1].view(U)[0], ids[a:b], label[a:b], n[a:b], sig[a:b], more[a:b])]
             if out:
                 both = np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[1]), pa.array(both[0])], names=["a", "b"])
@@ -230,6 +274,23 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
+#: Rounds of hub pairs before pairs across components are compared one by one.
+ROUNDS = 2
+
+
+def _merged(label: DataFrame | None, links: DataFrame, tag: str) -> DataFrame:
+    """Components (id, component) after adding links (a, b) to those known."""
+    if label is None:
+        return materialise(components(links), tag)
+    at = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+    bridges = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", F.coalesce("of_a", "a").alias("x"), F.coalesce("of_b", "b").alias("y"))
+    bridges = materialise(bridges, f"{tag}-bridges")
+    more = components(bridges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    ids = label.unionByName(bridges.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(label, "id", "left_anti").select("id", F.col("id").alias("component")))
+    up = more.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    return materialise(ids.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component")), tag)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each document."""
     if percent < 75:
@@ -242,22 +303,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = materialise(signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
     filed = classes.select("id", "sig").mapInArrow(_file(8 * n), "bucket int, payload binary").repartition(n, "bucket")
     met = materialise(filed.mapInArrow(_meet, _MET), "met")
-    members = met.where("key is not null").select("key", "id")
-    texts = materialise(src.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "near-texts")
-    hubs = met.where("key is null").groupBy("id", "hub").agg(F.sum("n").alias("n"))
-    best = hubs.groupBy("id").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub")))["hub"].alias("hub")).select(F.col("id").alias("a"), (-F.col("hub")).alias("b"))
-    first = components(confirm(best, texts, percent))
-    first = materialise(first, "first-components")
-    labelled = members.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    links = met.groupBy("id").agg(F.sum("size").alias("links"))
+    members = materialise(met.select("key", "id").join(links, "id"), "members")
+    texts = materialise(src.join(links.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "near-texts")
+    label, tried = None, None
+    for step in range(ROUNDS):
+        own = members.withColumn("label", F.col("id")) if label is None else members.join(label, "id", "left").withColumn("label", F.coalesce("component", "id"))
+        pairs = materialise(best_hubs(own, tried), "hub-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        label = _merged(label, confirm(pairs, texts, percent), f"components-{step}")
+    labelled = members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
     split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = labelled.join(split, "key").join(classes.select("id", "n", "sig"), "id")
-    pairs = rest.select("key", "id", "label", "n", "sig").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_across(percent), "a long, b long").distinct()
-    more = confirm(pairs, texts, percent)
-    label = first.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-    bridged = more.join(label, "a", "left").join(label.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b", "left")
-    second = components(bridged.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    of_class = classes.select("set_a", "set_b", "id").join(first, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("id"))
-    of_class = of_class.join(second, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component_id"))
+    open_ = materialise(labelled.join(split, "key"), "open")
+    more = texts.join(open_.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sign_more, "id long, more binary")
+    rest = open_.join(classes.select("id", "n", "sig").join(more, "id"), "id")
+    pairs = rest.select("key", "id", "label", "n", "sig", "more").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_across(percent), "a long, b long")
+    label = _merged(label, confirm(pairs.join(tried, ["a", "b"], "left_anti"), texts, percent), "components")
+    of_class = classes.select("set_a", "set_b", "id").join(label, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

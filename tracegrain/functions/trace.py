@@ -41,17 +41,18 @@ def _empty_null(x: Column) -> Column:
 
 
 def parse(text) -> Column:
-    """struct(steps, stated): steps is an array of (idx, name, lhs, op, rhs, value); null if there is no step.
+    """struct(steps, stated): steps is an array of (idx, name, lhs, op, rhs, value, a, b), the last two the operands' values if they are numbers; null if there is no step.
 
     A line that states an answer is never a step; the last such line counts."""
     kept = lines(text)
     group = lambda line, i: F.regexp_extract(line, STEP, i)
-    found = F.transform(
+    parts = F.transform(
         F.filter(kept, lambda x: ~x.rlike(ANSWER) & x.rlike(STEP)),
-        lambda x, i: F.struct(
-            i.alias("idx"), _empty_null(F.trim(group(x, 1))).alias("name"), F.trim(group(x, 2)).alias("lhs"), group(x, 3).alias("op"), F.trim(group(x, 4)).alias("rhs"), group(x, 5).cast("double").alias("value")
-        ),
+        lambda x, i: F.struct(i.alias("idx"), _empty_null(F.trim(group(x, 1))).alias("name"), F.trim(group(x, 2)).alias("lhs"), group(x, 3).alias("op"), F.trim(group(x, 4)).alias("rhs"), group(x, 5).cast("double").alias("value")),
     )
+    # Which operands are numbers is settled here, once, so that evaluation needs no regular expressions.
+    number = lambda t: F.when(t.rlike(NUMBER), t).cast("double")
+    found = F.transform(parts, lambda s: F.struct(*(s[c].alias(c) for c in ("idx", "name", "lhs", "op", "rhs", "value")), number(s["lhs"]).alias("a"), number(s["rhs"]).alias("b")))
     said = F.filter(kept, lambda x: x.rlike(ANSWER))
     stated = F.when(F.size(said) > 0, F.regexp_extract(F.element_at(said, -1), ANSWER, 1).cast("double"))
     return F.when(F.size(found) > 0, F.struct(found.alias("steps"), stated.alias("stated")))
@@ -62,12 +63,11 @@ def denote(steps, edit_idx=None, edit_value=None) -> Column:
     steps = _c(steps)
     edit_idx = F.lit(None).cast("int") if edit_idx is None else _c(edit_idx)
     edit_value = F.lit(None).cast("double") if edit_value is None else _c(edit_value)
-    number = lambda t: F.when(t.rlike(NUMBER), t).cast("double")
     start = F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")).alias("env"), F.lit(None).cast("double").alias("last"), F.lit(True).alias("ok"))
 
     def step(acc, s):
-        a = F.coalesce(number(s["lhs"]), F.when(~s["lhs"].rlike(NUMBER), F.try_element_at(acc["env"], s["lhs"])))
-        b = F.coalesce(number(s["rhs"]), F.when(~s["rhs"].rlike(NUMBER), F.try_element_at(acc["env"], s["rhs"])))
+        a = F.coalesce(s["a"], F.try_element_at(acc["env"], s["lhs"]))
+        b = F.coalesce(s["b"], F.try_element_at(acc["env"], s["rhs"]))
         made = F.when(s["op"] == "+", a + b).when(s["op"] == "-", a - b).when(s["op"] == "*", a * b).otherwise(F.try_divide(a, b))
         value = F.when(s["idx"].eqNullSafe(edit_idx), edit_value).otherwise(made)
         name = F.coalesce(s["name"], F.lit(""))
@@ -105,9 +105,8 @@ def literals(steps, edit_idx=None, edit_value=None) -> Column:
     """Every number that the text of the (edited) trace shows."""
     edit_idx = F.lit(None).cast("int") if edit_idx is None else _c(edit_idx)
     edit_value = F.lit(None).cast("double") if edit_value is None else _c(edit_value)
-    number = lambda t: F.when(t.rlike(NUMBER), t).cast("double")
     shown = lambda s: F.when(s["idx"].eqNullSafe(edit_idx), edit_value).otherwise(s["value"])
-    return F.array_compact(F.flatten(F.transform(_c(steps), lambda s: F.array(number(s["lhs"]), number(s["rhs"]), shown(s)))))
+    return F.array_compact(F.flatten(F.transform(_c(steps), lambda s: F.array(s["a"], s["b"], shown(s)))))
 
 
 def copyable(target, shown: Column) -> Column:

@@ -10,7 +10,9 @@ document id, or earlier in the same document). Equal strings have to meet in one
 2. The runs' fingerprints are shuffled by minimizer. Equal runs collapse to their earliest copy. A minimizer that has
    different runs needs its text.
 3. The text of those runs is gathered and dealt out by minimizer, and ``Transform`` finds, in each bucket,
-   all windows that start earlier elsewhere.
+   all windows that start earlier elsewhere. A minimizer with very many different runs (the edge of a passage that stands in
+   countless contexts) is dealt out further: its windows by how far before the minimizer they start, in powers of two, and
+   by the bytes that all windows of such a class have in common.
 4. The removed spans of a document are merged and its remaining bytes put together.
 
 Nulls count as empty texts; texts below ``window`` bytes have no window and stay whole; repeated rows are repeated
@@ -49,6 +51,8 @@ class Transform:
     def __init__(self, text: np.ndarray, depth: int):
         if depth < self.SEED:
             raise ValueError(f"a repeated string must have {self.SEED} bytes or more")
+        if not len(text) or text[-1] != _SEP:
+            raise ValueError("a block ends with a separator, so that it has each byte as often as its transform")
         self.text, self.depth, n = text, depth, len(text)
         padded = np.concatenate([text, np.full(self.SEED, _SEP, np.uint8)])
         packed = np.zeros(n, U)
@@ -113,7 +117,7 @@ def _pieces(at: np.ndarray, window: int):
 
 
 def _runs(raw: np.ndarray, at: np.ndarray, window: int) -> list[np.ndarray]:
-    """Row, start, windows, minimizer and fingerprint of each run of windows with the same minimizer."""
+    """Row, start, windows, minimizer, fingerprint and distance to the minimizer of each run of windows that share it."""
     found: list[list[np.ndarray]] = []
     block: list[tuple[int, int, int, int]] = []
     size = 0
@@ -135,7 +139,7 @@ def _runs(raw: np.ndarray, at: np.ndarray, window: int) -> list[np.ndarray]:
     if block:
         flush()
     if not found:
-        return [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U)]
+        return [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U, np.int64)]
     return [np.concatenate(x) for x in zip(*found, strict=True)]
 
 
@@ -162,7 +166,7 @@ def _block_runs(text, row, base, begin, lens, window):
     size = np.diff(np.append(k, len(starts)))
     s, p = starts[k], piece[k]
     print_ = mix((total[s + size + window - 1] - total[s]) * down[s] + size.astype(U))
-    return row[p], base[p] + s - begin[p], size, h[anchor[k]], print_
+    return row[p], base[p] + s - begin[p], size, h[anchor[k]], print_, anchor[k] - s
 
 
 def _settle(mini, mark, doc, start):
@@ -191,8 +195,8 @@ def _merged(doc, start, end):
     return doc[k], start[k], (reach - lift)[np.append(k[1:], len(doc)) - 1]
 
 
-_SPANS = "doc_id long, start long, stop long, mini long, kind int, bucket int, payload binary"
-_ROW = [("mini", np.uint64), ("mark", np.uint64), ("doc", np.int64), ("start", np.int64), ("size", np.int32)]
+_SPANS = "doc_id long, start long, stop long, mini long, lead int, kind int, bucket int, payload binary"
+_ROW = [("mini", np.uint64), ("mark", np.uint64), ("doc", np.int64), ("start", np.int64), ("size", np.int32), ("lead", np.int32)]
 
 
 def _pack(*cols) -> bytes:
@@ -207,12 +211,12 @@ def _unpack(raw: bytes) -> list[np.ndarray]:
     return out
 
 
-def _table(kind: int, doc=(), start=(), stop=(), mini=(), bucket=(), payload=None) -> pa.RecordBatch:
+def _table(kind, doc=(), start=(), stop=(), mini=(), lead=(), bucket=(), payload=None) -> pa.RecordBatch:
     n = len(bucket) if payload is not None else len(doc)
     col = lambda x, t: pa.array(np.asarray(x, t) if len(x) else np.zeros(n, t))
     return pa.RecordBatch.from_arrays(
-        [col(doc, np.int64), col(start, np.int64), col(stop, np.int64), col(np.asarray(mini, U).view(np.int64), np.int64), col(np.full(n, kind), np.int32), col(bucket, np.int32), pa.array(payload if payload is not None else [None] * n, pa.binary())],
-        names=["doc_id", "start", "stop", "mini", "kind", "bucket", "payload"],
+        [col(doc, np.int64), col(start, np.int64), col(stop, np.int64), col(np.asarray(mini, U).view(np.int64), np.int64), col(lead, np.int32), col(np.broadcast_to(kind, n), np.int32), col(bucket, np.int32), pa.array(payload if payload is not None else [None] * n, pa.binary())],
+        names=["doc_id", "start", "stop", "mini", "lead", "kind", "bucket", "payload"],
     )
 
 
@@ -225,13 +229,13 @@ def _cut(window: int, buckets: int):
         held, n = [], 0
 
         def settle():
-            row, start, size, mini, mark = (np.concatenate(x) for x in zip(*held, strict=True))
+            row, start, size, mini, mark, lead = (np.concatenate(x) for x in zip(*held, strict=True))
             order, _, new_run = _settle(mini, mark, row, start)
             again = order[~new_run]
             if len(again):
                 yield _table(0, *_merged(row[again], start[again], start[again] + size[again] + window - 1))
             first = np.sort(order[new_run])
-            mini, mark, row, start, size = (x[first] for x in (mini, mark, row, start, size))
+            mini, mark, row, start, size, lead = (x[first] for x in (mini, mark, row, start, size, lead))
             bucket = (mix(mini) % U(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -239,13 +243,13 @@ def _cut(window: int, buckets: int):
             for i in range(0, len(live), 64):
                 some = live[i : i + 64]
                 parts = [order[cuts[b] : cuts[b + 1]] for b in some]
-                yield _table(1, bucket=some, payload=[_pack(mini[p], mark[p], row[p], start[p], size[p]) for p in parts])
+                yield _table(1, bucket=some, payload=[_pack(mini[p], mark[p], row[p], start[p], size[p], lead[p]) for p in parts])
 
         for batch in batches:
             raw, at = utf8(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            row, start, size, mini, mark = _runs(raw, at, window)
-            held.append((ids[row], start, size, mini, mark))
+            row, start, size, mini, mark, lead = _runs(raw, at, window)
+            held.append((ids[row], start, size, mini, mark, lead))
             n += len(row)
             if n >= _HOLD:
                 yield from settle()
@@ -256,6 +260,10 @@ def _cut(window: int, buckets: int):
     return run
 
 
+#: A minimizer with more different runs is dealt out by class.
+MANY = 256
+
+
 def _meet(window: int):
     def run(batches):
         held, spans = [], []
@@ -267,35 +275,68 @@ def _meet(window: int):
         yield from spans
         if not held:
             return
-        mini, mark, doc, start, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        mini, mark, doc, start, size, lead = (np.concatenate(x) for x in zip(*held, strict=True))
         order, new_mini, new_run = _settle(mini, mark, doc, start)
         again = order[~new_run]
         yield _table(0, *_merged(doc[again], start[again], start[again] + size[again] + window - 1))
         group = np.cumsum(new_mini) - 1
-        several = np.bincount(group, weights=new_run) > 1
-        ask = order[new_run & several[group]]
-        yield _table(2, doc[ask], start[ask], start[ask] + size[ask] + window - 1, mini[ask])
+        different = np.bincount(group, weights=new_run)[group]
+        want = new_run & (different > 1)
+        ask = order[want]
+        yield _table(np.where(different[want] > MANY, 3, 2), doc[ask], start[ask], start[ask] + size[ask] + window - 1, mini[ask], lead[ask])
 
     return run
 
 
-def _fetch(buckets: int):
+def _classes(raw, at, row, start, stop, mini, lead, window):
+    """Stretches of runs whose windows start 0, 1, 2 to 3, 4 to 7, ... bytes before the minimizer, each with a key of its own.
+
+    All windows of a class hold the bytes from the nearest start to the farthest end, so equal windows have equal keys."""
+    import xxhash
+
+    out = []
+    last = lead - (stop - start - window)  # distance of the last window
+    for c in range(int(lead.max(initial=0)).bit_length() + 1):
+        near, far = (0, 0) if c == 0 else (1 << (c - 1), min((1 << c) - 1, window - min(GRAM, window)))
+        lo, hi = np.maximum(last, near), np.minimum(lead, far)
+        i = np.flatnonzero(lo <= hi)
+        mark = start[i] + lead[i]
+        begin, end = at[row[i]] + mark - near, at[row[i]] + mark - far + window
+        key = np.array([xxhash.xxh3_64_intdigest(raw[a:b].tobytes(), c) for a, b in zip(begin, end, strict=True)], U)
+        out.append((row[i], mark - hi[i], mark - lo[i] + window, mix(key ^ mini[i].view(U))))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+_SEGS = "bucket int, mini long, doc_id long, start long, stop long, seg binary"
+
+
+def _fetch(window: int, buckets: int):
     def run(batches):
         for batch in batches:
             raw, at = utf8(batch.column("text"))
             asked = batch.column("asked")
             begins = asked.offsets.to_numpy()
             flat = asked.values
-            doc = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), np.diff(begins))
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(batch.num_rows), np.diff(begins))
-            start, stop, mini = (flat.field(i).to_numpy(zero_copy_only=False)[begins[0] : begins[-1]] for i in range(3))
-            lens = stop - start
-            text = raw[ranges(at[row] + start, lens)]
-            ends = np.cumsum(lens)
-            buf = pa.py_buffer(text.tobytes())
-            seg = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64).tobytes()), buf]).cast(pa.binary())
-            bucket = (mix(mini.view(U)) % U(buckets)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(mini), pa.array(doc), pa.array(start), seg], names=["bucket", "mini", "doc_id", "start", "seg"])
+            start, stop, mini, lead, kind = (flat.field(i).to_numpy(zero_copy_only=False)[begins[0] : begins[-1]] for i in range(5))
+            hot = kind == 3
+            mini = mini.view(U)
+            if hot.any():
+                more = _classes(raw, at, row[hot], start[hot], stop[hot], mini[hot], lead[hot].astype(np.int64), window)
+                row, start, stop, mini = (np.concatenate([x[~hot], y]) for x, y in zip((row, start, stop, mini), more, strict=True))
+            hot = np.arange(len(row)) >= (~hot).sum()
+            bucket = (mix(mini) % U(buckets)).astype(np.int32)
+            text = [raw[a:b].tobytes() for a, b in zip(at[row] + start, at[row] + stop, strict=True)]
+            keep = np.ones(len(row), bool)
+            if hot.any():
+                seen = set()
+                for i in sorted(np.flatnonzero(hot).tolist(), key=lambda i: (ids[row[i]], start[i])):
+                    one = (mini[i], text[i])
+                    keep[i] = one not in seen
+                    seen.add(one)
+            text = [t if k else None for t, k in zip(text, keep, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(mini.view(np.int64)), pa.array(ids[row]), pa.array(start), pa.array(stop), pa.array(text, pa.binary())], names=["bucket", "mini", "doc_id", "start", "stop", "seg"])
 
     return run
 
@@ -328,7 +369,13 @@ def _search(window: int, most: int = 1 << 20):
         parts = list(batches)
         if not parts:
             return
-        table = pa.Table.from_batches(parts).sort_by("mini").combine_chunks()
+        table = pa.Table.from_batches(parts)
+        known = table.filter(table.column("seg").is_null())
+        yield _table(0, *(known.column(c).to_numpy() for c in ("doc_id", "start", "stop")))
+        table = table.filter(table.column("seg").is_valid()).sort_by("mini").combine_chunks()
+        mini = table.column("mini").to_numpy()
+        same = mini[1:] == mini[:-1]
+        table = table.filter(pa.array(np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(mini) else np.zeros(0, bool))).combine_chunks()
         if not table.num_rows:
             return
         mini = table.column("mini").to_numpy()
@@ -357,10 +404,10 @@ def repeated_spans(docs: DataFrame, window: int = 100) -> DataFrame:
     cut = src.mapInArrow(_cut(window, 4 * n), _SPANS)
     # Spans that are settled already are spread by document, payloads by bucket.
     dealt = cut.repartition(n, F.when(F.col("kind") == 1, F.col("bucket").cast("long")).otherwise(F.xxhash64("doc_id")))
-    met = materialise(dealt.mapInArrow(_meet(window), _SPANS).select("doc_id", "start", "stop", "mini", "kind"), "suffix-runs")
-    asked = met.where("kind = 2").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "mini")).alias("asked"))
-    segs = src.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch(4 * n), "bucket int, mini long, doc_id long, start long, seg binary")
-    found = segs.repartition(n, "bucket").mapInArrow(_search(window), _SPANS).select("doc_id", "start", "stop")
+    met = materialise(dealt.mapInArrow(_meet(window), _SPANS).select("doc_id", "start", "stop", "mini", "lead", "kind"), "suffix-runs")
+    asked = met.where("kind > 1").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "mini", "lead", "kind")).alias("asked"))
+    segs = src.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch(window, 4 * n), _SEGS)
+    found = segs.repartition(n, F.when(F.col("seg").isNotNull(), F.col("bucket").cast("long")).otherwise(F.xxhash64("doc_id"))).mapInArrow(_search(window), _SPANS).select("doc_id", "start", "stop")
     spans = met.where("kind = 0").select("doc_id", "start", "stop").unionByName(found)
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracegrain.llm.shared import U, fold, materialise, mix, partitions, ship_code, slices, utf8, word_hashes, words
-from tracegrain.llm.tokenise import WORD_LEVEL, chunks, with_end
+from tracegrain.llm.tokenise import chunks, with_end
 
 DIMS, BITS = 4, 12
 
@@ -73,7 +73,7 @@ def project(texts, dims: int = DIMS, bits: int = BITS) -> np.ndarray:
 
 def _prepare(path: str, end: int):
     def run(batches):
-        tok = chunks(path, WORD_LEVEL, True)
+        tok = chunks(path, False)
         for whole in batches:
             for batch in slices(whole, most=1 << 21):
                 key = hilbert(project(batch.column("text")), BITS)
@@ -81,6 +81,7 @@ def _prepare(path: str, end: int):
                 wide = "<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4"
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key), pa.array(sizes), pa.array([ids[a:b].astype(wide).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "curve", "n", "ids"])
+        tok.rest()
 
     return run
 

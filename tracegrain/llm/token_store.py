@@ -1,6 +1,6 @@
 """Token ids in a compact binary format: frequency-ranked ids, byte-aligned variable-length coding, control bytes apart.
 
-Ids are renumbered by falling frequency over the whole corpus (ties: smaller id first), so that frequent ids take one
+Each document's control bytes begin afresh, so that a document is coded once and blocks are put together from coded documents. Ids are renumbered by falling frequency over the whole corpus (ties: smaller id first), so that frequent ids take one
 byte. A block holds some documents: a header, their doc_ids and id counts, then control bytes (two bits an
 id: how many bytes follow) and data bytes (little-endian) in two separate streams. numpy reads a block without a
 loop over ids: a table turns each control byte into four lengths, and their running sum says where each id lies.
@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracegrain.llm.shared import materialise, partitions, ship_code, slices
-from tracegrain.llm.tokenise import BYTE_LEVEL, chunks, with_end
+from tracegrain.llm.shared import materialise, partitions, ranges, ship_code, slices
+from tracegrain.llm.tokenise import chunks, with_end
 
 MAGIC = b"TGV1"
 BLOCK_IDS = 400_000
@@ -42,8 +42,10 @@ def encode(ids: np.ndarray) -> tuple[bytes, bytes]:
     return control.tobytes(), ids.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]].tobytes()
 
 
-def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
-    size = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+def decode(control: bytes, data: bytes, n: int, used: np.ndarray | None = None) -> np.ndarray:
+    """n numbers; ``used`` tells which places of the control bytes count, if they are not the first n."""
+    size = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)
+    size = size[:n] if used is None else size[used]
     at = np.cumsum(size) - size
     raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)])
     out = raw[at].astype(np.uint32)
@@ -53,9 +55,9 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def pack_block(doc_ids: np.ndarray, sizes: np.ndarray, ranks: np.ndarray) -> bytes:
-    control, data = encode(ranks)
-    return struct.pack("<4sIQQ", MAGIC, len(doc_ids), len(ranks), len(control)) + doc_ids.astype("<i8").tobytes() + sizes.astype("<u4").tobytes() + control + data
+def pack_block(doc_ids: np.ndarray, sizes: np.ndarray, controls: list[bytes], datas: list[bytes]) -> bytes:
+    """A block of documents that are coded already; each document's control bytes begin afresh."""
+    return struct.pack("<4sIQQ", MAGIC, len(doc_ids), int(sizes.sum()), sum(map(len, controls))) + doc_ids.astype("<i8").tobytes() + sizes.astype("<u4").tobytes() + b"".join(controls) + b"".join(datas)
 
 
 def read_block(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,19 +65,21 @@ def read_block(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     magic, docs, n, width = struct.unpack_from("<4sIQQ", raw)
     if magic != MAGIC:
         raise ValueError("not a block of token ids")
-    at = 24
-    ids = np.frombuffer(raw, "<i8", docs, at)
-    sizes = np.frombuffer(raw, "<u4", docs, at + 8 * docs)
-    at += 12 * docs
-    return ids, sizes, decode(raw[at : at + width], raw[at + width :], n)
+    ids = np.frombuffer(raw, "<i8", docs, 24)
+    sizes = np.frombuffer(raw, "<u4", docs, 24 + 8 * docs).astype(np.int64)
+    at = 24 + 12 * docs
+    # The last control byte of a document may have places to spare.
+    full = -(-sizes // 4) * 4
+    used = ranges(np.cumsum(full) - full, sizes)
+    return ids, sizes, decode(raw[at : at + width], raw[at + width :], n, used)
 
 
 def _tokenise(path: str, end: int):
     """Rows of documents with their ids, and at the end of each task a row of how often it met each id."""
 
     def run(batches):
-        tok, seen = chunks(path, BYTE_LEVEL), np.zeros(1 << 16, np.int64)
-        names = ["doc_id", "n_tokens", "ids"]
+        tok, seen = chunks(path, True), np.zeros(1 << 16, np.int64)
+        names = ["doc_id", "n_tokens", "ids", "seen"]
         for whole in batches:
             for batch in slices(whole, most=1 << 21):
                 ids, sizes = with_end(*tok.ids(batch.column("text").to_pylist()), end)
@@ -83,9 +87,10 @@ def _tokenise(path: str, end: int):
                     seen = np.concatenate([seen, np.zeros(int(ids.max()) + 1 - len(seen), np.int64)])
                 seen += np.bincount(ids, minlength=len(seen))
                 at = np.concatenate([[0], np.cumsum(sizes)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array([ids[a:b].astype("<u2" if len(seen) == 1 << 16 else "<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array([ids[a:b].astype("<u2" if len(seen) == 1 << 16 else "<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.nulls(batch.num_rows, pa.binary())], names=names)
+        tok.rest()
         some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([some.astype("<u4").tobytes() + seen[some].astype("<i8").tobytes()], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.array([some.astype("<u4").tobytes() + seen[some].astype("<i8").tobytes()], pa.binary())], names=names)
 
     return run
 
@@ -94,7 +99,7 @@ def _sums(batches):
     """The id counts of all tasks' rows in this one, as rows (id, n)."""
     total: dict[int, int] | np.ndarray = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for raw in batch.column("ids").to_pylist():
+        for raw in batch.column("seen").to_pylist():
             n = len(raw) // 12
             ids = np.frombuffer(raw, "<u4", n)
             if n and ids.max() >= len(total):
@@ -122,20 +127,21 @@ def _blocks(batches):
     from pyspark import TaskContext
 
     shard, block = TaskContext.get().partitionId(), 0
-    docs, sizes, ranks, held = [], [], [], 0
+    docs, sizes, controls, datas, held = [], [], [], [], 0
 
     def make():
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([block], pa.int64()), pa.array([held], pa.int64()), pa.array([pack_block(np.array(docs, np.int64), np.array(sizes), np.concatenate(ranks))], pa.binary())], names=["shard", "block", "n_ids", "body"])
+        body = pack_block(np.array(docs, np.int64), np.array(sizes), controls, datas)
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([block], pa.int64()), pa.array([held], pa.int64()), pa.array([body], pa.binary())], names=["shard", "block", "n_ids", "body"])
 
     for batch in batches:
         for doc, n, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "coded")), strict=True):
-            width = -(-n // 4)
             if docs and held + n > BLOCK_IDS:
                 yield make()
-                block, docs, sizes, ranks, held = block + 1, [], [], [], 0
+                block, docs, sizes, controls, datas, held = block + 1, [], [], [], [], 0
             docs.append(doc)
             sizes.append(n)
-            ranks.append(decode(raw[:width], raw[width:], n))
+            controls.append(raw[: -(-n // 4)])
+            datas.append(raw[-(-n // 4) :])
             held += n
     if docs:
         yield make()
@@ -145,13 +151,13 @@ def write_tokens(docs: DataFrame, path: str, end: int) -> tuple[DataFrame, DataF
     """Tokenise and store a corpus; the blocks and the ids by rank, as read back. Rows without a doc_id are not stored."""
     spark = docs.sparkSession
     ship_code(spark)
-    raw = materialise(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_tokenise(path, end), "doc_id long, n_tokens long, ids binary"), "token-ids")
-    counts = raw.where("doc_id is null").select("ids").mapInArrow(_sums, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    raw = materialise(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_tokenise(path, end), "doc_id long, n_tokens long, ids binary, seen binary"), "token-ids")
+    counts = raw.where("seen is not null").select("seen").mapInArrow(_sums, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # As many rows as the vocabulary has.
     order = np.array([r.id for r in sorted(counts.collect(), key=lambda r: (-r.n, r.id))], np.uint32)
     rank = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
     rank[order] = np.arange(len(order))
-    coded = raw.where("doc_id is not null").mapInArrow(_ranked(rank), "doc_id long, n_tokens long, coded binary")
+    coded = raw.where("doc_id is not null").select("doc_id", "n_tokens", "ids").mapInArrow(_ranked(rank), "doc_id long, n_tokens long, coded binary")
     sorted_ = coded.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "coded")
     blocks = materialise(sorted_.mapInArrow(_blocks, "shard long, block long, n_ids long, body binary"), "token-blocks")
     ranks = materialise(spark.createDataFrame([(i, int(x)) for i, x in enumerate(order)], "rank long, id long"), "token-ranks")

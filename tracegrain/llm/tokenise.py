@@ -6,6 +6,7 @@ the chunks are laid end to end. Each Python worker remembers a bounded number of
 
 from __future__ import annotations
 
+import ctypes
 import re
 from functools import cache
 
@@ -13,54 +14,154 @@ import numpy as np
 
 #: White space as the library's patterns see it.
 _WS = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-#: Byte-level: a token takes white space only before its other characters, so a chunk is a run of white space and what follows it.
-BYTE_LEVEL = f"[{_WS}]*[^{_WS}]+|[{_WS}]+"
-#: Words: white space only separates, and a comma or full stop after a letter, at the end of a chunk, is a token of its own.
-WORD_LEVEL = rf"[^{_WS}.,']*[^\W\d_](?=[.,]?(?:[{_WS}]|\Z))|(?<=[^\W\d_])[.,](?=[{_WS}]|\Z)|[^{_WS}]+"
-REMEMBER = 400_000
+#: Any text: a run of white space with what follows it. A token takes white space only before its other characters.
+_CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+").findall
+#: What str.split() takes for white space and the library doesn't.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Chunks that a worker remembers (about 150 bytes each); beyond it the half that was used most often stays.
+REMEMBER = 600_000
+BETWEEN_TASKS = 150_000
 
 
 class Chunks:
-    """ids(texts) gives the ids of all texts, one after the other, and the number of each text's ids."""
+    """ids(texts) gives the ids of all texts, one after the other, and the number of each text's ids.
 
-    def __init__(self, path: str, pattern: str, fold: bool):
+    A key is a word with a space before it, as it stands; a word that begins a line (one line feed before it) or a text
+    (two); or any chunk (three)."""
+
+    def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.find, self.fold = re.compile(pattern).findall, fold
+        self.spaced = spaced
+        join = "\n\x01" if spaced else " \x01 "
+        alone = self.tok.encode(join, add_special_tokens=False).ids
+        self.mark = (join, alone[-1], len(alone) - 1)
+        # The mark is read as it is alone only if white space and characters alternate.
+        self.safe = re.compile(rf"[{_WS}][^{_WS}\x01]+" if spaced else rf"[^{_WS}\x01]+").fullmatch
+        self.stops = {x: self.tok.encode(x, add_special_tokens=False).ids[0] for x in ",."}
         self.forget()
 
+    def rest(self) -> None:
+        """At the end of a task: keep little, so that a worker that waits leaves its memory to others."""
+        self.shrink(BETWEEN_TASKS)
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:  # another C library
+            pass
+
+    def keys(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if not any(c in text for c in _SEPARATORS):
+            if not self.spaced:
+                return (text.lower() if text.isascii() else text).split()
+            out = text.split()
+            if out and sum(map(len, out)) + len(out) - 1 == len(text) and text.count(" ") + text.count("\n") == len(out) - 1:
+                # Single spaces and line feeds only.
+                at = 0
+                for line in text.split("\n")[:-1]:
+                    at += line.count(" ") + 1
+                    out[at] = "\n" + out[at]
+                out[0] = "\n\n" + out[0]
+                return out
+        return ["\n\n\n" + x for x in _CHUNK(text)]
+
+    def text_of(self, key: str) -> str:
+        if key[0] != "\n":
+            return " " + key if self.spaced else key
+        return key[3:] if key.startswith("\n\n\n") else key[2:] if key[1] == "\n" else key
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-
-    def learn(self, chunks: list[str]) -> None:
-        for i in range(0, len(chunks), 20_000):
-            some = chunks[i : i + 20_000]
-            ids = [e.ids for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-            n, k = int(sizes.sum()), len(self.known)
-            while self.used + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while k + len(some) > len(self.first):
-                self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-            self.flat[self.used : self.used + n] = np.fromiter((x for y in ids for x in y), np.uint32, n)
-            self.first[k : k + len(some)] = self.used + np.cumsum(sizes) - sizes
-            self.size[k : k + len(some)] = sizes
-            self.known.update(zip(some, range(k, k + len(some)), strict=True))
-            self.used += n
+        self.hits = np.zeros(0, np.int64)
+
+    def shrink(self, most: int = REMEMBER // 2) -> None:
+        """Keep at most so many chunks, those used most often."""
+        hits = np.concatenate([self.hits, np.zeros(len(self.known) - len(self.hits), np.int64)])
+        least = np.partition(hits, -most)[-most] if len(hits) > most else 0
+        stay = np.flatnonzero(hits > least)
+        names = list(self.known)
+        sizes = self.size[stay].astype(np.int64)
+        flat = self.flat[np.repeat(self.first[stay] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+        self.forget()
+        self._add([names[i] for i in stay.tolist()], flat, sizes)
+        self.hits = hits[stay] // 2
+
+    def learn(self, keys: list[str]) -> None:
+        # Letters and a comma or full stop behind them never share a token: such a word is its letters' ids and one more.
+        ended = [x for x in keys if x[-1] in ",." and x[:-1].isalpha()]
+        if ended:
+            keys = list({x for x in keys if not (x[-1] in ",." and x[:-1].isalpha())} | {x[:-1] for x in ended if x[:-1] not in self.known})
+        for i in range(0, len(keys), 20_000):
+            some = keys[i : i + 20_000]
+            self._add(some, *self.encode([self.text_of(x) for x in some]))
+        if ended:
+            base = np.array([self.known[x[:-1]] for x in ended])
+            sizes = self.size[base] + 1
+            at = np.cumsum(sizes) - sizes
+            ids = np.zeros(int(sizes.sum()), np.uint32)
+            ids[at + sizes - 1] = [self.stops[x[-1]] for x in ended]
+            inner = np.repeat(at - np.cumsum(sizes - 1) + (sizes - 1), sizes - 1) + np.arange(int((sizes - 1).sum()))
+            first = self.first[base]
+            ids[inner] = self.flat[np.repeat(first - np.cumsum(sizes - 1) + (sizes - 1), sizes - 1) + np.arange(int((sizes - 1).sum()))]
+            self._add(ended, ids, sizes)
+
+    def _add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, k = len(ids), len(self.known)
+        while self.used + n > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while k + len(keys) > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+        self.flat[self.used : self.used + n] = ids
+        self.first[k : k + len(keys)] = self.used + np.cumsum(sizes) - sizes
+        self.size[k : k + len(keys)] = sizes
+        self.known.update(zip(keys, range(k, k + len(keys)), strict=True))
+        self.used += n
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks, one after the other, and each chunk's number of ids.
+
+        Chunks go to the library together, each followed by a mark, a control character between spaces that is always one
+        id of its own; a chunk that holds a mark goes alone."""
+        join, mark, skip = self.mark
+        plain = [x for x in chunks if self.safe(x)]
+        rest = [x for x in chunks if not self.safe(x)]
+        texts = [join.join(plain[i : i + 256]) + join for i in range(0, len(plain), 256)]
+        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter((x for y in got for x in y), np.uint32, sum(map(len, got)))
+        at = np.flatnonzero(flat == mark)
+        # A mark's own ids: it, and those before it that belong to the space it stands on.
+        sizes = np.diff(np.concatenate([[-1], at])) - 1 - skip
+        keep = np.ones(len(flat), bool)
+        for i in range(skip + 1):
+            keep[at - i] = False
+        flat = flat[keep]
+        if not rest:
+            return flat, sizes.astype(np.int32)
+        alone = [e.ids for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        by = {x: flat[begin[i] : begin[i + 1]] for i, x in enumerate(plain)} | dict(zip(rest, alone, strict=True))
+        return np.concatenate([np.asarray(by[x], np.uint32) for x in chunks]), np.array([len(by[x]) for x in chunks], np.int32)
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        chunks = [self.find(x.lower() if self.fold and x.isascii() else x) if x else [] for x in texts]
+        chunks = [self.keys(x) for x in texts]
         flat = [x for y in chunks for x in y]
-        new = list({x for x in flat if x not in self.known})
-        if len(self.known) + len(new) > REMEMBER and self.known:
-            self.forget()
-            new = list(set(flat))
-        self.learn(new)
-        index = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        index = list(map(self.known.get, flat))
+        new = {x for x, i in zip(flat, index, strict=True) if i is None} if None in index else ()
+        if new:
+            if len(self.known) + len(new) > REMEMBER and self.known:
+                self.shrink()
+                new = {x for x in flat if x not in self.known}
+            self.learn(list(new))
+            index = list(map(self.known.__getitem__, flat))
+        index = np.array(index, np.int64)
+        more = np.bincount(index, minlength=len(self.known))
+        more[: len(self.hits)] += self.hits
+        self.hits = more
         sizes = self.size[index].astype(np.int64)
         before = np.cumsum(sizes) - sizes
         out = self.flat[np.repeat(self.first[index] - before, sizes) + np.arange(int(sizes.sum()))]
@@ -69,8 +170,9 @@ class Chunks:
 
 
 @cache
-def chunks(path: str, pattern: str, fold: bool = False) -> Chunks:
-    return Chunks(path, pattern, fold)
+def chunks(path: str, spaced: bool) -> Chunks:
+    """One for each worker; ``spaced`` for byte-level vocabularies, where a token holds the space before it."""
+    return Chunks(path, spaced)
 
 
 def with_end(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

@@ -62,3 +62,26 @@ def test_bootstrap_covers_planted_rate(spark):
     r = inf.resample(c, "model", ["hit", "n"], 200, "t").agg(lo.alias("lo"), hi.alias("hi")).first()
     true = rows.agg(F.avg("hit")).first()[0]
     assert r.lo < true < r.hi
+
+
+def test_draws_against_brute_force(spark):
+    """A small number of draws, not a multiple of what a task takes at once, draw by draw."""
+    import hashlib
+
+    draws, values = 130, {"a": [3, -1, 4, 1], "b": [5, -9, 2]}
+    hashed = lambda *x: int(hashlib.md5(":".join(map(str, x)).encode()).hexdigest()[:8], 16)
+    c = spark.createDataFrame([(g, i, len(v), x) for g, v in values.items() for i, x in enumerate(v)], "g string, place int, k long, v long")
+    got = {(r.g, r.b): r.v for r in inf.resample(c, "g", ["v"], draws, "s").collect()}
+    assert got == {(g, b): sum(v[hashed("s", g, b, i) % len(v)] for i in range(len(v))) for g, v in values.items() for b in range(draws)}
+    null = {g: [abs(sum(x if hashed("s", g, b, i) % 2 == 0 else -x for i, x in enumerate(v))) for b in range(draws)] for g, v in values.items()}
+    want = {g: (1 + sum(x >= abs(sum(values[g])) for x in null[g])) / (draws + 1) for g in values}
+    assert {r.g: r.p for r in inf.sign_flips(c, "g", "v", draws, "s").collect()} == want
+
+
+def test_resampling_has_the_reference_size(spark):
+    from tracegrain.plans import inference_queries as q
+
+    assert q.DRAWS == 10_000 and q.REPLICATES == 2_000
+    # Fifteen pairs can come out significant after adjustment.
+    p = [(f"{i}", 1 / (q.DRAWS + 1)) for i in range(15)]
+    assert max(r.holm_p for r in inf.holm(spark.createDataFrame(p, "k string, p double"), "p", ["k"]).collect()) < 0.05

@@ -102,13 +102,25 @@ def cluster_sums(rows: DataFrame, group: str, cluster: str, sums: dict[str, Colu
     return by.withColumn("place", F.row_number().over(w.orderBy(cluster)) - 1).withColumn("k", F.count("*").over(w))
 
 
+#: Draws that one row stands for while they are spread over tasks.
+SPREAD = 100
+
+
+def each_draw(rows: DataFrame, draws: int, name: str) -> DataFrame:
+    """Every row once for each draw 0 .. draws - 1, a draw's rows in one task: few rows, such as clusters, fill all tasks."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last, start = F.lit(draws - 1), F.col("_start")
+    dealt = rows.withColumn("_start", F.explode(F.sequence(F.lit(0), last, F.lit(SPREAD)))).repartition(n, "_start")
+    return dealt.withColumn(name, F.explode(F.sequence(start, F.least(last, start + (SPREAD - 1))))).drop("_start")
+
+
 def resample(clusters: DataFrame, group: str, sums: list[str], draws: int, salt: str) -> DataFrame:
     """Draw as many clusters as a group has, with replacement, ``draws`` times: the sums of each draw.
 
-    A draw reads clusters, never items: the work is draws x clusters."""
-    slots = clusters.select(group, "place", "k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
+    A draw reads clusters, never items: the work is draws x clusters. The clusters' sums go to all tasks."""
+    slots = each_draw(clusters.select(group, "place", "k"), draws, "b")
     picks = slots.select(group, "b", (h(F.lit(salt), F.col(group), F.col("b"), F.col("place")) % F.col("k")).cast("int").alias("place"))
-    return picks.join(clusters.select(group, "place", *sums), [group, "place"]).groupBy(group, "b").agg(*(F.sum(s).alias(s) for s in sums))
+    return picks.join(F.broadcast(clusters.select(group, "place", *sums)), [group, "place"]).groupBy(group, "b").agg(*(F.sum(s).alias(s) for s in sums))
 
 
 def resample_sql(clusters: str, group: str, sums: list[str], draws: int, salt: str) -> str:
@@ -127,7 +139,7 @@ def percentile_ci(value: Column, alpha: float = 0.05) -> list[Column]:
 
 def sign_flips(clusters: DataFrame, group: str, total: str, draws: int, salt: str) -> DataFrame:
     """Two-sided sign-flip test over clusters: (group, p), p = (1 + draws at least as large) / (draws + 1)."""
-    flips = clusters.select(group, total, "place", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
+    flips = each_draw(clusters.select(group, total, "place"), draws, "b")
     sign = F.when(h(F.lit(salt), F.col(group), F.col("b"), F.col("place")) % 2 == 0, 1).otherwise(-1)
     null = flips.groupBy(group, "b").agg(F.round(F.abs(F.sum(sign * F.col(total))), 9).alias("v"))
     seen = clusters.groupBy(group).agg(F.round(F.abs(F.sum(total)), 9).alias("seen"))

@@ -14,7 +14,8 @@ from tracegrain.operators.rates import RATES_SQL, counts_sql, outcome_counts, ou
 from tracegrain.plans.rate_queries import follow_by_problem, gated, items
 from tracegrain.plans.registry import query
 
-DRAWS = 200
+#: The reference's size: no p-value falls below 1 / (DRAWS + 1).
+DRAWS = 10_000
 CLUSTERS = "SELECT *, row_number() OVER (PARTITION BY model ORDER BY problem_id) - 1 AS place, count(*) OVER (PARTITION BY model) AS k FROM"
 
 
@@ -212,7 +213,7 @@ def a24_underdetermined(spark, sf):
     return x05_pair_identified_set(spark, sf).agg(F.round(F.avg((~F.col("determined")).cast("int")), 9).alias("fraction_underdetermined"), F.count("*").alias("n_pairs"))
 
 
-BUDGETS, REPLICATES = [10, 20, 30, 50, 100], 20
+BUDGETS, REPLICATES = [10, 20, 30, 50, 100], 2_000
 
 
 @query(
@@ -241,7 +242,7 @@ def x14_certify(spark, sf):
     w = Window.partitionBy("model", "problem_id")
     pool = rows.select("model", "problem_id", (F.col("outcome") == "D").cast("int").alias("d"), (F.row_number().over(w.orderBy("record_id")) - 1).alias("i"), F.count("*").over(w).alias("k"))
     prob = pool.where("i = 0").select("model", "problem_id", "k", F.count("*").over(Window.partitionBy("model")).alias("n_prob"))
-    trial = pairs.select("hi", "lo").join(prob, F.col("hi") == F.col("model")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1))))
+    trial = inf.each_draw(pairs.select("hi", "lo").join(prob, F.col("hi") == F.col("model")), REPLICATES, "rep")
     key = [F.col(x) for x in ("hi", "lo", "rep", "problem_id")]
     order = Window.partitionBy("hi", "lo", "rep").orderBy(h("prob", *key), "problem_id")
     pick = trial.select("hi", "lo", "rep", "model", "problem_id", "n_prob", (h("item", *key) % F.col("k")).cast("int").alias("i"), F.row_number().over(order).alias("rk"))

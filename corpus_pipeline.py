@@ -26,9 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that an earlier one has; n_chars is that of the text that remains."""
-    cut = suffix_dedup.suffix_array_dedup(docs).select("doc_id", "text", "n_removed")
-    whole = docs.select("doc_id", "lang", "source", F.col("n_chars").alias("was")).join(cut, "doc_id")
-    return whole.select("doc_id", "text", "lang", "source", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("was")).alias("n_chars"))
+    cut = suffix_dedup.suffix_array_dedup(docs, carry=("lang", "source", "n_chars"))
+    return cut.select("doc_id", "text", "lang", "source", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

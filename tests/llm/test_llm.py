@@ -46,6 +46,28 @@ def test_suffix(spark, texts):
     assert got == brute.suffix(texts)
 
 
+def test_suffix_repeated_and_null_ids(spark):
+    """Rows that repeat lose nothing to each other; rows that share an id, or have none, are cut each by its own spans."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    twice, inner, other, passage = say(400), say(150), say(300), say(200)
+    rows = [(1, twice)] * 3 + [(2, inner + say(50) + inner)] * 2 + [(3, passage), (4, other), (4, say(90) + passage + say(70))]
+    rows += [(None, say(30) + passage), (None, say(500)), (None, None), (None, None)]
+    # Each distinct row as a document of its own: ids in order, then those without one.
+    own = {r: i for i, r in enumerate(sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)))}
+    want = brute.suffix([(i, r[1]) for r, i in own.items()])
+    docs = frame(spark, rows)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_array_dedup(clash(docs)).collect()]
+    order = lambda rows: sorted(rows, key=repr)
+    assert order(got) == order([(r[0], *want[own[r]]) for r in rows])
+    assert {r[2] for r in got if r[0] == 1} == {0} and {r[2] for r in got if r[0] == 2} == {150}
+    more = docs.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    kept = corpus_pipeline.repeated_passages(spark, more, SF).collect()
+    assert len(kept) == len(rows) and [r.text for r in kept if r.doc_id == 1] == [twice] * 3
+
+
 def test_interval_expansion():
     rng = np.random.default_rng(1)
     text = rng.integers(97, 99, 3000).astype(np.uint8)

@@ -15,9 +15,11 @@ document id, or earlier in the same document). Equal strings have to meet in one
    by the bytes that all windows of such a class have in common.
 4. The removed spans of a document are merged and its remaining bytes put together.
 
-Nulls count as empty texts; texts below ``window`` bytes have no window and stay whole; repeated rows are repeated
-texts (ties in doc_id go by start; rows that share an id are taken as one document's alternatives and share its spans,
-so ids ought to be unique); an empty table gives an empty result; other columns, whatever their names, are not looked at.
+Nulls count as empty texts; texts below ``window`` bytes have no window and stay whole. A row is known by doc_id and
+text (``doc`` and ``tie``, a hash of its text): rows that share an id or have none are documents of their own, in the order of
+``tie``, those without an id after all others; rows that repeat id and text are one document and lose nothing to each other,
+whatever is removed is removed from each of them. An empty table gives an empty result; other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracegrain.llm.shared import BYTE, U, materialise, mix, partitions, powers, ranges, ship_code, utf8
 
@@ -169,34 +172,42 @@ def _block_runs(text, row, base, begin, lens, window):
     return row[p], base[p] + s - begin[p], size, h[anchor[k]], print_, anchor[k] - s
 
 
-def _settle(mini, mark, doc, start):
-    """The order by minimizer, fingerprint and place, and which rows in it begin a minimizer and a run."""
-    order = np.lexsort((start, doc, mark, mini))
+def _later(fresh, doc, tie, start):
+    """Which rows of sorted groups (``fresh`` where one begins) lie at another place than the first of their group."""
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
+    return (doc != doc[first]) | (tie != tie[first]) | (start != start[first])
+
+
+def _settle(mini, mark, doc, tie, start):
+    """The order by minimizer, fingerprint and place, which rows in it begin a minimizer and a run, and the rows (not
+    in this order) whose run starts earlier elsewhere."""
+    order = np.lexsort((start, tie, doc, mark, mini))
     m, f = mini[order], mark[order]
     new_mini = np.ones(len(order), bool)
     new_mini[1:] = m[1:] != m[:-1]
     new_run = new_mini.copy()
     new_run[1:] |= f[1:] != f[:-1]
-    return order, new_mini, new_run
+    return order, new_mini, new_run, order[_later(new_run, doc[order], tie[order], start[order])]
 
 
-def _merged(doc, start, end):
+def _merged(doc, tie, start, end):
     """Union of the spans of each document."""
     if not len(doc):
-        return doc, start, end
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    group = np.concatenate([[0], np.cumsum(doc[1:] != doc[:-1])])
+        return doc, tie, start, end
+    order = np.lexsort((start, tie, doc))
+    doc, tie, start, end = doc[order], tie[order], start[order], end[order]
+    other = (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])
+    group = np.concatenate([[0], np.cumsum(other)])
     lift = group * (int(end.max()) + 1)
     reach = np.maximum.accumulate(end + lift)
     fresh = np.ones(len(doc), bool)
-    fresh[1:] = (doc[1:] != doc[:-1]) | (start[1:] + lift[1:] > reach[:-1])
+    fresh[1:] = other | (start[1:] + lift[1:] > reach[:-1])
     k = np.flatnonzero(fresh)
-    return doc[k], start[k], (reach - lift)[np.append(k[1:], len(doc)) - 1]
+    return doc[k], tie[k], start[k], (reach - lift)[np.append(k[1:], len(doc)) - 1]
 
 
-_SPANS = "doc_id long, start long, stop long, mini long, lead int, kind int, bucket int, payload binary"
-_ROW = [("mini", np.uint64), ("mark", np.uint64), ("doc", np.int64), ("start", np.int64), ("size", np.int32), ("lead", np.int32)]
+_SPANS = "doc long, tie long, start long, stop long, mini long, lead int, kind int, bucket int, payload binary"
+_ROW = [("mini", np.uint64), ("mark", np.uint64), ("doc", np.int64), ("tie", np.int64), ("start", np.int64), ("size", np.int32), ("lead", np.int32)]
 
 
 def _pack(*cols) -> bytes:
@@ -211,12 +222,12 @@ def _unpack(raw: bytes) -> list[np.ndarray]:
     return out
 
 
-def _table(kind, doc=(), start=(), stop=(), mini=(), lead=(), bucket=(), payload=None) -> pa.RecordBatch:
+def _table(kind, doc=(), tie=(), start=(), stop=(), mini=(), lead=(), bucket=(), payload=None) -> pa.RecordBatch:
     n = len(bucket) if payload is not None else len(doc)
     col = lambda x, t: pa.array(np.asarray(x, t) if len(x) else np.zeros(n, t))
     return pa.RecordBatch.from_arrays(
-        [col(doc, np.int64), col(start, np.int64), col(stop, np.int64), col(np.asarray(mini, U).view(np.int64), np.int64), col(lead, np.int32), col(np.broadcast_to(kind, n), np.int32), col(bucket, np.int32), pa.array(payload if payload is not None else [None] * n, pa.binary())],
-        names=["doc_id", "start", "stop", "mini", "lead", "kind", "bucket", "payload"],
+        [col(doc, np.int64), col(tie, np.int64), col(start, np.int64), col(stop, np.int64), col(np.asarray(mini, U).view(np.int64), np.int64), col(lead, np.int32), col(np.broadcast_to(kind, n), np.int32), col(bucket, np.int32), pa.array(payload if payload is not None else [None] * n, pa.binary())],
+        names=["doc", "tie", "start", "stop", "mini", "lead", "kind", "bucket", "payload"],
     )
 
 
@@ -229,13 +240,12 @@ def _cut(window: int, buckets: int):
         held, n = [], 0
 
         def settle():
-            row, start, size, mini, mark, lead = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, _, new_run = _settle(mini, mark, row, start)
-            again = order[~new_run]
+            row, tie, start, size, mini, mark, lead = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, _, new_run, again = _settle(mini, mark, row, tie, start)
             if len(again):
-                yield _table(0, *_merged(row[again], start[again], start[again] + size[again] + window - 1))
+                yield _table(0, *_merged(row[again], tie[again], start[again], start[again] + size[again] + window - 1))
             first = np.sort(order[new_run])
-            mini, mark, row, start, size, lead = (x[first] for x in (mini, mark, row, start, size, lead))
+            mini, mark, row, tie, start, size, lead = (x[first] for x in (mini, mark, row, tie, start, size, lead))
             bucket = (mix(mini) % U(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -243,13 +253,13 @@ def _cut(window: int, buckets: int):
             for i in range(0, len(live), 64):
                 some = live[i : i + 64]
                 parts = [order[cuts[b] : cuts[b + 1]] for b in some]
-                yield _table(1, bucket=some, payload=[_pack(mini[p], mark[p], row[p], start[p], size[p], lead[p]) for p in parts])
+                yield _table(1, bucket=some, payload=[_pack(mini[p], mark[p], row[p], tie[p], start[p], size[p], lead[p]) for p in parts])
 
         for batch in batches:
             raw, at = utf8(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tie"))
             row, start, size, mini, mark, lead = _runs(raw, at, window)
-            held.append((ids[row], start, size, mini, mark, lead))
+            held.append((ids[row], ties[row], start, size, mini, mark, lead))
             n += len(row)
             if n >= _HOLD:
                 yield from settle()
@@ -275,15 +285,14 @@ def _meet(window: int):
         yield from spans
         if not held:
             return
-        mini, mark, doc, start, size, lead = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, new_mini, new_run = _settle(mini, mark, doc, start)
-        again = order[~new_run]
-        yield _table(0, *_merged(doc[again], start[again], start[again] + size[again] + window - 1))
+        mini, mark, doc, tie, start, size, lead = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, new_mini, new_run, again = _settle(mini, mark, doc, tie, start)
+        yield _table(0, *_merged(doc[again], tie[again], start[again], start[again] + size[again] + window - 1))
         group = np.cumsum(new_mini) - 1
         different = np.bincount(group, weights=new_run)[group]
         want = new_run & (different > 1)
         ask = order[want]
-        yield _table(np.where(different[want] > MANY, 3, 2), doc[ask], start[ask], start[ask] + size[ask] + window - 1, mini[ask], lead[ask])
+        yield _table(np.where(different[want] > MANY, 3, 2), doc[ask], tie[ask], start[ask], start[ask] + size[ask] + window - 1, mini[ask], lead[ask])
 
     return run
 
@@ -307,17 +316,26 @@ def _classes(raw, at, row, start, stop, mini, lead, window):
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-_SEGS = "bucket int, mini long, doc_id long, start long, stop long, seg binary"
+_SEGS = "bucket int, mini long, doc long, tie long, start long, stop long, seg binary"
 
 
 def _fetch(window: int, buckets: int):
     def run(batches):
+        last = None
         for batch in batches:
+            # Rows that repeat id and text stand side by side after the join; one of them will do.
+            places = list(zip(batch.column("doc").to_pylist(), batch.column("tie").to_pylist(), strict=True))
+            other = [a != b for a, b in zip(places, [last, *places], strict=False)]
+            last = places[-1] if places else last
+            if not all(other):
+                batch = batch.filter(pa.array(other))
+            if not batch.num_rows:
+                continue
             raw, at = utf8(batch.column("text"))
             asked = batch.column("asked")
             begins = asked.offsets.to_numpy()
             flat = asked.values
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tie"))
             row = np.repeat(np.arange(batch.num_rows), np.diff(begins))
             start, stop, mini, lead, kind = (flat.field(i).to_numpy(zero_copy_only=False)[begins[0] : begins[-1]] for i in range(5))
             hot = kind == 3
@@ -328,21 +346,18 @@ def _fetch(window: int, buckets: int):
             hot = np.arange(len(row)) >= (~hot).sum()
             bucket = (mix(mini) % U(buckets)).astype(np.int32)
             text = [raw[a:b].tobytes() for a, b in zip(at[row] + start, at[row] + stop, strict=True)]
-            keep = np.ones(len(row), bool)
             if hot.any():
-                seen = set()
-                for i in sorted(np.flatnonzero(hot).tolist(), key=lambda i: (ids[row[i]], start[i])):
-                    one = (mini[i], text[i])
-                    keep[i] = one not in seen
-                    seen.add(one)
-            text = [t if k else None for t, k in zip(text, keep, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(mini.view(np.int64)), pa.array(ids[row]), pa.array(start), pa.array(stop), pa.array(text, pa.binary())], names=["bucket", "mini", "doc_id", "start", "stop", "seg"])
+                seen = {}
+                for i in sorted(np.flatnonzero(hot).tolist(), key=lambda i: (ids[row[i]], ties[row[i]], start[i])):
+                    if seen.setdefault((mini[i], text[i]), i) != i:
+                        text[i] = None
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(mini.view(np.int64)), pa.array(ids[row]), pa.array(ties[row]), pa.array(start), pa.array(stop), pa.array(text, pa.binary())], names=["bucket", "mini", "doc", "tie", "start", "stop", "seg"])
 
     return run
 
 
 def _search(window: int, most: int = 1 << 20):
-    def block(doc, start, raw, at):
+    def block(doc, tie, start, raw, at):
         lens = np.diff(at)
         text = np.full(len(raw) + len(lens), _SEP, np.uint8)
         begin = at[:-1] + np.arange(len(lens))
@@ -360,10 +375,12 @@ def _search(window: int, most: int = 1 << 20):
         pos, group = index.order[use], group[use]
         seg = owner[pos]
         place = start[seg] + pos - begin[seg]
-        by = np.lexsort((place, doc[seg], group))
+        by = np.lexsort((place, tie[seg], doc[seg], group))
         g = group[by]
-        again = by[1:][g[1:] == g[:-1]]
-        return doc[seg[again]], place[again], place[again] + window
+        fresh = np.ones(len(g), bool)
+        fresh[1:] = g[1:] != g[:-1]
+        again = by[_later(fresh, doc[seg[by]], tie[seg[by]], place[by])]
+        return doc[seg[again]], tie[seg[again]], place[again], place[again] + window
 
     def run(batches):
         parts = list(batches)
@@ -371,7 +388,7 @@ def _search(window: int, most: int = 1 << 20):
             return
         table = pa.Table.from_batches(parts)
         known = table.filter(table.column("seg").is_null())
-        yield _table(0, *(known.column(c).to_numpy() for c in ("doc_id", "start", "stop")))
+        yield _table(0, *(known.column(c).to_numpy() for c in ("doc", "tie", "start", "stop")))
         table = table.filter(table.column("seg").is_valid()).sort_by("mini").combine_chunks()
         mini = table.column("mini").to_numpy()
         same = mini[1:] == mini[:-1]
@@ -379,7 +396,7 @@ def _search(window: int, most: int = 1 << 20):
         if not table.num_rows:
             return
         mini = table.column("mini").to_numpy()
-        doc, start = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
+        doc, tie, start = (table.column(c).to_numpy() for c in ("doc", "tie", "start"))
         seg = table.column("seg").combine_chunks() if table.column("seg").num_chunks != 1 else table.column("seg").chunk(0)
         seg = seg.cast(pa.large_binary())
         at = np.frombuffer(seg.buffers()[1], np.int64)[seg.offset : seg.offset + len(seg) + 1]
@@ -389,30 +406,36 @@ def _search(window: int, most: int = 1 << 20):
         while i < len(edges) - 1:
             j = max(i + 1, int(np.searchsorted(at[edges], at[edges[i]] + most, "right")) - 1)
             a, b = edges[i], edges[j]
-            yield _table(0, *_merged(*block(doc[a:b], start[a:b], raw[at[a] : at[b]], at[a : b + 1] - at[a])))
+            yield _table(0, *_merged(*block(doc[a:b], tie[a:b], start[a:b], raw[at[a] : at[b]], at[a : b + 1] - at[a])))
             i = j
 
     return run
 
 
+def _keyed(docs: DataFrame, *more) -> DataFrame:
+    """Rows with what they are known by: id (the largest number if there is none) and a hash of the text."""
+    return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("tie"), *more)
+
+
 def repeated_spans(docs: DataFrame, window: int = 100) -> DataFrame:
-    """(doc_id, spans array<struct<start, stop>>): byte spans, not yet merged, of what starts earlier elsewhere."""
+    """(doc, tie, spans array<struct<start, stop>>): byte spans, not yet merged, of what starts earlier elsewhere."""
     spark = docs.sparkSession
     ship_code(spark)
     n = partitions(spark)
-    src = docs.select("doc_id", "text").where("doc_id is not null")
+    src = _keyed(docs).drop("doc_id")
+    own = F.xxhash64("doc", "tie")
     cut = src.mapInArrow(_cut(window, 4 * n), _SPANS)
     # Spans that are settled already are spread by document, payloads by bucket.
-    dealt = cut.repartition(n, F.when(F.col("kind") == 1, F.col("bucket").cast("long")).otherwise(F.xxhash64("doc_id")))
-    met = materialise(dealt.mapInArrow(_meet(window), _SPANS).select("doc_id", "start", "stop", "mini", "lead", "kind"), "suffix-runs")
-    asked = met.where("kind > 1").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "mini", "lead", "kind")).alias("asked"))
-    segs = src.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch(window, 4 * n), _SEGS)
-    found = segs.repartition(n, F.when(F.col("seg").isNotNull(), F.col("bucket").cast("long")).otherwise(F.xxhash64("doc_id"))).mapInArrow(_search(window), _SPANS).select("doc_id", "start", "stop")
-    spans = met.where("kind = 0").select("doc_id", "start", "stop").unionByName(found)
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    dealt = cut.repartition(n, F.when(F.col("kind") == 1, F.col("bucket").cast("long")).otherwise(own))
+    met = materialise(dealt.mapInArrow(_meet(window), _SPANS).select("doc", "tie", "start", "stop", "mini", "lead", "kind"), "suffix-runs")
+    asked = met.where("kind > 1").groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop", "mini", "lead", "kind")).alias("asked"))
+    segs = src.join(asked, ["doc", "tie"]).select("doc", "tie", "text", "asked").mapInArrow(_fetch(window, 4 * n), _SEGS)
+    found = segs.repartition(n, F.when(F.col("seg").isNotNull(), F.col("bucket").cast("long")).otherwise(own)).mapInArrow(_search(window), _SPANS).select("doc", "tie", "start", "stop")
+    spans = met.where("kind = 0").select("doc", "tie", "start", "stop").unionByName(found)
+    return spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
-def _strip(keep_text: bool):
+def _strip(keep_text: bool, carry: bool):
     """Merge the spans of each row, count what they cover and put the rest together."""
 
     def run(batches):
@@ -444,15 +467,21 @@ def _strip(keep_text: bool):
             out = {"doc_id": batch.column("doc_id"), "n_bytes": pa.array(np.diff(at)), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
             if keep_text:
                 out["text"] = pa.array(texts, pa.string())
+            if carry:
+                out["carried"] = batch.column("carried")
             yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
-def suffix_array_dedup(docs: DataFrame, window: int = 100, keep_text: bool = True) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, window: int = 100, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, with ``keep_text`` the remaining text (bytes of characters cut in two are left out of it), and the
-    figures n_bytes, n_removed, n_spans, kept_sha256 of each document."""
+    figures n_bytes, n_removed, n_spans, kept_sha256 of each row; the columns ``carry`` come along as they are."""
     spans = repeated_spans(docs, window)
-    joined = docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
-    return joined.mapInArrow(_strip(keep_text), out)
+    rows = _keyed(docs, F.struct(*carry).alias("carried")) if carry else _keyed(docs)
+    joined = rows.join(spans, ["doc", "tie"], "left").drop("doc", "tie")
+    out = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text)
+    if not carry:
+        return joined.mapInArrow(_strip(keep_text, False), out)
+    names = out.fieldNames()
+    return joined.mapInArrow(_strip(keep_text, True), out.add(rows.schema["carried"])).select(*names, "carried.*")

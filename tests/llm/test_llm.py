@@ -68,6 +68,67 @@ def test_suffix_repeated_and_null_ids(spark):
     assert len(kept) == len(rows) and [r.text for r in kept if r.doc_id == 1] == [twice] * 3
 
 
+def _steps(docs, window=100, buckets=16):
+    """The stages of suffix_dedup in this process: each text's number of bytes and of those removed, the runs that each
+    bucket meets, and how many texts each group has."""
+    from collections import Counter, defaultdict
+
+    batch = lambda rows: pa.RecordBatch.from_pydict({"doc": [d for d, _ in rows], "tie": [0] * len(rows), "text": [t for _, t in rows]})
+    cut, met, segs, spans, sizes, texts = defaultdict(list), [], defaultdict(list), [], [], Counter()
+    rows = lambda batches: [r for b in batches for r in b.to_pylist()]
+    some = len(docs) * 9 // 10
+    for part in (docs[:some], docs[some:]):
+        for b in suffix_dedup._cut(window, buckets)([batch(part)]):
+            for i in range(b.num_rows):
+                one = b.slice(i, 1)
+                cut[one.column("bucket")[0].as_py() if one.column("kind")[0].as_py() else -1].append(one)
+    for own in cut.values():
+        sizes.append(sum(len(x) for x in (r["payload"] or b"" for r in rows(own))) // 48)
+        met += rows(suffix_dedup._meet(window)(own))
+    asked = defaultdict(list)
+    for r in met:
+        if r["kind"]:
+            asked[r["doc"]].append({k: r[k] for k in ("start", "stop", "mini", "lead", "kind")})
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("mini", pa.int64()), ("lead", pa.int32()), ("kind", pa.int32())]))
+    for i in range(0, len(docs), 500):
+        mine = [x for x in docs[i : i + 500] if x[0] in asked]
+        for b in suffix_dedup._fetch(window, buckets)([batch(mine).append_column("asked", pa.array([asked[d] for d, _ in mine], kind))]):
+            for j in range(b.num_rows):
+                one = b.slice(j, 1)
+                r = one.to_pylist()[0]
+                segs[r["bucket"]].append(one)
+                texts[r["mini"]] += r["seg"] is not None and r["start"] >= 0
+    spans = [r for r in met if not r["kind"]] + [r for own in segs.values() for r in rows(suffix_dedup._search(window)(own))]
+    gone = defaultdict(set)
+    for r in spans:
+        gone[r["doc"]].update(range(r["start"], r["stop"]))
+    return {d: (len(t), len(gone[d])) for d, t in docs}, sizes, max(texts.values(), default=0)
+
+
+@pytest.mark.parametrize("many,most,spread", [(1, 3, 10**9), (1, 10**9, 10**9), (1, 2, 20), (10**9, 10**9, 10**9)])
+def test_suffix_hot_lines(monkeypatch, many, most, spread):
+    """Lines below and above a window's size in ever different contexts: by class, by window, and by window in one part only."""
+    rng = random.Random(11)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    lines, ends = (say(85), say(70), say(130)), [say(30) for _ in range(4)]
+    docs = [(i, say(40) + rng.choice(ends) + rng.choice(lines) + rng.choice(ends) + say(40)) for i in range(200)]
+    for name, x in (("MANY", many), ("MOST", most), ("SPREAD", spread)):
+        monkeypatch.setattr(suffix_dedup, name, x)
+    assert _steps(docs)[0] == {d: x[:2] for d, x in brute.suffix(docs).items()}
+
+
+@pytest.mark.parametrize("spread", [512, 10**9])
+def test_suffix_hot_line_is_dealt_out(monkeypatch, spread):
+    """A line of 80 bytes in 5,000 contexts: no group of texts and, if it shows in one task, no bucket of runs holds them all."""
+    rng = random.Random(12)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(80))
+    docs = [(i, rng.randbytes(30).hex() + line + rng.randbytes(30).hex()) for i in range(5000)]
+    monkeypatch.setattr(suffix_dedup, "SPREAD", spread)
+    got, sizes, texts = _steps(docs)
+    assert got == {d: x[:2] for d, x in brute.suffix(docs).items()}
+    assert texts <= suffix_dedup.MOST and (spread > 512 or max(sizes) < 2 * sum(sizes) / 16)
+
+
 def test_interval_expansion():
     rng = np.random.default_rng(1)
     text = rng.integers(97, 99, 3000).astype(np.uint8)

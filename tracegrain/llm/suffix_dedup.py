@@ -12,7 +12,10 @@ document id, or earlier in the same document). Equal strings have to meet in one
 3. The text of those runs is gathered and dealt out by minimizer, and ``Transform`` finds, in each bucket,
    all windows that start earlier elsewhere. A minimizer with very many different runs (the edge of a passage that stands in
    countless contexts) is dealt out further: its windows by how far before the minimizer they start, in powers of two, and
-   by the bytes that all windows of such a class have in common.
+   by the bytes that all windows of such a class have in common. A minimizer with more runs than a task should hold
+   (any boilerplate line, however long its common part) has each of its windows met by itself, by the whole window's
+   fingerprint; no text moves for those, and equal windows collapse to their earliest copy in each batch. Its runs
+   are dealt out by run, not by minimizer, from the start.
 4. The removed spans of a document are merged and its remaining bytes put together.
 
 Nulls count as empty texts; texts below ``window`` bytes have no window and stay whole. A row is known by doc_id and
@@ -246,7 +249,17 @@ def _cut(window: int, buckets: int):
                 yield _table(0, *_merged(row[again], tie[again], start[again], start[again] + size[again] + window - 1))
             first = np.sort(order[new_run])
             mini, mark, row, tie, start, size, lead = (x[first] for x in (mini, mark, row, tie, start, size, lead))
-            bucket = (mix(mini) % U(buckets)).astype(np.int32)
+            # A minimizer that is hot in this block: its runs go where their fingerprints say, and word of it to its own bucket.
+            names, group, many = np.unique(mini, return_inverse=True, return_counts=True)
+            hot = (many > SPREAD)[group]
+            known = names[many > SPREAD]
+            bucket = (mix(np.where(hot, mix(mini) ^ mark, mini)) % U(buckets)).astype(np.int32)
+            lead = np.where(hot, -1 - lead, lead)
+            if len(known):
+                word = np.zeros(len(known), np.int64)
+                bucket = np.concatenate([bucket, (mix(known) % U(buckets)).astype(np.int32)])
+                mini, mark = np.concatenate([mini, known]), np.concatenate([mark, word.astype(U)])
+                row, tie, start, size, lead = (np.concatenate([x, word]) for x in (row, tie, start, size, lead))
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             live = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
@@ -270,8 +283,10 @@ def _cut(window: int, buckets: int):
     return run
 
 
-#: A minimizer with more different runs is dealt out by class.
-MANY = 256
+#: A minimizer with more different runs is dealt out by class, beyond MOST window by window. All of a group's text stands
+#: in one block, so that MOST bounds it. A minimizer with more than SPREAD different runs among those that a task holds at once
+#: is dealt out window by window at once, so that no task has to read all its runs.
+MANY, MOST, SPREAD = 256, 4096, 512
 
 
 def _meet(window: int):
@@ -286,13 +301,20 @@ def _meet(window: int):
         if not held:
             return
         mini, mark, doc, tie, start, size, lead = (np.concatenate(x) for x in zip(*held, strict=True))
+        word, spread = size == 0, lead < 0
+        known = np.unique(mini[word | spread])
+        lead = np.where(spread, -1 - lead, lead)
+        mini, mark, doc, tie, start, size, lead = (x[~word] for x in (mini, mark, doc, tie, start, size, lead))
+        if not len(mini):
+            return
         order, new_mini, new_run, again = _settle(mini, mark, doc, tie, start)
         yield _table(0, *_merged(doc[again], tie[again], start[again], start[again] + size[again] + window - 1))
+        hot = np.isin(mini[order], known)
         group = np.cumsum(new_mini) - 1
         different = np.bincount(group, weights=new_run)[group]
-        want = new_run & (different > 1)
+        want = new_run & ((different > 1) | hot)
         ask = order[want]
-        yield _table(np.where(different[want] > MANY, 3, 2), doc[ask], tie[ask], start[ask], start[ask] + size[ask] + window - 1, mini[ask], lead[ask])
+        yield _table(np.where(hot[want] | (different[want] > MOST), 4, np.where(different[want] > MANY, 3, 2)), doc[ask], tie[ask], start[ask], start[ask] + size[ask] + window - 1, mini[ask], lead[ask])
 
     return run
 
@@ -316,9 +338,42 @@ def _classes(raw, at, row, start, stop, mini, lead, window):
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
+def _windows(raw, at, row, start, stop, mini, lead, window):
+    """Each window of these runs as a run of its own: row, start, minimizer with distance, fingerprint. In parts of bounded size."""
+    up, down = powers(_PIECE * 2)
+    sizes = stop - start
+    total, i = np.cumsum(sizes), 0
+    while i < len(row):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + _PIECE, "right")))
+        n = sizes[i:j]
+        text = raw[ranges(at[row[i:j]] + start[i:j], n)]
+        sums = np.zeros(len(text) + 1, U)
+        np.cumsum(BYTE[text] * up[: len(text)], out=sums[1:])
+        count = n - window + 1
+        s = ranges(np.cumsum(n) - n, count)
+        step = ranges(np.zeros(j - i, np.int64), count)
+        of = np.repeat(np.arange(i, j), count)
+        distance = (lead[of] - step).astype(U)
+        yield row[of], start[of] + step, mix(mini[of] + distance), mix((sums[s + window] - sums[s]) * down[s] + U(window))
+        i = j
+
+
+def _by_bucket(bucket, buckets, *cols):
+    """Buckets that have rows, and the rows of each, packed."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    live = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+    return live, [_pack(*(c[order[cuts[b] : cuts[b + 1]]] for c in cols)) for b in live]
+
+
 _SEGS = "bucket int, mini long, doc long, tie long, start long, stop long, seg binary"
 
 
+def _segs(bucket, mini, doc, tie, start, stop, seg) -> pa.RecordBatch:
+    cols = [pa.array(x) for x in (bucket, mini.view(np.int64), doc, tie, start, stop)]
+    return pa.RecordBatch.from_arrays([*cols, pa.array(seg, pa.binary())], names=["bucket", "mini", "doc", "tie", "start", "stop", "seg"])
+
+
 def _fetch(window: int, buckets: int):
     def run(batches):
         last = None
@@ -338,8 +393,22 @@ def _fetch(window: int, buckets: int):
             ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tie"))
             row = np.repeat(np.arange(batch.num_rows), np.diff(begins))
             start, stop, mini, lead, kind = (flat.field(i).to_numpy(zero_copy_only=False)[begins[0] : begins[-1]] for i in range(5))
-            hot = kind == 3
             mini = mini.view(U)
+            single = kind == 4
+            if single.any():
+                for r, s, key, mark in _windows(raw, at, *(x[single] for x in (row, start, stop, mini, lead.astype(np.int64))), window):
+                    doc, tie = ids[r], ties[r]
+                    order, _, new, again = _settle(key, mark, doc, tie, s)
+                    d, t, a, b = _merged(doc[again], tie[again], s[again], s[again] + window)
+                    yield _segs(np.zeros(len(d), np.int32), np.zeros(len(d), U), d, t, a, b, [None] * len(d))
+                    first = order[new]
+                    one = np.ones(len(first), np.int32)
+                    live, packed = _by_bucket((mix(key[first] ^ mark[first]) % U(buckets)).astype(np.int32), buckets, key[first], mark[first], doc[first], tie[first], s[first], one, 0 * one)
+                    none = np.zeros(len(live), np.int64)
+                    # Where a row begins before its text does, it is a bucket of windows.
+                    yield _segs(np.array(live, np.int32), none.view(U), none, none, none - 1, none, packed)
+                row, start, stop, mini, lead, kind = (x[~single] for x in (row, start, stop, mini, lead, kind))
+            hot = kind == 3
             if hot.any():
                 more = _classes(raw, at, row[hot], start[hot], stop[hot], mini[hot], lead[hot].astype(np.int64), window)
                 row, start, stop, mini = (np.concatenate([x[~hot], y]) for x, y in zip((row, start, stop, mini), more, strict=True))
@@ -351,7 +420,7 @@ def _fetch(window: int, buckets: int):
                 for i in sorted(np.flatnonzero(hot).tolist(), key=lambda i: (ids[row[i]], ties[row[i]], start[i])):
                     if seen.setdefault((mini[i], text[i]), i) != i:
                         text[i] = None
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(mini.view(np.int64)), pa.array(ids[row]), pa.array(ties[row]), pa.array(start), pa.array(stop), pa.array(text, pa.binary())], names=["bucket", "mini", "doc", "tie", "start", "stop", "seg"])
+            yield _segs(bucket, mini, ids[row], ties[row], start, stop, text)
 
     return run
 
@@ -383,7 +452,18 @@ def _search(window: int, most: int = 1 << 20):
         return doc[seg[again]], tie[seg[again]], place[again], place[again] + window
 
     def run(batches):
-        parts = list(batches)
+        parts, single = [], []
+        for batch in batches:
+            packed = batch.column("start").to_numpy() < 0
+            if packed.any():
+                single += [_unpack(x) for x in batch.column("seg").filter(pa.array(packed)).to_pylist()]
+                batch = batch.filter(pa.array(~packed))
+            parts.append(batch)
+        if single:
+            mini, mark, doc, tie, start, _, _ = (np.concatenate(x) for x in zip(*single, strict=True))
+            again = _settle(mini, mark, doc, tie, start)[3]
+            yield _table(0, *_merged(doc[again], tie[again], start[again], start[again] + window))
+            del single, mini, mark, doc, tie, start, again
         if not parts:
             return
         table = pa.Table.from_batches(parts)

@@ -188,6 +188,15 @@ def test_chunks_equal_whole_texts(name, spaced, texts):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x[:-1] for x in brute.encode(queries.tokenizer(name), some, 0)]
 
 
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_stops_behind_letters_beyond_ascii(name, spaced):
+    some = ["LİSESİ, LİSESİ. LİSESİ", "İ, İ.", "ﬁ, ŉ. ǰ, ΐ. ΟΔΟΣ, straße. ẞ, École, DŽ, ÅNGSTRÖM. Å,", "Ends, with. plain words, Too."]
+    tok = tokenise.Chunks(queries.tokenizer(name), spaced)
+    for text in some:
+        ids, _ = tok.ids([text])
+        assert ids.tolist() == brute.encode(queries.tokenizer(name), [text], 0)[0][:-1], text
+
+
 def test_codec_round_trip():
     x = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7], np.uint32)
     for n in range(len(x) + 1):

@@ -92,10 +92,11 @@ class Chunks:
         self.hits = hits[stay] // 2
 
     def learn(self, keys: list[str]) -> None:
-        # Letters and a comma or full stop behind them never share a token: such a word is its letters' ids and one more.
-        ended = [x for x in keys if x[-1] in ",." and x[:-1].isalpha()]
+        # ASCII letters and a comma or full stop behind them never share a token: such a word is its letters' ids and one more.
+        # Of other letters, lower-casing may leave a mark behind (capital dotted I), which goes with the stop.
+        ended = [x for x in keys if x[-1] in ",." and x[:-1].isalpha() and x.isascii()]
         if ended:
-            keys = list({x for x in keys if not (x[-1] in ",." and x[:-1].isalpha())} | {x[:-1] for x in ended if x[:-1] not in self.known})
+            keys = list(set(keys).difference(ended) | {x[:-1] for x in ended if x[:-1] not in self.known})
         for i in range(0, len(keys), 20_000):
             some = keys[i : i + 20_000]
             self._add(some, *self.encode([self.text_of(x) for x in some]))

@@ -179,6 +179,21 @@ def test_decontamination(spark, texts):
     assert none.where("contaminated").count() == 0 and none.count() == len(texts)
 
 
+def test_decontamination_repeated_rows(spark):
+    """One block or several: repeated items count once, and each row of the documents keeps a row of its own."""
+    a, b = " ".join(f"a{i}" for i in range(12)), " ".join(f"b{i}" for i in range(12))
+    items = [(1, a)] * 40 + [(1, b), (2, a), (3, "nothing of this is in any of the documents here")]
+    docs = [(5, f"x {a} y {b}"), (5, f"x {a} y {b}"), (5, "clean"), (6, b), (None, a), (None, a), (None, "clean")]
+    bench = frame(spark, items, "item_id long, text string", 2)
+    assert sum(len(x) for x in decontam.blocks(bench)) == sum(len(x) for x in decontam.blocks(bench, 10)) == 4
+    own = list(dict.fromkeys(docs))
+    found = brute.contamination([(i, t) for i, (_, t) in enumerate(own)], items)
+    want = sorted(((d, *found[own.index((d, t))]) for d, t in docs), key=repr)
+    for words in (decontam.BLOCK_WORDS, 10):
+        got = decontam.report(decontam.decontaminate(frame(spark, docs), bench, block_words=words)).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got), key=repr) == want
+
+
 @pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_chunks_equal_whole_texts(name, spaced, texts):
     odd = ["  ", " a", "a ", "\n\n x  y\n", "It's  ok, isn't it?x\x01y \x01 z", "a\x01", " '\x01s", "<|endoftext|> a", "tab\there\r\nnew line", "x.'s y,'ll a.b,c.", "123 4,567.89 ½ ²", "ΑΣ ΟΔΟΣ. İ", "a\n b", "a \nb", "foo\x1cbar \x1c baz", "x́ , ́."]

@@ -6,10 +6,10 @@ enough to find candidates. The shingle's place in the window gives the only star
 (positional bound), the words left there bound its length, and a candidate counts only if all its words are equal.
 
 The items come in blocks of at most ``block_words`` words, and each block's windows are sent to all tasks: what is
-broadcast is bounded, however large the benchmark. Documents are never shuffled.
+broadcast is bounded, however large the benchmark. Documents are never shuffled; with several blocks, what was found in them is.
 
-Null texts have no words; items without words have no windows; repeated items and rows count each on their own (equal
-item_ids are one item); an empty benchmark leaves all documents clean; other columns are not looked at.
+Null texts have no words; items without words have no windows; repeated item rows count once, and equal item_ids are one
+item, whatever their texts; each row of the documents has a row of its own in the result, also where rows repeat, share an id or have none; an empty benchmark leaves all documents clean; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -42,9 +42,9 @@ class Windows:
         n = np.diff(before)
         each = np.where(n == 0, 0, np.maximum(n - size + 1, 1))
         self.first = ranges(before[:-1], each)
-        self.item = np.repeat(np.arange(len(items)), each)
+        self.ids, own = np.unique(np.array([str(x) for x in items["item_id"]], object), return_inverse=True)
+        self.item = np.repeat(own.astype(np.int64), each)
         self.size = np.minimum(np.repeat(n, each), size)
-        self.ids = [str(x) for x in items["item_id"]]
         self.wide = sorted({int(min(s, SHINGLE)) for s in self.size})
 
     def tokens(self, width: int) -> np.ndarray:
@@ -153,20 +153,20 @@ def _find(win: Windows):
                     for p in pairs.tolist():
                         items[p // len(win.ids)].append(win.ids[p % len(win.ids)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n), pa.array([[{"start": a, "stop": b} for a, b in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "spans", "items"],
+                    [batch.column("doc_id"), batch.column("tie"), pa.array(n), pa.array([[{"start": a, "stop": b} for a, b in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
+                    names=["doc_id", "tie", "n_words", "spans", "items"],
                 )
 
     return run
 
 
-_FOUND = "doc_id long, n_words long, spans array<struct<start: bigint, stop: bigint>>, items array<string>"
+_FOUND = "doc_id long, tie long, n_words long, spans array<struct<start: bigint, stop: bigint>>, items array<string>"
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS):
     """Item blocks of at most about ``most`` words (an item is never cut), one at a time on the driver."""
     words_of = F.size(F.split(F.coalesce("text", F.lit("")), "[^0-9A-Za-z\\x80-\\x{10FFFF}]+"))
-    sized = benchmark.select("item_id", "text", words_of.cast("long").alias("n"))
+    sized = benchmark.select("item_id", "text").distinct().select("item_id", "text", words_of.cast("long").alias("n"))
     total = sized.agg(F.sum("n")).first()[0] or 0
     if total <= most:
         yield sized.select("item_id", "text").toPandas()
@@ -180,7 +180,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, n_words, spans, items): the word spans of each document that benchmark windows cover, and whose they are."""
     ship_code(docs.sparkSession)
-    src = docs.select("doc_id", "text")
+    src = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
     out, several = None, False
     for items in blocks(benchmark, block_words):
         win = Windows(items, size)
@@ -193,11 +193,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_w
                 t, seen = counts[r.width]
                 seen[np.searchsorted(t, np.int64(r.token).astype(U))] = r.n
         win.choose(counts)
-        part = src.mapInArrow(_find(win), _FOUND)
+        part = src.mapInArrow(_find(win), _FOUND).withColumn("row", F.lit(int(out is None)))
         out, several = (part, False) if out is None else (out.unionByName(part), True)
     if several:
-        out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return out
+        # Rows that repeat id and text have the same result: found once, and given back as often as the first block met them.
+        every = lambda c: F.flatten(F.collect_set(c))
+        out = out.groupBy("doc_id", "tie").agg(F.max("n_words").alias("n_words"), every("spans").alias("spans"), F.array_distinct(every("items")).alias("items"), F.sum("row").alias("n"))
+        out = out.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return out.select("doc_id", "n_words", "spans", "items")
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -269,6 +269,18 @@ def test_language(spark):
     assert lang_mixture.identify(frame(spark, ODD), lang_mixture.fit(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_sets_have_no_limit():
+    """Six languages in one text, each with letters of its own; a limit holds only if it is given."""
+    rng = random.Random(5)
+    say = lambda i, n: " ".join("".join(rng.choice(chr(97 + 4 * i) + chr(98 + 4 * i) + chr(99 + 4 * i)) for _ in range(5)) for _ in range(n))
+    counts = np.stack([np.bincount(lang_mixture.trigrams([say(i, 3000)])[0], minlength=1 << lang_mixture.CELL_BITS) + 0.5 for i in range(6)], axis=1)
+    model = lang_mixture.Model(tuple("abcdef"), np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    predict = lang_mixture.identify.__defaults__
+    share, n = lang_mixture.mixtures(model, [" ".join(say(i, 60) for i in range(6))], *predict)
+    assert n.tolist() == [360] and np.allclose(share, 1 / 6, atol=0.02)
+    assert (lang_mixture.mixtures(model, [" ".join(say(i, 60) for i in range(6))], *predict[:-1], 4)[0] > 0).sum() == 4
+
+
 def test_quality(spark):
     sf = SF.replace("0.001", "0.01")
     got = queries.op8_quality_gam(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")

@@ -93,7 +93,7 @@ def _em(lik: np.ndarray, doc: np.ndarray, n: np.ndarray, share: np.ndarray, roun
     return share, _by_doc(seen[:, None], n)[:, 0]
 
 
-def mixtures(model: Model, texts: list[str | None], rounds: int, penalty: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+def mixtures(model: Model, texts: list[str | None], rounds: int, penalty: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Proportions of the chosen languages of each text, and its number of words."""
     cell, starts, n = trigrams(texts)
     k = len(model.langs)
@@ -116,7 +116,7 @@ def mixtures(model: Model, texts: list[str | None], rounds: int, penalty: float,
         sub_doc = np.repeat(np.arange(len(open_)), sub_n)
         rank = np.argsort(np.argsort(-share[open_], axis=1, kind="stable"), axis=1)
         value = single[open_].max(axis=1)
-        for size in range(2, min(k, most) + 1):
+        for size in range(2, min(k, most or k) + 1):
             mask = rank < size
             start = np.where(mask, np.maximum(share[open_], 1e-6), 0)
             pi, seen = _em(sub_lik, sub_doc, sub_n, start / start.sum(axis=1, keepdims=True), rounds)
@@ -126,7 +126,7 @@ def mixtures(model: Model, texts: list[str | None], rounds: int, penalty: float,
     return out, n
 
 
-def _predict(model: Model, rounds: int, penalty: float, most: int):
+def _predict(model: Model, rounds: int, penalty: float, most: int | None):
     def run(batches):
         for whole in batches:
             for batch in slices(whole):
@@ -146,7 +146,7 @@ def _predict(model: Model, rounds: int, penalty: float, most: int):
     return run
 
 
-def identify(docs: DataFrame, model: Model, rounds: int = 8, penalty: float = 4.0, most: int = 4) -> DataFrame:
-    """(doc_id, lang_pred, score, mixture) of each document; at most ``most`` languages each."""
+def identify(docs: DataFrame, model: Model, rounds: int = 8, penalty: float = 4.0, most: int | None = None) -> DataFrame:
+    """(doc_id, lang_pred, score, mixture) of each document; at most ``most`` languages each, as many as were learned if not given."""
     ship_code(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_predict(model, rounds, penalty, most), "doc_id long, lang_pred string, score double, mixture array<struct<lang: string, share: double>>")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracegrain.llm.shared import U, fold, materialise, mix, partitions, ship_code, slices, utf8, word_hashes, words
-from tracegrain.llm.tokenise import chunks, with_end
+from tracegrain.llm.tokenise import SLICE, Chunks, from_bytes, id_bytes, with_end
 
 DIMS, BITS = 4, 12
 
@@ -73,15 +73,12 @@ def project(texts, dims: int = DIMS, bits: int = BITS) -> np.ndarray:
 
 def _prepare(path: str, end: int):
     def run(batches):
-        tok = chunks(path, False)
+        tok = Chunks(path)
         for whole in batches:
-            for batch in slices(whole, most=1 << 21):
+            for batch in slices(whole, most=SLICE):
                 key = hilbert(project(batch.column("text")), BITS)
-                ids, sizes = with_end(*tok.ids(batch.column("text").to_pylist()), end)
-                wide = "<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4"
-                at = np.concatenate([[0], np.cumsum(sizes)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key), pa.array(sizes), pa.array([ids[a:b].astype(wide).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "curve", "n", "ids"])
-        tok.rest()
+                ids, sizes = with_end(*tok.ids(batch.column("text")), end)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key), pa.array(sizes), id_bytes(ids, sizes)], names=["doc_id", "curve", "n", "ids"])
 
     return run
 
@@ -112,7 +109,7 @@ def _pack(length: int, keep_ids: bool):
 
         for batch in batches:
             for doc, n, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids")), strict=True):
-                ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
+                ids = from_bytes(raw, n)
                 at = 0
                 while at < n:
                     take = min(n - at, length - fill)

@@ -1,6 +1,6 @@
 """Token ids in a compact binary format: frequency-ranked ids, byte-aligned variable-length coding, control bytes apart.
 
-Each document's control bytes begin afresh, so that a document is coded once and blocks are put together from coded documents. Ids are renumbered by falling frequency over the whole corpus (ties: smaller id first), so that frequent ids take one
+Ids are renumbered by falling frequency over the whole corpus (ties: smaller id first), so that frequent ids take one
 byte. A block holds some documents: a header, their doc_ids and id counts, then control bytes (two bits an
 id: how many bytes follow) and data bytes (little-endian) in two separate streams. numpy reads a block without a
 loop over ids: a table turns each control byte into four lengths, and their running sum says where each id lies.
@@ -9,8 +9,9 @@ Blocks are rows of a Parquet table in ascending doc_id order (shard, block), whi
 format works in any store that Spark can write to. The order of ranks is a table of its own beside them; it is bounded
 by the vocabulary.
 
-Null and empty texts hold the end id only. Rows that share a doc_id stay apart, in the order of their texts. An empty
-table gives no blocks. Other columns are not looked at.
+Null and empty texts hold the end id only. Rows that repeat, or share a doc_id, stay apart, in the order of their ids' bytes; rows
+without a doc_id have no place in the order and are not stored. A very long text is tokenised whole and never cut: it
+makes a block of its own. An empty table gives no blocks. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracegrain.llm.shared import materialise, partitions, ranges, ship_code, slices
-from tracegrain.llm.tokenise import chunks, with_end
+from tracegrain.llm.shared import materialise, partitions, ship_code, slices
+from tracegrain.llm.tokenise import SLICE, Chunks, from_bytes, id_bytes, with_end
 
 MAGIC = b"TGV1"
 BLOCK_IDS = 400_000
@@ -42,10 +43,9 @@ def encode(ids: np.ndarray) -> tuple[bytes, bytes]:
     return control.tobytes(), ids.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]].tobytes()
 
 
-def decode(control: bytes, data: bytes, n: int, used: np.ndarray | None = None) -> np.ndarray:
-    """n numbers; ``used`` tells which places of the control bytes count, if they are not the first n."""
-    size = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)
-    size = size[:n] if used is None else size[used]
+def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
+    """The n numbers that were encoded."""
+    size = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
     at = np.cumsum(size) - size
     raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)])
     out = raw[at].astype(np.uint32)
@@ -55,9 +55,11 @@ def decode(control: bytes, data: bytes, n: int, used: np.ndarray | None = None)
     return out
 
 
-def pack_block(doc_ids: np.ndarray, sizes: np.ndarray, controls: list[bytes], datas: list[bytes]) -> bytes:
-    """A block of documents that are coded already; each document's control bytes begin afresh."""
-    return struct.pack("<4sIQQ", MAGIC, len(doc_ids), int(sizes.sum()), sum(map(len, controls))) + doc_ids.astype("<i8").tobytes() + sizes.astype("<u4").tobytes() + b"".join(controls) + b"".join(datas)
+def pack_block(doc_ids, sizes, ranks: np.ndarray) -> bytes:
+    """A block of documents: their doc_ids, their numbers of ids, and all ranks, one document after the other."""
+    control, data = encode(ranks)
+    head = struct.pack("<4sIQQ", MAGIC, len(doc_ids), len(ranks), len(control))
+    return head + np.asarray(doc_ids, "<i8").tobytes() + np.asarray(sizes, "<u4").tobytes() + control + data
 
 
 def read_block(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,29 +70,25 @@ def read_block(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = np.frombuffer(raw, "<i8", docs, 24)
     sizes = np.frombuffer(raw, "<u4", docs, 24 + 8 * docs).astype(np.int64)
     at = 24 + 12 * docs
-    # The last control byte of a document may have places to spare.
-    full = -(-sizes // 4) * 4
-    used = ranges(np.cumsum(full) - full, sizes)
-    return ids, sizes, decode(raw[at : at + width], raw[at + width :], n, used)
+    return ids, sizes, decode(raw[at : at + width], raw[at + width :], n)
 
 
 def _tokenise(path: str, end: int):
     """Rows of documents with their ids, and at the end of each task a row of how often it met each id."""
 
     def run(batches):
-        tok, seen = chunks(path, True), np.zeros(1 << 16, np.int64)
+        tok, seen = Chunks(path), np.zeros(1 << 16, np.int64)
         names = ["doc_id", "n_tokens", "ids", "seen"]
         for whole in batches:
-            for batch in slices(whole, most=1 << 21):
-                ids, sizes = with_end(*tok.ids(batch.column("text").to_pylist()), end)
-                if len(ids) and ids.max() >= len(seen):
+            for batch in slices(whole, most=SLICE):
+                ids, sizes = with_end(*tok.ids(batch.column("text")), end)
+                if ids.max(initial=0) >= len(seen):
                     seen = np.concatenate([seen, np.zeros(int(ids.max()) + 1 - len(seen), np.int64)])
                 seen += np.bincount(ids, minlength=len(seen))
-                at = np.concatenate([[0], np.cumsum(sizes)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array([ids[a:b].astype("<u2" if len(seen) == 1 << 16 else "<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.nulls(batch.num_rows, pa.binary())], names=names)
-        tok.rest()
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), id_bytes(ids, sizes), pa.nulls(batch.num_rows, pa.binary())], names=names)
         some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.array([some.astype("<u4").tobytes() + seen[some].astype("<i8").tobytes()], pa.binary())], names=names)
+        counts = some.astype("<u4").tobytes() + seen[some].astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())], names=names)
 
     return run
 
@@ -109,42 +107,29 @@ def _sums(batches):
     yield pa.RecordBatch.from_pydict({"id": pa.array(some), "n": pa.array(total[some])})
 
 
-def _ranked(rank: np.ndarray):
-    """Encode each document by itself; blocks are put together after the shuffle, when order is known."""
-
+def _blocks(rank: np.ndarray):
     def run(batches):
-        for batch in batches:
-            out = []
-            for n, raw in zip(batch.column("n_tokens").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                control, data = encode(rank[np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")])
-                out.append(control + data)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "coded"])
-
-    return run
+        from pyspark import TaskContext
 
+        shard, block = TaskContext.get().partitionId(), 0
+        docs, parts, held = [], [], 0
 
-def _blocks(batches):
-    from pyspark import TaskContext
+        def make():
+            body = pack_block(docs, [len(x) for x in parts], rank[np.concatenate(parts)])
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([block], pa.int64()), pa.array([held], pa.int64()), pa.array([body], pa.binary())], names=["shard", "block", "n_ids", "body"])
 
-    shard, block = TaskContext.get().partitionId(), 0
-    docs, sizes, controls, datas, held = [], [], [], [], 0
-
-    def make():
-        body = pack_block(np.array(docs, np.int64), np.array(sizes), controls, datas)
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([block], pa.int64()), pa.array([held], pa.int64()), pa.array([body], pa.binary())], names=["shard", "block", "n_ids", "body"])
+        for batch in batches:
+            for doc, n, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "ids")), strict=True):
+                if docs and held + n > BLOCK_IDS:
+                    yield make()
+                    block, docs, parts, held = block + 1, [], [], 0
+                docs.append(doc)
+                parts.append(from_bytes(raw, n))
+                held += n
+        if docs:
+            yield make()
 
-    for batch in batches:
-        for doc, n, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "coded")), strict=True):
-            if docs and held + n > BLOCK_IDS:
-                yield make()
-                block, docs, sizes, controls, datas, held = block + 1, [], [], [], [], 0
-            docs.append(doc)
-            sizes.append(n)
-            controls.append(raw[: -(-n // 4)])
-            datas.append(raw[-(-n // 4) :])
-            held += n
-    if docs:
-        yield make()
+    return run
 
 
 def write_tokens(docs: DataFrame, path: str, end: int) -> tuple[DataFrame, DataFrame]:
@@ -157,9 +142,9 @@ def write_tokens(docs: DataFrame, path: str, end: int) -> tuple[DataFrame, DataF
     order = np.array([r.id for r in sorted(counts.collect(), key=lambda r: (-r.n, r.id))], np.uint32)
     rank = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
     rank[order] = np.arange(len(order))
-    coded = raw.where("doc_id is not null").select("doc_id", "n_tokens", "ids").mapInArrow(_ranked(rank), "doc_id long, n_tokens long, coded binary")
-    sorted_ = coded.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "coded")
-    blocks = materialise(sorted_.mapInArrow(_blocks, "shard long, block long, n_ids long, body binary"), "token-blocks")
+    rows = raw.where("doc_id is not null").select("doc_id", "n_tokens", "ids")
+    dealt = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    blocks = materialise(dealt.mapInArrow(_blocks(rank), "shard long, block long, n_ids long, body binary"), "token-blocks")
     ranks = materialise(spark.createDataFrame([(i, int(x)) for i, x in enumerate(order)], "rank long, id long"), "token-ranks")
     return blocks, ranks
 

@@ -1,115 +1,96 @@
-"""Tokenising whole texts with the tokenizers library, at the speed of a dictionary.
+"""Tokenising whole texts with the tokenizers library, each distinct piece of text once.
 
-A text is cut where a token can never reach across, each distinct chunk goes through the library once, and the ids of
-the chunks are laid end to end. Each Python worker remembers a bounded number of chunks.
+A text is cut where a token can never reach across: before a run of white space, and between letters and punctuation. Arrow
+numbers the distinct chunks of many texts, and only chunks that this task has not met go through the library; the ids
+of the chunks are laid end to end. What a task remembers is bounded in bytes, and dropped when it is done.
+
+The cuts hold for the two designs of vocabulary that ``_design`` knows (byte-level with the space before a word; words
+with an end mark); with any other tokenizer whole texts go to the library. So do texts that hold the name of a special
+token, which the library takes for that token's id.
 """
 
 from __future__ import annotations
 
-import ctypes
+import json
 import re
 from functools import cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from tracegrain.llm.shared import _SPACE, fold, ranges, utf8
+
+#: Bytes that a task may remember (an entry's text, its ids, and about 150 bytes for its place in a dictionary).
+REMEMBER = 160 << 20
+#: Texts of about so many bytes are looked at together.
+SLICE = 1 << 22
+
+#: White space beyond ASCII as the library's patterns see it.
+_WIDE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LINE = re.compile(rf" [^\t-\r {_WIDE}]+").fullmatch
+#: Letters that stay letters, one for one, when a tokenizer composes and lower-cases them (capital dotted I doesn't).
+_LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+").fullmatch
+
+_LETTER, _PUNCT = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_PUNCT[33:127] = True
+_PUNCT[48:58] = False
+_PUNCT &= ~_LETTER
+_OPENS = _PUNCT.copy()
+_OPENS[39] = False  # an apostrophe may go with the letters behind it
+
+
+def _design(spec: dict) -> str:
+    """How this tokenizer (its file's content) cuts texts: "spaced", "ended" or "unknown"."""
+    kind = lambda x: (x or {}).get("type")
+    norm, pre, model = spec.get("normalizer"), spec.get("pre_tokenizer"), spec["model"]
+    names = [t["content"] for t in spec.get("added_tokens", [])]
+    if kind(model) != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or not all(n.isascii() and n == n.lower() for n in names):
+        return "unknown"
+    if norm is None and kind(pre) == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"] and not model.get("end_of_word_suffix"):
+        return "spaced"
+    if kind(norm) == kind(pre) == "Sequence" and [kind(x) for x in norm["normalizers"]] == ["NFC", "Replace", "Lowercase"] and model.get("end_of_word_suffix"):
+        split, *rest = pre["pretokenizers"]
+        plain = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        if kind(split) == "Split" and split["pattern"] == {"Regex": plain} and split["behavior"] == "Removed" and split["invert"] and [kind(x) for x in rest] == ["ByteLevel"]:
+            return "ended"
+    return "unknown"
+
 
-#: White space as the library's patterns see it.
-_WS = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-#: Any text: a run of white space with what follows it. A token takes white space only before its other characters.
-_CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+").findall
-#: What str.split() takes for white space and the library doesn't.
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
-#: Chunks that a worker remembers (about 150 bytes each); beyond it the half that was used most often stays.
-REMEMBER = 600_000
-BETWEEN_TASKS = 150_000
+@cache
+def _load(path: str):
+    """The tokenizer, its model alone, its design, the names of its special tokens, and the ids that are a word's edge."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tok = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    design, vocab, suffix = _design(spec), tok.get_vocab(with_added_tokens=False), spec["model"].get("end_of_word_suffix")
+    # An edge begins a word ("spaced": a space comes first) or ends one ("ended").
+    edge = np.zeros(max(vocab.values(), default=0) + 1, bool)
+    edge[[i for t, i in vocab.items() if (t.startswith("Ġ") if design == "spaced" else suffix and t.endswith(suffix))]] = True
+    # Words of ASCII letters are pre-tokens as they stand: the model needs no patterns for them.
+    bare = Tokenizer(tok.model)
+    bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    if design != "unknown":
+        tok.model._resize_cache(0)  # a chunk comes once
+    return tok, bare, design, [t["content"] for t in spec.get("added_tokens", [])], edge
 
 
 class Chunks:
-    """ids(texts) gives the ids of all texts, one after the other, and the number of each text's ids.
-
-    A key is a word with a space before it, as it stands; a word that begins a line (one line feed before it) or a text
-    (two); or any chunk (three)."""
-
-    def __init__(self, path: str, spaced: bool):
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.spaced = spaced
-        join = "\n\x01" if spaced else " \x01 "
-        alone = self.tok.encode(join, add_special_tokens=False).ids
-        self.mark = (join, alone[-1], len(alone) - 1)
-        # The mark is read as it is alone only if white space and characters alternate.
-        self.safe = re.compile(rf"[{_WS}][^{_WS}\x01]+" if spaced else rf"[^{_WS}\x01]+").fullmatch
-        self.stops = {x: self.tok.encode(x, add_special_tokens=False).ids[0] for x in ",."}
-        self.forget()
+    """``ids`` tokenises; one object serves one task."""
 
-    def rest(self) -> None:
-        """At the end of a task: keep little, so that a worker that waits leaves its memory to others."""
-        self.shrink(BETWEEN_TASKS)
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except OSError:  # another C library
-            pass
-
-    def keys(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        if not any(c in text for c in _SEPARATORS):
-            if not self.spaced:
-                return (text.lower() if text.isascii() else text).split()
-            out = text.split()
-            if out and sum(map(len, out)) + len(out) - 1 == len(text) and text.count(" ") + text.count("\n") == len(out) - 1:
-                # Single spaces and line feeds only.
-                at = 0
-                for line in text.split("\n")[:-1]:
-                    at += line.count(" ") + 1
-                    out[at] = "\n" + out[at]
-                out[0] = "\n\n" + out[0]
-                return out
-        return ["\n\n\n" + x for x in _CHUNK(text)]
-
-    def text_of(self, key: str) -> str:
-        if key[0] != "\n":
-            return " " + key if self.spaced else key
-        return key[3:] if key.startswith("\n\n\n") else key[2:] if key[1] == "\n" else key
+    def __init__(self, path: str):
+        self.tok, self.bare, self.design, self.names, self.edge = _load(path)
+        self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.hits = np.zeros(0, np.int64)
-
-    def shrink(self, most: int = REMEMBER // 2) -> None:
-        """Keep at most so many chunks, those used most often."""
-        hits = np.concatenate([self.hits, np.zeros(len(self.known) - len(self.hits), np.int64)])
-        least = np.partition(hits, -most)[-most] if len(hits) > most else 0
-        stay = np.flatnonzero(hits > least)
-        names = list(self.known)
-        sizes = self.size[stay].astype(np.int64)
-        flat = self.flat[np.repeat(self.first[stay] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
-        self.forget()
-        self._add([names[i] for i in stay.tolist()], flat, sizes)
-        self.hits = hits[stay] // 2
-
-    def learn(self, keys: list[str]) -> None:
-        # ASCII letters and a comma or full stop behind them never share a token: such a word is its letters' ids and one more.
-        # Of other letters, lower-casing may leave a mark behind (capital dotted I), which goes with the stop.
-        ended = [x for x in keys if x[-1] in ",." and x[:-1].isalpha() and x.isascii()]
-        if ended:
-            keys = list(set(keys).difference(ended) | {x[:-1] for x in ended if x[:-1] not in self.known})
-        for i in range(0, len(keys), 20_000):
-            some = keys[i : i + 20_000]
-            self._add(some, *self.encode([self.text_of(x) for x in some]))
-        if ended:
-            base = np.array([self.known[x[:-1]] for x in ended])
-            sizes = self.size[base] + 1
-            at = np.cumsum(sizes) - sizes
-            ids = np.zeros(int(sizes.sum()), np.uint32)
-            ids[at + sizes - 1] = [self.stops[x[-1]] for x in ended]
-            inner = np.repeat(at - np.cumsum(sizes - 1) + (sizes - 1), sizes - 1) + np.arange(int((sizes - 1).sum()))
-            first = self.first[base]
-            ids[inner] = self.flat[np.repeat(first - np.cumsum(sizes - 1) + (sizes - 1), sizes - 1) + np.arange(int((sizes - 1).sum()))]
-            self._add(ended, ids, sizes)
+        self.held = 0
 
     def _add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, k = len(ids), len(self.known)
@@ -122,58 +103,110 @@ class Chunks:
         self.size[k : k + len(keys)] = sizes
         self.known.update(zip(keys, range(k, k + len(keys)), strict=True))
         self.used += n
+        self.held += 4 * n + sum(map(len, keys)) + 150 * len(keys)
+
+    def _library(self, tok, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.array(list(map(len, got)), np.int64)
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
+
+    def _together(self, tok, words: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Words that go to the library a thousand to a string and are told apart by their edges."""
+        flat, _ = self._library(tok, [lead + (" " + lead.strip()).join(words[i : i + 1000]) for i in range(0, len(words), 1000)])
+        at = np.flatnonzero(self.edge[flat])
+        bounds = np.append(at, len(flat)) if self.design == "spaced" else np.concatenate([[0], at + 1])
+        if len(bounds) != len(words) + 1:
+            raise ValueError("this vocabulary doesn't mark the edges of words")
+        return flat, np.diff(bounds)
 
-    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the chunks, one after the other, and each chunk's number of ids.
-
-        Chunks go to the library together, each followed by a mark, a control character between spaces that is always one
-        id of its own; a chunk that holds a mark goes alone."""
-        join, mark, skip = self.mark
-        plain = [x for x in chunks if self.safe(x)]
-        rest = [x for x in chunks if not self.safe(x)]
-        texts = [join.join(plain[i : i + 256]) + join for i in range(0, len(plain), 256)]
-        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = np.fromiter((x for y in got for x in y), np.uint32, sum(map(len, got)))
-        at = np.flatnonzero(flat == mark)
-        # A mark's own ids: it, and those before it that belong to the space it stands on.
-        sizes = np.diff(np.concatenate([[-1], at])) - 1 - skip
-        keep = np.ones(len(flat), bool)
-        for i in range(skip + 1):
-            keep[at - i] = False
-        flat = flat[keep]
-        if not rest:
-            return flat, sizes.astype(np.int32)
-        alone = [e.ids for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
-        begin = np.concatenate([[0], np.cumsum(sizes)])
-        by = {x: flat[begin[i] : begin[i + 1]] for i, x in enumerate(plain)} | dict(zip(rest, alone, strict=True))
-        return np.concatenate([np.asarray(by[x], np.uint32) for x in chunks]), np.array([len(by[x]) for x in chunks], np.int32)
-
-    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        chunks = [self.keys(x) for x in texts]
-        flat = [x for y in chunks for x in y]
-        index = list(map(self.known.get, flat))
-        new = {x for x, i in zip(flat, index, strict=True) if i is None} if None in index else ()
+    def learn(self, keys: list[str]) -> None:
+        """Ask the library for these chunks."""
+        spaced = self.design == "spaced"
+        plain, line, rest = [], [], []
+        for x in keys:
+            if x.isascii() and (x[0] == " " and x[1:].isalpha() if spaced else x.isalpha()):
+                plain.append(x)
+            elif (_LINE if spaced else _LATIN)(x):
+                line.append(x)
+            else:
+                rest.append(x)
+        cut = lambda some: [x[1:] for x in some] if spaced else some
+        for some, tok, lead in ((plain, self.bare, "Ġ"), (line, self.tok, " ")):
+            if some:
+                self._add(some, *self._together(tok, cut(some), lead * spaced))
+        if rest:
+            self._add(rest, *self._library(self.tok, rest))
+
+    def _cut(self, raw: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The chunks of texts laid end to end, and how many lie before each of the offsets ``at``."""
+        space, letter = _SPACE[raw], _LETTER[raw]
+        cut = np.zeros(len(raw) + 1, bool)
+        inner = cut[1:-1]
+        inner |= space[1:] & ~space[:-1]
+        # No cut behind white space beyond ASCII.
+        wide = np.flatnonzero(inner & (raw[:-1] >= 128)) + 1
+        two, one = raw[np.maximum(wide - 2, 0)], raw[wide - 1]
+        cut[wide[((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) | (two == 0x9A) | (two == 0x80) | (two == 0x81)]] = False
+        # Letters and punctuation; of the letters beyond ASCII those of U+00C0 to U+00FF, but for two signs.
+        inner |= (letter[:-1] & _PUNCT[raw[1:]]) | (_OPENS[raw[:-1]] & letter[1:])
+        wide = np.flatnonzero((raw[:-1] >= 128) & _PUNCT[raw[1:]]) + 1
+        two, one = raw[np.maximum(wide - 2, 0)], raw[wide - 1]
+        cut[wide[(two == 0xC3) & (one != 0x97) & (one != 0xB7)]] = True
+        if self.design == "spaced":
+            # A single line feed is a pre-token of its own, if what stands before it shows that it is single.
+            line = np.flatnonzero((raw[:-1] == 10) & letter[1:]) + 1
+            before = raw[np.maximum(line - 2, 0)]
+            cut[line[(line >= 2) & (before < 128) & ~_SPACE[before]]] = True
+            cut[at] = True
+            stops = np.flatnonzero(cut)
+            before = np.searchsorted(stops, at)
+        else:
+            cut[at] = True
+            inner |= space[:-1] & ~space[1:]
+            cut[:-1] &= ~space
+            # Without white space, and without capitals where all is ASCII.
+            starts = np.flatnonzero(cut[:-1])
+            place = np.cumsum(~space) - 1
+            before = np.searchsorted(starts, at)
+            raw = raw[~space]
+            stops = np.append(place[starts], len(raw))
+            high = np.concatenate([[0], np.cumsum(raw >= 128, dtype=np.int64)])[stops]
+            raw = np.where(np.repeat(high[1:] == high[:-1], np.diff(stops)), fold(raw), raw)
+        n = len(stops) - 1
+        return pa.LargeStringArray.from_buffers(n, pa.py_buffer(stops.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))), before
+
+    def _known_ids(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        raw, at = utf8(texts)
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
+        chunks, before = self._cut(raw, at)
+        coded = chunks.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self.held > REMEMBER:
+            self.forget()
+        new = [x for x in names if x not in self.known]
         if new:
-            if len(self.known) + len(new) > REMEMBER and self.known:
-                self.shrink()
-                new = {x for x in flat if x not in self.known}
-            self.learn(list(new))
-            index = list(map(self.known.__getitem__, flat))
-        index = np.array(index, np.int64)
-        more = np.bincount(index, minlength=len(self.known))
-        more[: len(self.hits)] += self.hits
-        self.hits = more
+            self.learn(new)
+        index = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
         sizes = self.size[index].astype(np.int64)
-        before = np.cumsum(sizes) - sizes
-        out = self.flat[np.repeat(self.first[index] - before, sizes) + np.arange(int(sizes.sum()))]
-        of = np.concatenate([[0], np.cumsum([len(y) for y in chunks])]).astype(np.int64)
-        return out, np.diff(np.concatenate([[0], np.cumsum(sizes)])[of])
-
-
-@cache
-def chunks(path: str, spaced: bool) -> Chunks:
-    """One for each worker; ``spaced`` for byte-level vocabularies, where a token holds the space before it."""
-    return Chunks(path, spaced)
+        of = np.concatenate([[0], np.cumsum(sizes)])[before]
+        return self.flat[ranges(self.first[index], sizes)], np.diff(of)
+
+    def ids(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of an Arrow array of texts, one text after the other, and the number of each text's ids; null counts as empty."""
+        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        if self.design == "unknown":
+            return self._library(self.tok, [x or "" for x in texts.to_pylist()])
+        named = np.zeros(len(texts), bool)
+        for x in self.names:
+            named |= pc.match_substring(texts, x, ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)
+        if not named.any():
+            return self._known_ids(texts)
+        flat, sizes = self._known_ids(pc.if_else(pa.array(named), None, texts))
+        more, n = self._library(self.tok, texts.filter(pa.array(named)).to_pylist())
+        place = np.cumsum(sizes)[named]
+        sizes[named] = n
+        return np.insert(flat, np.repeat(place, n), more), sizes
 
 
 def with_end(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,3 +217,15 @@ def with_end(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray,
     mask[ends] = False
     out[mask] = ids
     return out, sizes + 1
+
+
+def id_bytes(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The ids of each text as bytes: two for each id if that is enough for all of these, else four."""
+    wide = 2 if ids.max(initial=0) < 1 << 16 else 4
+    raw = ids.astype(f"<u{wide}").view(np.uint8)
+    at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]) * wide
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def from_bytes(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")

@@ -9,13 +9,16 @@ allowed in a chunk), 104 keys in all, and no pair within the distance is lost.
 Documents with equal sets are one class from the start. A key's documents are not paired with one another: each is paired
 with the key's hub first, the document that shares the most keys with others, and the best such pair of each document is
 confirmed; a second round does the same with hubs of other components. Only where a key then still has documents of different
-components, pairs across components are compared by a longer signature (in blocks, inside the task, each pair under its
-first common key only) and confirmed. So a group of n near copies costs about n confirmations. Components come from large-star/small-star
+components, pairs across components are compared by a longer signature (each pair under its first common key only) and
+confirmed; a key with more than ``BLOCK`` members is dealt out in blocks, each two of which meet in a task of their own. So a group of n near copies costs about n confirmations. Components come from large-star/small-star
 rounds on the linked pairs; nothing of that passes the driver but a few counts.
 
 Null or empty texts, and texts without words, have an empty set: they link with nothing and are kept. Texts with fewer
-words than a shingle are one shingle. Rows that repeat are copies; ids ought to be unique (rows that share one share its
-verdict); null ids are left out; an empty table gives an empty result; other columns are not looked at.
+words than a shingle are one shingle; very long texts are signed and compared whole. A row is known by doc_id and text
+(``doc`` and ``tie``): rows that repeat are copies of each other, rows that share an id and differ in text are documents of their
+own, and so are rows without an id, which come after all others. A component's first row is the one with the smallest doc_id
+(ties: the smallest ``tie``); component_id is null where no row of it has an id. An empty table gives an empty
+result; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -74,7 +77,7 @@ def _sign_more(batches):
             full = np.flatnonzero(np.diff(off))
             for k, least in _least(h, off, full, range(HASHES, HASHES + MORE)):
                 more[full, k - HASHES] = (least & U(0xFF)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in more], pa.binary())], names=["id", "more"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in more], pa.binary())], names=["id", "more"])
 
 
 def _sign(batches):
@@ -94,7 +97,7 @@ def _sign(batches):
                 print_ = xxhash.xxh3_128_intdigest(own.tobytes())
                 one[i], two[i] = (print_ >> 64) - 2**63, (print_ & (2**64 - 1)) - 2**63
                 sigs[i] = sig[i].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tie"), pa.array(n), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sigs, pa.binary())], names=["doc", "tie", "n_shingles", "set_a", "set_b", "sig"])
 
 
 def _bytes(column, width: int) -> np.ndarray:
@@ -155,11 +158,11 @@ def best_hubs(members: DataFrame, tried: DataFrame | None = None) -> DataFrame:
     """(a, b): for each class the hub of another label that it shares the most keys with, of those not tried.
 
     A key's hub is its most connected member; counts and maxima only, so no key's members come together."""
-    hub = members.groupBy("key").agg(F.max(F.struct("links", (-F.col("id")).alias("hub"), "label")).alias("h")).select("key", (-F.col("h.hub")).alias("hub"), F.col("h.label").alias("hub_label"))
+    hub = members.groupBy("key").agg(F.max(F.struct("links", F.col("id").alias("hub"), "label")).alias("h")).select("key", "h.hub", F.col("h.label").alias("hub_label"))
     pairs = members.join(hub, "key").where("label <> hub_label").groupBy("id", "hub").agg(F.count("*").alias("n")).select(F.col("id").alias("a"), F.col("hub").alias("b"), "n")
     if tried is not None:
         pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    return pairs.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b")))["b"].alias("b")).select("a", (-F.col("b")).alias("b"))
+    return pairs.groupBy("a").agg(F.max(F.struct("n", "b"))["b"].alias("b"))
 
 
 def _confirm(percent: int):
@@ -187,13 +190,30 @@ def _confirm(percent: int):
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
+#: Members of a key that are compared in one task; a larger key's are dealt into blocks, and each two blocks are a group.
+BLOCK = 4096
+
+
+def in_blocks(members: DataFrame, block: int) -> DataFrame:
+    """Adds part, lo and hi: the members of parts lo and hi of a key make a group. ``members`` has its key's number of them as ``count``."""
+    parts = F.ceil(F.col("count") / block)
+    own = members.withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return own.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).drop("other", "count")
+
+
+def _differs(table) -> np.ndarray:
+    """Where a row's group is another one than the row's before it."""
+    cols = [table.column(c).to_numpy() for c in ("key", "lo", "hi")]
+    return np.any([x[1:] != x[:-1] for x in cols], axis=0)
+
+
 def _across(percent: int):
-    """Pairs of a key's members, in different components, whose signatures are near enough."""
+    """Pairs of a group's members, in different components, whose signatures are near enough."""
 
     def near(key, ids, sig, more, p, q):
         """Of the index pairs those that are near enough and have this as their first common key."""
@@ -213,14 +233,17 @@ def _across(percent: int):
             own[some] = _key(sig[p[some]], int(i)) == key
         return p[own], q[own]
 
-    def group(key, ids, label, n, sig, more, block=256):
+    def group(key, ids, label, part, n, sig, more, block=256):
         order = np.argsort(label, kind="stable")
-        ids, label, n, sig, more = ids[order], label[order], n[order], sig[order], more[order]
+        ids, label, part, n, sig, more = (x[order] for x in (ids, label, part, n, sig, more))
+        whole = part.min() == part.max()
         for i in range(0, len(ids), block):
             mine = slice(i, i + block)
             for j in range(i, len(ids), 4096):
                 rest = slice(j, j + 4096)
                 fits = (label[mine, None] != label[None, rest]) & (100 * n[mine, None] >= percent * n[None, rest]) & (100 * n[None, rest] >= percent * n[mine, None])
+                if not whole:
+                    fits &= part[mine, None] != part[None, rest]
                 if j < i + block:
                     fits &= np.arange(i, min(i + block, len(ids)))[:, None] < np.arange(j, min(j + 4096, len(ids)))[None, :]
                 x, y = np.nonzero(fits)
@@ -233,11 +256,10 @@ def _across(percent: int):
         held = None
 
         def emit(table):
-            key = table.column("key").to_numpy()
-            ids, label, n = (table.column(c).to_numpy() for c in ("id", "label", "n"))
+            key, ids, label, part, n = (table.column(c).to_numpy() for c in ("key", "id", "label", "part", "n"))
             sig, more = _bytes(table.column("sig"), 2 * HASHES).view("<u2"), _bytes(table.column("more"), MORE)
-            edges = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
-            out = [p for a, b in zip(edges[:-1], edges[1:], strict=True) for p in group(key[a : a + 1].view(U)[0], ids[a:b], label[a:b], n[a:b], sig[a:b], more[a:b])]
+            edges = np.append(np.flatnonzero(np.concatenate([[True], _differs(table)])), len(key))
+            out = [p for a, b in zip(edges[:-1], edges[1:], strict=True) for p in group(key[a : a + 1].view(U)[0], ids[a:b], label[a:b], part[a:b], n[a:b], sig[a:b], more[a:b])]
             if out:
                 both = np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[1]), pa.array(both[0])], names=["a", "b"])
@@ -246,8 +268,8 @@ def _across(percent: int):
             table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             if not table.num_rows:
                 continue
-            key = table.column("key").to_numpy()
-            cut = int(np.flatnonzero(key == key[-1])[0])
+            last = np.flatnonzero(_differs(table))
+            cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
                 yield from emit(table.slice(0, cut).combine_chunks())
             held = table.slice(cut)
@@ -291,35 +313,66 @@ def _merged(label: DataFrame | None, links: DataFrame, tag: str) -> DataFrame:
     return materialise(ids.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component")), tag)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each document."""
+def _key_of_rows(docs: DataFrame, *more) -> DataFrame:
+    """Rows with what they are known by: doc (the largest number without a doc_id) and a hash of the text."""
+    return docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("tie"), *more)
+
+
+_LAST = 2**63 - 1
+
+
+def labelled(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """(doc, tie, n_shingles, first: struct<doc, tie>) of each row; ``first`` is its component's first row."""
     if percent < 75:
         raise ValueError("the signature distance is set for a similarity of 0.75 or more")
     spark = docs.sparkSession
     ship_code(spark)
     n = partitions(spark)
-    src = docs.where("doc_id is not null").select("doc_id", "text")
-    signed = materialise(src.mapInArrow(_sign, "doc_id long, n_shingles long, set_a long, set_b long, sig binary"), "signatures")
-    classes = materialise(signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
+    src = _key_of_rows(docs, "text")
+    signed = materialise(src.mapInArrow(_sign, "doc long, tie long, n_shingles long, set_a long, set_b long, sig binary"), "signatures")
+    # A class of equal sets is known by half of its sets' 128-bit fingerprint.
+    classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min(F.struct("doc", "tie")).alias("first"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = materialise(classes.withColumn("id", F.col("set_a")), "classes")
     filed = classes.select("id", "sig").mapInArrow(_file(8 * n), "bucket int, payload binary").repartition(n, "bucket")
     met = materialise(filed.mapInArrow(_meet, _MET), "met")
     links = met.groupBy("id").agg(F.sum("size").alias("links"))
     members = materialise(met.select("key", "id").join(links, "id"), "members")
-    texts = materialise(src.join(links.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "near-texts")
+    near = classes.join(links, "id", "left_semi").select("id", "first.doc", "first.tie")
+    # One text of each class that shares a key.
+    texts = materialise(src.join(near, ["doc", "tie"]).select("id", "text").dropDuplicates(["id"]), "near-texts")
     label, tried = None, None
     for step in range(ROUNDS):
         own = members.withColumn("label", F.col("id")) if label is None else members.join(label, "id", "left").withColumn("label", F.coalesce("component", "id"))
         pairs = materialise(best_hubs(own, tried), "hub-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         label = _merged(label, confirm(pairs, texts, percent), f"components-{step}")
-    labelled = members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-    split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = materialise(labelled.join(split, "key"), "open")
-    more = texts.join(open_.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sign_more, "id long, more binary")
-    rest = open_.join(classes.select("id", "n", "sig").join(more, "id"), "id")
-    pairs = rest.select("key", "id", "label", "n", "sig", "more").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_across(percent), "a long, b long")
-    label = _merged(label, confirm(pairs.join(tried, ["a", "b"], "left_anti"), texts, percent), "components")
-    of_class = classes.select("set_a", "set_b", "id").join(label, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    named = members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    split = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("count")).where("least < most").select("key", "count")
+    open_ = materialise(named.join(split, "key"), "open")
+    more = texts.join(open_.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_sign_more, "id long, more binary")
+    rest = in_blocks(open_, BLOCK).join(classes.select("id", "n", "sig").join(more, "id"), "id")
+    dealt = rest.select("key", "lo", "hi", "id", "label", "part", "n", "sig", "more").repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    pairs = dealt.mapInArrow(_across(percent), "a long, b long").join(tried, ["a", "b"], "left_anti")
+    label = _merged(label, confirm(pairs, texts, percent), "components")
+    firsts = label.join(classes.select("id", "first"), "id").groupBy("component").agg(F.min("first").alias("top"))
+    of_class = classes.join(label, "id", "left").join(firsts, "component", "left").select("set_a", "set_b", F.coalesce("top", "first").alias("first"))
+    out = signed.select("doc", "tie", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")
+    return out.select("doc", "tie", "n_shingles", F.coalesce("first", F.struct("doc", "tie")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row; kept where the row's doc_id is its component's."""
+    own = lambda c: F.when(F.col(c) < _LAST, F.col(c))
+    rows = labelled(docs, percent).select(own("doc").alias("doc_id"), "n_shingles", own("first.doc").alias("component_id"))
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the first of their component, one of those that repeat; rows
+    with an empty set all stay."""
+    found = labelled(docs, percent)
+    stay = found.where((F.col("n_shingles") == 0) | (F.struct("doc", "tie") == F.col("first"))).select("doc", "tie", (F.col("n_shingles") > 0).alias("full")).distinct()
+    rows = _key_of_rows(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).join(stay, ["doc", "tie"])
+    # Rows with an empty set are told apart by a number.
+    rows = rows.withColumn("apart", F.when(F.col("full"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["doc", "tie", "apart"]).select("row.*")

@@ -3,13 +3,15 @@
 A benchmark item is cut into windows of ``size`` words (a shorter item is one window). Each window is a set of word
 shingles; a text that holds the window holds all of them, so one necessary shingle, the rarest over the whole corpus, is
 enough to find candidates. The shingle's place in the window gives the only start the window can have in the document
-(positional bound), the words left there bound its length, and a candidate counts only if all its words are equal.
+(positional bound), the words left there bound its length, and a candidate counts only if all its words are equal, byte for byte.
 
 The items come in blocks of at most ``block_words`` words, and each block's windows are sent to all tasks: what is
 broadcast is bounded, however large the benchmark. Documents are never shuffled; with several blocks, what was found in them is.
 
 Null texts have no words; items without words have no windows; repeated item rows count once, and equal item_ids are one
-item, whatever their texts; each row of the documents has a row of its own in the result, also where rows repeat, share an id or have none; an empty benchmark leaves all documents clean; other columns are not looked at.
+item, whatever their texts; each row of the documents has a row of its own in the result, also where rows repeat, share an id or
+have none; very long texts are read whole; a window that occurs again counts again; an empty benchmark leaves all documents
+clean, and empty documents give no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -27,26 +29,54 @@ SHINGLE = 3
 BLOCK_WORDS = 1_000_000
 
 
-def _hashed(texts) -> tuple[np.ndarray, np.ndarray]:
-    raw, at = utf8(texts)
-    raw = fold(raw)
-    starts, ends, before = words(raw, at, plain=True)
-    return word_hashes(raw, starts, ends), before
+class Words:
+    """The words of texts laid end to end: hashes, how many lie before each text, and their bytes without what stood between."""
+
+    def __init__(self, texts):
+        raw, at = utf8(texts)
+        raw = fold(raw)
+        starts, ends, self.before = words(raw, at, plain=True)
+        self.hash = word_hashes(raw, starts, ends)
+        self.raw, self.starts, self.size = raw, starts, ends - starts
+
+    def bytes(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.raw[ranges(self.starts, self.size)], np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
 
 
 class Windows:
     """The windows of one block of items: word hashes laid end to end, with first word, size and item of each."""
 
     def __init__(self, items: pd.DataFrame, size: int):
-        self.hash, before = _hashed(pa.array(items["text"], pa.string()))
+        own = Words(pa.array(items["text"], pa.string()))
+        self.hash, before = own.hash, own.before
+        self.raw, self.at = own.bytes()
         n = np.diff(before)
         each = np.where(n == 0, 0, np.maximum(n - size + 1, 1))
         self.first = ranges(before[:-1], each)
-        self.ids, own = np.unique(np.array([str(x) for x in items["item_id"]], object), return_inverse=True)
-        self.item = np.repeat(own.astype(np.int64), each)
+        self.ids, of = np.unique(np.array([str(x) for x in items["item_id"]], object), return_inverse=True)
+        self.item = np.repeat(of.astype(np.int64), each)
         self.size = np.minimum(np.repeat(n, each), size)
         self.wide = sorted({int(min(s, SHINGLE)) for s in self.size})
 
+    def equal(self, docs: Words, start: np.ndarray, wins: np.ndarray) -> np.ndarray:
+        """Which of these windows stand at these words of the documents, by length of each word and by bytes."""
+        out = np.ones(len(start), bool)
+        if not len(start):
+            return out
+        first, size = self.first[wins], self.size[wins]
+        for i in range(int(size.max())):
+            here = i < size
+            a, b = np.minimum(start + i, len(docs.size) - 1), np.minimum(first + i, len(self.hash) - 1)
+            out &= ~here | (docs.size[a] == self.at[b + 1] - self.at[b])
+        raw, at = docs.bytes()
+        some = np.flatnonzero(out)
+        n = self.at[first[some] + size[some]] - self.at[first[some]]
+        for i, j in _groups(n, 1 << 24):
+            k = some[i:j]
+            same = raw[ranges(at[start[k]], n[i:j])] == self.raw[ranges(self.at[first[k]], n[i:j])]
+            out[k] = np.logical_and.reduceat(same, np.cumsum(n[i:j]) - n[i:j])
+        return out
+
     def tokens(self, width: int) -> np.ndarray:
         """All distinct shingles of this width, as a sorted array."""
         return np.unique(shingles(self.hash, width))
@@ -90,7 +120,8 @@ def _count(win: Windows):
         sums = {w: np.zeros(len(t), np.int64) for w, t in tables.items()}
         for whole in batches:
             for batch in slices(whole):
-                h, before = _hashed(batch.column("text"))
+                own = Words(batch.column("text"))
+                h, before = own.hash, own.before
                 doc = np.repeat(np.arange(batch.num_rows), np.diff(before))
                 for w, t in tables.items():
                     g = shingles(h, w)
@@ -111,7 +142,8 @@ def _find(win: Windows):
     def run(batches):
         for whole in batches:
             for batch in slices(whole):
-                h, before = _hashed(batch.column("text"))
+                own = Words(batch.column("text"))
+                h, before = own.hash, own.before
                 n = np.diff(before)
                 doc = np.repeat(np.arange(batch.num_rows), n)
                 found_doc, found_at, found_win = [], [], []
@@ -132,6 +164,8 @@ def _find(win: Windows):
                             here = i < win.size[wn]
                             ok = ~here | (h[np.minimum(start + i, len(h) - 1)] == win.hash[np.minimum(win.first[wn] + i, len(win.hash) - 1)])
                             start, d, wn = start[ok], d[ok], wn[ok]
+                        ok = win.equal(own, start, wn)
+                        start, d, wn = start[ok], d[ok], wn[ok]
                         found_doc.append(d)
                         found_at.append(start)
                         found_win.append(wn)
@@ -177,8 +211,8 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS):
         yield dealt.where(F.col("block") == b).select("item_id", "text").toPandas()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, n_words, spans, items): the word spans of each document that benchmark windows cover, and whose they are."""
+def _found(docs: DataFrame, benchmark: DataFrame, size: int, block_words: int) -> DataFrame:
+    """(doc_id, tie, n_words, spans, items) of each row, known by doc_id and a hash of its text."""
     ship_code(docs.sparkSession)
     src = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
     out, several = None, False
@@ -200,7 +234,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_w
         every = lambda c: F.flatten(F.collect_set(c))
         out = out.groupBy("doc_id", "tie").agg(F.max("n_words").alias("n_words"), every("spans").alias("spans"), F.array_distinct(every("items")).alias("items"), F.sum("row").alias("n"))
         out = out.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
-    return out.select("doc_id", "n_words", "spans", "items")
+    return out.select("doc_id", "tie", "n_words", "spans", "items")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, n_words, spans, items): the word spans of each document that benchmark windows cover, and whose they are."""
+    return _found(docs, benchmark, size, block_words).drop("tie")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no window of the benchmark."""
+    hit = _found(docs, benchmark, size, block_words).where(F.size("spans") > 0).select(F.col("doc_id").alias("hit_id"), F.col("tie").alias("hit_tie")).distinct()
+    # Few of many: Spark sends this table to all tasks if it is small enough, and shuffles otherwise.
+    hit = materialise(hit, "contaminated")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("text").alias("tie"))
+    return rows.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("tie") == F.col("hit_tie")), "left_anti").select("row.*")
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -1,14 +1,18 @@
 """Language identification as inference of a mixture: expectation-maximisation over the words of a document.
 
 Each language has a smoothed model of letter trigrams (hashed to a fixed number of cells, so a model's size is bounded
-whatever the corpus). A word's likelihood under a language is the product over its letters; a document's words come from a mixture
-of languages, whose proportions EM estimates. The set of languages is chosen by penalised likelihood among the nested sets of the
-likeliest ones: each further language has to earn ``penalty`` * ln(words) / 2. Documents whose best single language comes
-within one penalty of the whole mixture need no search, as no smaller set can beat it.
+whatever the corpus: 128 KB a language). A word's likelihood under a language is the product over its letters; a document's words come from a mixture
+of languages, whose proportions EM estimates. EM runs until the likelihood is within ``gap`` of its maximum, which the gradient
+bounds: no mixture exceeds the present one by more than n * ln(largest mean ratio of a language's likelihood to the mixture's).
+The set of languages is chosen by penalised likelihood among the nested sets of the
+likeliest ones, of any size: each further language has to earn ``penalty`` * ln(words) / 2. A document whose best single language (or
+best set so far) is within that of the bound on any mixture needs no further search, as no larger set can beat it.
 
 The models are learned from all given rows with text and label, with counts summed by Spark. Null texts and texts
-without a letter are ``und`` with score 0; repeated rows count as often as they occur; with no labelled row all
-texts are ``und``; equal likelihoods go to the language first in order; an empty table gives no rows; other columns are not looked at.
+without a letter are ``und`` with score 0; very long texts are read whole; repeated rows count as often as they occur, and each row of
+the documents, whether it repeats, shares an id or has none, is judged by its own text; with no labelled row all
+texts are ``und``; equal likelihoods go to the language first in order; an empty table gives no rows; other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -83,17 +87,31 @@ def _by_doc(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def _em(lik: np.ndarray, doc: np.ndarray, n: np.ndarray, share: np.ndarray, rounds: int):
-    """Proportions, and the log-likelihood they give."""
-    for _ in range(rounds):
-        r = share[doc] * lik
-        r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-30)
-        share = _by_doc(r, n) / np.maximum(n, 1)[:, None]
-    seen = np.log(np.maximum((share[doc] * lik).sum(axis=1), 1e-30))
-    return share, _by_doc(seen[:, None], n)[:, 0]
+#: Rounds after which EM gives up on a document whose likelihood still climbs.
+ROUNDS = 1000
 
 
-def mixtures(model: Model, texts: list[str | None], rounds: int, penalty: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _em(lik: np.ndarray, n: np.ndarray, share: np.ndarray, settled):
+    """Proportions of each text's words (``n`` of them, texts one after the other) from these to start with, the
+    log-likelihood they give, and how far the maximum can lie above it; until ``settled(texts, likelihood, slack)`` says so."""
+    share, seen, slack = share.copy(), np.zeros(len(n)), np.zeros(len(n))
+    texts = np.flatnonzero(n)
+    lik = lik if len(texts) else lik[:0]
+    for _ in range(ROUNDS):
+        if not len(texts):
+            break
+        k, own = n[texts], share[texts]
+        mix = np.maximum((np.repeat(own, k, axis=0) * lik).sum(axis=1), 1e-30)
+        ratio = _by_doc(lik / mix[:, None], k) / k[:, None]
+        seen[texts] = _by_doc(np.log(mix)[:, None], k)[:, 0]
+        slack[texts] = k * np.log(np.maximum(np.where(own > 0, ratio, 0).max(axis=1), 1))
+        done = settled(texts, seen[texts], slack[texts])
+        share[texts] = np.where(done[:, None], own, own * ratio)
+        lik, texts = lik[np.repeat(~done, k)], texts[~done]
+    return share, seen, slack
+
+
+def mixtures(model: Model, texts: list[str | None], gap: float, penalty: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Proportions of the chosen languages of each text, and its number of words."""
     cell, starts, n = trigrams(texts)
     k = len(model.langs)
@@ -101,36 +119,38 @@ def mixtures(model: Model, texts: list[str | None], rounds: int, penalty: float,
     if not len(starts) or not k:
         return out, n
     ll = np.add.reduceat(model.logp[cell], starts, axis=0).astype(np.float64)
-    doc = np.repeat(np.arange(len(texts)), n)
     top = ll.max(axis=1, keepdims=True)
     lik = np.exp(np.maximum(ll - top, -60))
     single = _by_doc(np.maximum(ll - top, -60), n)
-    best = single.argmax(axis=1)
+    value = single.max(axis=1)
     cost = penalty * np.log(np.maximum(n, 2)) / 2
-    share, full = _em(lik, doc, n, np.full((len(texts), k), 1 / k), rounds)
-    out[np.arange(len(texts)), best] = n > 0
-    open_ = np.flatnonzero((full - single.max(axis=1) > cost) & (n > 0))
-    if len(open_):
-        keep = np.isin(doc, open_)
-        sub_n, sub_lik = n[open_], lik[keep]
-        sub_doc = np.repeat(np.arange(len(open_)), sub_n)
-        rank = np.argsort(np.argsort(-share[open_], axis=1, kind="stable"), axis=1)
-        value = single[open_].max(axis=1)
-        for size in range(2, min(k, most or k) + 1):
-            mask = rank < size
-            start = np.where(mask, np.maximum(share[open_], 1e-6), 0)
-            pi, seen = _em(sub_lik, sub_doc, sub_n, start / start.sum(axis=1, keepdims=True), rounds)
-            better = seen - (size - 1) * cost[open_] > value
-            out[open_[better]] = pi[better]
-            value = np.where(better, seen - (size - 1) * cost[open_], value)
+    # All languages: until it is clear whether two of them can be worth it.
+    clear = lambda i, seen, slack: (slack <= gap) | (seen + slack - value[i] <= cost[i])
+    share, seen, slack = _em(lik, n, np.full((len(texts), k), 1 / k), clear)
+    bound = seen + slack
+    out[np.arange(len(texts)), single.argmax(axis=1)] = n > 0
+    rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
+    whose = np.repeat(np.arange(len(texts)), n)
+    for size in range(2, min(k, most or k) + 1):
+        open_ = np.flatnonzero((n > 0) & (bound - (size - 1) * cost > value))
+        if not len(open_):
+            break
+        start = np.where(rank[open_] < size, np.maximum(share[open_], 1e-6), 0)
+        is_open = np.zeros(len(texts), bool)
+        is_open[open_] = True
+        pi, seen, _ = _em(lik[is_open[whose]], n[open_], start / start.sum(axis=1, keepdims=True), lambda i, seen, slack: slack <= gap)
+        worth = seen - (size - 1) * cost[open_]
+        better = worth > value[open_]
+        out[open_[better]] = pi[better]
+        value[open_] = np.maximum(value[open_], worth)
     return out, n
 
 
-def _predict(model: Model, rounds: int, penalty: float, most: int | None):
+def _predict(model: Model, gap: float, penalty: float, most: int | None):
     def run(batches):
         for whole in batches:
             for batch in slices(whole):
-                share, n = mixtures(model, batch.column("text").to_pylist(), rounds, penalty, most)
+                share, n = mixtures(model, batch.column("text").to_pylist(), gap, penalty, most)
                 known = (n > 0) & bool(model.langs)
                 best = share.argmax(axis=1) if model.langs else np.zeros(len(n), int)
                 yield pa.RecordBatch.from_arrays(
@@ -146,7 +166,7 @@ def _predict(model: Model, rounds: int, penalty: float, most: int | None):
     return run
 
 
-def identify(docs: DataFrame, model: Model, rounds: int = 8, penalty: float = 4.0, most: int | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model, gap: float = 0.05, penalty: float = 4.0, most: int | None = None) -> DataFrame:
     """(doc_id, lang_pred, score, mixture) of each document; at most ``most`` languages each, as many as were learned if not given."""
     ship_code(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_predict(model, rounds, penalty, most), "doc_id long, lang_pred string, score double, mixture array<struct<lang: string, share: double>>")
+    return docs.select("doc_id", "text").mapInArrow(_predict(model, gap, penalty, most), "doc_id long, lang_pred string, score double, mixture array<struct<lang: string, share: double>>")

@@ -45,6 +45,18 @@ def base_rules(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w)
 
 
+def compression(text, lim):
+    """kept, number of chunks, chunks beyond their limits."""
+    import zstandard
+
+    raw, z = (text or "").encode(), zstandard.ZstdCompressor(level=lim.level, write_checksum=False)
+    ratio = lambda x: len(x) / len(z.compress(x)) if x else 0.0
+    starts = [*range(0, len(raw) - lim.chunk, lim.chunk), len(raw) - lim.chunk] if len(raw) >= lim.chunk else []
+    odd = sum(not lim.chunk_least <= ratio(raw[i : i + lim.chunk]) <= lim.chunk_most for i in starts)
+    least, most = next((lo, hi) for top, lo, hi in lim.bands if len(raw) <= top)
+    return not base_rules(text)[5] and least <= ratio(raw) <= most and odd <= lim.chunk_share * len(starts), len(starts), odd
+
+
 def contamination(docs, items, size=10):
     wins = defaultdict(set)
     for item, text in items:
@@ -103,7 +115,6 @@ def encode(path, text, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [x.ids + [end] for x in t.encode_batch([y or "" for y in text], add_special_tokens=False)]
 
 

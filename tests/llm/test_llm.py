@@ -145,6 +145,40 @@ def test_near(spark, texts):
     assert got == brute.near(texts)
 
 
+def test_near_by_rows(spark):
+    """Rows that repeat, share an id or have none: each is judged by its own text, and one row of each component is first."""
+    rng = random.Random(6)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    a, b, c = say(100), say(100), say(100)
+    near = a + " tail"
+    rows = [(1, a), (1, a), (1, b), (2, near), (3, b), (None, near), (None, c), (None, c), (4, c), (None, say(60)), (None, None), (None, ""), (None, "")]
+    docs = frame(spark, rows)
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(clash(docs)).collect()), key=repr)
+    want = [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (None, 1, False)] + [(None, 4, False)] * 2 + [(4, 4, True)] + [(None, None, True)] * 4
+    assert got == sorted(want, key=repr)
+    kept = sorted(((r.doc_id, r.text, r.extra) for r in near_dup.drop_near_duplicates(docs.withColumn("extra", F.lit(7))).collect()), key=repr)
+    assert kept == sorted([(1, a, 7), (1, b, 7), (4, c, 7), (None, rows[9][1], 7), (None, None, 7), (None, "", 7), (None, "", 7)], key=repr)
+
+
+def test_near_hot_key_in_blocks(spark, monkeypatch, texts):
+    """Many texts with half of their words in common, none near another, and some near copies: same result in blocks of any size."""
+    rng = random.Random(9)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    common = say(120)
+    docs = [(i, common + " " + say(40)) for i in range(120)]
+    docs += [(200 + i, docs[i][1] + " x") for i in range(20)]
+    want = brute.near(docs)
+    monkeypatch.setattr(near_dup, "ROUNDS", 0)
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    members = spark.createDataFrame([(1, i, 40) for i in range(40)], "key long, id long, count long")
+    groups = near_dup.in_blocks(members, 16).groupBy("key", "lo", "hi").agg(F.collect_list("id").alias("ids"), F.collect_set("part").alias("parts")).collect()
+    met = [(x, y) for g in groups for x in g.ids for y in g.ids if x < y]
+    assert len(groups) == 6 and {(x, y) for x, y in met} == {(x, y) for x in range(40) for y in range(x + 1, 40)}
+    monkeypatch.setattr(near_dup, "ROUNDS", 1)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(frame(spark, docs)).collect()}
+    assert got == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(50, 40), (50, 60), (70, 71)]
     got = {r.id: r.component for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -156,10 +190,21 @@ def test_rules(spark, texts):
     for doc, text in texts:
         r = got[doc]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.base_rules(text)
-        assert not (r.kept and r.base_failed)
+        assert (r.kept, r.n_chunks, r.n_odd_chunks) == brute.compression(text, compression_rules.Limits()), doc
     assert got[150].kept and not got[9005].kept
 
 
+def test_tail_of_a_text_is_judged(spark):
+    """A text of prose whose end is noise: the chunk that ends with the text is odd, whatever the length of the rest."""
+    rng = random.Random(2)
+    say = lambda n: " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    one = " ".join(say(900).split(" "))[:4096]
+    docs = [(1, one), (2, one[:4000] + "ab" * 2000), (3, one + one[::-1]), (4, one[:-1])]
+    got = {r.doc_id: r for r in compression_rules.compression_rules(frame(spark, docs), carry=("text",)).collect()}
+    assert [got[i].n_chunks for i in (1, 2, 3, 4)] == [1, 2, 2, 0] and got[2].n_odd_chunks == 1 and not got[2].kept
+    assert all((got[d].kept, got[d].n_chunks, got[d].n_odd_chunks) == brute.compression(t, compression_rules.Limits()) and got[d].carried.text == t for d, t in docs)
+
+
 def test_bands_follow_length(spark):
     rng = random.Random(1)
     prose = " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 9))) for _ in range(900))
@@ -194,22 +239,55 @@ def test_decontamination_repeated_rows(spark):
         assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got), key=repr) == want
 
 
-@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_chunks_equal_whole_texts(name, spaced, texts):
+@pytest.mark.parametrize("name,design", [("byte_bpe_50k.json", "spaced"), ("word_bpe_49k.json", "ended")])
+def test_chunks_equal_whole_texts(name, design, texts):
     odd = ["  ", " a", "a ", "\n\n x  y\n", "It's  ok, isn't it?x\x01y \x01 z", "a\x01", " '\x01s", "<|endoftext|> a", "tab\there\r\nnew line", "x.'s y,'ll a.b,c.", "123 4,567.89 ½ ²", "ΑΣ ΟΔΟΣ. İ", "a\n b", "a \nb", "foo\x1cbar \x1c baz", "x́ , ́."]
+    odd += ["x <|endoftext|> y", "x <|EndOfText|>y<|startoftext|>", "<|endoftext|>", "a<|end|>b", "don't 'll 'lla y'all's 'S", "(one) [two]-three_four ''five''", "a\n\nb\n c\n\n\nd", "\nx\ny", "a\xa0 b\u3000\n c", "h\u0331 H\u0331, e\u0301.", "é,è!×,÷.ÿ;Ā,ſ.", "x" * 70_000 + " y", "word$$$ ***word -- a--b"]
     some = odd + [t for _, t in texts[:40] + texts[-8:]]
-    ids, n = tokenise.Chunks(queries.tokenizer(name), spaced).ids(some)
-    at = np.concatenate([[0], np.cumsum(n)])
-    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x[:-1] for x in brute.encode(queries.tokenizer(name), some, 0)]
-
+    tok = tokenise.Chunks(queries.tokenizer(name))
+    assert tok.design == design
+    for same in range(2):
+        ids, n = tok.ids(pa.array(some, pa.string()))
+        at = np.concatenate([[0], np.cumsum(n)])
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x[:-1] for x in brute.encode(queries.tokenizer(name), some, 0)], same
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_chunks_of_random_texts(name):
+    """Strings of awkward characters, one to sixteen long, against the library; twice with next to nothing remembered."""
+    rng = random.Random(4)
+    marks = [*"aZé' \n\t.,$<|>_09-!\"", "İ", "ſ", "\u0301", "\xa0", "\u2003", "\x1c", "\x85", "日", "—", "×", "'s", "'re", "  ", "the", " of", "Straße", "ΟΔΟΣ", "½", "<|endoftext|>", "\r\n"]
+    some = ["".join(rng.choice(marks) for _ in range(rng.randint(1, 16))) for _ in range(20_000)]
+    want = brute.encode(queries.tokenizer(name), some, 0)
+    tok = tokenise.Chunks(queries.tokenizer(name))
+    for i in range(0, len(some), 5000):
+        ids, n = tok.ids(pa.array(some[i : i + 5000]))
+        at = np.concatenate([[0], np.cumsum(n)])
+        for j in range(len(n)):
+            assert ids[at[j] : at[j + 1]].tolist() == want[i + j][:-1], repr(some[i + j])
+        tok.held = tokenise.REMEMBER + 1
+
+
+def test_other_designs_go_whole(tmp_path):
+    import json
 
-@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_stops_behind_letters_beyond_ascii(name, spaced):
+    path = queries.tokenizer("byte_bpe_50k.json")
+    spec = json.load(open(path, encoding="utf-8"))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    other = str(tmp_path / "other.json")
+    json.dump(spec, open(other, "w", encoding="utf-8"))
+    tok = tokenise.Chunks(other)
+    some = ["a b, c", None, "", " d\n\ne"]
+    ids, n = tok.ids(pa.array(some))
+    assert tok.design == "unknown" and ids.tolist() == [x for y in brute.encode(other, some, 0) for x in y[:-1]] and n.tolist()[1:3] == [0, 0]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_stops_behind_letters_beyond_ascii(name):
     some = ["LİSESİ, LİSESİ. LİSESİ", "İ, İ.", "ﬁ, ŉ. ǰ, ΐ. ΟΔΟΣ, straße. ẞ, École, DŽ, ÅNGSTRÖM. Å,", "Ends, with. plain words, Too."]
-    tok = tokenise.Chunks(queries.tokenizer(name), spaced)
+    tok = tokenise.Chunks(queries.tokenizer(name))
     for text in some:
-        ids, _ = tok.ids([text])
-        assert ids.tolist() == brute.encode(queries.tokenizer(name), [text], 0)[0][:-1], text
+        assert tok.ids(pa.array([text]))[0].tolist() == brute.encode(queries.tokenizer(name), [text], 0)[0][:-1], text
 
 
 def test_codec_round_trip():
@@ -289,6 +367,51 @@ def test_quality(spark):
     assert {r.score for r in quality_gam.score(clash(frame(spark, ODD)), model).collect()} == {0.5}
 
 
+def _mixture_brute(model, text):
+    """The penalised best of the nested language sets, with proportions by many plain EM rounds."""
+    import math
+
+    cell, starts, n = lang_mixture.trigrams([text])
+    words = [model.logp[cell[a:b]].sum(axis=0) for a, b in zip(starts, [*starts[1:], len(cell)], strict=True)]
+    lik = [[math.exp(max(x - max(w), -60)) for x in w] for w in words]
+
+    def em(langs, share):
+        for _ in range(4000):
+            new = dict.fromkeys(langs, 0.0)
+            for w in lik:
+                mix = sum(share[j] * w[j] for j in langs)
+                for j in langs:
+                    new[j] += share[j] * w[j] / mix / len(lik)
+            share = new
+        return share, sum(math.log(sum(share[j] * w[j] for j in langs)) for w in lik)
+
+    k = len(model.langs)
+    everything, _ = em(range(k), dict.fromkeys(range(k), 1 / k))
+    order = sorted(range(k), key=lambda j: -everything[j])
+    cost = 4.0 * math.log(len(lik)) / 2
+    best = max(range(k), key=lambda j: sum(math.log(w[j]) for w in lik))
+    out, value = {best: 1.0}, sum(math.log(w[best]) for w in lik)
+    for size in range(2, k + 1):
+        some = order[:size]
+        share, seen = em(some, {j: max(everything[j], 1e-6) for j in some})
+        if seen - (size - 1) * cost > value:
+            out, value = share, seen - (size - 1) * cost
+    return out
+
+
+def test_mixtures_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = lang_mixture.fit(docs)
+    by = {lang: " ".join(r.text for r in docs.where("lang = '" + lang + "'").limit(4).collect()).split() for lang in model.langs}
+    a, b, c = (by[x] for x in model.langs[:3])
+    some = [" ".join(a[:60]), " ".join(a[:30] + b[:30]), " ".join(a[:50] + b[:8]), " ".join(a[:20] + b[:20] + c[:20]), " ".join(b[:3]), "zq xv " * 10, " ".join(x[: len(x) // 2 + 1] for x in a[:40] + b[:10])]
+    share, n = lang_mixture.mixtures(model, some, *lang_mixture.identify.__defaults__)
+    for got, text in zip(share, some, strict=True):
+        want = _mixture_brute(model, text)
+        assert set(np.flatnonzero(got > 1e-4).tolist()) == {j for j, x in want.items() if x > 1e-4}, text
+        assert all(abs(got[j] - x) < 0.02 for j, x in want.items())
+
+
 def test_pairs_add_what_single_features_miss():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
@@ -319,6 +442,24 @@ def test_rules_of_urls(spark, url, host, path, rule, verdict):
     assert tuple(t.select("host", "path", r, v).first()) == (host, path, rule, verdict)
 
 
+def test_trees_on_held_out_hosts(spark):
+    """Verdicts on labelled pages whose hosts the trees have not seen."""
+    rows = url_trees.prepare(spark.read.parquet(f"{SF.replace('0.001', '0.1')}/pages.parquet"), queries.URL_RULES)
+    hidden = (F.xxhash64("host") % 7 == 0) & F.col("label").isNotNull()
+    seen = rows.withColumns({"label": F.when(~hidden, F.col("label")), "fold": F.when(~hidden, F.col("fold")).otherwise(-1).cast("long")})
+    got = url_trees.fit(seen)(seen.join(rows.where(hidden).select("page_id", F.col("label").alias("truth")), "page_id"))
+    n, hit = got.count(), got.where((F.col("chance") > 0.5) == (F.col("truth") == 1)).count()
+    base = max(got.where("truth = 1").count(), got.where("truth = 0").count())
+    print("held out", n, hit, base)
+    assert n and hit >= base
+
+
+def test_rates_leave_out_the_own_fold(spark):
+    rows = spark.createDataFrame([("a", 0, 1.0), ("a", 0, 1.0), ("a", 1, 0.0), ("b", 2, 1.0), ("c", -1, None)], "suffix string, fold long, label double")
+    got = {(r.suffix, r.fold): r.rate for r in url_trees._rates(rows, "suffix", "rate", 0.5, 1.0).collect()}
+    assert got == {("a", 0): 0.25, ("a", 1): 2.5 / 3, ("a", -1): 2.5 / 4, ("b", 2): 0.5, ("b", -1): 0.75}
+
+
 def test_trees(spark):
     got = queries.op6_url_trees(spark, SF)
     assert got.where("verdict not in ('allow', 'block') or verdict is null").count() == 0

@@ -11,6 +11,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U = np.uint64
 _ROOT = str(Path(__file__).resolve().parents[2])
@@ -22,19 +24,43 @@ def _own_scratch() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_scratch()
+    """The folder in spark.checkpoint.dir. Only a local session may leave it unset, as tests do: its workers see a temporary
+    folder of this machine; those of a cluster don't."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return path or _own_scratch()
+
+
+#: Tables written by this driver, in order.
+_made: list[str] = []
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts the lineage
-    for good: a lost executor costs no more than the tasks that read the table."""
+    for good: a lost executor costs no more than the tasks that read the table.
+
+    Such tables stay, as checkpoints do, for what reads them later; ``discard`` deletes those of a job that is done."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many tables have been written so far."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, since: int) -> None:
+    """Delete the tables written from number ``since`` on, but for the last."""
+    for name in _made[since:-1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _made[since:-1]
+
+
 def ship_code(spark: SparkSession) -> None:
     """Let the Python workers of a local session import this package wherever they were started."""
     env = spark.sparkContext.environment
@@ -46,6 +72,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def carried(docs: DataFrame, carry: tuple[str, ...], out: str, *more) -> tuple[DataFrame, StructType]:
+    """doc_id and text (and ``more``) with a struct ``carried`` of other columns, and the schema ``out`` with that struct behind it.
+
+    What a row's verdict decides can then be done to that row, without a join on ids that may repeat or be missing."""
+    schema = StructType.fromDDL(out)
+    if not carry:
+        return docs.select("doc_id", "text", *more), schema
+    rows = docs.select("doc_id", "text", *more, F.struct(*carry).alias("carried"))
+    return rows, schema.add(rows.schema["carried"])
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective), in place on a copy."""
     h = h ^ (h >> U(30))

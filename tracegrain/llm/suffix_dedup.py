@@ -18,7 +18,11 @@ document id, or earlier in the same document). Equal strings have to meet in one
    are dealt out by run, not by minimizer, from the start.
 4. The removed spans of a document are merged and its remaining bytes put together.
 
-Nulls count as empty texts; texts below ``window`` bytes have no window and stay whole. A row is known by doc_id and
+What collapses by fingerprint (copies of whole runs, and windows of the hottest minimizers) never comes to a transform: that is the
+aggregation before the shuffle, without which a passage's copies would all meet in one block.
+
+Nulls count as empty texts; texts below ``window`` bytes have no window and stay whole; very long texts are read whole, in overlapping
+pieces. Of equal strings the earliest stays: smallest doc_id, then smallest ``tie``, then earliest start. A row is known by doc_id and
 text (``doc`` and ``tie``, a hash of its text): rows that share an id or have none are documents of their own, in the order of
 ``tie``, those without an id after all others; rows that repeat id and text are one document and lose nothing to each other,
 whatever is removed is removed from each of them. An empty table gives an empty result; other columns, whatever
@@ -44,7 +48,9 @@ _SEP = 0xFF  # never occurs in UTF-8
 
 
 class Transform:
-    """Suffix order of a block (to the depth that matters), its Burrows-Wheeler transform and its common prefixes.
+    """Suffix order of a block, its Burrows-Wheeler transform and its common prefixes.
+
+    The order is that of longer prefixes than ``depth`` (the next doubling beyond it), so it doesn't say itself which neighbours agree in ``depth`` bytes.
 
     ``expand`` derives which neighbours in suffix order share fewer than ``depth`` bytes: it starts with the intervals
     of all strings of eight bytes and extends them to the left, one byte a round, breadth first. The interval of cw is
@@ -67,11 +73,10 @@ class Transform:
         self.seed = rank = np.unique(packed, return_inverse=True)[1].astype(np.int64)
         known = self.SEED
         while known < depth:
-            step = min(known, depth - known)
             after = np.full(n, -1, np.int64)
-            after[: max(n - step, 0)] = rank[step:]
+            after[: max(n - known, 0)] = rank[known:]
             rank = np.unique(rank * (n + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
-            known += step
+            known *= 2
         self.order = np.argsort(rank, kind="stable")
         self.bwt = text[self.order - 1]
         self.bwt[self.order == 0] = _SEP

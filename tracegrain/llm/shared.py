@@ -62,7 +62,13 @@ def discard(spark: SparkSession, since: int) -> None:
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Let the Python workers of a local session import this package wherever they were started."""
+    """Get a session ready for this package's tasks.
+
+    Whole texts go to Python in batches, in buffers on both sides: unless the session says otherwise, a batch has a
+    thousand rows, not ten thousand. The Python workers of a session on this machine can import the package wherever they were started."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":
+        spark.conf.set(batch, "1000")
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)

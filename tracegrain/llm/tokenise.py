@@ -23,9 +23,9 @@ import pyarrow.compute as pc
 from tracegrain.llm.shared import _SPACE, fold, ranges, utf8
 
 #: Bytes that a task may remember (an entry's text, its ids, and about 150 bytes for its place in a dictionary).
-REMEMBER = 160 << 20
+REMEMBER = 96 << 20
 #: Texts of about so many bytes are looked at together.
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 #: White space beyond ASCII as the library's patterns see it.
 _WIDE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from functools import cache
 from pathlib import Path
 
@@ -14,53 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tracegrain.sources.scratch import discard, made, materialise  # noqa: F401  for this subpackage's modules
+
 U = np.uint64
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
-@cache
-def _own_scratch() -> str:
-    return tempfile.mkdtemp(prefix="spark-scratch-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a local session may leave it unset, as tests do: its workers see a temporary
-    folder of this machine; those of a cluster don't."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return path or _own_scratch()
-
-
-#: Tables written by this driver, in order.
-_made: list[str] = []
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts the lineage
-    for good: a lost executor costs no more than the tasks that read the table.
-
-    Such tables stay, as checkpoints do, for what reads them later; ``discard`` deletes those of a job that is done."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def made() -> int:
-    """How many tables have been written so far."""
-    return len(_made)
-
-
-def discard(spark: SparkSession, since: int) -> None:
-    """Delete the tables written from number ``since`` on, but for the last."""
-    for name in _made[since:-1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    del _made[since:-1]
-
-
 def ship_code(spark: SparkSession) -> None:
     """Get a session ready for this package's tasks.
 

@@ -16,31 +16,41 @@ from tracegrain.sources.fixtures import table
 
 
 def programs(spark, sf):
-    """(p_partkey, source, test): every seventh test is wrong, every eleventh program does not parse."""
-    a, s = 2 + F.col("p_partkey") % 5, F.col("p_size")
+    """(p_partkey, source, test): straight programs and, every second, one with a loop; every seventh test is wrong, every eleventh program does not parse."""
+    key, a, s = F.col("p_partkey"), 2 + F.col("p_partkey") % 5, F.col("p_size")
     t = lambda x: x.cast("string")
-    source = F.concat(F.lit("def f(x):\n    y = x * "), t(a), F.lit("\n    z = 1 + 1\n    return y + 7\n"))
-    source = F.when(F.col("p_partkey") % 11 == 0, "def f(x:\n").otherwise(source)
-    test = F.concat(F.lit("assert f("), t(s), F.lit(") == "), t(s * a + 7 + F.when(F.col("p_partkey") % 7 == 0, 1).otherwise(0)))
+    straight = F.concat(F.lit("def f(x):\n    y = x * "), t(a), F.lit("\n    z = 1 + 1\n    return y + 7\n"))
+    loop = F.concat(F.lit("Here it is:\n```python\ndef f(n):\n    s = 0\n    for i in [1, 2, 3]:\n        s += n * i\n    r = s - "), t(a), F.lit("\n    return r\n```\n"))
+    source = F.when(key % 11 == 0, "def f(x):\n    return (x").when(key % 2 == 1, loop).otherwise(straight)
+    right = F.when(key % 2 == 1, 6 * s - a).otherwise(s * a + 7)
+    test = F.concat(F.lit("assert f("), t(s), F.lit(") == "), t(right + F.when(key % 7 == 0, 1).otherwise(0)))
     return table(spark, sf, "part").select("p_partkey", source.alias("source"), test.alias("test"))
 
 
+def built(spark, sf):
+    """Programs with what was built from them as JSON; without an item it holds the parse flag only."""
+    t = programs(spark, sf).select("p_partkey", build_json("source", "test").alias("j"))
+    return t.select("p_partkey", "j", F.get_json_object("j", "$.length").isNotNull().alias("has_item"))
+
+
 _OK = "p_partkey % 7 <> 0 AND p_partkey % 11 <> 0"
-_A = "(2 + p_partkey % 5)"
+_A, _ODD = "(2 + p_partkey % 5)", "p_partkey % 2 = 1"
 
 
-@query(f"SELECT p_partkey, p_size * {_A} + 7 AS den_clean, (p_size + 3) * {_A} + 7 AS den_treat, {_A} * {_A} + 7 AS den_copyable, 'x' AS edited, 3::BIGINT AS length FROM part WHERE {_OK}")
+@query(
+    f"""SELECT p_partkey, CASE WHEN {_ODD} THEN 6 * p_size - {_A} ELSE p_size * {_A} + 7 END::BIGINT AS den_clean, CASE WHEN {_ODD} THEN 6 * (p_size + 3) - {_A} ELSE (p_size + 3) * {_A} + 7 END::BIGINT AS den_treat,
+  CASE WHEN {_ODD} THEN -{_A} ELSE {_A} * {_A} + 7 END::BIGINT AS den_copyable, CASE WHEN {_ODD} THEN 'n' ELSE 'x' END AS edited, CASE WHEN {_ODD} THEN 4 ELSE 3 END::BIGINT AS length FROM part WHERE {_OK}"""
+)
 def c08_build_code_items(spark, sf):
     """One item for each program whose test holds, edited where its first assignment stands."""
-    t = programs(spark, sf).select("p_partkey", build_json("source", "test").alias("j")).where("j is not null")
     at = lambda k, kind: F.get_json_object("j", f"$.{k}").cast(kind).alias(k)
-    return t.select("p_partkey", at("den_clean", "bigint"), at("den_treat", "bigint"), at("den_copyable", "bigint"), at("edited", "string"), at("length", "bigint"))
+    return built(spark, sf).where("has_item").select("p_partkey", at("den_clean", "bigint"), at("den_treat", "bigint"), at("den_copyable", "bigint"), at("edited", "string"), at("length", "bigint"))
 
 
 @query(f"SELECT count(*) AS n, count(*) FILTER (WHERE {_OK}) AS n_built, count(*) FILTER (WHERE p_partkey % 11 = 0) AS n_unparsed FROM part")
 def c01_code_survival(spark, sf):
-    t = programs(spark, sf).select("source", build_json("source", "test").alias("j"))
-    return t.agg(F.count("*").alias("n"), F.count("j").alias("n_built"), F.count(F.when(~F.col("source").contains("return"), 1)).alias("n_unparsed"))
+    n_of = lambda c: F.count(F.when(c, 1))
+    return built(spark, sf).agg(F.count("*").alias("n"), n_of(F.col("has_item")).alias("n_built"), n_of(F.get_json_object("j", "$.parsed") == "false").alias("n_unparsed"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '[' || o_custkey || ', 2]' WHEN 1 THEN '\"' || o_orderpriority || '\"' END AS answer FROM orders")
@@ -51,11 +61,15 @@ def c09_code_answer(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", stated_json(text).alias("answer"))
 
 
-@query(f"SELECT p_partkey, concat('STATE: {{\"x\": ', p_size + 3, '}}', chr(10), 'TAIL:', chr(10), 'y = x * ', {_A}) AS prompt FROM part WHERE {_OK}".replace("{{", "{").replace("}}", "}"))
+@query(
+    f"""SELECT p_partkey, concat('STATE: ', chr(123), '"', CASE WHEN {_ODD} THEN 'n' ELSE 'x' END, '":', p_size + 3, chr(125), chr(10), 'TAIL:', chr(10),
+  CASE WHEN {_ODD} THEN concat('s = 0', chr(10), 'for i in [1, 2, 3]:', chr(10), '    s += n * i', chr(10), 'r = s - ', {_A}, chr(10), 'return r')
+  ELSE concat('y = x * ', {_A}, chr(10), 'z = 1 + 1', chr(10), 'return y + 7') END) AS prompt FROM part WHERE {_OK}"""
+)
 def c10_code_prompt(spark, sf):
-    t = programs(spark, sf).select("p_partkey", build_json("source", "test").alias("j"), F.trim(F.split("source", "\n")[1]).alias("rest")).where("j is not null")
-    state = F.concat(F.lit('{"x": '), F.get_json_object("j", "$.state.x"), F.lit("}"))
-    return t.select("p_partkey", condition_text(state, F.col("rest")).alias("prompt"))
+    """The edited state and the program's own rest, from the resume point on."""
+    at = lambda k: F.get_json_object("j", f"$.{k}")
+    return built(spark, sf).where("has_item").select("p_partkey", condition_text(at("state"), at("rest")).alias("prompt"))
 
 
 @query(f"SELECT model, count(*) AS n, count(*) FILTER (WHERE gated) AS strict, count(*) FILTER (WHERE recount) AS recount, count(*) FILTER (WHERE gated <> recount) AS differ, count(*) FILTER (WHERE gated AND competent) AS competent, count(*) FILTER (WHERE {rel('ans_control', 'den_clean')}) AS agree FROM scored GROUP BY model", "scored")

@@ -20,7 +20,7 @@ def one(df, *cols):
 
 def test_canonical(spark):
     t = steps_of(spark, TRACE)
-    r = one(t, tr.denote("steps"), tr.consistent("steps", F.col("stated")), F.array_sort(tr.feeding("steps")), tr.render("steps"))
+    r = one(t, tr.evaluate("steps"), tr.consistent("steps", F.col("stated")), F.array_sort(tr.feeding("steps")), tr.render("steps"))
     assert r[0] == 26 and r[1] and r[2] == [0, 2]
     assert r[3] == "cost = 3 * 7 = 21\naside = 4 * 2 = 8\ntotal = cost + 5 = 26"
 
@@ -47,7 +47,7 @@ def test_edits(spark):
     ],
 )
 def test_values(spark, text, value):
-    assert one(steps_of(spark, text), tr.denote("steps"))[0] == value
+    assert one(steps_of(spark, text), tr.evaluate("steps"))[0] == value
 
 
 def test_cycle_and_last_binding(spark):

@@ -18,6 +18,9 @@ BARE = r"^\s*([A-Za-z_][A-Za-z_0-9 ]*?)\s*=\s*(-?\d+(?:\.\d+)?)\s*$"
 TAIL = r"^\s*(?:([A-Za-z_][A-Za-z_0-9 ]*?)\s*=\s*)?.*?(-?\d+(?:\.\d+)?)\s*([-+*/])\s*(-?\d+(?:\.\d+)?)\s*=\s*(-?\d+(?:\.\d+)?)\s*$"
 ANSWER_FORMS = (r"(?i)(?:final answer|answer)\s*(?:is|:|=)\s*\$?(-?\d+(?:\.\d+)?)", r"\\boxed\{\s*(-?\d+(?:\.\d+)?)\s*\}", r"(?m)^\s*(-?\d+(?:\.\d+)?)\s*$")
 
+BOX = r"\\boxed\{([^{}]+)\}"
+FRACTION = r"^\\?frac\{(-?\d+)\}\{(\d+)\}$"
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -58,7 +61,7 @@ def parse(text) -> Column:
     return F.when(F.size(found) > 0, F.struct(found.alias("steps"), stated.alias("stated")))
 
 
-def denote(steps, edit_idx=None, edit_value=None) -> Column:
+def evaluate(steps, edit_idx=None, edit_value=None) -> Column:
     """The value that the steps compute, in order; an edited step has the value it is given. Null once an operand is unknown."""
     steps = _c(steps)
     edit_idx = F.lit(None).cast("int") if edit_idx is None else _c(edit_idx)
@@ -78,7 +81,7 @@ def denote(steps, edit_idx=None, edit_value=None) -> Column:
 
 
 def consistent(steps, stated) -> Column:
-    d, stated = denote(steps), _c(stated)
+    d, stated = evaluate(steps), _c(stated)
     return F.coalesce(F.abs(d - stated) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(stated)), F.lit(False))
 
 
@@ -115,11 +118,18 @@ def copyable(target, shown: Column) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """Whole numbers without a point; others with up to six significant digits."""
-    size = F.floor(F.log10(F.abs(value))).cast("int")
-    return F.when(value == F.floor(value), value.cast("bigint").cast("string")).otherwise(
-        F.regexp_replace(F.format_string("%.8f", F.expr("1D") * F.when(size < 5, F.round(value * F.pow(F.lit(10.0), 5 - size)) / F.pow(F.lit(10.0), 5 - size)).otherwise(value)), r"\.?0+$", "")
-    )
+    """A number as a trace shows it: whole numbers without a point; others with six significant digits and no trailing zeros,
+    with an exponent of two digits or more below 1e-4 and from 1e6 on. (Of two nearest six-digit numbers at the same decimal distance the larger.)"""
+    shown = F.format_string("%.5e", value)
+    power = F.regexp_extract(shown, r"e([-+]\d+)$", 1).cast("int")
+    digits = F.regexp_replace(F.regexp_extract(shown, r"^-?([\d.]+)e", 1), r"\.", "")
+    zeros = F.repeat(F.lit("0"), F.greatest(-power - 1, F.lit(0)))
+    plain = F.when(power < 0, F.concat(F.lit("0."), zeros, digits)).otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(6))))
+    trim = lambda x: F.regexp_replace(x, r"\.?0*$", "")
+    small = F.concat(trim(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5))), F.regexp_extract(shown, r"(e.*)$", 1))
+    text = F.concat(F.when(value < 0, "-").otherwise(""), F.when(power.between(-4, 5), trim(plain)).otherwise(small))
+    whole = F.when(F.abs(value) < 9e18, value.cast("bigint").cast("string")).otherwise(value.cast("decimal(38,0)").cast("string"))
+    return F.when(value == F.floor(value), whole).otherwise(text)
 
 
 def render(steps, edit_idx=None, edit_value=None) -> Column:
@@ -142,6 +152,21 @@ def extract_answer(text) -> Column:
     return F.coalesce(*tries, F.try_element_at(numbers, F.lit(-1))).cast("double")
 
 
+def last_line(text: Column) -> Column:
+    """The last line, also if it is blank; a break at the end opens no line."""
+    return F.element_at(F.split(F.regexp_replace(text, f"(?:{LINE_BREAK})$", ""), LINE_BREAK), -1)
+
+
+def math_answer(text) -> Column:
+    """The number in the last box, else that of the last line: decimal, or a LaTeX fraction of whole numbers; null for anything else."""
+    text = _c(text)
+    boxes = F.regexp_extract_all(text, F.lit(BOX), 1)
+    said = F.when(F.size(boxes) > 0, F.element_at(boxes, -1)).otherwise(last_line(text))
+    said = F.regexp_replace(F.regexp_replace(said, "[,$]", ""), r"^\s+|\s+$", "")
+    top, bottom = (_empty_null(F.regexp_extract(said, FRACTION, i)).cast("double") for i in (1, 2))
+    return F.when(said.rlike(NUMBER), F.when(said.rlike(NUMBER), said).cast("double")).otherwise(F.try_divide(top, bottom))
+
+
 def normalise_line(line: Column) -> Column:
     """Rewrites ``name = c`` and chains of equations into steps; all else stays."""
     name = F.regexp_extract(line, TAIL, 1)

@@ -35,8 +35,8 @@ def p02_first_step(spark, sf):
 
 
 @query("SELECT model, record_id, CAST(dc AS DOUBLE) AS denotation FROM traces WHERE w >= 8", "traces")
-def p04_denote(spark, sf):
-    return parsed(spark, sf).select("model", "record_id", tr.denote("steps").alias("denotation"))
+def p04_evaluate(spark, sf):
+    return parsed(spark, sf).select("model", "record_id", tr.evaluate("steps").alias("denotation"))
 
 
 @query("SELECT model, count(*) AS n, count(*) FILTER (WHERE w >= 14) AS n_consistent FROM traces WHERE w >= 8 GROUP BY model", "traces")
@@ -61,10 +61,23 @@ def p08_render(spark, sf):
     return parsed(spark, sf).select("model", "record_id", tr.render("steps").alias("rendered"))
 
 
+_VALUE = "(CASE WHEN l_orderkey % 4 = 0 THEN -1 ELSE 1 END) * (l_partkey + 1) / CASE l_orderkey % 3 WHEN 0 THEN 7e0 WHEN 1 THEN 1e0 ELSE 4e0 END * pow(10e0, l_linenumber * 3 - 12)"
+
+
+@query(
+    f"""WITH v AS (SELECT DISTINCT CAST({_VALUE} AS DOUBLE) AS value FROM lineitem)
+SELECT value, CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE printf('%g', value) END AS shown FROM v"""
+)
+def p09_number_text(spark, sf):
+    """Numbers from 1e-9 to 1e13 as traces show them."""
+    v = table(spark, sf, "lineitem").select(F.expr(_VALUE).cast("double").alias("value")).distinct()
+    return v.select("value", tr.number_text(F.col("value")).alias("shown"))
+
+
 @query("SELECT model, record_id, CAST(dt AS DOUBLE) AS edited FROM traces WHERE w >= 8", "traces")
-def p10_denote_edited(spark, sf):
+def p10_evaluate_edited(spark, sf):
     """The value after adding three to the first step."""
-    return parsed(spark, sf).select("model", "record_id", tr.denote("steps", F.lit(0), F.element_at("steps", 1)["value"] + 3).alias("edited"))
+    return parsed(spark, sf).select("model", "record_id", tr.evaluate("steps", F.lit(0), F.element_at("steps", 1)["value"] + 3).alias("edited"))
 
 
 _EXTRACT = r"""CAST(coalesce(nullif(regexp_extract({0}, '(?i)(?:final answer|answer)\s*(?:is|:|=)\s*\$?(-?\d+(?:\.\d+)?)', 1), ''), nullif(regexp_extract({0}, '\\boxed\{{\s*(-?\d+(?:\.\d+)?)\s*\}}', 1), ''),
@@ -94,17 +107,24 @@ def p14_last_number(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.replace(F.try_element_at(numbers, F.lit(-1)), F.lit(","), F.lit("")).cast("double").alias("last_number"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_custkey AS DOUBLE) WHEN 1 THEN CAST(o_custkey AS DOUBLE) / (1 + o_orderkey % 9) END AS gold FROM orders")
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN o_custkey + 1000.0 WHEN 1 THEN -CAST(o_custkey AS DOUBLE) / (1 + o_orderkey % 9) WHEN 2 THEN o_custkey + 0.5
+  WHEN 4 THEN CAST(o_custkey AS DOUBLE) / (1 + o_orderkey % 9) END AS gold FROM orders"""
+)
 def p15_math_answer(spark, sf):
-    """A boxed number or fraction; anything else is no gold value."""
+    """Boxed numbers, fractions on the last line, and what is no gold value: boxed terms, fractions inside a box, a zero below the line."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey").cast("string")
-    inside = F.when(key % 3 == 0, F.concat(F.lit("$"), cust)).when(key % 3 == 1, F.concat(F.lit("frac"), cust, F.lit("/"), (1 + key % 9).cast("string"))).otherwise("x + 1")
-    text = F.concat(F.lit("Thus \\boxed{0} fails, so \\boxed{"), inside, F.lit("}."))
-    boxed = F.try_element_at(F.regexp_extract_all(text, F.lit(r"\\boxed\{([^{}]+)\}"), 1), F.lit(-1))
-    plain = F.trim(F.regexp_replace(boxed, "[,$]", ""))
-    top, bottom = (F.regexp_extract(plain, r"^frac(-?\d+)/(\d+)$", i) for i in (1, 2))
-    gold = F.when(plain.rlike(tr.NUMBER), F.when(plain.rlike(tr.NUMBER), plain).cast("double")).when(top != "", F.try_divide(F.when(top != "", top).cast("double"), F.when(bottom != "", bottom).cast("double")))
-    return table(spark, sf, "orders").select("o_orderkey", gold.alias("gold"))
+    below = (1 + key % 9).cast("string")
+    texts = [
+        F.concat(F.lit("First \\boxed{0}, no: \\boxed{$"), F.format_number(F.col("o_custkey") + 1000, 0), F.lit("}.")),
+        F.concat(F.lit("so the rest is\n \\frac{-"), cust, F.lit("}{"), below, F.lit("} \n")),
+        F.concat(F.lit("The total:\n$ "), cust, F.lit(".5 $")),
+        F.concat(F.lit("Thus \\boxed{x + "), cust, F.lit("}")),
+        F.concat(F.lit("a\nb\nfrac{"), cust, F.lit("}{"), below, F.lit("}")),
+        F.concat(F.lit("Thus \\boxed{\\frac{1}{2}}\n\\frac{"), cust, F.lit("}{0}")),
+    ]
+    text = F.coalesce(*(F.when(key % 6 == i, t) for i, t in enumerate(texts)))
+    return table(spark, sf, "orders").select("o_orderkey", tr.math_answer(text).alias("gold"))
 
 
 @query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS billions FROM part")
@@ -152,7 +172,7 @@ def p19_verdict(spark, sf):
 @query("SELECT model, record_id, concat('Reasoning:', chr(10), trace, chr(10), 'The edited value is ', dt, '. Does the answer use it?') AS prompt FROM traces WHERE w >= 14", "traces")
 def p20_judge_prompt(spark, sf):
     t = parsed(spark, sf).where(tr.consistent("steps", F.col("stated")))
-    value = tr.number_text(tr.denote("steps", F.lit(0), F.element_at("steps", 1)["value"] + 3))
+    value = tr.number_text(tr.evaluate("steps", F.lit(0), F.element_at("steps", 1)["value"] + 3))
     return t.select("model", "record_id", F.concat(F.lit("Reasoning:\n"), "trace", F.lit("\nThe edited value is "), value, F.lit(". Does the answer use it?")).alias("prompt"))
 
 
@@ -221,11 +241,11 @@ def p28_cache_key(spark, sf):
 def with_edits(t, delta: float = 3.0):
     """Adds what each step's edit would do: (idx, value, denotation, copyable, feeds, last) of step + delta."""
     n, need = F.size("steps"), F.col("need")
-    t = tr.pin(t, need=tr.feeding("steps"), base=tr.denote("steps"))
+    t = tr.pin(t, need=tr.feeding("steps"), base=tr.evaluate("steps"))
     made = F.transform(
         "steps",
         lambda s: F.struct(
-            s["idx"].alias("idx"), (s["value"] + delta).alias("value"), tr.denote("steps", s["idx"], s["value"] + delta).alias("denotation"), F.array_contains(need, s["idx"]).alias("feeds"), (s["idx"] == n - 1).alias("last")
+            s["idx"].alias("idx"), (s["value"] + delta).alias("value"), tr.evaluate("steps", s["idx"], s["value"] + delta).alias("denotation"), F.array_contains(need, s["idx"]).alias("feeds"), (s["idx"] == n - 1).alias("last")
         ),
     )
     return tr.pin(t, edits=made)
@@ -315,13 +335,23 @@ def b09_rejections(spark, sf):
     return t.select("model", "record_id", F.col("p").isNotNull().alias("parsed"), ok.alias("self_consistent")).where("not self_consistent")
 
 
-@query("SELECT model, problem_id, min(CASE WHEN w >= 14 THEN 0 ELSE 1 END) = 0 AS buildable, min_by(record_id, (w < 14, record_id)) AS chosen FROM traces GROUP BY model, problem_id", "traces")
+@query(
+    f"""WITH a AS (SELECT *, w >= 14 AND NOT {COPYABLE} AS ok FROM attempts WHERE attempt < 3)
+SELECT model, record_id, coalesce(min(attempt) FILTER (WHERE ok), max(attempt)) AS attempt, bool_or(ok) AS buildable, CASE WHEN bool_or(ok) THEN 'built' ELSE 'rejected' END AS status,
+  arg_max(trace, CASE WHEN ok THEN 10 - attempt ELSE attempt END) AS trace FROM a GROUP BY model, record_id""",
+    "attempts",
+)
 def b10_first_buildable(spark, sf):
-    """Of several attempts at a problem the first that builds, else the first."""
-    t = tr.pin(view(spark, sf, "traces").select("model", "problem_id", "record_id", "trace"), p=tr.parse("trace"))
-    bad = F.when(F.col("p").isNull(), True).otherwise(~tr.consistent(F.col("p.steps"), F.col("p.stated")))
-    best = t.select("model", "problem_id", F.struct(bad.alias("bad"), "record_id").alias("a")).groupBy("model", "problem_id").agg(F.min("a").alias("a"))
-    return best.select("model", "problem_id", (~F.col("a.bad")).alias("buildable"), F.col("a.record_id").alias("chosen"))
+    """Of up to three attempts at a record, in order, the first from which an item can be built; if there is none, the last is kept as rejected."""
+    rows = view(spark, sf, "attempts").where("attempt < 3").select("model", "record_id", "attempt", "trace")
+    t = tr.pin(rows, p=tr.parse("trace")).select("model", "record_id", "attempt", "trace", "p.steps", "p.stated")
+    t = with_edits(tr.pin(t, ok=F.col("steps").isNotNull() & tr.consistent("steps", F.col("stated"))))
+    first = treatment()
+    t = tr.pin(t, e=first)
+    ok = F.col("ok") & F.col("e").isNotNull() & ~F.coalesce(_copyable(F.col("e")), F.lit(True))
+    kept = t.select("model", "record_id", F.struct(ok.alias("ok"), F.when(ok, -F.col("attempt")).otherwise(F.col("attempt")).alias("by"), "attempt", "trace").alias("a"))
+    best = kept.groupBy("model", "record_id").agg(F.max("a").alias("a"))
+    return best.select("model", "record_id", "a.attempt", F.col("a.ok").alias("buildable"), F.when(F.col("a.ok"), "built").otherwise("rejected").alias("status"), "a.trace")
 
 
 @query(
@@ -352,5 +382,5 @@ def b08_e0_grid(spark, sf):
     faithful = say("3 * ", a, " = ", 3 * a, "\n", 3 * a, " - ", b, " = ", 3 * a - b, "\nThe final answer is ", 3 * a - b)
     decorative = say("aside = ", a, " * ", b, " = ", a * b, "\nmore = ", a * b, " + ", b, " = ", a * b + b, "\nThe final answer is ", a * b + b)
     t = tr.pin(g, faithful=tr.parse(faithful), decorative=tr.parse(decorative))
-    value = lambda p: tr.denote(F.col(f"{p}.steps")).cast("int").alias(p)
+    value = lambda p: tr.evaluate(F.col(f"{p}.steps")).cast("int").alias(p)
     return t.select("a", "b", value("faithful"), a.alias("gold"), value("decorative"), "n")

@@ -1,5 +1,8 @@
 """Reasoning-trace tables derived from the star-schema tables, in SQL that Spark and DuckDB read alike.
 
+Every line item is one item. Its problem is one of 200, its slot grows with the order key, and items of one system that fall on the
+same problem, seed and slot are attempts, numbered in order; the number is part of the record's id.
+
 ``view(spark, sf_dir, name)`` gives a DataFrame; ``text(name)`` gives the SQL over tables of the same names.
 """
 
@@ -13,19 +16,17 @@ WITH base AS (
          CAST(l_linenumber % 4 AS BIGINT) AS s, CAST(CAST(l_quantity AS BIGINT) % 3 AS BIGINT) AS extra, CAST(l_suppkey % 6 AS INT) AS m,
          CAST((l_partkey * 31 + l_suppkey * 17 + l_linenumber * 7) % 100 AS INT) AS u,
          CAST((l_partkey * 13 + l_orderkey * 7 + l_linenumber * 3) % 100 AS INT) AS w,
-         concat('p', CAST(l_partkey % 200 AS STRING)) AS problem_id, CAST(l_linenumber % 3 AS INT) AS seed, CAST(l_orderkey % 50 AS INT) AS slot
+         concat('p', CAST(l_partkey % 200 AS STRING)) AS problem_id, CAST(l_linenumber % 3 AS INT) AS seed, CAST(floor(l_orderkey / 900) AS INT) AS slot
   FROM {lineitem}),
 panel AS (
-  SELECT * FROM (
-    SELECT base.*, row_number() OVER (PARTITION BY m, problem_id, seed, slot ORDER BY l_orderkey, l_linenumber, l_suppkey, q, u, w) AS rn FROM base) t
-  WHERE rn = 1),
+  SELECT base.*, CAST(row_number() OVER (PARTITION BY m, problem_id, seed, slot ORDER BY l_orderkey, l_linenumber, l_suppkey, q, u, w) - 1 AS INT) AS rn FROM base),
 den AS (SELECT panel.*, 7 * q + s + extra AS dc, 7 * q + s + extra + 3 AS dt FROM panel)
 """
 
 VIEWS = {
     "items": _PANEL
     + """
-SELECT concat('sys', CAST(m AS STRING)) AS model, problem_id, seed, concat_ws(':', problem_id, CAST(seed AS STRING), CAST(slot AS STRING)) AS record_id,
+SELECT concat('sys', CAST(m AS STRING)) AS model, problem_id, seed, concat_ws(':', problem_id, CAST(seed AS STRING), CAST(slot AS STRING), CAST(rn AS STRING)) AS record_id,
        CASE WHEN w < 8 THEN 'unparsed' WHEN w < 14 THEN 'inconsistent'
             WHEN dt IN (7, q, 7 * q + 3, s, 7 * q + s) OR (k <> 7 AND dt IN (4, k, 4 * k)) OR (extra >= 1 AND dt IN (1, 7 * q + s + 1)) OR (extra >= 2 AND dt = 7 * q + s + 2) THEN 'copyable'
             ELSE 'built' END AS status,
@@ -40,7 +41,7 @@ FROM den
 """,
     "traces": _PANEL
     + """
-SELECT concat('sys', CAST(m AS STRING)) AS model, problem_id, concat_ws(':', problem_id, CAST(seed AS STRING), CAST(slot AS STRING)) AS record_id,
+SELECT concat('sys', CAST(m AS STRING)) AS model, problem_id, concat_ws(':', problem_id, CAST(seed AS STRING), CAST(slot AS STRING), CAST(rn AS STRING)) AS record_id,
   CASE WHEN w < 8 THEN 'no structured content here' ELSE concat('cost = 7 * ', CAST(q AS STRING), ' = ', CAST(7*q AS STRING), chr(10),
    CASE WHEN k <> 7 THEN concat('aside = 4 * ', CAST(k AS STRING), ' = ', CAST(4*k AS STRING), chr(10)) ELSE '' END,
    'total = cost + ', CAST(s AS STRING), ' = ', CAST(7*q+s AS STRING), chr(10),
@@ -48,9 +49,10 @@ SELECT concat('sys', CAST(m AS STRING)) AS model, problem_id, concat_ws(':', pro
    CASE WHEN extra >= 2 THEN concat('t2 = t1 + 1 = ', CAST(7*q+s+2 AS STRING), chr(10)) ELSE '' END,
    'The final answer is ', CAST(CASE WHEN w < 14 THEN dc + 1 ELSE dc END AS STRING)) END AS trace,
   concat('base = ', CAST(s AS STRING), chr(10), 'cost = 7 * ', CAST(q AS STRING), ' = ', CAST(7*q AS STRING), chr(10), 'total = cost + base = ', CAST(7*q+s AS STRING), chr(10), 'The final answer is ', CAST(7*q+s AS STRING)) AS trace_bare,
-  q, k, s, extra, w, dc, dt
+  rn AS attempt, q, k, s, extra, w, dc, dt
 FROM den
 """,
+    "attempts": "SELECT model, regexp_replace(record_id, ':[0-9]+$', '') AS record_id, attempt, trace, q, k, s, extra, w, dc, dt FROM ({traces}) made",
     "on_policy": """
 SELECT concat('e', CAST(user_id AS STRING)) AS problem_id, event_id AS sample,
   CASE WHEN event_id % 19 = 0 THEN NULL ELSE CAST(user_id % 3 + event_id % 2 AS DOUBLE) END AS denotation,
@@ -74,7 +76,7 @@ FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id
 SELECT user_id AS task_id, event_id AS seq, ts, CASE event_type WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'stop' ELSE 'event' END AS event FROM {events}
 """,
     "boxes": """
-SELECT doc_id % 50 AS page, doc_id AS word_id, CAST((doc_id * 37) % 500 AS DOUBLE) AS x0, CAST((doc_id * 91) % 700 AS DOUBLE) AS y0,
+SELECT CAST(floor(doc_id / 200) AS BIGINT) AS page, doc_id AS word_id, CAST((doc_id * 37) % 500 AS DOUBLE) AS x0, CAST((doc_id * 91) % 700 AS DOUBLE) AS y0,
   CAST((doc_id * 37) % 500 + 20 + doc_id % 40 AS DOUBLE) AS x1, CAST((doc_id * 91) % 700 + 8 + doc_id % 5 AS DOUBLE) AS y1
 FROM {documents}
 """,
@@ -83,6 +85,8 @@ SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'FOLLOWS' WHEN 1 THEN 'It ignores
 """,
 }
 
+VIEWS["attempts"] = VIEWS["attempts"].replace("{traces}", VIEWS["traces"])
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 

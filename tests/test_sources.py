@@ -55,10 +55,11 @@ def test_overlap_needs_shared_area(spark):
 def test_stream(spark, tmp_path):
     from tracegrain.streaming.running import record_stream, running_counts
 
-    items = view(spark, SF, "items")
+    items = view(spark, SF, "items").withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000)))
     for i in range(2):
         items.write.mode("append").parquet(str(tmp_path / "in"))  # every record comes twice
-    q = running_counts(record_stream(spark, str(tmp_path / "in"), items.schema)).writeStream.outputMode("complete").format("memory").queryName("running").start()
+    records = record_stream(spark, str(tmp_path / "in"), items.schema).withWatermark("at", "1 hour")
+    q = running_counts(records).writeStream.outputMode("complete").format("memory").queryName("running").start()
     q.processAllAvailable()
     q.stop()
     got = {r.model: r.n for r in spark.table("running").collect()}

@@ -95,6 +95,11 @@ def audit_size(g: Column, alpha: Column) -> Column:
     return F.when(g <= 0, None).when(g >= 1, F.lit(1)).when((n > 1) & ok(F.greatest(n - 1, F.lit(1))), n - 1).when(ok(n), n).otherwise(n + 1).cast("bigint")
 
 
+def audit_size_sql(g: str, alpha: str) -> str:
+    """The same from the logarithms alone."""
+    return f"(CASE WHEN {g} >= 1 THEN 1 ELSE floor(ln({alpha}) / ln(1 - {g})) + 1 END)::BIGINT"
+
+
 def cluster_sums(rows: DataFrame, group: str, cluster: str, sums: dict[str, Column]) -> DataFrame:
     """The sums that a statistic needs, once for each cluster, and each cluster's place in its group."""
     by = rows.groupBy(group, cluster).agg(*(F.sum(c).alias(k) for k, c in sums.items()))

@@ -16,21 +16,30 @@ def as_of_start(log: DataFrame) -> DataFrame:
     return t.where("event = 'stop' and start_ts is not null").select("task_id", "seq", "start_seq", F.round(seconds, 3).alias("duration_s"))
 
 
-def overlapping_boxes(boxes: DataFrame, share: float = 0.3, band: float = 20.0) -> DataFrame:
+# The share of the smaller box that a collision covers; a glyph below so much of the other's height, and inside it but
+# for so much on either side, is a script; the least area that a box counts with.
+SHARE, SCRIPT, MARGIN, LEAST = 0.3, 0.85, 2, 1e-9
+
+
+def overlapping_boxes(boxes: DataFrame, share: float = SHARE, high: float = 20.0, wide: float = 60.0) -> DataFrame:
     """Pairs of boxes of a page that cover ``share`` of the smaller one; a small glyph nested in a larger one is no collision.
 
-    Boxes are filed under the bands of height they touch, so the join is on (page, band) and reads neighbours only; a pair
-    counts in the first band that both touch."""
-    first, last = F.floor(F.col("y0") / band), F.floor(F.col("y1") / band)
-    filed = boxes.withColumn("low", first).withColumn("band", F.explode(F.sequence(first, last)))
-    side = lambda s: filed.select("page", "band", *(F.col(c).alias(f"{c}_{s}") for c in ("low", "word_id", "x0", "y0", "x1", "y1")))
+    Boxes are filed under the cells (``wide`` by ``high``) they touch, so the join is on (page, cell) and reads neighbours only; a pair
+    counts in the first cell that both touch."""
+    cells = {"left": ("x0", "x1", wide), "low": ("y0", "y1", high)}
+    filed = boxes
+    for name, (a, b, step) in cells.items():
+        first, last = F.floor(F.col(a) / step), F.floor(F.col(b) / step)
+        filed = filed.withColumn(name, first).withColumn(f"{name}_cell", F.explode(F.sequence(first, last)))
+    side = lambda s: filed.select("page", "left_cell", "low_cell", *(F.col(c).alias(f"{c}_{s}") for c in ("left", "low", "word_id", "x0", "y0", "x1", "y1")))
     c = lambda x, s: F.col(f"{x}_{s}")
-    wide = F.least("x1_a", "x1_b") - F.greatest("x0_a", "x0_b")
-    high = F.least("y1_a", "y1_b") - F.greatest("y0_a", "y0_b")
-    area = lambda s: F.greatest((c("x1", s) - c("x0", s)) * (c("y1", s) - c("y0", s)), F.lit(1e-9))
+    across = F.least("x1_a", "x1_b") - F.greatest("x0_a", "x0_b")
+    down = F.least("y1_a", "y1_b") - F.greatest("y0_a", "y0_b")
+    area = lambda s: F.greatest((c("x1", s) - c("x0", s)) * (c("y1", s) - c("y0", s)), F.lit(LEAST))
     size = lambda s: c("y1", s) - c("y0", s)
-    inside = lambda s, t: (c("x0", s) >= c("x0", t) - 2) & (c("x1", s) <= c("x1", t) + 2)
-    script = (F.least(size("a"), size("b")) / F.greatest(size("a"), size("b")) < 0.85) & F.when(size("a") < size("b"), inside("a", "b")).otherwise(inside("b", "a"))
-    pairs = side("a").join(side("b"), ["page", "band"]).where("word_id_a < word_id_b").where(F.col("band") == F.greatest("low_a", "low_b"))
-    hit = pairs.where((wide > 0) & (high > 0)).where((wide * high >= share * F.least(area("a"), area("b"))) & ~script)
+    inside = lambda s, t: (c("x0", s) >= c("x0", t) - MARGIN) & (c("x1", s) <= c("x1", t) + MARGIN)
+    script = (F.least(size("a"), size("b")) / F.greatest(size("a"), size("b")) < SCRIPT) & F.when(size("a") < size("b"), inside("a", "b")).otherwise(inside("b", "a"))
+    pairs = side("a").join(side("b"), ["page", "left_cell", "low_cell"]).where("word_id_a < word_id_b")
+    pairs = pairs.where((F.col("left_cell") == F.greatest("left_a", "left_b")) & (F.col("low_cell") == F.greatest("low_a", "low_b")))
+    hit = pairs.where((across > 0) & (down > 0)).where((across * down >= share * F.least(area("a"), area("b"))) & ~script)
     return hit.select("page", F.col("word_id_a").alias("word_a"), F.col("word_id_b").alias("word_b"))

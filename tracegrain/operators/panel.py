@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracegrain.sources.scratch import materialise
+
 
 def _below(counted: DataFrame, by: list[str], score: str) -> DataFrame:
-    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(score)
-    return counted.withColumn("below", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    """Adds ``below``: the rows of the group with a smaller score. ``counted`` has one row for each (by, score), with its n.
+
+    Scores are dealt out by range, so that no task has to sort all scores of a group: what lies in the ranges before comes from one
+    row for each range, and a window counts inside a range only. The ranges are written, as another run could cut them elsewhere."""
+    ranges = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(counted.repartitionByRange(ranges, *by, score).withColumn("_range", F.spark_partition_id()), "score-ranges")
+    before = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_range")
+    base = dealt.groupBy(*by, "_range").agg(F.sum("n").alias("_n")).withColumn("_base", F.sum("_n").over(before) - F.col("_n")).drop("_n")
+    inside = Window.partitionBy(*by, "_range").orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.join(base, [*by, "_range"]).withColumn("below", F.col("_base") + F.sum("n").over(inside) - F.col("n")).drop("_range", "_base")
 
 
 def mid_ranks(rows: DataFrame, score: str) -> DataFrame:

@@ -25,6 +25,11 @@ BOUNDED_SQL = {
 }
 
 
+def held(systems: DataFrame) -> DataFrame:
+    """The same rows, computed once and held by the driver: one row a system and setting, so few whatever the records are."""
+    return systems.sparkSession.createDataFrame(systems.collect(), systems.schema)
+
+
 def forced(systems: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Pairs (hi, lo) whose order is determined: sigma of the lower lies below sigma - m of the higher."""
     by = by or []
@@ -42,25 +47,36 @@ def adjacent(systems: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def linear_extensions(systems: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
-    """How many rankings of the k systems the determined pairs admit: (by, rankings).
+    """How many rankings of the k systems the determined pairs admit: (by, rankings), as a decimal of 38 digits.
 
-    Sets of systems already placed are bit masks; each round places one more system, if all that must precede it are in
-    the mask, and adds up the ways. 2**k masks, not k! rankings."""
-    if k > 20:
-        raise ValueError("2**k states: at most 20 systems")
+    Systems that no pair determines stand anywhere: placing each of them multiplies the rankings of the others by the number of places there
+    are. Of the others, sets already placed are bit masks; each round places one more system, if all that must precede it are in
+    the mask, and adds up the ways. So the states are the sets that are closed under what precedes, not k! rankings; a mask has room for 62
+    systems beside the free ones."""
     by = by or []
+    pairs = forced(systems, by)
+    tied = pairs.select(*by, F.explode(F.array("hi", "lo")).alias("model")).distinct()
     w = Window.partitionBy(*(by or [F.lit(1)])).orderBy("model")
-    idx = systems.select(*by, "model", (F.row_number().over(w) - 1).alias("bit"))
-    pairs = forced(systems, by).join(idx.withColumnRenamed("model", "hi").withColumnRenamed("bit", "bit_hi"), [*by, "hi"])
-    need = pairs.groupBy(*by, F.col("lo").alias("model")).agg(F.sum(F.expr("shiftleft(1, bit_hi)")).alias("need"))
-    own = idx.join(need, [*by, "model"], "left").select(*by, F.struct(F.expr("shiftleft(1L, bit)").alias("bit"), F.coalesce("need", F.lit(0)).cast("bigint").alias("need")).alias("s"))
+    idx = systems.join(tied, [*by, "model"], "left_semi").select(*by, "model", (F.row_number().over(w) - 1).alias("bit"))
+    need = pairs.join(idx.withColumnRenamed("model", "hi").withColumnRenamed("bit", "bit_hi"), [*by, "hi"]).groupBy(*by, F.col("lo").alias("model")).agg(F.sum(F.expr("shiftleft(1L, bit_hi)")).alias("need"))
+    own = idx.join(need, [*by, "model"], "left")
+    wide = F.assert_true(F.col("bit") < 62, F.lit("at most 62 systems may be tied to others"))
+    own = own.select(*by, F.struct(F.expr("shiftleft(1L, bit)").alias("bit"), F.coalesce("need", F.lit(0)).cast("bigint").alias("need"), wide.alias("ok")).alias("s"))
     table = own.groupBy(*by).agg(F.collect_list("s").alias("systems"))
-    ways = table.select(*by, "systems", F.lit(0).cast("bigint").alias("mask"), F.lit(1).cast("bigint").alias("ways"))
-    for _ in range(k):
-        step = ways.select(*by, "systems", "mask", "ways", F.inline(F.col("systems")))
+    # Groups without a determined pair have free systems only.
+    table = systems.groupBy(*by).agg(F.count("*").alias("all")).join(table, by, "left") if by else systems.agg(F.count("*").alias("all")).join(table, F.lit(True), "left")
+    size = F.coalesce(F.size("systems"), F.lit(0))
+    one = F.lit(1).cast("decimal(38,0)")
+    places = F.when(F.col("all") > size, F.sequence(size + 1, F.col("all").cast("int"))).otherwise(F.array().cast("array<int>"))
+    free = F.aggregate(places, one, lambda acc, x: (acc * x).cast("decimal(38,0)"))
+    ways = table.select(*by, F.coalesce("systems", F.array().cast("array<struct<bit: bigint, need: bigint, ok: void>>")).alias("systems"), free.alias("free"), F.lit(0).cast("bigint").alias("mask"), one.alias("ways"))
+    done = ways.where(F.size("systems") == 0).select(*by, "free", "ways")
+    for placed in range(1, k + 1):
+        step = ways.select(*by, "systems", "free", "mask", "ways", F.inline(F.col("systems")))
         step = step.where((F.col("mask").bitwiseAND(F.col("bit")) == 0) & (F.col("mask").bitwiseAND(F.col("need")) == F.col("need")))
-        ways = step.groupBy(*by, "systems", F.col("mask").bitwiseOR(F.col("bit")).alias("mask")).agg(F.sum("ways").alias("ways"))
-    return ways.select(*by, F.col("ways").alias("rankings"))
+        ways = step.groupBy(*by, "systems", "free", F.col("mask").bitwiseOR(F.col("bit")).alias("mask")).agg(F.sum("ways").cast("decimal(38,0)").alias("ways"))
+        done = done.unionByName(ways.where(F.size("systems") == placed).select(*by, "free", "ways"))
+    return done.select(*by, (F.col("free") * F.col("ways")).cast("decimal(38,0)").alias("rankings"))
 
 
 def extensions_sql(systems: str, by: str = "1") -> str:

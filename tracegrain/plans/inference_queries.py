@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracegrain.functions.equality import lt, rel
+from tracegrain.functions.equality import eq_lt, lt, rel
 from tracegrain.functions.portable import h, h_sql
 from tracegrain.operators import inference as inf
 from tracegrain.operators import ranking as rank
 from tracegrain.operators.gates import scored
 from tracegrain.operators.rates import RATES_SQL, counts_sql, outcome_counts, outcome_rates, share
-from tracegrain.plans.rate_queries import follow_by_problem, gated, items
+from tracegrain.plans.rate_queries import gated, items
 from tracegrain.plans.registry import query
+from tracegrain.sources.scratch import materialise
 
 #: The reference's size: no p-value falls below 1 / (DRAWS + 1).
 DRAWS = 10_000
@@ -133,22 +134,23 @@ def x06_upper_limit(spark, sf):
 
 
 def gaps(spark, sf):
+    """Each system's lead over the next; no audit can certify a lead of nothing."""
     r = outcome_rates(gated(spark, sf), "model").select("model", "sigma")
     w = Window.orderBy(F.col("sigma").desc(), "model")
-    return r.select("model", (F.col("sigma") - F.lead("sigma").over(w)).alias("g")).where("g is not null and g > 0.0005")
+    return r.select("model", (F.col("sigma") - F.lead("sigma").over(w)).alias("g")).where("g > 0")
 
 
-GAPS = f"SELECT * FROM (SELECT model, sigma - lead(sigma) OVER (ORDER BY sigma DESC, model) AS g FROM (SELECT model, {RATES_SQL} FROM scored WHERE gated GROUP BY model)) WHERE g > 0.0005"
+GAPS = f"SELECT * FROM (SELECT model, sigma - lead(sigma) OVER (ORDER BY sigma DESC, model) AS g FROM (SELECT model, {RATES_SQL} FROM scored WHERE gated GROUP BY model)) WHERE g > 0"
 
 
-@query(f"WITH gaps AS ({GAPS}) SELECT model, round(g, 9) AS g, a.alpha, (SELECT min(n) FROM range(1, 20000) r(n) WHERE 1 - pow(a.alpha, 1.0::DOUBLE / n) < g) AS audit_n FROM gaps, (VALUES (0.05::DOUBLE), (0.01::DOUBLE)) a(alpha)", "scored")
+@query(f"""WITH gaps AS ({GAPS}) SELECT model, round(g, 9) AS g, a.alpha, {inf.audit_size_sql("g", "a.alpha")} AS audit_n FROM gaps, (VALUES (0.05::DOUBLE), (0.01::DOUBLE)) a(alpha)""", "scored")
 def x08_audit_size(spark, sf):
     t = gaps(spark, sf).withColumn("alpha", F.explode(F.array(F.lit(0.05), F.lit(0.01))))
     return t.select("model", F.round("g", 9).alias("g"), "alpha", inf.audit_size(F.col("g"), F.col("alpha")).alias("audit_n"))
 
 
 @query(
-    f"""WITH gaps AS ({GAPS}), t AS (SELECT model, g, (SELECT min(n) FROM range(1, 20000) r(n) WHERE 1 - pow(0.05::DOUBLE, 1.0::DOUBLE / n) < g) AS n FROM gaps)
+    f"""WITH gaps AS ({GAPS}), t AS (SELECT model, g, {inf.audit_size_sql("g", "0.05::DOUBLE")} AS n FROM gaps)
 SELECT model, n, ceil(3 / g)::BIGINT AS rule_of_three, ceil((3 + ln(6)) / g)::BIGINT AS six_systems, ceil(ln(6 / 0.05::DOUBLE) / g)::BIGINT AS union_bound, n <= ceil(3 / g) AS dominated FROM t""",
     "scored",
 )
@@ -188,15 +190,19 @@ SELECT p.hi, p.lo, round(margin, 9) AS margin, round(spread, 9) AS spread, dbar,
 )
 def x13_pairwise(spark, sf):
     """Each pair of systems: is its order by sensitivity determined, and do the follow rates differ, problem by problem?"""
-    rows = gated(spark, sf)
-    c = inf.cluster_sums(rows, "model", "problem_id", {"d": (F.col("outcome") == "D").cast("int"), "n": F.lit(1)})
+    o, said = F.col("outcome"), F.col("ans_treat").isNotNull()
+    one = lambda c: c.cast("int")
+    sums = {"d": one(o == "D"), "s": one(F.col("changed")), "n": F.lit(1), "hit": one(said & eq_lt("ans_treat", "den_treat")), "said": one(said)}
+    # One row for each system and problem, from which all else follows.
+    c = materialise(inf.cluster_sums(gated(spark, sf), "model", "problem_id", sums), "pairwise-sums")
     bar = inf.resample(c, "model", ["d", "n"], DRAWS, "x13").groupBy("model").agg(inf.percentile_ci(F.col("d") / F.col("n"))[1].alias("bar"))
-    r = outcome_rates(rows, "model").join(bar, "model")
+    r = c.groupBy("model").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("sigma"), F.try_divide(F.sum("d"), F.sum("n")).alias("delta")).join(bar, "model")
+    r = rank.held(r)
     side = lambda name, i: r.select(F.col("model").alias(name), *(F.col(x).alias(f"{x}{i}") for x in ("sigma", "delta", "bar")))
     pairs = side("hi", 1).join(side("lo", 2), F.col("sigma1") > F.col("sigma2"))
     margin, dbar = F.col("sigma1") - F.col("sigma2"), F.greatest("bar1", "bar2")
     pairs = pairs.select("hi", "lo", F.round(margin, 9).alias("margin"), F.round(F.abs(F.col("delta1") - F.col("delta2")), 9).alias("spread"), dbar.alias("dbar"), (margin > F.least("sigma1", dbar)).alias("determined"), F.concat_ws("|", "hi", "lo").alias("pair"))
-    f = follow_by_problem(rows).select("model", "problem_id", "follow")
+    f = c.where("said > 0").select("model", "problem_id", (F.col("hit") / F.col("said")).alias("follow"))
     d = f.select(F.col("model").alias("hi"), "problem_id", F.col("follow").alias("f1")).join(f.select(F.col("model").alias("lo"), "problem_id", F.col("follow").alias("f2")), "problem_id").where("hi <> lo")
     d = d.join(pairs.select("hi", "lo", "pair"), ["hi", "lo"]).select("pair", "problem_id", (F.col("f1") - F.col("f2")).alias("v"))
     test = inf.sign_flips(inf.cluster_sums(d, "pair", "problem_id", {"v": F.col("v")}), "pair", "v", DRAWS, "x13")
@@ -235,8 +241,9 @@ def x14_certify(spark, sf):
     """How often audits of a few problems certify an order of two systems, and how often wrongly.
 
     Limits are computed once for each (derailed, budget), not for each audit."""
-    rows = scored(items(spark, sf)).where("recount")
-    r = outcome_rates(rows, "model").select("model", "sigma", "phi")
+    rows = scored(items(spark, sf)).where("recount").select("model", "problem_id", "record_id", "outcome", "changed")
+    rows = materialise(rows, "audit-pool")
+    r = rank.held(outcome_rates(rows, "model").select("model", "sigma", "phi"))
     a, b = (r.select(F.col("model").alias(m), F.col("sigma").alias(f"s{m}"), F.col("phi").alias(f"p{m}")) for m in ("hi", "lo"))
     pairs = a.join(b, F.col("shi") > F.col("slo")).select("hi", "lo", F.col("shi").alias("s"), (F.col("shi") - F.col("slo")).alias("g"), (F.col("phi") <= F.col("plo")).alias("wrong"))
     w = Window.partitionBy("model", "problem_id")
@@ -257,7 +264,7 @@ def x14_certify(spark, sf):
 @query(
     f"""WITH r AS (SELECT model, {RATES_SQL} FROM scored WHERE gated GROUP BY model), t AS (SELECT * FROM r ORDER BY sigma, model LIMIT 1)
 SELECT t.model, d AS added_delta, round(t.phi + d, 9) AS sigma, (1 + (SELECT count(*) FROM r WHERE r.model <> t.model AND r.sigma > t.phi + d)) AS sigma_rank, (1 + (SELECT count(*) FROM r WHERE r.model <> t.model AND r.phi > t.phi)) AS phi_rank,
-  (SELECT min(n) FROM range(1, 20000) x(n) WHERE 1 - pow(0.05::DOUBLE, 1.0::DOUBLE / n) < d) AS audit_n, round(((SELECT max(sigma) FROM r) - t.phi - t.delta) / t.psi, 9) AS share_to_top
+  {inf.audit_size_sql("d", "0.05::DOUBLE")} AS audit_n, round(((SELECT max(sigma) FROM r) - t.phi - t.delta) / t.psi, 9) AS share_to_top
 FROM t, (VALUES (0.024::DOUBLE), (0.1::DOUBLE), (0.15::DOUBLE), (0.2::DOUBLE), (0.3::DOUBLE)) v(d)""",
     "scored",
 )
@@ -329,9 +336,9 @@ def r02_adjacent(spark, sf):
 @query(f"WITH {M}, {rank.extensions_sql('sys')} SELECT rankings, (SELECT count(*) FROM sys) AS n_systems FROM rankings", "scored")
 def r03_rankings(spark, sf):
     """How many full rankings the determined pairs admit."""
-    s = systems(spark, sf)
+    s = rank.held(systems(spark, sf))
     k = s.count()
-    return rank.linear_extensions(s, k).withColumn("n_systems", F.lit(k).cast("bigint"))
+    return rank.linear_extensions(s, k).select(F.col("rankings").cast("bigint"), F.lit(k).cast("bigint").alias("n_systems"))
 
 
 _GRID = [(p, c) for p in ("complete", "worst") for c in (False, True)]
@@ -351,15 +358,15 @@ SELECT DISTINCT sys.policy, sys.corrected, coalesce(f.determined, 0) AS determin
 )
 def r05_grid(spark, sf):
     """The ranking under both policies for missing answers, with and without the design effect."""
-    cells = None
-    for policy, corrected in _GRID:
-        s = systems(spark, sf, corrected, policy).select(F.lit(policy).alias("policy"), F.lit(corrected).alias("corrected"), "model", "sigma", "m")
-        cells = s if cells is None else cells.unionByName(s)
+    rows = scored(items(spark, sf)).where("recount").withColumn("policy", F.explode(F.array(F.lit("complete"), F.lit("worst"))))
+    counts = outcome_counts(rows.where("policy = 'worst' or ans_treat is not null"), "policy", "model")
+    cells = [rank.bounded(counts, c).select("policy", F.lit(c).alias("corrected"), "model", "sigma", "m") for c in (False, True)]
     by = ["policy", "corrected"]
-    k = items(spark, sf).select("model").distinct().count()
+    cells = rank.held(cells[0].unionByName(cells[1]))
+    k = cells.select("model").distinct().count()
     f = rank.forced(cells, by).groupBy(*by).agg(F.count("*").alias("determined"))
     adj = rank.adjacent(cells, by).groupBy(*by).agg(F.count(F.when(F.col("determined"), 1)).alias("adjacent"))
-    return adj.join(rank.linear_extensions(cells, k, by), by).join(f, by, "left").select(*by, F.coalesce("determined", F.lit(0)).alias("determined"), "adjacent", "rankings")
+    return adj.join(rank.linear_extensions(cells, k, by), by).join(f, by, "left").select(*by, F.coalesce("determined", F.lit(0)).alias("determined"), "adjacent", F.col("rankings").cast("bigint"))
 
 
 @query(
@@ -402,18 +409,37 @@ def w05_stratified_sample(spark, sf):
     return one.withColumn("i", F.row_number().over(w)).where("i <= 15").drop("i")
 
 
+#: The report's own number of draws.
+REPORT_DRAWS = 2_000
+_HIT = f"({rel('ans_treat', 'den_treat')}::INT - {rel('ans_placebo', 'den_treat')}::INT)"
+_CIS = [("f", "n", "phi"), ("d", "n", "delta"), ("s", "n", "sigma"), ("hit", "has", "dpe")]
+
+
 @query(
-    f"""WITH r AS (SELECT model, {RATES_SQL} FROM scored WHERE gated GROUP BY model), d AS (SELECT model, count(*) AS n_dpe, sum({rel("ans_treat", "den_treat")}::INT - {rel("ans_placebo", "den_treat")}::INT)::DOUBLE / count(*) AS dpe FROM scored WHERE gated AND ans_placebo IS NOT NULL GROUP BY model)
-SELECT r.*, d.n_dpe, d.dpe, n >= 30 AS enough FROM r JOIN d USING (model)""",
+    f"""WITH by_problem AS (SELECT model, problem_id, count(*) FILTER (WHERE outcome = 'F') AS f, count(*) FILTER (WHERE outcome = 'D') AS d, count(*) FILTER (WHERE changed) AS s, count(*) AS n,
+  coalesce(sum({_HIT}) FILTER (WHERE ans_placebo IS NOT NULL), 0) AS hit, count(ans_placebo) AS has FROM scored WHERE gated GROUP BY model, problem_id),
+c AS ({CLUSTERS} by_problem), draws AS ({inf.resample_sql("c", "model", ["f", "d", "s", "n", "hit", "has"], REPORT_DRAWS, "x12")}),
+r AS (SELECT model, {RATES_SQL} FROM scored WHERE gated GROUP BY model), e AS (SELECT model, sum(has)::BIGINT AS n_dpe, sum(hit)::DOUBLE / nullif(sum(has), 0) AS dpe FROM by_problem GROUP BY model),
+i AS (SELECT model, {", ".join(f"round(quantile_cont({x} / nullif({y}, 0), {q}), 9) AS {name}_{side}" for x, y, name in _CIS for q, side in ((0.025, "lo"), (0.975, "hi")))} FROM draws GROUP BY model)
+SELECT r.*, round(r.sigma - r.phi - r.delta, 12) AS residual, e.n_dpe, e.dpe, i.* EXCLUDE (model), r.n >= 30 AS enough FROM r JOIN e USING (model) JOIN i USING (model)""",
     "scored",
 )
 def x12_report(spark, sf):
-    """All rates of a system in one row; the directed effect has a denominator of its own."""
+    """All rates of a system in one row, with intervals that resample whole problems; the directed effect has a denominator of its own."""
     from tracegrain.functions.equality import eq_rel
 
-    rows = gated(spark, sf)
-    hit = eq_rel("ans_treat", "den_treat").cast("int") - eq_rel("ans_placebo", "den_treat").cast("int")
+    rows, o = gated(spark, sf), F.col("outcome")
+    one = lambda c: c.cast("int")
     has = F.col("ans_placebo").isNotNull()
-    o = F.col("outcome")
-    t = rows.groupBy("model").agg(F.count("*").alias("n"), share(o == "F").alias("phi"), share(o == "R").alias("psi"), share(o == "D").alias("delta"), share(F.col("changed")).alias("sigma"), F.count(F.when(has, 1)).alias("n_dpe"), (F.sum(F.when(has, hit)) / F.count(F.when(has, 1))).alias("dpe"))
-    return t.withColumn("enough", F.col("n") >= 30)
+    hit = one(eq_rel("ans_treat", "den_treat")) - one(eq_rel("ans_placebo", "den_treat"))
+    sums = {"f": one(o == "F"), "r": one(o == "R"), "d": one(o == "D"), "s": one(F.col("changed")), "n": F.lit(1), "hit": F.when(has, hit).otherwise(0), "has": one(has)}
+    c = inf.cluster_sums(rows, "model", "problem_id", sums)
+    rate = lambda x, y: F.try_divide(F.col(x), F.col(y))
+    draws = inf.resample(c, "model", ["f", "d", "s", "n", "hit", "has"], REPORT_DRAWS, "x12")
+    cis = {f"{name}_{side}": ci for x, y, name in _CIS for side, ci in zip(("lo", "hi"), inf.percentile_ci(rate(x, y)), strict=True)}
+    intervals = draws.groupBy("model").agg(*(v.alias(k) for k, v in cis.items()))
+    t = c.groupBy("model").agg(*(F.sum(k).alias(k) for k in sums))
+    rates = [rate(x, "n").alias(name) for x, name in (("f", "phi"), ("r", "psi"), ("d", "delta"), ("s", "sigma"))]
+    residual = F.round(rate("s", "n") - rate("f", "n") - rate("d", "n"), 12)
+    t = t.select("model", "n", *rates, residual.alias("residual"), F.col("has").alias("n_dpe"), rate("hit", "has").alias("dpe"), (F.col("n") >= 30).alias("enough"))
+    return t.join(intervals, "model")

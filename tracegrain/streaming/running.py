@@ -14,10 +14,10 @@ def record_stream(spark: SparkSession, path: str, schema: StructType, files_at_o
 
 
 def running_counts(records: DataFrame) -> DataFrame:
-    """Counts by system over records seen once; a record that arrives again changes nothing.
+    """Counts by system over records seen once; a record that arrives again within the input's watermark changes nothing.
 
-    With an event time and a watermark on the input, the memory of what was seen is bounded by the watermark."""
-    once = records.dropDuplicates(["model", "record_id"])
+    The input has an event time with a watermark, which bounds the memory of what was seen."""
+    once = records.dropDuplicatesWithinWatermark(["model", "record_id"])
     rows = scored(once).where("gated")
     n_of = lambda x: F.count(F.when(F.col("outcome") == x, 1))
     return rows.groupBy("model").agg(F.count("*").alias("n"), n_of("F").alias("follow"), n_of("R").alias("restore"), n_of("D").alias("derail"))

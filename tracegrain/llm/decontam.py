@@ -246,7 +246,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, blo
     """The rows of ``docs``, with all their columns, that hold no window of the benchmark."""
     hit = _found(docs, benchmark, size, block_words).where(F.size("spans") > 0).select(F.col("doc_id").alias("hit_id"), F.col("tie").alias("hit_tie")).distinct()
     # Few of many: Spark sends this table to all tasks if it is small enough, and shuffles otherwise.
-    hit = materialise(hit, "contaminated")
+    hit = materialise(hit, "contaminated", 8)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("text").alias("tie"))
     return rows.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("tie") == F.col("hit_tie")), "left_anti").select("row.*")
 

@@ -247,8 +247,8 @@ def _across(percent: int):
                 if j < i + block:
                     fits &= np.arange(i, min(i + block, len(ids)))[:, None] < np.arange(j, min(j + 4096, len(ids)))[None, :]
                 x, y = np.nonzero(fits)
-                for k in range(0, len(x), 50_000):
-                    p, q = near(key, ids, sig, more, x[k : k + 50_000] + i, y[k : k + 50_000] + j)
+                for k in range(0, len(x), 10_000):
+                    p, q = near(key, ids, sig, more, x[k : k + 10_000] + i, y[k : k + 10_000] + j)
                     if len(p):
                         yield np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])
 
@@ -279,9 +279,13 @@ def _across(percent: int):
     return run
 
 
+#: Links and labels are few beside the documents: a table of them is written by a task for so many partitions; of classes and keys by one for two.
+FEW, SOME = 8, 2
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each id of the edges (a, b) reaches; large-star/small-star rounds."""
-    e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
+    e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges", FEW)
     while True:
         many = e.groupBy("a").count().where("count > 1").limit(1).count()
         if not many and not e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count():
@@ -289,10 +293,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialise(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        e = materialise(small, "small-star")
+        e = materialise(small, "stars", FEW)
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
@@ -303,14 +306,14 @@ ROUNDS = 2
 def _merged(label: DataFrame | None, links: DataFrame, tag: str) -> DataFrame:
     """Components (id, component) after adding links (a, b) to those known."""
     if label is None:
-        return materialise(components(links), tag)
+        return materialise(components(links), tag, FEW)
     at = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
     bridges = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", F.coalesce("of_a", "a").alias("x"), F.coalesce("of_b", "b").alias("y"))
-    bridges = materialise(bridges, f"{tag}-bridges")
+    bridges = materialise(bridges, f"{tag}-bridges", FEW)
     more = components(bridges.select(F.col("x").alias("a"), F.col("y").alias("b")))
     ids = label.unionByName(bridges.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(label, "id", "left_anti").select("id", F.col("id").alias("component")))
     up = more.select(F.col("id").alias("component"), F.col("component").alias("top"))
-    return materialise(ids.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component")), tag)
+    return materialise(ids.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component")), tag, FEW)
 
 
 def _key_of_rows(docs: DataFrame, *more) -> DataFrame:
@@ -332,23 +335,23 @@ def labelled(docs: DataFrame, percent: int = 75) -> DataFrame:
     signed = materialise(src.mapInArrow(_sign, "doc long, tie long, n_shingles long, set_a long, set_b long, sig binary"), "signatures")
     # A class of equal sets is known by half of its sets' 128-bit fingerprint.
     classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min(F.struct("doc", "tie")).alias("first"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    classes = materialise(classes.withColumn("id", F.col("set_a")), "classes")
+    classes = materialise(classes.withColumn("id", F.col("set_a")), "classes", SOME)
     filed = classes.select("id", "sig").mapInArrow(_file(8 * n), "bucket int, payload binary").repartition(n, "bucket")
-    met = materialise(filed.mapInArrow(_meet, _MET), "met")
+    met = materialise(filed.mapInArrow(_meet, _MET), "met", SOME)
     links = met.groupBy("id").agg(F.sum("size").alias("links"))
-    members = materialise(met.select("key", "id").join(links, "id"), "members")
+    members = materialise(met.select("key", "id").join(links, "id"), "members", SOME)
     near = classes.join(links, "id", "left_semi").select("id", "first.doc", "first.tie")
     # One text of each class that shares a key.
-    texts = materialise(src.join(near, ["doc", "tie"]).select("id", "text").dropDuplicates(["id"]), "near-texts")
+    texts = materialise(src.join(near, ["doc", "tie"]).select("id", "text").dropDuplicates(["id"]), "near-texts", SOME)
     label, tried = None, None
     for step in range(ROUNDS):
         own = members.withColumn("label", F.col("id")) if label is None else members.join(label, "id", "left").withColumn("label", F.coalesce("component", "id"))
-        pairs = materialise(best_hubs(own, tried), "hub-pairs")
+        pairs = materialise(best_hubs(own, tried), "hub-pairs", FEW)
         tried = pairs if tried is None else tried.unionByName(pairs)
         label = _merged(label, confirm(pairs, texts, percent), f"components-{step}")
     named = members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
     split = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("count")).where("least < most").select("key", "count")
-    open_ = materialise(named.join(split, "key"), "open")
+    open_ = materialise(named.join(split, "key"), "open", SOME)
     more = texts.join(open_.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_sign_more, "id long, more binary")
     rest = in_blocks(open_, BLOCK).join(classes.select("id", "n", "sig").join(more, "id"), "id")
     dealt = rest.select("key", "lo", "hi", "id", "label", "part", "n", "sig", "more").repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")

@@ -490,6 +490,117 @@ def test_empty_tables(spark):
     assert hilbert_pack.pack(none, queries.tokenizer("word_bpe_49k.json"), 1).count() == 0
     assert chat_collapse.render(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     assert url_trees.judge(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality_gam.score(none, quality_gam.fit(none, labels)).count() == 0
+    model = lang_mixture.fit(none.withColumn("lang", F.lit("en")))
+    assert model.langs == () and lang_mixture.identify(none, model).count() == 0
+
+
+def test_long_text_against_brute_force(spark):
+    """A text of more than 1 MiB, with passages that repeat within it, across the pieces it is read in, and in another text."""
+    rng = random.Random(21)
+    say = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, edge = say(300), say(250)
+    long = say(1 << 19) + passage + say((1 << 19) - 420) + edge + say(90_000) + passage + edge + say(1000)
+    docs = [(1, say(50) + edge[:160]), (2, long), (3, passage + say(40))]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_array_dedup(frame(spark, docs), keep_text=False).collect()}
+    assert got == brute.suffix(docs)
+    words = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(3000)) for _ in range(140_000))
+    rows = [(1, words), (2, words + " end"), (3, "x " + words), (4, words.upper())]
+    assert sum(map(len, words)) > 1 << 20
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(frame(spark, rows)).collect()} == brute.near(rows)
+    items = [(7, " ".join(words.split()[70_000:70_020]))]
+    found = decontam.report(decontam.decontaminate(frame(spark, rows), frame(spark, items, "item_id long, text string", 1)))
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found.collect()} == brute.contamination(rows, items)
+    judged = {r.doc_id: r for r in compression_rules.compression_rules(frame(spark, rows)).collect()}
+    assert all((judged[d].kept, judged[d].n_chunks, judged[d].n_odd_chunks) == brute.compression(t, compression_rules.Limits()) for d, t in rows)
+
+
+def test_sequences_follow_the_curve(spark, texts):
+    rows = hilbert_pack.pack(frame(spark, texts), queries.tokenizer("word_bpe_49k.json"), 1, length=128).collect()
+    key = dict(zip((d for d, _ in texts), hilbert_pack.hilbert(hilbert_pack.project(pa.array([t for _, t in texts], pa.string())), hilbert_pack.BITS).tolist(), strict=True))
+    order = [(key[r.doc_id], r.doc_id, r.start) for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset))]
+    assert order == sorted(order)
+
+
+def test_scores_by_hand():
+    """Scores are sums of table entries, and a tree of depth one is the best single cut of all."""
+    rng = np.random.default_rng(5)
+    x = rng.random((300, 4)).round(2)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float)
+    m = quality_gam.fit_gam(x, y, rounds=10, pair_rounds=5, n_pairs=2, n_bins=8)
+    for row, got in zip(x[:40], m.score(x[:40]), strict=True):
+        b = [sum(c <= v for c in cuts) for cuts, v in zip(m.cuts, row, strict=True)]
+        f = m.base + sum(t[i] for t, i in zip(m.tables, b, strict=True))
+        f += sum(t[b[i] * 8 // (len(m.cuts[i]) + 1), b[j] * 8 // (len(m.cuts[j]) + 1)] for (i, j), t in zip(m.pairs, m.pair_tables, strict=True))
+        assert abs(got - 1 / (1 + np.exp(-f))) < 1e-12
+    g, h, lam = rng.normal(size=9), rng.random(9) + 0.1, 2.0
+    gain = lambda k: sum(g[s].sum() ** 2 / (h[s].sum() + lam) for s in (slice(0, k), slice(k, 9)))
+    k = max(range(1, 9), key=gain)
+    want = np.concatenate([np.full(k, g[:k].sum() / (h[:k].sum() + lam)), np.full(9 - k, g[k:].sum() / (h[k:].sum() + lam))])
+    assert np.allclose(quality_gam._tree(g, h, 1, lam), want)
+
+
+def test_labels_are_bounded_by_ids(spark):
+    """An id with many rows teaches once for each of its labels; a label counts as often as it occurs."""
+    docs = frame(spark, [(1, "a b c")] * 50 + [(1, "other")] + [(2, "d e f g")] + [(None, "x")])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0), (None, 1), (3, 1), (2, None)], "doc_id long, quality int")
+    seen = {}
+    quality_gam.fit_gam, kept = lambda x, y: seen.update(n=len(y), ones=int(y.sum())), quality_gam.fit_gam
+    try:
+        quality_gam.fit(docs, labels)
+    finally:
+        quality_gam.fit_gam = kept
+    assert seen == {"n": 4, "ones": 2}
+
+
+def test_rows_without_an_id(spark):
+    """Rows that repeat, share an id or have none, each with a result of its own text."""
+    rows = [(1, "one two three"), (1, "one two three"), (1, "vier fünf sechs"), (None, "one two three"), (None, None), (2, "")]
+    docs = clash(frame(spark, rows))
+    model = lang_mixture.fit(docs.withColumn("lang", F.when(F.col("text").contains("vier"), "de").otherwise("en")))
+    assert sorted(((r.doc_id, r.lang_pred) for r in lang_mixture.identify(docs, model).collect()), key=repr) == sorted([(1, "en"), (1, "en"), (1, "de"), (None, "en"), (None, "und"), (2, "und")], key=repr)
+    assert quality_gam.score(docs, quality_gam.fit_gam(np.zeros((0, 19)), np.zeros(0))).count() == compression_rules.compression_rules(docs).count() == len(rows)
+    packed = hilbert_pack.pack(docs, queries.tokenizer("word_bpe_49k.json"), 1).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    ids = brute.encode(queries.tokenizer("word_bpe_49k.json"), [t for _, t in rows], 1)
+    assert {r.doc_id: r.n for r in packed} == {d: sum(len(x) for (e, _), x in zip(rows, ids, strict=True) if e == d) for d in (1, None, 2)}
+    stored = token_store.read_tokens(*token_store.write_tokens(docs, queries.tokenizer("byte_bpe_50k.json"), 2)).collect()
+    assert sorted(r.doc_id for r in stored) == [1, 1, 1, 2]
+
+
+def test_stages_on_odd_rows(spark):
+    """Every stage on rows that repeat, share an id, have none, have no text, and on none at all, with clashing columns."""
+    import corpus_pipeline as p
+
+    rng = random.Random(13)
+    say = lambda n: " ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 9))) for _ in range(n))
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 80").first().text
+    a, b, c = say(120), say(120), say(150)
+    rows = [(1, a), (1, a), (1, b), (2, a + " more"), (None, b), (None, c), (None, None), (3, ""), (4, "too short"), (5, say(80) + " " + bench), (6, say(150))]
+    docs = frame(spark, rows).withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long")})
+    order = lambda rows: sorted(rows, key=repr)
+    of = lambda name, d: order((r.doc_id, r.text) for r in dict(p.STAGES)[name](spark, clash(d), SF).collect())
+    assert of("quality_rules", docs) == order((d, t) for d, t in rows if brute.compression(t, compression_rules.Limits())[0])
+    assert of("near_duplicates", docs) == order([rows[0], rows[2], rows[5], *rows[6:]])
+    left = of("repeated_passages", docs)
+    assert len(left) == len(rows) and left.count((1, a)) == 2 and (1, b) in left and (None, c) in left and not {(None, b), (2, a + " more")} & set(left)
+    assert of("benchmark_free", docs) == order(r for r in rows if r[0] != 5)
+    assert {r.doc_id for r in p.packing(spark, clash(docs), SF).collect()} == {1, 2, 3, 4, 5, 6, None}
+    for name, stage in p.STAGES:
+        none = stage(spark, clash(docs.limit(0)), SF)
+        assert none.count() == 0 and (name == "packing" or none.columns == p.COLUMNS)
+
+
+def test_tables_of_a_job_go(spark, tmp_path):
+    import os
+
+    from tracegrain.sources import scratch
+
+    begin = scratch.made()
+    one, two = (scratch.materialise(spark.range(n), "job") for n in (3, 5))
+    scratch.discard(spark, begin)
+    assert two.count() == 5 and scratch.made() == begin + 1
+    assert not os.path.exists(one.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])
 
 
 def test_pipeline(spark):

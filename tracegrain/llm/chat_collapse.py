@@ -6,8 +6,9 @@ window. A conversation whose whole fingerprint is another one's proper prefix is
 conversations the smallest conv_id stays. Only then is text put together.
 
 Turns are ordered by turn, then role, then text, nulls first; rows that repeat are turns of their own; a null role or text is
-not the empty string, but is rendered as one; rows with a null conv_id are one conversation; an empty table gives no rows;
-other columns are not looked at.
+not the empty string, but is rendered as one; rows with a null conv_id are one conversation; very long texts are hashed and rendered
+whole; of equal conversations the smallest conv_id stays (null last); an empty table gives no rows; other columns, whatever their
+names, are not looked at.
 """
 
 from __future__ import annotations

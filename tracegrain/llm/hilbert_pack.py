@@ -6,9 +6,10 @@ key, Spark range-sorts by it, and each range lays its documents end to end and c
 sequence holds neighbours on the curve. What is left at the end of a range becomes sequences of powers of two, which
 need no padding.
 
-Null and empty texts are the end id only; equal texts have equal keys and are neighbours (ties go by doc_id, then by
-ids); keys are split over ranges by doc_id too, so many copies don't meet in one task. An empty table gives no
-pieces; other columns are not looked at.
+Null and empty texts are the end id only; equal texts have equal keys and are neighbours (ties go by doc_id, null first, then by
+ids); keys are split over ranges by doc_id too, so many copies don't meet in one task. Rows that repeat, share an id or have none
+are packed each by itself. A very long text is tokenised whole and cut over as many sequences as it needs. An empty table gives no
+pieces; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

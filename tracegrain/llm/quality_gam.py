@@ -5,10 +5,12 @@ bins to the current residuals (Newton steps on the logistic loss, from histogram
 feature's lookup table. Pairs of features are ranked by how much a two-way split of the residuals gains,
 and the best get tables of their own, boosted in the same way. A score is a sum of table entries, one gather for each table.
 
-The model is fitted on at most ``SAMPLE`` labelled rows, those with the smallest hash of doc_id; that bound is a
-parameter. Scoring covers every row. Null and empty texts have all features zero and get a score like any other;
-rows whose label is null teach nothing; with no labelled row every score is 0.5; repeated labels count as often as they
-occur; an empty table gives no rows; other columns are not looked at.
+The model is fitted on at most ``SAMPLE`` labels (pairs of doc_id and label), those with the smallest hash of doc_id; that bound is a
+parameter. Scoring covers every row. Null and empty texts have all features zero and get a score like any other; very long
+texts are read whole; rows that repeat, share an id or have none are scored each by its own text. A label that repeats counts as often as
+it occurs; of several texts with a labelled id the one with the smallest hash teaches; rows whose label or doc_id is null teach
+nothing; of splits with equal gains the first is taken; with no labelled row every score is 0.5; an empty table gives no rows;
+other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -178,18 +180,21 @@ def fit_gam(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int =
 def _featured(batches):
     for whole in batches:
         for batch in slices(whole):
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(features(batch.column("text")).tolist(), pa.list_(pa.float32()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("n"), pa.array(features(batch.column("text")).tolist(), pa.list_(pa.float32()))], names=["y", "n", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Gam:
     """Learn from labels (doc_id, and a column of 0 and 1) of the documents."""
     ship_code(docs.sparkSession)
-    some = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    # At most ``sample`` rows of twelve bytes.
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("y", "text").mapInArrow(_featured, "y int, x array<float>").toPandas()
-    x = np.array(rows["x"].tolist(), np.float32).reshape(len(rows), -1)
-    y = rows["y"].to_numpy(float)
-    order = np.lexsort((y, *x.T)) if len(rows) else []
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id", F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n"))
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
+    # At most ``sample`` rows of twenty bytes go to all tasks, and as many rows of features come back.
+    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    one = joined.groupBy("doc_id", "y", "n").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.select("y", "n", "text").mapInArrow(_featured, "y int, n long, x array<float>").toPandas()
+    x = np.array(rows["x"].tolist(), np.float32).reshape(len(rows), len(FEATURES))
+    y, n = rows["y"].to_numpy(float), rows["n"].to_numpy(np.int64)
+    order = np.repeat(np.lexsort((n, y, *x.T)), n[np.lexsort((n, y, *x.T))]) if len(rows) else []
     return fit_gam(x[order], y[order])
 
 

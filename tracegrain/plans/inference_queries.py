@@ -133,6 +133,17 @@ def x06_upper_limit(spark, sf):
     return t.select("model", F.col("c_eff").alias("c"), "n_eff", F.round(inf.upper("c_eff", "n_eff"), 6).alias("up"), F.round("m", 6).alias("m"))
 
 
+@query(
+    f"""WITH counts AS ({counts_sql("worst")}), pairs AS (SELECT derail AS c, n FROM counts UNION SELECT n - derail AS c, n FROM counts), {inf.upper_sql("pairs", "0.025")}
+SELECT model, derail, counts.n AS n, round(1 - l.up, 6) AS lo, round(u.up, 6) AS hi FROM counts JOIN bound l ON l.c = counts.n - derail AND l.n = counts.n JOIN bound u ON u.c = derail AND u.n = counts.n""",
+    "scored",
+)
+def x07_two_sided(spark, sf):
+    """Exact two-sided intervals of derailment, half of the error on each side."""
+    t = outcome_counts(scored(items(spark, sf)).where("recount"), "model")
+    return t.select("model", "derail", "n", F.round(inf.lower("derail", "n", 0.025), 6).alias("lo"), F.round(inf.upper("derail", "n", 0.025), 6).alias("hi"))
+
+
 def gaps(spark, sf):
     """Each system's lead over the next; no audit can certify a lead of nothing."""
     r = outcome_rates(gated(spark, sf), "model").select("model", "sigma")
@@ -369,18 +380,25 @@ def r05_grid(spark, sf):
     return adj.join(rank.linear_extensions(cells, k, by), by).join(f, by, "left").select(*by, F.coalesce("determined", F.lit(0)).alias("determined"), "adjacent", F.col("rankings").cast("bigint"))
 
 
+_FIELDS = ("n", "phi", "psi", "delta", "sigma")
+_FAR = {c: f"abs(a.{c} - b.{c}) > {0 if c == 'n' else 0.001}" for c in _FIELDS}
+
+
 @query(
     f"""WITH a AS (SELECT model, {RATES_SQL} FROM scored WHERE gated GROUP BY model), b AS (SELECT model, {RATES_SQL} FROM scored WHERE recount AND model <> 'sys5' GROUP BY model)
-SELECT coalesce(a.model, b.model) AS model, CASE WHEN a.model IS NULL THEN 'not expected' WHEN b.model IS NULL THEN 'missing' WHEN abs(a.sigma - b.sigma) > 0.001 OR abs(a.phi - b.phi) > 0.001 THEN 'differs' ELSE 'ok' END AS verdict FROM a FULL JOIN b ON a.model = b.model""",
+SELECT coalesce(a.model, b.model) AS model, CASE WHEN a.model IS NULL THEN 'not expected' WHEN b.model IS NULL THEN 'missing' WHEN {" OR ".join(_FAR.values())} THEN 'differs' ELSE 'ok' END AS verdict,
+  concat_ws(',', {", ".join(f"CASE WHEN {x} THEN '{c}' END" for c, x in _FAR.items())}) AS fields FROM a FULL JOIN b ON a.model = b.model""",
     "scored",
 )
 def r06_provenance(spark, sf):
-    """Recomputed rates against expected ones, within a tolerance."""
+    """Recomputed rates against expected ones, field by field within a tolerance; counts have none."""
     rows = scored(items(spark, sf))
-    a = outcome_rates(rows.where("gated"), "model").select("model", F.col("sigma").alias("s1"), F.col("phi").alias("p1"))
-    b = outcome_rates(rows.where("recount and model <> 'sys5'"), "model").select("model", F.col("sigma").alias("s2"), F.col("phi").alias("p2"))
-    far = (F.abs(F.col("s1") - F.col("s2")) > 0.001) | (F.abs(F.col("p1") - F.col("p2")) > 0.001)
-    return a.join(b, "model", "full").select("model", F.when(F.col("s1").isNull(), "not expected").when(F.col("s2").isNull(), "missing").when(far, "differs").otherwise("ok").alias("verdict"))
+    side = lambda where, i: outcome_rates(rows.where(where), "model").select("model", *(F.col(c).alias(f"{c}{i}") for c in _FIELDS))
+    t = side("gated", 1).join(side("recount and model <> 'sys5'", 2), "model", "full")
+    far = {c: F.abs(F.col(f"{c}1") - F.col(f"{c}2")) > (0 if c == "n" else 0.001) for c in _FIELDS}
+    fields = F.concat_ws(",", *(F.when(x, c) for c, x in far.items()))
+    verdict = F.when(F.col("n1").isNull(), "not expected").when(F.col("n2").isNull(), "missing").when(fields != "", "differs").otherwise("ok")
+    return t.select("model", verdict.alias("verdict"), fields.alias("fields"))
 
 
 @query(f"WITH p AS (SELECT model, 1.0::DOUBLE * {h_sql("'p'", 'model')} / 4294967296 / 40 AS p FROM items GROUP BY model), h AS (SELECT model, p, row_number() OVER (ORDER BY p, model) AS k, count(*) OVER () AS m FROM p) SELECT model, round(p, 12) AS p, round(least(1, max((m - k + 1) * p) OVER (ORDER BY k)), 12) AS holm_p FROM h", "items")

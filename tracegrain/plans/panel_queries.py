@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracegrain.functions.portable import h, h_sql
 from tracegrain.operators.joins import as_of_start, overlapping_boxes
@@ -12,6 +13,8 @@ from tracegrain.operators.rates import RATES_SQL, outcome_rates, share
 from tracegrain.plans.rate_queries import gated, items
 from tracegrain.plans.registry import query
 from tracegrain.sources.fixtures import table, view
+from tracegrain.sources.scratch import new_path
+from tracegrain.sources.sinks import STATE, canonical, last_file, write_json
 
 
 @query("SELECT model, fraction, count(*) AS n, count(*) FILTER (WHERE ans_truncated = ans_full)::DOUBLE / count(*) AS at_answer FROM rollouts GROUP BY model, fraction", "rollouts")
@@ -201,17 +204,41 @@ def j11_within_record(spark, sf):
     return items(spark, sf).where("status = 'copyable' and ans_copyable is not null and ans_treat is not null").select("model", "record_id", (F.col("ans_copyable") == F.col("den_copyable")).alias("copy_hit"), (F.col("ans_treat") == F.col("den_treat")).alias("treat_hit"))
 
 
-@query("SELECT model, count(*) AS n FROM items WHERE model IN ('sys1', 'sys3') AND seed <> 2 GROUP BY model", "items")
+def states(spark, sf):
+    """Items written as state documents, one for each system, seed and slot with its records inside, and read back: (model, file, records).
+
+    A file is named by system and seed; runs of seed 1 carry a tag. Slots grow with the orders, so no document does."""
+    rows = items(spark, sf).withColumn("slot", F.split("record_id", ":")[2])
+    name = F.concat(F.lit("full_"), F.col("model"), F.lit("_"), F.col("seed").cast("string"), F.when(F.col("seed") == 1, "_grammar").otherwise(""), F.lit(".json"))
+    record = F.struct("record_id", "problem_id", "status", F.col("seed").cast("bigint").alias("seed"), "gold", "den_clean", "den_treat", F.struct(F.col("ans_control").alias("control"), F.coalesce("ans_treat", F.lit(float("nan"))).alias("treat")).alias("answers"))
+    runs = rows.groupBy("model", "slot", name.alias("file")).agg(F.collect_list(record).alias("records"))
+    path = new_path(spark, "states")
+    write_json(runs, path)
+    return spark.read.schema(T.StructType([*STATE.fields, T.StructField("file", T.StringType())])).json(path).select("model", "file", "records")
+
+
+_FILE = "concat('full_', model, '_', seed, CASE WHEN seed = 1 THEN '_grammar' ELSE '' END, '.json')"
+
+
+@query(f"SELECT model, {_FILE} AS file, count(*) AS n, count(ans_treat) AS n_answered, count(*) FILTER (WHERE status = 'built') AS n_built, sum(den_clean) AS total FROM items GROUP BY model, seed", "items")
+def s01_read_states(spark, sf):
+    """Records of all state files, one row each; an answer that was no number comes back as missing."""
+    r = states(spark, sf).select("model", "file", F.inline("records"))
+    return r.groupBy("model", "file").agg(F.count("*").alias("n"), F.count("answers.treat").alias("n_answered"), F.count(F.when(F.col("status") == "built", 1)).alias("n_built"), F.sum("den_clean").alias("total"))
+
+
+@query(f"SELECT model, count(*) AS n FROM items WHERE {_FILE} IN ('full_sys1_0.json', 'full_sys3_1_grammar.json', 'full_sys3_2.json') AND seed <> 1 GROUP BY model", "items")
 def s02_canonical(spark, sf):
-    """Whitelisted systems, tagged runs left out."""
-    return items(spark, sf).where(F.col("model").isin("sys1", "sys3") & (F.col("seed") != 2)).groupBy("model").agg(F.count("*").alias("n"))
+    """Records of whitelisted files; tagged files are left out even if they are named."""
+    kept = canonical(states(spark, sf), ["full_sys1_0.json", "full_sys3_1_grammar.json", "full_sys3_2.json"])
+    return kept.groupBy("model").agg(F.sum(F.size("records")).alias("n"))
 
 
-@query("SELECT model, max(seed) AS seed, count(DISTINCT seed) AS n_runs, count(*) FILTER (WHERE seed = last) AS n_kept FROM (SELECT *, max(seed) OVER (PARTITION BY model) AS last FROM items) GROUP BY model", "items")
+@query(f"SELECT model, max({_FILE}) AS file, count(DISTINCT seed) AS n_files, count(*) FILTER (WHERE seed = last) AS n_kept FROM (SELECT *, max(seed) OVER (PARTITION BY model) AS last FROM items) GROUP BY model", "items")
 def s03_last_run(spark, sf):
-    """Several runs of one system: the last one counts, and how many there were is told."""
-    runs = items(spark, sf).groupBy("model", "seed").agg(F.count("*").alias("n"))
-    return runs.groupBy("model").agg(F.max("seed").alias("seed"), F.count("*").alias("n_runs"), F.max_by("n", "seed").alias("n_kept"))
+    """Several files of one system: the last by name counts, and how many there were is told."""
+    kept = last_file(states(spark, sf).select("model", "file", F.size("records").alias("n")))
+    return kept.groupBy("model", "file").agg(F.max("n_files").alias("n_files"), F.sum("n").alias("n_kept"))
 
 
 PANEL = 150

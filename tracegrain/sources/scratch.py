@@ -27,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
 _made: list[str] = []
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A place for one more table."""
+    _made.append(f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
 def materialise(df: DataFrame, tag: str, share: int = 1) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts the lineage
     for good: a lost executor costs no more than the tasks that read the table.
@@ -34,11 +40,10 @@ def materialise(df: DataFrame, tag: str, share: int = 1) -> DataFrame:
     A table that is far smaller than what it comes from (links, labels) is written by one task for each ``share`` partitions, so that it
     isn't a heap of tiny files. Such tables stay, as checkpoints do, for what reads them later; ``discard`` deletes those of a job that is done."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     if share > 1:
         df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
     df.write.option("compression", "zstd").parquet(path)
-    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +15,21 @@ def latex_rows(rows: DataFrame, name: str, whole: list[str], rates: list[str]) -
     return rows.select(F.concat(F.concat_ws(" & ", *cells), F.lit(" \\\\")).alias("line"))
 
 
+def _clean(x: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        return finite(x)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda e: _clean(e, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(x, lambda _, v: _clean(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(x.isNotNull(), F.struct(*(_clean(x[f.name], f.dataType).alias(f.name) for f in kind)))
+    return x
+
+
 def clean(rows: DataFrame) -> DataFrame:
-    """NaN and infinities as null, which JSON can hold."""
-    return rows.select(*(finite(f.name).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name) for f in rows.schema))
+    """NaN and infinities as null, which JSON can hold, however deep they lie in structs, arrays and map values."""
+    return rows.select(*(_clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in rows.schema))
 
 
 def write_json(rows: DataFrame, path: str, mode: str = "error") -> None:
@@ -63,6 +75,18 @@ def read_states(spark: SparkSession, path: str, drop_tagged: bool = True) -> Dat
     return raw.select("model", "file", "access_date", F.inline("records"))
 
 
+def canonical(states: DataFrame, names: list[str] | None = None, tag: str = "_grammar") -> DataFrame:
+    """Runs whose file is named (any, if no names are given) and carries no tag."""
+    keep = ~F.col("file").contains(tag)
+    return states.where(keep & F.col("file").isin(names) if names else keep)
+
+
+def last_file(states: DataFrame) -> DataFrame:
+    """Of several files of one model the last by name counts; ``n_files`` tells how many claimed it."""
+    per = states.groupBy("model").agg(F.max("file").alias("file"), F.countDistinct("file").alias("n_files"))
+    return states.join(per, ["model", "file"])
+
+
 def one_file_each(records: DataFrame) -> DataFrame:
     """Models that more than one file claims."""
     return records.groupBy("model").agg(F.array_sort(F.collect_set("file")).alias("files")).where(F.size("files") > 1)

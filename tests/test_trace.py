@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tracegrain.functions import trace as tr
 from tracegrain.plans.trace_queries import _copyable, placebo, treatment, with_edits
 
+# Fixed value: the canonical trace.
 TRACE = "cost = 3 * 7 = 21\naside = 4 * 2 = 8\ntotal = cost + 5 = 26\nThe final answer is 26"
 
 

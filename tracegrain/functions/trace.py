@@ -44,8 +44,10 @@ def _empty_null(x: Column) -> Column:
 
 
 def parse(text) -> Column:
-    """struct(steps, stated): steps is an array of (idx, name, lhs, op, rhs, value, a, b), the last two the operands' values if they are numbers; null if there is no step.
+    """struct(steps, stated): steps is an array of (idx, name, lhs, op, rhs, value, a, b, a_at, b_at, a_from, b_from); null if there is no step.
 
+    a and b are the operands' values if they are numbers; a_at and b_at the last earlier step that binds their names, a_from and
+    b_from the last step of all that does. Names are looked up here, once, so that evaluation and edits go by position.
     A line that states an answer is never a step; the last such line counts."""
     kept = lines(text)
     group = lambda line, i: F.regexp_extract(line, STEP, i)
@@ -53,12 +55,22 @@ def parse(text) -> Column:
         F.filter(kept, lambda x: ~x.rlike(ANSWER) & x.rlike(STEP)),
         lambda x, i: F.struct(i.alias("idx"), _empty_null(F.trim(group(x, 1))).alias("name"), F.trim(group(x, 2)).alias("lhs"), group(x, 3).alias("op"), F.trim(group(x, 4)).alias("rhs"), group(x, 5).cast("double").alias("value")),
     )
-    # Which operands are numbers is settled here, once, so that evaluation needs no regular expressions.
     number = lambda t: F.when(t.rlike(NUMBER), t).cast("double")
-    found = F.transform(parts, lambda s: F.struct(*(s[c].alias(c) for c in ("idx", "name", "lhs", "op", "rhs", "value")), number(s["lhs"]).alias("a"), number(s["rhs"]).alias("b")))
+
+    def bound(steps, token, before=None):
+        own = F.filter(steps, lambda t: (t["name"] == token) & (F.lit(True) if before is None else t["idx"] < before))
+        return F.try_element_at(own, F.lit(-1))["idx"]
+
+    def resolved(steps):
+        keep = ("idx", "name", "lhs", "op", "rhs", "value")
+        at = lambda s, c, k: (number(s[c]).alias(k), bound(steps, s[c], s["idx"]).alias(f"{k}_at"), bound(steps, s[c]).alias(f"{k}_from"))
+        return F.transform(steps, lambda s: F.struct(*(s[c].alias(c) for c in keep), *at(s, "lhs", "a"), *at(s, "rhs", "b")))
+
+    # As a lambda's argument the steps are made once, however often they are looked at.
+    found = F.transform(F.array(parts), resolved)[0]
     said = F.filter(kept, lambda x: x.rlike(ANSWER))
     stated = F.when(F.size(said) > 0, F.regexp_extract(F.element_at(said, -1), ANSWER, 1).cast("double"))
-    return F.when(F.size(found) > 0, F.struct(found.alias("steps"), stated.alias("stated")))
+    return F.transform(F.array(F.struct(found.alias("steps"), stated.alias("stated"))), lambda p: F.when(F.size(p["steps"]) > 0, p))[0]
 
 
 def evaluate(steps, edit_idx=None, edit_value=None) -> Column:
@@ -66,18 +78,17 @@ def evaluate(steps, edit_idx=None, edit_value=None) -> Column:
     steps = _c(steps)
     edit_idx = F.lit(None).cast("int") if edit_idx is None else _c(edit_idx)
     edit_value = F.lit(None).cast("double") if edit_value is None else _c(edit_value)
-    start = F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")).alias("env"), F.lit(None).cast("double").alias("last"), F.lit(True).alias("ok"))
+    start = F.struct(F.array().cast("array<double>").alias("values"), F.lit(True).alias("ok"))
 
     def step(acc, s):
-        a = F.coalesce(s["a"], F.try_element_at(acc["env"], s["lhs"]))
-        b = F.coalesce(s["b"], F.try_element_at(acc["env"], s["rhs"]))
+        a = F.coalesce(s["a"], F.get(acc["values"], s["a_at"]))
+        b = F.coalesce(s["b"], F.get(acc["values"], s["b_at"]))
         made = F.when(s["op"] == "+", a + b).when(s["op"] == "-", a - b).when(s["op"] == "*", a * b).otherwise(F.try_divide(a, b))
         value = F.when(s["idx"].eqNullSafe(edit_idx), edit_value).otherwise(made)
-        name = F.coalesce(s["name"], F.lit(""))
-        env = F.map_concat(F.map_filter(acc["env"], lambda k, v: k != name), F.map_filter(F.create_map(name, value), lambda k, v: (k != "") & v.isNotNull()))
-        return F.struct(env.alias("env"), value.alias("last"), (acc["ok"] & value.isNotNull()).alias("ok"))
+        values = F.concat(acc["values"], F.array(value))
+        return F.struct(values.alias("values"), (acc["ok"] & F.element_at(values, -1).isNotNull()).alias("ok"))
 
-    return F.aggregate(steps, start, step, lambda acc: F.when(acc["ok"], acc["last"]))
+    return F.aggregate(steps, start, step, lambda acc: F.when(acc["ok"], F.try_element_at(acc["values"], F.lit(-1))))
 
 
 def consistent(steps, stated) -> Column:
@@ -90,18 +101,12 @@ def feeding(steps) -> Column:
 
     The producer of a name is the last step that binds it."""
     steps = _c(steps)
-    n = F.size(steps)
-
-    def producer(token):
-        own = F.filter(steps, lambda s: s["name"] == token)
-        return F.when(F.size(own) > 0, F.element_at(own, -1)["idx"])
 
     def more(need, _):
-        used = F.filter(steps, lambda s: F.array_contains(need, s["idx"]))
-        found = F.flatten(F.transform(used, lambda s: F.array(producer(s["lhs"]), producer(s["rhs"]))))
+        found = F.flatten(F.transform(need, lambda i: F.array(F.get(steps, i)["a_from"], F.get(steps, i)["b_from"])))
         return F.array_union(need, F.array_compact(found))
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.array(F.element_at(steps, -1)["idx"]), more)
+    return F.aggregate(F.sequence(F.lit(1), F.size(steps)), F.array(F.element_at(steps, -1)["idx"]), more)
 
 
 def literals(steps, edit_idx=None, edit_value=None) -> Column:

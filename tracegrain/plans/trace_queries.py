@@ -19,6 +19,10 @@ def parsed(spark, sf):
     return t.where("p is not null").select("model", "problem_id", "record_id", "trace", "p.steps", "p.stated")
 
 
+# A number with its thousands set apart; a count of billions in a lower-cased name.
+GROUPED = r"-?\d+(?:,\d{3})*(?:\.\d+)?"
+BILLIONS = r"(?<![.\d])(\d+(?:\.\d+)?)b(?![A-Za-z])"
+
 N_STEPS = "2 + extra + CASE WHEN k <> 7 THEN 1 ELSE 0 END"
 COPYABLE = "(dt IN (7, q, 7 * q + 3, s, 7 * q + s) OR (k <> 7 AND dt IN (4, k, 4 * k)) OR (extra >= 1 AND dt IN (1, 7 * q + s + 1)) OR (extra >= 2 AND dt = 7 * q + s + 2))"
 
@@ -103,7 +107,7 @@ def p12_normalise(spark, sf):
 def p14_last_number(spark, sf):
     """The last number of a text, thousands set apart by commas."""
     text = F.concat(F.lit("He pays "), F.col("o_custkey").cast("string"), F.lit(" first. #### "), F.format_number(F.floor("o_totalprice"), 0))
-    numbers = F.regexp_extract_all(text, F.lit(r"-?\d+(?:,\d{3})*(?:\.\d+)?"), 0)
+    numbers = F.regexp_extract_all(text, F.lit(GROUPED), 0)
     return table(spark, sf, "orders").select("o_orderkey", F.replace(F.try_element_at(numbers, F.lit(-1)), F.lit(","), F.lit("")).cast("double").alias("last_number"))
 
 
@@ -131,7 +135,7 @@ def p15_math_answer(spark, sf):
 def p16_scale(spark, sf):
     """The last count of billions in a system's name; digits of a version are not one."""
     name = F.lower(F.concat(F.lit("org/Model-3.1-"), F.col("p_size").cast("string"), F.lit("B-instruct")))
-    found = F.regexp_extract_all(name, F.lit(r"(?<![.\d])(\d+(?:\.\d+)?)b(?![A-Za-z])"), 1)
+    found = F.regexp_extract_all(name, F.lit(BILLIONS), 1)
     return table(spark, sf, "part").select("p_partkey", F.try_element_at(found, F.lit(-1)).cast("double").alias("billions"))
 
 

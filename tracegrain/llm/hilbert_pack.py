@@ -19,6 +19,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tracegrain.llm.shared import U, fold, materialise, mix, partitions, ship_code, slices, utf8, word_hashes, words
 from tracegrain.llm.tokenise import SLICE, Chunks, from_bytes, id_bytes, with_end
@@ -147,5 +148,7 @@ def pack(docs: DataFrame, path: str, end: int, length: int = 2048, keep_ids: boo
     spark = docs.sparkSession
     ship_code(spark)
     ready = materialise(docs.select("doc_id", "text").mapInArrow(_prepare(path, end), "doc_id long, curve long, n long, ids binary"), "curve")
-    dealt = ready.repartitionByRange(partitions(spark), "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
+    # Two bytes an id.
+    n = partitions(spark, 2 * (ready.agg(F.sum("n")).first()[0] or 0))
+    dealt = ready.repartitionByRange(n, "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
     return dealt.select("doc_id", "n", "ids").mapInArrow(_pack(length, keep_ids), _PIECES + ", ids array<int>" * keep_ids)

@@ -330,12 +330,12 @@ def labelled(docs: DataFrame, percent: int = 75) -> DataFrame:
         raise ValueError("the signature distance is set for a similarity of 0.75 or more")
     spark = docs.sparkSession
     ship_code(spark)
-    n = partitions(spark)
     src = _key_of_rows(docs, "text")
     signed = materialise(src.mapInArrow(_sign, "doc long, tie long, n_shingles long, set_a long, set_b long, sig binary"), "signatures")
     # A class of equal sets is known by half of its sets' 128-bit fingerprint.
     classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min(F.struct("doc", "tie")).alias("first"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = materialise(classes.withColumn("id", F.col("set_a")), "classes", SOME)
+    n = partitions(spark, classes.count() * len(_CHOICES) * 16)
     filed = classes.select("id", "sig").mapInArrow(_file(8 * n), "bucket int, payload binary").repartition(n, "bucket")
     met = materialise(filed.mapInArrow(_meet, _MET), "met", SOME)
     links = met.groupBy("id").agg(F.sum("size").alias("links"))

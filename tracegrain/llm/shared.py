@@ -31,8 +31,13 @@ def ship_code(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes that a partition should hold.
+PARTITION = 1 << 26
+
+
+def partitions(spark: SparkSession, size: int | None = 0) -> int:
+    """The session's number of shuffle partitions, or more where so many bytes need them."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // PARTITION))
 
 
 def carried(docs: DataFrame, carry: tuple[str, ...], out: str, *more) -> tuple[DataFrame, StructType]:

@@ -506,8 +506,8 @@ def repeated_spans(docs: DataFrame, window: int = 100) -> DataFrame:
     """(doc, tie, spans array<struct<start, stop>>): byte spans, not yet merged, of what starts earlier elsewhere."""
     spark = docs.sparkSession
     ship_code(spark)
-    n = partitions(spark)
     src = _keyed(docs).drop("doc_id")
+    n = partitions(spark, src.agg(F.sum(F.octet_length("text").cast("long"))).first()[0])
     own = F.xxhash64("doc", "tie")
     cut = src.mapInArrow(_cut(window, 4 * n), _SPANS)
     # Spans that are settled already are spread by document, payloads by bucket.

@@ -139,11 +139,12 @@ def write_tokens(docs: DataFrame, path: str, end: int) -> tuple[DataFrame, DataF
     raw = materialise(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_tokenise(path, end), "doc_id long, n_tokens long, ids binary, seen binary"), "token-ids")
     counts = raw.where("seen is not null").select("seen").mapInArrow(_sums, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # As many rows as the vocabulary has.
-    order = np.array([r.id for r in sorted(counts.collect(), key=lambda r: (-r.n, r.id))], np.uint32)
+    seen = sorted(counts.collect(), key=lambda r: (-r.n, r.id))
+    order = np.array([r.id for r in seen], np.uint32)
     rank = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
     rank[order] = np.arange(len(order))
     rows = raw.where("doc_id is not null").select("doc_id", "n_tokens", "ids")
-    dealt = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    dealt = rows.repartitionByRange(partitions(spark, 2 * sum(r.n for r in seen)), "doc_id").sortWithinPartitions("doc_id", "ids")
     blocks = materialise(dealt.mapInArrow(_blocks(rank), "shard long, block long, n_ids long, body binary"), "token-blocks")
     ranks = materialise(spark.createDataFrame([(i, int(x)) for i, x in enumerate(order)], "rank long, id long"), "token-ranks")
     return blocks, ranks

@@ -281,6 +281,8 @@ def _across(percent: int):
 
 #: Links and labels are few beside the documents: a table of them is written by a task for so many partitions; of classes and keys by one for two.
 FEW, SOME = 8, 2
+#: Parts that a component's members are dealt into when they look for its first row.
+SALT = 32
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -358,7 +360,10 @@ def labelled(docs: DataFrame, percent: int = 75) -> DataFrame:
     pairs = dealt.mapInArrow(_across(percent), "a long, b long").join(tried, ["a", "b"], "left_anti")
     label = _merged(label, confirm(pairs, texts, percent), "components")
     firsts = label.join(classes.select("id", "first"), "id").groupBy("component").agg(F.min("first").alias("top"))
-    of_class = classes.join(label, "id", "left").join(firsts, "component", "left").select("set_a", "set_b", F.coalesce("top", "first").alias("first"))
+    # A component may hold a third of all classes: each of its parts finds its first row by itself.
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = label.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(firsts, ["component", "salt"]).select("id", "top")
+    of_class = classes.join(salted, "id", "left").select("set_a", "set_b", F.coalesce("top", "first").alias("first"))
     out = signed.select("doc", "tie", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")
     return out.select("doc", "tie", "n_shingles", F.coalesce("first", F.struct("doc", "tie")).alias("first"))
 

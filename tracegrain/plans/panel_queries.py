@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tracegrain.functions.portable import h, h_sql
 from tracegrain.operators.joins import as_of_start, overlapping_boxes
 from tracegrain.operators.panel import mid_ranks, roc_auc, spearman
+from tracegrain.operators.ranking import held
 from tracegrain.operators.rates import RATES_SQL, outcome_rates, share
 from tracegrain.plans.rate_queries import gated, items
 from tracegrain.plans.registry import query
@@ -95,8 +96,12 @@ def w02_mid_ranks(spark, sf):
 
 
 _PER_MODEL = f"""r AS (SELECT model, {RATES_SQL} FROM scored WHERE gated GROUP BY model),
-b AS (SELECT model, count(*) FILTER (WHERE ans_mistake <> ans_full)::DOUBLE / count(ans_mistake) AS mistake, count(*) FILTER (WHERE ans_filler <> ans_full)::DOUBLE / count(ans_filler) AS filler, count(*) FILTER (WHERE hint_verbalized)::DOUBLE / count(hint_verbalized) AS hint FROM rollouts WHERE fraction = 1 GROUP BY model),
-wide AS (SELECT r.model, r.phi, r.sigma, b.mistake, b.filler, b.hint FROM r JOIN b USING (model)), long AS (SELECT model, phi, metric, v FROM wide UNPIVOT (v FOR metric IN (sigma, mistake, filler, hint)))"""
+b AS (SELECT model, count(*) FILTER (WHERE ans_mistake <> ans_full)::DOUBLE / count(ans_mistake) AS mistake, count(*) FILTER (WHERE ans_filler <> ans_full)::DOUBLE / count(ans_filler) AS filler, count(*) FILTER (WHERE hint_verbalized)::DOUBLE / count(hint_verbalized) AS hint,
+  count(*) FILTER (WHERE ans_paraphrase <> ans_full)::DOUBLE / count(ans_paraphrase) AS paraphrase FROM rollouts WHERE fraction = 1 GROUP BY model),
+curve AS (SELECT model, fraction, count(*) FILTER (WHERE ans_truncated = ans_full)::DOUBLE / count(*) AS y FROM rollouts GROUP BY model, fraction),
+early AS (SELECT model, round(sum(area), 9) AS early FROM (SELECT model, (fraction - lag(fraction) OVER w) * (y + lag(y) OVER w) / 2 AS area FROM curve WINDOW w AS (PARTITION BY model ORDER BY fraction)) GROUP BY model),
+wide AS (SELECT r.model, r.phi, r.sigma, b.mistake, b.filler, b.hint, b.paraphrase, early.early FROM r JOIN b USING (model) JOIN early USING (model)),
+long AS (SELECT model, phi, metric, v FROM wide UNPIVOT (v FOR metric IN (sigma, mistake, filler, hint, paraphrase, early)))"""
 
 
 def per_model(spark, sf):
@@ -104,8 +109,10 @@ def per_model(spark, sf):
     r = outcome_rates(gated(spark, sf), "model").select("model", "phi", "sigma")
     roll = view(spark, sf, "rollouts").where("fraction = 1")
     rate = lambda c: F.count(F.when(F.col(f"ans_{c}") != F.col("ans_full"), 1)) / F.count(f"ans_{c}")
-    b = roll.groupBy("model").agg(rate("mistake").alias("mistake"), rate("filler").alias("filler"), (F.count(F.when(F.col("hint_verbalized"), 1)) / F.count("hint_verbalized")).alias("hint"))
-    return r.join(b, "model").unpivot(["model", "phi"], ["sigma", "mistake", "filler", "hint"], "metric", "v")
+    b = roll.groupBy("model").agg(rate("mistake").alias("mistake"), rate("filler").alias("filler"), (F.count(F.when(F.col("hint_verbalized"), 1)) / F.count("hint_verbalized")).alias("hint"), rate("paraphrase").alias("paraphrase"))
+    early = l01_early_area(spark, sf).withColumnRenamed("auc", "early")
+    wide = held(r.join(b, "model").join(early, "model"))
+    return wide.unpivot(["model", "phi"], ["sigma", "mistake", "filler", "hint", "paraphrase", "early"], "metric", "v")
 
 
 @query(

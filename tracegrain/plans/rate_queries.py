@@ -99,13 +99,15 @@ def a09_copy_control(spark, sf):
 
 @query(
     f"""SELECT model, count(*) AS n, count(*) FILTER (WHERE NOT ({lt("ans_treat", "den_clean")} OR {lt("ans_treat", "den_treat")}))::DOUBLE / count(*) AS treat_derail,
-  count(*) FILTER (WHERE NOT {lt("ans_placebo", "den_clean")})::DOUBLE / count(*) AS placebo_derail FROM items WHERE status = 'built' AND den_placebo IS NOT NULL GROUP BY model""",
+  count(*) FILTER (WHERE NOT {lt("ans_placebo", "den_clean")})::DOUBLE / count(*) AS placebo_derail, 1.0::DOUBLE AS treat_distance, 1.0::DOUBLE AS placebo_distance FROM items WHERE status = 'built' AND den_placebo IS NOT NULL GROUP BY model""",
     "items",
 )
 def a10_placebo_derail(spark, sf):
-    """Built rows that have a placebo text."""
-    rows = items(spark, sf).where("status = 'built' and den_placebo is not null")
-    return rows.groupBy("model").agg(F.count("*").alias("n"), share(~(eq_lt("ans_treat", "den_clean") | eq_lt("ans_treat", "den_treat"))).alias("treat_derail"), share(~eq_lt("ans_placebo", "den_clean")).alias("placebo_derail"))
+    """Built rows that have a placebo text: derailments under both edits, and how many tokens each edit changes in the text."""
+    from tracegrain.plans.trace_queries import edit_distances
+
+    rows = items(spark, sf).where("status = 'built' and den_placebo is not null").join(edit_distances(spark, sf), ["model", "record_id"])
+    return rows.groupBy("model").agg(F.count("*").alias("n"), share(~(eq_lt("ans_treat", "den_clean") | eq_lt("ans_treat", "den_treat"))).alias("treat_derail"), share(~eq_lt("ans_placebo", "den_clean")).alias("placebo_derail"), F.avg("treat_distance").alias("treat_distance"), F.avg("placebo_distance").alias("placebo_distance"))
 
 
 AUDITED = "seed = 0"

@@ -312,6 +312,14 @@ def b05_build_items(spark, sf):
     )
 
 
+def edit_distances(spark, sf):
+    """(model, record_id, treat_distance, placebo_distance) of the traces that have both edits."""
+    t = tr.pin(built(spark, sf), t=treatment(), pl=placebo()).where("t is not null and pl is not null")
+    text = lambda e: tr.render("steps", F.col(f"{e}.idx"), F.col(f"{e}.value"))
+    t = t.select("model", "record_id", tr.render("steps").alias("plain"), text("t").alias("treat"), text("pl").alias("placebo"))
+    return t.select("model", "record_id", *(token_distance("plain", c).alias(f"{c}_distance") for c in ("treat", "placebo")))
+
+
 _SHOWN = "list_concat([7, q, s], CASE WHEN k <> 7 THEN [4, k, 4 * k] ELSE [] END, CASE WHEN extra >= 1 THEN [1] ELSE [] END"
 
 

@@ -265,7 +265,22 @@ def test_chunks_of_random_texts(name):
         at = np.concatenate([[0], np.cumsum(n)])
         for j in range(len(n)):
             assert ids[at[j] : at[j + 1]].tolist() == want[i + j][:-1], repr(some[i + j])
-        tok.held = tokenise.REMEMBER + 1
+        if i % 10_000:
+            tok.held = tokenise.REMEMBER + 1
+        else:
+            tok.rest()
+
+
+def test_what_a_worker_keeps(monkeypatch):
+    tok = tokenise.Chunks(queries.tokenizer("byte_bpe_50k.json"))
+    for t in ("one two three", "zero two, three", "no three"):
+        tok.ids(pa.array([t]))
+    tok.rest()
+    assert set(tok.known) == {" two", " three"} and tok.ids(pa.array(["a two three"]))[0].tolist() == brute.encode(queries.tokenizer("byte_bpe_50k.json"), ["a two three"], 0)[0][:-1]
+    tok.rest()
+    monkeypatch.setattr(tokenise, "KEEP", 0)
+    tok.rest()
+    assert not tok.known and not tok.held
 
 
 def test_other_designs_go_whole(tmp_path):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegrain.llm.shared import U, fold, materialise, mix, partitions, ship_code, slices, utf8, word_hashes, words
-from tracegrain.llm.tokenise import SLICE, Chunks, from_bytes, id_bytes, with_end
+from tracegrain.llm.tokenise import SLICE, chunks, from_bytes, id_bytes, with_end
 
 DIMS, BITS = 4, 12
 
@@ -75,12 +75,13 @@ def project(texts, dims: int = DIMS, bits: int = BITS) -> np.ndarray:
 
 def _prepare(path: str, end: int):
     def run(batches):
-        tok = Chunks(path)
+        tok = chunks(path)
         for whole in batches:
             for batch in slices(whole, most=SLICE):
                 key = hilbert(project(batch.column("text")), BITS)
                 ids, sizes = with_end(*tok.ids(batch.column("text")), end)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key), pa.array(sizes), id_bytes(ids, sizes)], names=["doc_id", "curve", "n", "ids"])
+        tok.rest()
 
     return run
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrain.llm.shared import materialise, partitions, ship_code, slices
-from tracegrain.llm.tokenise import SLICE, Chunks, from_bytes, id_bytes, with_end
+from tracegrain.llm.tokenise import SLICE, chunks, from_bytes, id_bytes, with_end
 
 MAGIC = b"TGV1"
 BLOCK_IDS = 400_000
@@ -77,7 +77,7 @@ def _tokenise(path: str, end: int):
     """Rows of documents with their ids, and at the end of each task a row of how often it met each id."""
 
     def run(batches):
-        tok, seen = Chunks(path), np.zeros(1 << 16, np.int64)
+        tok, seen = chunks(path), np.zeros(1 << 16, np.int64)
         names = ["doc_id", "n_tokens", "ids", "seen"]
         for whole in batches:
             for batch in slices(whole, most=SLICE):
@@ -86,6 +86,7 @@ def _tokenise(path: str, end: int):
                     seen = np.concatenate([seen, np.zeros(int(ids.max()) + 1 - len(seen), np.int64)])
                 seen += np.bincount(ids, minlength=len(seen))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), id_bytes(ids, sizes), pa.nulls(batch.num_rows, pa.binary())], names=names)
+        tok.rest()
         some = np.flatnonzero(seen)
         counts = some.astype("<u4").tobytes() + seen[some].astype("<i8").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())], names=names)

@@ -2,7 +2,8 @@
 
 A text is cut where a token can never reach across: before a run of white space, and between letters and punctuation. Arrow
 numbers the distinct chunks of many texts, and only chunks that this task has not met go through the library; the ids
-of the chunks are laid end to end. What a task remembers is bounded in bytes, and dropped when it is done.
+of the chunks are laid end to end. What a task remembers is bounded in bytes; when it is done, its worker keeps for the next task
+only what more than one slice of texts had, within a smaller bound.
 
 The cuts hold for the two designs of vocabulary that ``_design`` knows (byte-level with the space before a word; words
 with an end mark); with any other tokenizer whole texts go to the library. So do texts that hold the name of a special
@@ -24,12 +25,17 @@ from tracegrain.llm.shared import _SPACE, fold, ranges, utf8
 
 #: Bytes that a task may remember (an entry's text, its ids, and about 150 bytes for its place in a dictionary).
 REMEMBER = 96 << 20
+#: Bytes that a worker may remember from one task to the next.
+KEEP = 24 << 20
 #: Texts of about so many bytes are looked at together.
-SLICE = 1 << 20
+SLICE = 1 << 21
 
 #: White space beyond ASCII as the library's patterns see it.
 _WIDE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LINE = re.compile(rf" [^\t-\r {_WIDE}]+").fullmatch
+#: The characters that stand for bytes in byte-level vocabularies: itself for a printable one, else one from U+0100 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: b if b in _PRINTED else 256 + sum(x not in _PRINTED for x in range(b)) for b in range(256)}
 #: Letters that stay letters, one for one, when a tokenizer composes and lower-cases them (capital dotted I doesn't).
 _LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+").fullmatch
 
@@ -80,7 +86,7 @@ def _load(path: str):
 
 
 class Chunks:
-    """``ids`` tokenises; one object serves one task."""
+    """``ids`` tokenises; one object serves one task at a time, which ends with ``rest``."""
 
     def __init__(self, path: str):
         self.tok, self.bare, self.design, self.names, self.edge = _load(path)
@@ -89,15 +95,25 @@ class Chunks:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.first, self.size, self.met = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.held = 0
 
+    def rest(self) -> None:
+        """Keep what the most slices had, down to two, within ``KEEP`` bytes; the counts begin afresh."""
+        names, n = list(self.known), len(self.known)
+        cost = 150 + 4 * self.size[:n].astype(np.int64) + np.fromiter(map(len, names), np.int64, n)
+        order = np.argsort(-self.met[:n], kind="stable")
+        order = order[(np.cumsum(cost[order]) <= KEEP) & (self.met[order] > 1)]
+        ids, sizes = self.flat[ranges(self.first[order], self.size[order])], self.size[order]
+        self.forget()
+        self._add([names[i] for i in order.tolist()], ids, sizes)
+
     def _add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, k = len(ids), len(self.known)
         while self.used + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while k + len(keys) > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+            self.first, self.size, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.met))
         self.flat[self.used : self.used + n] = ids
         self.first[k : k + len(keys)] = self.used + np.cumsum(sizes) - sizes
         self.size[k : k + len(keys)] = sizes
@@ -124,16 +140,20 @@ class Chunks:
         spaced = self.design == "spaced"
         plain, line, rest = [], [], []
         for x in keys:
-            if x.isascii() and (x[0] == " " and x[1:].isalpha() if spaced else x.isalpha()):
+            word = x[1:] if spaced and x[0] == " " else x
+            if word.isalpha() and _LATIN(word) and (not spaced or len(word) < len(x)):
                 plain.append(x)
-            elif (_LINE if spaced else _LATIN)(x):
+            elif spaced and _LINE(x):
                 line.append(x)
             else:
                 rest.append(x)
-        cut = lambda some: [x[1:] for x in some] if spaced else some
-        for some, tok, lead in ((plain, self.bare, "Ġ"), (line, self.tok, " ")):
-            if some:
-                self._add(some, *self._together(tok, cut(some), lead * spaced))
+        if plain:
+            # Capitals are small in the "ended" design; the model reads bytes.
+            own = [x[1:] for x in plain] if spaced else [x.lower() for x in plain]
+            own = [x if x.isascii() else x.encode().decode("latin-1").translate(_BYTES) for x in own]
+            self._add(plain, *self._together(self.bare, own, "Ġ" * spaced))
+        if line:
+            self._add(line, *self._together(self.tok, [x[1:] for x in line], " "))
         if rest:
             self._add(rest, *self._library(self.tok, rest))
 
@@ -184,10 +204,15 @@ class Chunks:
         names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self.held > REMEMBER:
             self.forget()
-        new = [x for x in names if x not in self.known]
-        if new:
+        place = list(map(self.known.get, names))
+        if None in place:
+            new = [x for x, i in zip(names, place, strict=True) if i is None]
             self.learn(new)
-        index = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+            learnt = iter(map(self.known.__getitem__, new))
+            place = [next(learnt) if i is None else i for i in place]
+        place = np.array(place, np.int64)
+        self.met[place] += 1
+        index = place[coded.indices.to_numpy()]
         sizes = self.size[index].astype(np.int64)
         of = np.concatenate([[0], np.cumsum(sizes)])[before]
         return self.flat[ranges(self.first[index], sizes)], np.diff(of)
@@ -209,6 +234,12 @@ class Chunks:
         return np.insert(flat, np.repeat(place, n), more), sizes
 
 
+@cache
+def chunks(path: str) -> Chunks:
+    """One for each worker."""
+    return Chunks(path)
+
+
 def with_end(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Put the end id behind each text's ids."""
     ends = np.cumsum(sizes + 1) - 1

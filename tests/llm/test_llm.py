@@ -83,7 +83,7 @@ def _steps(docs, window=100, buckets=16):
                 one = b.slice(i, 1)
                 cut[one.column("bucket")[0].as_py() if one.column("kind")[0].as_py() else -1].append(one)
     for own in cut.values():
-        sizes.append(sum(len(x) for x in (r["payload"] or b"" for r in rows(own))) // 48)
+        sizes.append(sum(len(x) for x in (r["payload"] or b"" for r in rows(own))) // 40)
         met += rows(suffix_dedup._meet(window)(own))
     asked = defaultdict(list)
     for r in met:

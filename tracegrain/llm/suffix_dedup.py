@@ -215,7 +215,7 @@ def _merged(doc, tie, start, end):
 
 
 _SPANS = "doc long, tie long, start long, stop long, mini long, lead int, kind int, bucket int, payload binary"
-_ROW = [("mini", np.uint64), ("mark", np.uint64), ("doc", np.int64), ("tie", np.int64), ("start", np.int64), ("size", np.int32), ("lead", np.int32)]
+_ROW = [("mini", np.uint64), ("mark", np.uint64), ("doc", np.int64), ("tie", np.int64), ("start", np.uint32), ("size", np.int16), ("lead", np.int16)]
 
 
 def _pack(*cols) -> bytes:
@@ -225,7 +225,8 @@ def _pack(*cols) -> bytes:
 def _unpack(raw: bytes) -> list[np.ndarray]:
     n, out, at = len(raw) // sum(np.dtype(t).itemsize for _, t in _ROW), [], 0
     for _, t in _ROW:
-        out.append(np.frombuffer(raw, t, n, at))
+        col = np.frombuffer(raw, t, n, at)
+        out.append(col if t in (np.uint64, np.int64) else col.astype(np.int64))
         at += n * np.dtype(t).itemsize
     return out
 
@@ -504,6 +505,8 @@ def _keyed(docs: DataFrame, *more) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = 100) -> DataFrame:
     """(doc, tie, spans array<struct<start, stop>>): byte spans, not yet merged, of what starts earlier elsewhere."""
+    if window > 1 << 14:
+        raise ValueError(f"a window has at most {1 << 14} bytes")
     spark = docs.sparkSession
     ship_code(spark)
     src = _keyed(docs).drop("doc_id")

@@ -62,7 +62,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _seed = np.random.default_rng(20240607)
-#: A random 64-bit value for each byte and an odd base; hashes of strings are sums of BYTE[b] * BASE**i modulo 2**64.
+#: A random 64-bit value for each byte and an odd base; sums of BYTE[b] * BASE**i modulo 2**64 tell windows of bounded size apart.
+#: Words and other strings of any length are not hashed so: texts made by doubling would collide.
 BYTE = _seed.integers(0, 2**64, 256, dtype=U)
 BASE = U(0x9E3779B97F4A7C15)
 _inv = pow(int(BASE), -1, 2**64)
@@ -126,14 +127,32 @@ def words(raw: np.ndarray, at: np.ndarray, plain: bool = False) -> tuple[np.ndar
     return starts, ends, np.searchsorted(starts, at)
 
 
+#: Words of more bytes go to xxh3 one by one.
+LONG = 64
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], U)
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, whatever its place."""
+    """A 64-bit hash of each word, whatever its place: eight bytes at a time through a finaliser, or xxh3 for long words."""
     if not len(starts):
         return np.zeros(0, U)
-    up, down = powers(1 << max(20, int(len(raw) + 1).bit_length()))
-    total = np.zeros(len(raw) + 1, U)
-    np.cumsum(BYTE[raw] * up[: len(raw)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+    import xxhash
+
+    size = ends - starts
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    blocks = np.lib.stride_tricks.as_strided(padded, (len(raw) + 1, 8), (1, 1))
+    out = mix(size.astype(U) * U(0x9E3779B97F4A7C15) + U(1))
+    left = np.arange(len(starts)) if size.max() <= LONG else np.flatnonzero(size <= LONG)
+    at = 0
+    while len(left):
+        eight = np.ascontiguousarray(blocks[starts[left] + at]).view("<u8").reshape(-1)
+        eight &= _LOW[np.minimum(size[left] - at, 8)]
+        out[left] = mix(out[left] ^ eight) + U(at + 1)
+        at += 8
+        left = left[size[left] > at]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes())
+    return out
 
 
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:

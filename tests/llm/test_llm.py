@@ -580,7 +580,8 @@ def test_rows_without_an_id(spark):
     ids = brute.encode(queries.tokenizer("word_bpe_49k.json"), [t for _, t in rows], 1)
     assert {r.doc_id: r.n for r in packed} == {d: sum(len(x) for (e, _), x in zip(rows, ids, strict=True) if e == d) for d in (1, None, 2)}
     stored = token_store.read_tokens(*token_store.write_tokens(docs, queries.tokenizer("byte_bpe_50k.json"), 2)).collect()
-    assert sorted(r.doc_id for r in stored) == [1, 1, 1, 2]
+    assert [r.doc_id for r in sorted(stored, key=lambda r: r.start)] == [1, 1, 1, 2, None, None]
+    assert sum(r.n_tokens for r in stored) == sum(len(x) for x in brute.encode(queries.tokenizer("byte_bpe_50k.json"), [t for _, t in rows], 2))
 
 
 def test_stages_on_odd_rows(spark):

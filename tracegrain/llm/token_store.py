@@ -9,8 +9,8 @@ Blocks are rows of a Parquet table in ascending doc_id order (shard, block), whi
 format works in any store that Spark can write to. The order of ranks is a table of its own beside them; it is bounded
 by the vocabulary.
 
-Null and empty texts hold the end id only. Rows that repeat, or share a doc_id, stay apart, in the order of their ids' bytes; rows
-without a doc_id have no place in the order and are not stored. A very long text is tokenised whole and never cut: it
+Null and empty texts hold the end id only. Rows that repeat, or share a doc_id, stay apart, in the order of a hash of their ids and then
+of the ids, so that any number of rows may share one; rows without a doc_id come after all others, in the same order. A very long text is tokenised whole and never cut: it
 makes a block of its own. An empty table gives no blocks. Other columns, whatever their names, are not looked at.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tracegrain.llm.shared import materialise, partitions, ship_code, slices
 from tracegrain.llm.tokenise import SLICE, chunks, from_bytes, id_bytes, with_end
 
-MAGIC = b"TGV1"
+MAGIC = b"TGV2"
 BLOCK_IDS = 400_000
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 
@@ -55,22 +55,26 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+_HEAD = struct.Struct("<4sII4xQQ")
+
+
 def pack_block(doc_ids, sizes, ranks: np.ndarray) -> bytes:
-    """A block of documents: their doc_ids, their numbers of ids, and all ranks, one document after the other."""
+    """A block of documents: their doc_ids (those without one last), their numbers of ids, and all ranks, one document after the other."""
     control, data = encode(ranks)
-    head = struct.pack("<4sIQQ", MAGIC, len(doc_ids), len(ranks), len(control))
-    return head + np.asarray(doc_ids, "<i8").tobytes() + np.asarray(sizes, "<u4").tobytes() + control + data
+    none = sum(x is None for x in doc_ids)
+    head = _HEAD.pack(MAGIC, len(doc_ids), none, len(ranks), len(control))
+    return head + np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes() + np.asarray(sizes, "<u4").tobytes() + control + data
 
 
-def read_block(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, numbers of ids, ranks."""
-    magic, docs, n, width = struct.unpack_from("<4sIQQ", raw)
+def read_block(raw: bytes) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """doc_ids, how many of the last have none, numbers of ids, ranks."""
+    magic, docs, none, n, width = _HEAD.unpack_from(raw)
     if magic != MAGIC:
         raise ValueError("not a block of token ids")
-    ids = np.frombuffer(raw, "<i8", docs, 24)
-    sizes = np.frombuffer(raw, "<u4", docs, 24 + 8 * docs).astype(np.int64)
-    at = 24 + 12 * docs
-    return ids, sizes, decode(raw[at : at + width], raw[at + width :], n)
+    ids = np.frombuffer(raw, "<i8", docs, _HEAD.size)
+    sizes = np.frombuffer(raw, "<u4", docs, _HEAD.size + 8 * docs).astype(np.int64)
+    at = _HEAD.size + 12 * docs
+    return ids, none, sizes, decode(raw[at : at + width], raw[at + width :], n)
 
 
 def _tokenise(path: str, end: int):
@@ -134,18 +138,19 @@ def _blocks(rank: np.ndarray):
 
 
 def write_tokens(docs: DataFrame, path: str, end: int) -> tuple[DataFrame, DataFrame]:
-    """Tokenise and store a corpus; the blocks and the ids by rank, as read back. Rows without a doc_id are not stored."""
+    """Tokenise and store a corpus; the blocks and the ids by rank, as read back."""
     spark = docs.sparkSession
     ship_code(spark)
-    raw = materialise(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_tokenise(path, end), "doc_id long, n_tokens long, ids binary, seen binary"), "token-ids")
+    raw = materialise(docs.select("doc_id", "text").mapInArrow(_tokenise(path, end), "doc_id long, n_tokens long, ids binary, seen binary"), "token-ids")
     counts = raw.where("seen is not null").select("seen").mapInArrow(_sums, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # As many rows as the vocabulary has.
     seen = sorted(counts.collect(), key=lambda r: (-r.n, r.id))
     order = np.array([r.id for r in seen], np.uint32)
     rank = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
     rank[order] = np.arange(len(order))
-    rows = raw.where("doc_id is not null").select("doc_id", "n_tokens", "ids")
-    dealt = rows.repartitionByRange(partitions(spark, 2 * sum(r.n for r in seen)), "doc_id").sortWithinPartitions("doc_id", "ids")
+    rows = raw.where("seen is null").select("doc_id", "n_tokens", "ids", F.xxhash64("ids").alias("tie"))
+    last = F.col("doc_id").asc_nulls_last()
+    dealt = rows.repartitionByRange(partitions(spark, 2 * sum(r.n for r in seen)), last, "tie").sortWithinPartitions(last, "tie", "ids").drop("tie")
     blocks = materialise(dealt.mapInArrow(_blocks(rank), "shard long, block long, n_ids long, body binary"), "token-blocks")
     ranks = materialise(spark.createDataFrame([(i, int(x)) for i, x in enumerate(order)], "rank long, id long"), "token-ranks")
     return blocks, ranks
@@ -155,11 +160,11 @@ def _read(order: np.ndarray):
     def run(batches):
         for batch in batches:
             for first, body in zip(batch.column("first").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                doc, sizes, ranks = read_block(body)
+                doc, none, sizes, ranks = read_block(body)
                 ids = order[ranks].astype("<u4")
                 at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(first + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, mask=np.arange(len(doc)) >= len(doc) - none), pa.array(first + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 

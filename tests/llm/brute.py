@@ -120,3 +120,62 @@ def encode(path, text, end):
 
 def crc(ids):
     return zlib.crc32(b"".join(int(x).to_bytes(4, "little") for x in ids))
+
+
+RUNS = re.compile("[A-Za-zÀ-ÿ]+")
+
+
+def one_edit(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def vocabulary(docs):
+    n = defaultdict(int)
+    for doc, text in docs:
+        for w in RUNS.findall(fold(text)):
+            h = zlib.crc32(f"{'' if doc is None else doc}:{w}".encode())
+            n[w[: h % len(w)] + w[h % len(w) + 1 :] if h % 199 == 0 else w] += 1
+    return {w: k for w, k in n.items() if k >= 5 and len(w) >= 6}
+
+
+def variants(n):
+    """By comparing each two words."""
+    near = {w: [x for x in n if one_edit(w, x)] for w in n}
+    form = {}
+    for w, own in near.items():
+        best = min(own, key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best and n[best] >= 5 * n[w] else None
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+
+    return {(w, form[w], root(w), n[w], len(near[w]), n[form[w]] if form[w] else None) for w in n}
+
+
+TERMS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def search(docs, items, top=10):
+    """(item, [(doc, score)]): by scoring each document for each item."""
+    import math
+    from collections import Counter
+
+    own = [(d, Counter(TERMS.findall(fold(t)))) for d, t in docs]
+    n_docs, n_terms = sum(bool(c) for _, c in own), sum(sum(c.values()) for _, c in own)
+    df = Counter(t for _, c in own for t in c)
+    out = []
+    for item, text in items:
+        wanted, found = Counter(TERMS.findall(fold(text))), []
+        for d, c in own:
+            m = 25 + 75 * sum(c.values()) * n_docs // max(n_terms, 1)
+            score = sum(q * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (1000000000 * c[t] // (1000 * c[t] + 8 * m)) for t, q in wanted.items() if t in c)
+            if score > 0:
+                found.append((d, score))
+        found.sort(key=lambda x: (-x[1], x[0] is None, x[0] or 0))
+        out.append((item, found[:top]))
+    return out

@@ -1,11 +1,11 @@
-"""The ten queries of this subpackage, and the pipeline's, for the registry."""
+"""The thirteen queries of this subpackage, and the pipeline's, for the registry."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrain.llm import chat_collapse, compression_rules, decontam, hilbert_pack, lang_mixture, near_dup, quality_gam, suffix_dedup, token_store, url_trees
+from tracegrain.llm import chat_collapse, compression_rules, decontam, hilbert_pack, lang_mixture, near_dup, quality_gam, reversed_search, spelling, suffix_dedup, token_counts, token_store, url_trees
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -68,10 +68,22 @@ def op10_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_collapse.render(_read(spark, sf_dir, "conversations"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(_read(spark, sf_dir, "documents")))
+
+
+def op12_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reversed_search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
-    own = [op1_suffix_array_dedup, op2_language_mixture, op3_token_store, op4_compression_rules, op5_decontaminate, op6_url_trees, op7_hilbert_pack, op8_quality_gam, op9_near_duplicates, op10_chat_collapse]
+    own = [op1_suffix_array_dedup, op2_language_mixture, op3_token_store, op4_compression_rules, op5_decontaminate, op6_url_trees, op7_hilbert_pack, op8_quality_gam, op9_near_duplicates, op10_chat_collapse, op11_spelling_variants, op12_reversed_search, op13_token_counts]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_collapse": chat_collapse.ORACLE_SQL}
+    return {"op10_chat_collapse": chat_collapse.ORACLE_SQL, "op11_spelling_variants": spelling.ORACLE_SQL, "op12_reversed_search": reversed_search.ORACLE_SQL}

@@ -157,7 +157,8 @@ def splice(ahead: np.ndarray, behind: np.ndarray, valid) -> tuple[int, int] | No
 
 
 def _splice(path: str):
-    """Of each pair the tokens that both chunks count or that only one of them has wrongly; null where it has no common boundary."""
+    """Of each pair the tokens that both chunks count or that only one of them has wrongly; null where it has no common boundary. A text's
+    last chunk is in no pair as the one ahead."""
 
     def run(batches):
         valid = _pairs_of(path)
@@ -165,7 +166,7 @@ def _splice(path: str):
         for batch in batches:
             extra = []
             for n, ahead, behind in zip(*(batch.column(c).to_pylist() for c in ("n", "right", "left")), strict=True):
-                at = splice(table(ahead), table(behind), valid)
+                at = (n, 0) if ahead is None else splice(table(ahead), table(behind), valid)
                 extra.append(None if at is None else n - at[0] + at[1])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "tie", "n_bytes", "copies", "n")), pa.array(extra, pa.int64())], names=["doc_id", "tie", "n_bytes", "copies", "n", "extra"])
 
@@ -181,9 +182,7 @@ def _counted(long: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
     told = pieces.mapInArrow(_encode(path, overlap), _TOLD)
     # Rows that repeat say the same: one of them counts, and how many there were.
     pairs = told.groupBy("doc_id", "tie", "n_bytes", "part").agg(F.count("n").alias("copies"), F.max("n").alias("n"), F.max("left").alias("left"), F.max("right").alias("right"))
-    last = pairs.where("right is null").select("doc_id", "tie", "n_bytes", "copies", "n", F.lit(0).cast("long").alias("extra"))
-    met = pairs.where("right is not null").mapInArrow(_splice(path), _PAIR).unionByName(last)
-    of_text = met.groupBy("doc_id", "tie", "n_bytes").agg(F.max("copies").alias("copies"), (F.sum("n") - F.sum("extra")).alias("n_tokens"), F.count_if(F.col("extra").isNull()).alias("open"))
+    of_text = pairs.mapInArrow(_splice(path), _PAIR).groupBy("doc_id", "tie", "n_bytes").agg(F.max("copies").alias("copies"), (F.sum("n") - F.sum("extra")).alias("n_tokens"), F.count_if(F.col("extra").isNull()).alias("open"))
     return of_text.select("doc_id", "tie", "n_bytes", "copies", F.when(F.col("open") == 0, F.col("n_tokens")).alias("n_tokens"))
 
 

@@ -59,23 +59,67 @@ def test_bootstrap_covers_planted_rate(spark):
     rows = spark.range(4000).select(F.lit("m").alias("model"), (F.col("id") % 100).alias("problem_id"), (F.xxhash64("id") % 10 == 0).cast("int").alias("hit"))
     c = inf.cluster_sums(rows, "model", "problem_id", {"hit": F.col("hit"), "n": F.lit(1)})
     lo, hi = inf.percentile_ci(F.col("hit") / F.col("n"))
-    r = inf.resample(c, "model", ["hit", "n"], 200, "t").agg(lo.alias("lo"), hi.alias("hi")).first()
+    r = inf.resample(c, "model", "problem_id", ["hit", "n"], 200, "t").agg(lo.alias("lo"), hi.alias("hi")).first()
     true = rows.agg(F.avg("hit")).first()[0]
     assert r.lo < true < r.hi
 
 
-def test_draws_against_brute_force(spark):
-    """A small number of draws, not a multiple of what a task takes at once, draw by draw."""
+def _number(salt, group, cluster, block, i):
     import hashlib
 
-    draws, values = 130, {"a": [3, -1, 4, 1], "b": [5, -9, 2]}
-    hashed = lambda *x: int(hashlib.md5(":".join(map(str, x)).encode()).hexdigest()[:8], 16)
-    c = spark.createDataFrame([(g, i, len(v), x) for g, v in values.items() for i, x in enumerate(v)], "g string, place int, k long, v long")
-    got = {(r.g, r.b): r.v for r in inf.resample(c, "g", ["v"], draws, "s").collect()}
-    assert got == {(g, b): sum(v[hashed("s", g, b, i) % len(v)] for i in range(len(v))) for g, v in values.items() for b in range(draws)}
-    null = {g: [abs(sum(x if hashed("s", g, b, i) % 2 == 0 else -x for i, x in enumerate(v))) for b in range(draws)] for g, v in values.items()}
+    return int(hashlib.md5(f"{salt}:{group}:{cluster}:{block}".encode()).hexdigest()[8 * i : 8 * i + 8], 16)
+
+
+def _weight(salt, group, cluster, b):
+    """A Poisson number with mean 1 by inverting its distribution."""
+    import math
+
+    u, k, total = _number(salt, group, cluster, b // 4, b % 4), 0, math.exp(-1)
+    while u >= math.floor(2**32 * total) and k < 12:
+        k += 1
+        total += math.exp(-1) / math.factorial(k)
+    return k
+
+
+DRAWN = {"a": [3, -1, 4, 1], "b": [5, -9, 2], None: [7]}
+
+
+def test_draws_against_brute_force(spark, monkeypatch):
+    """A small number of draws, not a multiple of what a hash holds, draw by draw; groups and clusters in small portions."""
+    for name, x in (("_GROUPS", 1), ("_CLUSTERS", 2)):
+        monkeypatch.setattr(inf, name, x)
+    draws, values = 130, {g: v for g, v in DRAWN.items() if g}
+    c = spark.createDataFrame([(g, i, x) for g, v in values.items() for i, x in enumerate(v)], "g string, c int, v long")
+    got = {(r.g, r.b): r.v for r in inf.resample(c, "g", "c", ["v"], draws, "s").collect()}
+    assert got == {(g, b): sum(_weight("s", g, i, b) * x for i, x in enumerate(v)) for g, v in values.items() for b in range(draws)}
+    sign = lambda g, i, b: -1 if _number("s", g, i, b // 128, b % 128 // 32) >> b % 32 & 1 else 1
+    null = {g: [abs(sum(sign(g, i, b) * x for i, x in enumerate(v))) for b in range(draws)] for g, v in values.items()}
     want = {g: (1 + sum(x >= abs(sum(values[g])) for x in null[g])) / (draws + 1) for g in values}
-    assert {r.g: r.p for r in inf.sign_flips(c, "g", "v", draws, "s").collect()} == want
+    assert {r.g: r.p for r in inf.sign_flips(c, "g", "c", "v", draws, "s").collect()} == want
+
+
+def test_any_statistic(spark):
+    """Rows, not sums: a maximum, a weighted count, and a ratio that is no number in draws without a negative value."""
+    draws, values = 50, {g: v for g, v in DRAWN.items() if g}
+    rows = spark.createDataFrame([(g, i, x) for g, v in values.items() for i, x in enumerate(v)], "g string, c int, v long")
+    ratio = lambda w: F.sum(F.when(F.col("v") > 0, w)).cast("double") / F.when(F.count_if(F.col("v") < 0) > 0, 1.0).otherwise(F.lit(float("inf")) - F.lit(float("inf")))
+    got = {(r.g, r.b): (r.top, r.n, r.odd) for r in inf.bootstrap(rows, "g", "c", {"top": lambda w: F.max("v"), "n": lambda w: F.sum(w), "odd": ratio}, draws, "s").collect()}
+    for g, v in values.items():
+        for b in range(draws):
+            w = [_weight("s", g, i, b) for i in range(len(v))]
+            drawn = [x for x, k in zip(v, w, strict=True) if k]
+            if drawn:
+                plus = [k for x, k in zip(v, w, strict=True) if k and x > 0]
+                assert got[g, b][:2] == (max(drawn), sum(w)) and got[g, b][2] == (sum(plus) if plus and min(drawn) < 0 else None)
+            else:
+                assert (g, b) not in got
+
+
+def test_weights_have_mean_and_variance_one():
+    import numpy as np
+
+    w = np.concatenate([inf._poisson("s", 5000)("g", str(i)) for i in range(40)])
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and w.max() < 13
 
 
 def test_resampling_has_the_reference_size(spark):

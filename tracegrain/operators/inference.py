@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tracegrain.functions.portable import h, h_sql
+from tracegrain.sources.scratch import ship_code
 
 
 def beta_share(a: float, b: float, x: float) -> float:
@@ -101,60 +105,152 @@ def audit_size_sql(g: str, alpha: str) -> str:
 
 
 def cluster_sums(rows: DataFrame, group: str, cluster: str, sums: dict[str, Column]) -> DataFrame:
-    """The sums that a statistic needs, once for each cluster, and each cluster's place in its group."""
-    by = rows.groupBy(group, cluster).agg(*(F.sum(c).alias(k) for k, c in sums.items()))
-    w = Window.partitionBy(group)
-    return by.withColumn("place", F.row_number().over(w.orderBy(cluster)) - 1).withColumn("k", F.count("*").over(w))
+    """The sums that a statistic needs, once for each cluster."""
+    return rows.groupBy(group, cluster).agg(*(F.sum(c).alias(k) for k, c in sums.items()))
 
 
 #: Draws that one row stands for while they are spread over tasks.
 SPREAD = 100
 
 
-def each_draw(rows: DataFrame, draws: int, name: str) -> DataFrame:
-    """Every row once for each draw 0 .. draws - 1, a draw's rows in one task: few rows, such as clusters, fill all tasks."""
+def each_draw(rows: DataFrame, draws: int, name: str, *by: str) -> DataFrame:
+    """Every row once for each draw 0 .. draws - 1, dealt out by draws and ``by``: few rows, such as clusters, fill all tasks."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last, start = F.lit(draws - 1), F.col("_start")
-    dealt = rows.withColumn("_start", F.explode(F.sequence(F.lit(0), last, F.lit(SPREAD)))).repartition(n, "_start")
+    dealt = rows.withColumn("_start", F.explode(F.sequence(F.lit(0), last, F.lit(SPREAD)))).repartition(n, "_start", *by)
     return dealt.withColumn(name, F.explode(F.sequence(start, F.least(last, start + (SPREAD - 1))))).drop("_start")
 
 
-def resample(clusters: DataFrame, group: str, sums: list[str], draws: int, salt: str) -> DataFrame:
-    """Draw as many clusters as a group has, with replacement, ``draws`` times: the sums of each draw.
-
-    A draw reads clusters, never items: the work is draws x clusters. The clusters' sums go to all tasks."""
-    slots = each_draw(clusters.select(group, "place", "k"), draws, "b")
-    picks = slots.select(group, "b", (h(F.lit(salt), F.col(group), F.col("b"), F.col("place")) % F.col("k")).cast("int").alias("place"))
-    return picks.join(F.broadcast(clusters.select(group, "place", *sums)), [group, "place"]).groupBy(group, "b").agg(*(F.sum(s).alias(s) for s in sums))
-
-
-def resample_sql(clusters: str, group: str, sums: list[str], draws: int, salt: str) -> str:
-    """The same as SQL over a table with group, place, k and the sums."""
+#: A draw weighs each cluster by a Poisson number with mean 1, a hash of salt, group, cluster and draw: where 32 random bits reach the k-th of these, the
+#: weight is k or more. Four draws share an MD5 sum.
+POISSON = [math.floor(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k))) for k in range(1, 13)]
+_FOUR, _FLIPS = 4, 128
+#: Groups whose sums a task holds, and clusters that it weighs at once.
+_GROUPS, _CLUSTERS = 64, 128
+
+
+def _numbers(salt: str, group: str, cluster: str, blocks: int) -> np.ndarray:
+    """Four 32-bit numbers for each block, from the MD5 sum of salt:group:cluster:block."""
+    head = hashlib.md5(f"{salt}:{group}:{cluster}:".encode(), usedforsecurity=False)
+    out = bytearray()
+    for block in range(blocks):
+        own = head.copy()
+        own.update(str(block).encode())
+        out += own.digest()
+    return np.frombuffer(bytes(out), ">u4")
+
+
+def _poisson(salt: str, draws: int):
+    steps = np.array(POISSON, np.uint64)
+    return lambda group, cluster: np.searchsorted(steps, _numbers(salt, group, cluster, -(-draws // _FOUR))[:draws], "right")
+
+
+def _signs(salt: str, draws: int):
+    bit = np.arange(32, dtype=np.uint32)
+    return lambda group, cluster: 1 - 2 * ((_numbers(salt, group, cluster, -(-draws // _FLIPS)).astype(np.uint32)[:, None] >> bit) & 1).reshape(-1)[:draws].astype(np.int64)
+
+
+def _weighed(group: str, cluster: str, sums: list[str], draws: int, weights):
+    """Sums of weighted clusters for each draw, a row for each group and draw that leaves the task."""
+
+    def run(batches):
+        held: dict[str, np.ndarray] = {}
+
+        def given(names):
+            for name in names:
+                total = held.pop(name)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * draws, pa.string()), pa.array(np.arange(draws, dtype=np.int32)), *(pa.array(total[:, k]) for k in range(len(sums)))], names=[group, "b", *sums])
+
+        for batch in batches:
+            groups, clusters = batch.column(group).to_pylist(), batch.column(cluster).to_pylist()
+            values = np.stack([batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in sums], axis=1)
+            order = sorted(range(len(groups)), key=groups.__getitem__)
+            i = 0
+            while i < len(order):
+                name = groups[order[i]]
+                j = i
+                while j < len(order) and j - i < _CLUSTERS and groups[order[j]] == name:
+                    j += 1
+                some = order[i:j]
+                w = np.stack([weights(name, clusters[k]) for k in some], axis=1).astype(np.float64)
+                held[name] = held.get(name, 0) + w @ values[some]
+                i = j
+                if len(held) > _GROUPS:
+                    yield from given([x for x in held if x != name])
+        yield from given(list(held))
+
+    return run
+
+
+def _draws(clusters: DataFrame, group: str, cluster: str, sums: list[str], draws: int, weights) -> DataFrame:
+    spark = clusters.sparkSession
+    ship_code(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Few rows with much work each: dealt out one by one.
+    rows = clusters.select(F.col(group).cast("string").alias(group), F.col(cluster).cast("string").alias(cluster), *sums).repartition(n, group, cluster)
+    schema = f"`{group}` string, b int, " + ", ".join(f"`{c}` double" for c in sums)
+    return rows.mapInArrow(_weighed(group, cluster, sums, draws, weights), schema).groupBy(group, "b").agg(*(F.sum(c).alias(c) for c in sums))
+
+
+def resample(clusters: DataFrame, group: str, cluster: str, sums: list[str], draws: int, salt: str) -> DataFrame:
+    """(group, b, sums): the sums of each of ``draws`` resamples of whole clusters, for any statistic of sums.
+
+    A draw's weights are made where the cluster lies: nothing is broadcast or joined, and a task gives one row for each group and draw, however many clusters it has."""
+    return _draws(clusters, group, cluster, sums, draws, _poisson(salt, draws))
+
+
+def bootstrap(rows: DataFrame, group: str, cluster: str, statistic: dict[str, Callable[[Column], Column]], draws: int, salt: str) -> DataFrame:
+    """(group, b, statistics): any aggregates of the rows, resampled by whole clusters; each is a function from the column of weights to an aggregate.
+
+    Every row stands once for each draw with a weight above 0: pre-aggregate rows that are alike, and take ``resample`` where sums will do. What is no
+    finite number in a draw is null there, and counts in no percentile."""
+    blocks = -(-draws // _FOUR)
+    key = F.md5(F.concat_ws(":", F.lit(salt), F.col(group).cast("string"), F.col(cluster).cast("string"), F.col("_block").cast("string")))
+    dealt = each_draw(rows, blocks, "_block", group, cluster).withColumn("_key", key)
+    number = lambda i: F.conv(F.substring("_key", 8 * i + 1, 8), 16, 10).cast("bigint")
+    drawn = dealt.select("*", F.inline(F.array(*(F.struct((F.col("_block") * _FOUR + i).alias("b"), number(i).alias("_u")) for i in range(_FOUR))))).where(F.col("b") < draws)
+    weight = sum((F.when(F.col("_u") >= t, 1).otherwise(0) for t in POISSON), F.lit(0))
+    weighed = drawn.withColumn("_w", weight).where("_w > 0")
+    finite = lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    out = weighed.groupBy(group, "b").agg(*(f(F.col("_w")).cast("double").alias(k) for k, f in statistic.items()))
+    return out.select(group, "b", *(finite(F.col(k)).alias(k) for k in statistic))
+
+
+def weights_sql(clusters: str, group: str, cluster: str, draws: int, salt: str, columns: str = "c.*") -> str:
+    """The same weights as SQL: the columns of a table of clusters, b and w."""
+    steps = " + ".join(f"(u >= {t})::INT" for t in POISSON)
     return f"""
-SELECT p.{group}, p.b, {", ".join(f"sum(c.{s}) AS {s}" for s in sums)}
-FROM (SELECT {group}, b, {h_sql(repr(salt), group, "b", "place")} % k AS place FROM {clusters}, range(0, {draws}) r(b)) p
-JOIN {clusters} c ON c.{group} = p.{group} AND c.place = p.place GROUP BY p.{group}, p.b
+SELECT * EXCLUDE (u), {steps} AS w FROM (
+  SELECT * EXCLUDE (key, block, i), 4 * block + i AS b, ('0x' || substr(key, 8 * i + 1, 8))::BIGINT AS u FROM (
+    SELECT {columns}, block, md5(concat_ws(':', {salt!r}, CAST(c.{group} AS VARCHAR), CAST(c.{cluster} AS VARCHAR), CAST(block AS VARCHAR))) AS key FROM {clusters} c, range(0, {-(-draws // _FOUR)}) r(block)), range(0, 4) q(i))
+WHERE b < {draws}
 """
 
 
+def resample_sql(clusters: str, group: str, cluster: str, sums: list[str], draws: int, salt: str) -> str:
+    """The draws as SQL over a table with group, cluster and the sums."""
+    return f"SELECT {group}, b, {', '.join(f'sum(w * {s})::DOUBLE AS {s}' for s in sums)} FROM ({weights_sql(clusters, group, cluster, draws, salt)}) GROUP BY {group}, b"
+
+
 def percentile_ci(value: Column, alpha: float = 0.05) -> list[Column]:
     """Linear interpolation between order statistics."""
     return [F.round(F.percentile(value, q), 9) for q in (alpha / 2, 1 - alpha / 2)]
 
 
-def sign_flips(clusters: DataFrame, group: str, total: str, draws: int, salt: str) -> DataFrame:
-    """Two-sided sign-flip test over clusters: (group, p), p = (1 + draws at least as large) / (draws + 1)."""
-    flips = each_draw(clusters.select(group, total, "place"), draws, "b")
-    sign = F.when(h(F.lit(salt), F.col(group), F.col("b"), F.col("place")) % 2 == 0, 1).otherwise(-1)
-    null = flips.groupBy(group, "b").agg(F.round(F.abs(F.sum(sign * F.col(total))), 9).alias("v"))
-    seen = clusters.groupBy(group).agg(F.round(F.abs(F.sum(total)), 9).alias("seen"))
+def sign_flips(clusters: DataFrame, group: str, cluster: str, total: str, draws: int, salt: str) -> DataFrame:
+    """Two-sided sign-flip test over clusters: (group, p), p = (1 + draws at least as large) / (draws + 1). An MD5 sum holds the signs of 128 draws."""
+    sums = _draws(clusters, group, cluster, [total], draws, _signs(salt, draws))
+    null = sums.select(F.col(group), F.round(F.abs(total), 9).alias("v"))
+    seen = clusters.groupBy(F.col(group).cast("string").alias(group)).agg(F.round(F.abs(F.sum(total)), 9).alias("seen"))
     return null.join(seen, group).groupBy(group).agg(((1 + F.count(F.when(F.col("v") >= F.col("seen"), 1))) / F.lit(draws + 1)).alias("p"))
 
 
-def sign_flips_sql(clusters: str, group: str, total: str, draws: int, salt: str) -> str:
+def sign_flips_sql(clusters: str, group: str, cluster: str, total: str, draws: int, salt: str) -> str:
     return f"""
 SELECT n.{group}, (1 + count(*) FILTER (WHERE v >= seen))::DOUBLE / {draws + 1} AS p
-FROM (SELECT {group}, b, round(abs(sum(CASE WHEN {h_sql(repr(salt), group, "b", "place")} % 2 = 0 THEN 1 ELSE -1 END * {total})), 9) AS v FROM {clusters}, range(0, {draws}) r(b) GROUP BY {group}, b) n
+FROM (SELECT {group}, b, round(abs(sum(CASE WHEN (u >> (b % 32)) & 1 = 0 THEN 1 ELSE -1 END * {total})), 9) AS v FROM (
+    SELECT {group}, {total}, 128 * block + k AS b, ('0x' || substr(key, 8 * (k // 32) + 1, 8))::BIGINT AS u FROM (
+      SELECT {group}, {total}, block, md5(concat_ws(':', {salt!r}, CAST({group} AS VARCHAR), CAST({cluster} AS VARCHAR), CAST(block AS VARCHAR))) AS key FROM {clusters}, range(0, {-(-draws // _FLIPS)}) r(block)), range(0, 128) q(k)) WHERE b < {draws} GROUP BY {group}, b) n
 JOIN (SELECT {group}, round(abs(sum({total})), 9) AS seen FROM {clusters} GROUP BY {group}) s ON s.{group} = n.{group} GROUP BY n.{group}
 """
 

@@ -17,15 +17,14 @@ from tracegrain.sources.scratch import materialise
 
 #: The reference's size: no p-value falls below 1 / (DRAWS + 1).
 DRAWS = 10_000
-CLUSTERS = "SELECT *, row_number() OVER (PARTITION BY model ORDER BY problem_id) - 1 AS place, count(*) OVER (PARTITION BY model) AS k FROM"
 
 
 @query(
     f"""
 WITH by_problem AS (SELECT model, problem_id, count(*) FILTER (WHERE outcome = 'F') AS f, count(*) FILTER (WHERE outcome = 'D') AS d, count(*) FILTER (WHERE changed) AS s, count(*) AS n FROM scored WHERE gated GROUP BY model, problem_id),
-c AS ({CLUSTERS} by_problem), draws AS ({inf.resample_sql("c", "model", ["f", "d", "s", "n"], DRAWS, "x01")}), point AS (SELECT model, {RATES_SQL} FROM scored WHERE gated GROUP BY model)
+draws AS ({inf.resample_sql("by_problem", "model", "problem_id", ["f", "d", "s", "n"], DRAWS, "x01")}), point AS (SELECT model, {RATES_SQL} FROM scored WHERE gated GROUP BY model)
 SELECT d.model, any_value(p.phi) AS phi, any_value(p.delta) AS delta, any_value(p.sigma) AS sigma,
-  {", ".join(f"round(quantile_cont(d.{c} / d.n, {q}), 9) AS {name}_{side}" for c, name in (("f", "phi"), ("d", "delta"), ("s", "sigma")) for q, side in ((0.025, "lo"), (0.975, "hi")))}
+  {", ".join(f"round(quantile_cont(d.{c} / nullif(d.n, 0), {q}), 9) AS {name}_{side}" for c, name in (("f", "phi"), ("d", "delta"), ("s", "sigma")) for q, side in ((0.025, "lo"), (0.975, "hi")))}
 FROM draws d JOIN point p ON p.model = d.model GROUP BY d.model
 """,
     "scored",
@@ -34,11 +33,36 @@ def x01_bootstrap(spark, sf):
     """Percentile intervals of the three rates, resampling whole problems."""
     rows, o = gated(spark, sf), F.col("outcome")
     c = inf.cluster_sums(rows, "model", "problem_id", {"f": (o == "F").cast("int"), "d": (o == "D").cast("int"), "s": F.col("changed").cast("int"), "n": F.lit(1)})
-    draws = inf.resample(c, "model", ["f", "d", "s", "n"], DRAWS, "x01")
-    cis = {f"{name}_{side}": ci for x, name in (("f", "phi"), ("d", "delta"), ("s", "sigma")) for side, ci in zip(("lo", "hi"), inf.percentile_ci(F.col(x) / F.col("n")), strict=True)}
+    draws = inf.resample(c, "model", "problem_id", ["f", "d", "s", "n"], DRAWS, "x01")
+    cis = {f"{name}_{side}": ci for x, name in (("f", "phi"), ("d", "delta"), ("s", "sigma")) for side, ci in zip(("lo", "hi"), inf.percentile_ci(F.try_divide(F.col(x), F.col("n"))), strict=True)}
     return draws.groupBy("model").agg(*(v.alias(k) for k, v in cis.items())).join(outcome_rates(rows, "model").select("model", "phi", "delta", "sigma"), "model").select("model", "phi", "delta", "sigma", *cis)
 
 
+#: A statistic that is no function of sums keeps every draw's rows.
+MEDIAN_DRAWS = 400
+
+
+@query(
+    f"""
+WITH v AS (SELECT model, problem_id, trace_length AS v, count(*) AS n FROM scored WHERE gated GROUP BY ALL),
+drawn AS (SELECT model, b, v, sum(n * w)::BIGINT AS f FROM ({inf.weights_sql("v", "model", "problem_id", MEDIAN_DRAWS, "median")}) WHERE w > 0 GROUP BY ALL),
+cum AS (SELECT *, sum(f) OVER (PARTITION BY model, b ORDER BY v) AS upto, sum(f) OVER (PARTITION BY model, b) AS total FROM drawn),
+med AS (SELECT model, b, (min(v) FILTER (WHERE upto > (total - 1) // 2) + min(v) FILTER (WHERE upto > total // 2)) / 2.0::DOUBLE AS m FROM cum GROUP BY model, b),
+share AS (SELECT model, b, sum(f) FILTER (WHERE v >= 4)::DOUBLE / nullif(sum(f) FILTER (WHERE v < 4), 0) AS odds FROM drawn GROUP BY model, b)
+SELECT med.model, count(*) AS draws, round(quantile_cont(m, 0.025), 9) AS median_lo, round(quantile_cont(m, 0.975), 9) AS median_hi, round(quantile_cont(odds, 0.025), 9) AS odds_lo, round(quantile_cont(odds, 0.975), 9) AS odds_hi
+FROM med JOIN share USING (model, b) GROUP BY med.model
+""",
+    "scored",
+)
+def x01_any_statistic(spark, sf):
+    """Percentile intervals of a median and of odds of the traces' lengths, resampling whole problems; odds without a short trace are left out."""
+    alike = gated(spark, sf).groupBy("model", "problem_id", F.col("trace_length").alias("v")).agg(F.count("*").alias("n"))
+    n_of = lambda w, c: F.sum(F.when(c, w * F.col("n")))
+    draws = inf.bootstrap(alike, "model", "problem_id", {"m": lambda w: F.percentile("v", 0.5, w * F.col("n")), "odds": lambda w: F.try_divide(n_of(w, F.col("v") >= 4), n_of(w, F.col("v") < 4))}, MEDIAN_DRAWS, "median")
+    cis = {f"{name}_{side}": ci for x, name in (("m", "median"), ("odds", "odds")) for side, ci in zip(("lo", "hi"), inf.percentile_ci(F.col(x)), strict=True)}
+    return draws.groupBy("model").agg(F.count("*").alias("draws"), *(v.alias(k) for k, v in cis.items()))
+
+
 def paired(rows):
     """Items that two systems share: (hi, lo, problem_id, record_id, d1, d2), systems in the order of their names."""
     one = rows.select("model", "record_id", "problem_id", (F.col("outcome") == "D").cast("int").alias("d"))
@@ -66,8 +90,7 @@ def a28_discordance(spark, sf):
 @query(
     f"""
 WITH paired AS ({PAIRED}), by_problem AS (SELECT concat(a, '|', b) AS pair, problem_id, sum(d1) AS d1, sum(d2) AS d2, sum((d1 <> d2)::INT) AS x, count(*) AS n FROM paired GROUP BY a, b, problem_id),
-c AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY problem_id) - 1 AS place, count(*) OVER (PARTITION BY pair) AS k FROM by_problem),
-draws AS ({inf.resample_sql("c", "pair", ["d1", "d2", "x", "n"], DRAWS, "x02")}),
+draws AS ({inf.resample_sql("by_problem", "pair", "problem_id", ["d1", "d2", "x", "n"], DRAWS, "x02")}),
 e AS (SELECT pair, round(d1 / n + d2 / n - 2 * (d1 / n) * (d2 / n) - x / n, 9) AS excess FROM draws),
 r AS (SELECT pair, excess, row_number() OVER (PARTITION BY pair ORDER BY excess) - 1 AS i FROM e)
 SELECT pair, max(excess) FILTER (WHERE i = {int(0.025 * DRAWS)}) AS lo, max(excess) FILTER (WHERE i = {int(0.975 * DRAWS)}) AS hi,
@@ -79,7 +102,7 @@ def x02_excess_bootstrap(spark, sf):
     """Interval of the excess over independence, by order statistics."""
     t = paired(scored(items(spark, sf)).where("recount")).withColumn("pair", F.concat_ws("|", "a", "b"))
     c = inf.cluster_sums(t, "pair", "problem_id", {"d1": F.col("d1"), "d2": F.col("d2"), "x": (F.col("d1") != F.col("d2")).cast("int"), "n": F.lit(1)})
-    draws = inf.resample(c, "pair", ["d1", "d2", "x", "n"], DRAWS, "x02")
+    draws = inf.resample(c, "pair", "problem_id", ["d1", "d2", "x", "n"], DRAWS, "x02")
     p, q = F.col("d1") / F.col("n"), F.col("d2") / F.col("n")
     sorted_ = draws.groupBy("pair").agg(F.sort_array(F.collect_list(F.round(p + q - 2 * p * q - F.col("x") / F.col("n"), 9))).alias("e"))
     lo, hi = F.col("e")[int(0.025 * DRAWS)], F.col("e")[int(0.975 * DRAWS)]
@@ -89,8 +112,8 @@ def x02_excess_bootstrap(spark, sf):
 @query(
     f"""
 WITH by_problem AS (SELECT model, problem_id, sum({lt("ans_copyable", "den_copyable")}::INT - {lt("ans_treat", "den_treat")}::INT) AS v FROM items
-  WHERE status = 'built' AND ans_copyable IS NOT NULL AND den_copyable IS NOT NULL AND ans_treat IS NOT NULL AND den_treat IS NOT NULL GROUP BY model, problem_id), c AS ({CLUSTERS} by_problem)
-{inf.sign_flips_sql("c", "model", "v", DRAWS, "x03")}
+  WHERE status = 'built' AND ans_copyable IS NOT NULL AND den_copyable IS NOT NULL AND ans_treat IS NOT NULL AND den_treat IS NOT NULL GROUP BY model, problem_id)
+{inf.sign_flips_sql("by_problem", "model", "problem_id", "v", DRAWS, "x03")}
 """,
     "items",
 )
@@ -100,7 +123,7 @@ def x03_permutation(spark, sf):
 
     rows = items(spark, sf).where("status = 'built'").dropna(subset=["ans_copyable", "den_copyable", "ans_treat", "den_treat"])
     c = inf.cluster_sums(rows, "model", "problem_id", {"v": eq_lt("ans_copyable", "den_copyable").cast("int") - eq_lt("ans_treat", "den_treat").cast("int")})
-    return inf.sign_flips(c, "model", "v", DRAWS, "x03")
+    return inf.sign_flips(c, "model", "problem_id", "v", DRAWS, "x03")
 
 
 @query(f"SELECT model, d AS delta_bar, round(sigma - least(sigma, d), 9) AS lo, sigma AS hi FROM (SELECT model, {RATES_SQL} FROM scored WHERE gated GROUP BY model), (VALUES (0.05::DOUBLE), (0.1::DOUBLE), (1.0::DOUBLE)) v(d)", "scored")
@@ -187,13 +210,13 @@ def x10_design_effect(spark, sf):
 @query(
     f"""
 WITH r AS (SELECT model, {RATES_SQL} FROM scored WHERE gated GROUP BY model),
-by_problem AS (SELECT model, problem_id, count(*) FILTER (WHERE outcome = 'D') AS d, count(*) AS n FROM scored WHERE gated GROUP BY model, problem_id), c AS ({CLUSTERS} by_problem),
-draws AS ({inf.resample_sql("c", "model", ["d", "n"], DRAWS, "x13")}), bar AS (SELECT model, round(quantile_cont(d / n, 0.975), 9) AS delta_bar FROM draws GROUP BY model),
+by_problem AS (SELECT model, problem_id, count(*) FILTER (WHERE outcome = 'D') AS d, count(*) AS n FROM scored WHERE gated GROUP BY model, problem_id),
+draws AS ({inf.resample_sql("by_problem", "model", "problem_id", ["d", "n"], DRAWS, "x13")}), bar AS (SELECT model, round(quantile_cont(d / nullif(n, 0), 0.975), 9) AS delta_bar FROM draws GROUP BY model),
 f AS (SELECT model, problem_id, count(*) FILTER (WHERE {lt("ans_treat", "den_treat")})::DOUBLE / count(*) AS follow FROM scored WHERE gated AND ans_treat IS NOT NULL GROUP BY model, problem_id),
 pairs AS (SELECT a.model AS hi, b.model AS lo, a.sigma - b.sigma AS margin, abs(a.delta - b.delta) AS spread, greatest(x.delta_bar, y.delta_bar) AS dbar, a.sigma - b.sigma > least(a.sigma, greatest(x.delta_bar, y.delta_bar)) AS determined, concat(a.model, '|', b.model) AS pair
   FROM r a JOIN r b ON a.sigma > b.sigma JOIN bar x ON x.model = a.model JOIN bar y ON y.model = b.model),
 d AS (SELECT p.pair, f1.problem_id, f1.follow - f2.follow AS v FROM pairs p JOIN f f1 ON f1.model = p.hi JOIN f f2 ON f2.model = p.lo AND f2.problem_id = f1.problem_id),
-cd AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY problem_id) - 1 AS place FROM d), test AS ({inf.sign_flips_sql("cd", "pair", "v", DRAWS, "x13")}), diff AS (SELECT pair, count(*) AS paired_n, round(avg(v), 9) AS phi_difference FROM d GROUP BY pair),
+test AS ({inf.sign_flips_sql("d", "pair", "problem_id", "v", DRAWS, "x13")}), diff AS (SELECT pair, count(*) AS paired_n, round(avg(v), 9) AS phi_difference FROM d GROUP BY pair),
 h AS (SELECT t.pair, t.p, max((m - k + 1) * p) OVER (ORDER BY k) AS adj FROM (SELECT *, row_number() OVER (ORDER BY p, pair) AS k, count(*) OVER () AS m FROM test) t)
 SELECT p.hi, p.lo, round(margin, 9) AS margin, round(spread, 9) AS spread, dbar, determined, paired_n, phi_difference, round(p, 9) AS p, round(least(1, adj), 9) AS holm_p FROM pairs p JOIN diff USING (pair) JOIN h USING (pair)
 """,
@@ -206,7 +229,7 @@ def x13_pairwise(spark, sf):
     sums = {"d": one(o == "D"), "s": one(F.col("changed")), "n": F.lit(1), "hit": one(said & eq_lt("ans_treat", "den_treat")), "said": one(said)}
     # One row for each system and problem, from which all else follows.
     c = materialise(inf.cluster_sums(gated(spark, sf), "model", "problem_id", sums), "pairwise-sums")
-    bar = inf.resample(c, "model", ["d", "n"], DRAWS, "x13").groupBy("model").agg(inf.percentile_ci(F.col("d") / F.col("n"))[1].alias("bar"))
+    bar = inf.resample(c, "model", "problem_id", ["d", "n"], DRAWS, "x13").groupBy("model").agg(inf.percentile_ci(F.try_divide("d", "n"))[1].alias("bar"))
     r = c.groupBy("model").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("sigma"), F.try_divide(F.sum("d"), F.sum("n")).alias("delta")).join(bar, "model")
     r = rank.held(r)
     side = lambda name, i: r.select(F.col("model").alias(name), *(F.col(x).alias(f"{x}{i}") for x in ("sigma", "delta", "bar")))
@@ -216,7 +239,7 @@ def x13_pairwise(spark, sf):
     f = c.where("said > 0").select("model", "problem_id", (F.col("hit") / F.col("said")).alias("follow"))
     d = f.select(F.col("model").alias("hi"), "problem_id", F.col("follow").alias("f1")).join(f.select(F.col("model").alias("lo"), "problem_id", F.col("follow").alias("f2")), "problem_id").where("hi <> lo")
     d = d.join(pairs.select("hi", "lo", "pair"), ["hi", "lo"]).select("pair", "problem_id", (F.col("f1") - F.col("f2")).alias("v"))
-    test = inf.sign_flips(inf.cluster_sums(d, "pair", "problem_id", {"v": F.col("v")}), "pair", "v", DRAWS, "x13")
+    test = inf.sign_flips(d, "pair", "problem_id", "v", DRAWS, "x13")
     test = inf.holm(test, "p", ["pair"])
     diff = d.groupBy("pair").agg(F.count("*").alias("paired_n"), F.round(F.avg("v"), 9).alias("phi_difference"))
     return pairs.join(diff, "pair").join(test, "pair").select("hi", "lo", "margin", "spread", "dbar", "determined", "paired_n", "phi_difference", F.round("p", 9).alias("p"), F.round("holm_p", 9).alias("holm_p"))
@@ -260,7 +283,7 @@ def x14_certify(spark, sf):
     w = Window.partitionBy("model", "problem_id")
     pool = rows.select("model", "problem_id", (F.col("outcome") == "D").cast("int").alias("d"), (F.row_number().over(w.orderBy("record_id")) - 1).alias("i"), F.count("*").over(w).alias("k"))
     prob = pool.where("i = 0").select("model", "problem_id", "k", F.count("*").over(Window.partitionBy("model")).alias("n_prob"))
-    trial = inf.each_draw(pairs.select("hi", "lo").join(prob, F.col("hi") == F.col("model")), REPLICATES, "rep")
+    trial = inf.each_draw(pairs.select("hi", "lo").join(prob, F.col("hi") == F.col("model")), REPLICATES, "rep", "hi", "lo")
     key = [F.col(x) for x in ("hi", "lo", "rep", "problem_id")]
     order = Window.partitionBy("hi", "lo", "rep").orderBy(h("prob", *key), "problem_id")
     pick = trial.select("hi", "lo", "rep", "model", "problem_id", "n_prob", (h("item", *key) % F.col("k")).cast("int").alias("i"), F.row_number().over(order).alias("rk"))
@@ -436,7 +459,7 @@ _CIS = [("f", "n", "phi"), ("d", "n", "delta"), ("s", "n", "sigma"), ("hit", "ha
 @query(
     f"""WITH by_problem AS (SELECT model, problem_id, count(*) FILTER (WHERE outcome = 'F') AS f, count(*) FILTER (WHERE outcome = 'D') AS d, count(*) FILTER (WHERE changed) AS s, count(*) AS n,
   coalesce(sum({_HIT}) FILTER (WHERE ans_placebo IS NOT NULL), 0) AS hit, count(ans_placebo) AS has FROM scored WHERE gated GROUP BY model, problem_id),
-c AS ({CLUSTERS} by_problem), draws AS ({inf.resample_sql("c", "model", ["f", "d", "s", "n", "hit", "has"], REPORT_DRAWS, "x12")}),
+draws AS ({inf.resample_sql("by_problem", "model", "problem_id", ["f", "d", "s", "n", "hit", "has"], REPORT_DRAWS, "x12")}),
 r AS (SELECT model, {RATES_SQL} FROM scored WHERE gated GROUP BY model), e AS (SELECT model, sum(has)::BIGINT AS n_dpe, sum(hit)::DOUBLE / nullif(sum(has), 0) AS dpe FROM by_problem GROUP BY model),
 i AS (SELECT model, {", ".join(f"round(quantile_cont({x} / nullif({y}, 0), {q}), 9) AS {name}_{side}" for x, y, name in _CIS for q, side in ((0.025, "lo"), (0.975, "hi")))} FROM draws GROUP BY model)
 SELECT r.*, round(r.sigma - r.phi - r.delta, 12) AS residual, e.n_dpe, e.dpe, i.* EXCLUDE (model), r.n >= 30 AS enough FROM r JOIN e USING (model) JOIN i USING (model)""",
@@ -453,7 +476,7 @@ def x12_report(spark, sf):
     sums = {"f": one(o == "F"), "r": one(o == "R"), "d": one(o == "D"), "s": one(F.col("changed")), "n": F.lit(1), "hit": F.when(has, hit).otherwise(0), "has": one(has)}
     c = inf.cluster_sums(rows, "model", "problem_id", sums)
     rate = lambda x, y: F.try_divide(F.col(x), F.col(y))
-    draws = inf.resample(c, "model", ["f", "d", "s", "n", "hit", "has"], REPORT_DRAWS, "x12")
+    draws = inf.resample(c, "model", "problem_id", ["f", "d", "s", "n", "hit", "has"], REPORT_DRAWS, "x12")
     cis = {f"{name}_{side}": ci for x, y, name in _CIS for side, ci in zip(("lo", "hi"), inf.percentile_ci(rate(x, y)), strict=True)}
     intervals = draws.groupBy("model").agg(*(v.alias(k) for k, v in cis.items()))
     t = c.groupBy("model").agg(*(F.sum(k).alias(k) for k in sums))

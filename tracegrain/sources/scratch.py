@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Get a session ready for this package's tasks: the Python workers of a session on this machine can import the package wherever they were started.
+    A cluster gets it like any other package (installed on its machines, or as an archive in ``--py-files``)."""
+    env = spark.sparkContext.environment
+    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
+
+
 @cache
 def _own_scratch() -> str:
     return tempfile.mkdtemp(prefix="spark-scratch-")

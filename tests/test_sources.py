@@ -6,7 +6,6 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from tracegrain.operators.collect import MockModel, collect
-from tracegrain.operators.joins import overlapping_boxes
 from tracegrain.sources import sinks
 from tracegrain.sources.fixtures import view
 
@@ -46,12 +45,6 @@ def test_collection_resumes(spark):
     assert collect(items, model, first.select("model", "record_id", "arm")).count() == 0
 
 
-def test_overlap_needs_shared_area(spark):
-    rows = [(0, 1, 0.0, 0.0, 100.0, 10.0), (0, 2, 50.0, 5.0, 150.0, 15.0), (0, 3, 0.0, 300.0, 10.0, 310.0), (1, 4, 0.0, 0.0, 100.0, 10.0), (0, 5, 0.0, 0.0, 100.0, 100.0)]
-    t = spark.createDataFrame(rows, "page int, word_id int, x0 double, y0 double, x1 double, y1 double")
-    assert sorted((r.word_a, r.word_b) for r in overlapping_boxes(t, share=0.2).collect()) == [(1, 2), (2, 5)]
-
-
 def test_stream(spark, tmp_path):
     from tracegrain.streaming.running import record_stream, running_counts
 

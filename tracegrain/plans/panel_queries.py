@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracegrain.functions.portable import h, h_sql
-from tracegrain.operators.joins import as_of_start, overlapping_boxes
+from tracegrain.operators.joins import durations, overlapping_boxes
 from tracegrain.operators.panel import mid_ranks, roc_auc, spearman
 from tracegrain.operators.ranking import held
 from tracegrain.operators.rates import RATES_SQL, outcome_rates, share
@@ -177,13 +177,14 @@ def j07_prior(spark, sf):
 
 @query(
     """SELECT task_id, seq, start_seq, round(epoch_us(ts - start_ts) / 1e6, 3) AS duration_s FROM (
-  SELECT *, last_value(CASE WHEN event = 'start' THEN seq END IGNORE NULLS) OVER w AS start_seq, last_value(CASE WHEN event = 'start' THEN ts END IGNORE NULLS) OVER w AS start_ts FROM task_log WINDOW w AS (PARTITION BY task_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))
+  SELECT *, last_value(CASE WHEN event = 'start' THEN seq END IGNORE NULLS) OVER w AS start_seq, last_value(CASE WHEN event = 'start' THEN ts END IGNORE NULLS) OVER w AS start_ts FROM task_log WINDOW w AS (PARTITION BY task_id ORDER BY seq ROWS UNBOUNDED PRECEDING))
 WHERE event = 'stop' AND start_ts IS NOT NULL""".replace("epoch_us(ts - start_ts)", "date_diff('microsecond', start_ts, ts)"),
     "task_log",
 )
 def j08_durations(spark, sf):
-    """Each stop with the latest start of its task before it."""
-    return as_of_start(view(spark, sf, "task_log"))
+    """Each stop with the last start of its task that was logged before it."""
+    log = view(spark, sf, "task_log")
+    return durations(log.where("event = 'stop'"), log.where("event = 'start'"))
 
 
 @query(

@@ -9,6 +9,7 @@ same problem, seed and slot are attempts, numbered in order; the number is part
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PANEL = """
 WITH base AS (
@@ -73,12 +74,13 @@ SELECT l.doc_id, l.quality AS label, d.source AS model, CAST(l.quality AS DOUBLE
 FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id
 """,
     "task_log": """
-SELECT user_id AS task_id, event_id AS seq, ts, CASE event_type WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'stop' ELSE 'event' END AS event FROM {events}
+SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS task_id, event_id AS seq, ts, CASE event_type WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'stop' ELSE 'event' END AS event FROM {events}
 """,
     "boxes": """
-SELECT CAST(floor(doc_id / 200) AS BIGINT) AS page, doc_id AS word_id, CAST((doc_id * 37) % 500 AS DOUBLE) AS x0, CAST((doc_id * 91) % 700 AS DOUBLE) AS y0,
-  CAST((doc_id * 37) % 500 + 20 + doc_id % 40 AS DOUBLE) AS x1, CAST((doc_id * 91) % 700 + 8 + doc_id % 5 AS DOUBLE) AS y1
-FROM {documents}
+SELECT CASE WHEN n % 3 = 0 THEN 0 ELSE 1 + CAST(floor(n / 1400) AS BIGINT) END AS page, n AS word_id, x AS x0, y AS y0,
+  CAST(x + CASE WHEN n % 17 = 0 THEN 6 + n % 30 ELSE 20 + (n * 13) % 30 END AS DOUBLE) AS x1, CAST(y + CASE WHEN n % 17 = 0 THEN 3 ELSE 6 + n % 7 END AS DOUBLE) AS y1
+FROM (SELECT n, CAST((i % 12) * 40 + (n * 37) % 25 - CASE WHEN n % 17 = 0 THEN 30 ELSE 0 END AS DOUBLE) AS x, CAST(floor(i / 12) * 9 + (n * 11) % 4 AS DOUBLE) AS y
+  FROM (SELECT CAST(o_orderkey AS BIGINT) AS n, CAST(CASE WHEN o_orderkey % 3 = 0 THEN floor(o_orderkey / 3) ELSE o_orderkey % 1400 END AS BIGINT) AS i FROM {orders}) numbered) placed
 """,
     "verdict_text": """
 SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'FOLLOWS' WHEN 1 THEN 'It ignores the trace.' WHEN 2 THEN 'At first it follows, but finally IGNORES' ELSE 'unclear' END AS raw_verdict FROM {events}
@@ -94,10 +96,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Columns of ``items`` that are read as they stand; the others are worked out.
+_PLAIN_ITEMS = ("model", "problem_id", "seed", "record_id")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = VIEWS[name]
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
-    return spark.sql(sql, **used)
+    rows = spark.sql(sql, **used)
+    if name != "items":
+        return rows
+    # The optimiser merges projections: each gate and outcome would hold a copy of the cases behind every column it reads, in a method too large
+    # to be compiled. A generator of one row isn't merged: each column is worked out once.
+    return rows.select(*_PLAIN_ITEMS, F.inline(F.array(F.struct(*(c for c in rows.columns if c not in _PLAIN_ITEMS)))))
 
 
 def text(name: str) -> str:

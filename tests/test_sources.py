@@ -2,11 +2,13 @@
 
 import json
 
+import pytest
 from conftest import SF
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracegrain.operators.collect import MockModel, collect
-from tracegrain.sources import sinks
+from tracegrain.operators.collect import MockModel, ask_again, collect
+from tracegrain.sources import files, sinks
 from tracegrain.sources.fixtures import view
 
 
@@ -21,6 +23,81 @@ def test_states(spark, tmp_path):
     assert [r.files for r in sinks.one_file_each(everything).collect()] == [["full_a.json", "full_a_grammar.json"]]
 
 
+def test_damaged_states(spark, tmp_path):
+    """A file that is cut short, an empty one and one that is no object are told; the others are read."""
+    whole = json.dumps({"model": "a", "records": [{"record_id": "r", "answers": {"treat": 1.0}}]}, indent=1)
+    for name, body in (("full_a.json", whole), ("full_b.json", whole[:40]), ("full_c.json", "[1, 2]")):
+        (tmp_path / name).write_text(body)
+    runs = sinks.read_runs(spark, str(tmp_path))
+    assert {r.file: (r.damaged, r.model) for r in runs.collect()} == {"full_a.json": (False, "a"), "full_b.json": (True, None), "full_c.json": (True, None)}
+    assert [(r.file, r.record_id) for r in sinks.read_states(spark, str(tmp_path)).collect()] == [("full_a.json", "r")]
+
+
+def test_publish(spark, tmp_path):
+    docs = spark.createDataFrame([("a.json", "one\ntwo"), ("b.json", "three")], "file string, text string")
+    folder = str(tmp_path / "out")
+    assert files.publish(docs, folder) == ["a.json", "b.json"] and (tmp_path / "out" / "a.json").read_text() == "one\ntwo\n"
+    assert files.publish(docs.where("file = 'a.json'").withColumn("text", F.lit("new")), folder) == ["a.json"]
+    assert files.names(spark, folder) == ["a.json", "b.json"] and (tmp_path / "out" / "a.json").read_text() == "new\n"
+    for bad in (docs.withColumn("file", F.lit("same.json")), docs.withColumn("file", F.lit("../x"))):
+        with pytest.raises(ValueError):
+            files.publish(bad, folder)
+    assert files.names(spark, folder) == ["a.json", "b.json"] and files.names(spark, str(tmp_path / "none")) == []
+
+
+def test_log(spark, tmp_path):
+    """Batches appended again replace themselves; lines that can't be read, and blank ones, don't hide the others."""
+    folder, schema = str(tmp_path / "log"), T.StructType.fromDDL("k string, v double")
+    assert files.read_log(spark, folder, schema).count() == 0
+    for batch, rows in (("1", [("a", 1.0)]), ("2", [("b", float("inf"))]), ("1", [("c", 3.0)])):
+        files.append(spark.createDataFrame(rows, "k string, v double"), folder, batch)
+    (tmp_path / "log" / "batch=3").mkdir()
+    (tmp_path / "log" / "batch=3" / "x.json").write_text('{"k": "d", "v": 4}\n\n{"k": "e", "v\n')
+    got = {(r.batch, r.k, r.v, bool(r[files.CORRUPT])) for r in files.read_log(spark, folder, schema).collect()}
+    assert got == {("1", "c", 3.0, False), ("2", "b", None, False), ("3", "d", 4.0, False), ("3", None, None, True)}
+    with pytest.raises(ValueError):
+        files.append(spark.range(1), folder, "a/b")
+
+
+def test_cache(spark, tmp_path):
+    """One row a key over all runs; a second run sends nothing, one with more sends the rest, and a key that had no answer is asked again."""
+    cache, sent = files.Cache(str(tmp_path / "cache"), T.StructType.fromDDL("reply string")), []
+
+    def send(rows):
+        some = rows.collect()
+        sent.append(sorted(r.q for r in some))
+        return spark.createDataFrame([(r.key, None if r.q == "no" else r.q.upper()) for r in some], "key string, reply string").where("reply is not null")
+
+    ask = lambda qs, run: sorted((r.q, r.reply, r.sent) for r in cache.ask(spark.createDataFrame([(q, i) for i, q in enumerate(qs)], "q string, i int"), F.sha2("q", 256), send, run).collect())
+    assert ask(["a", "b", "a", "a"], "x") == [("a", "A", True)] * 3 + [("b", "B", True)]
+    assert ask(["a", "b"], "x") == [("a", "A", False), ("b", "B", False)]
+    assert ask(["a", "c", "no"], "x") == [("a", "A", False), ("c", "C", True), ("no", None, None)]
+    assert ask(["no", "c"], "y") == [("c", "C", False), ("no", None, None)]
+    assert sent == [["a", "b"], [], ["c", "no"], ["no"]] and cache.read(spark).count() == 3
+    # Two runs side by side have asked the same: all readers see the same one.
+    for batch, reply in (("p", "first"), ("q", "second")):
+        files._batch(spark.createDataFrame([("k", reply)], "key string, reply string"), cache.folder, batch, lambda r, path: r.write.parquet(path))
+    assert [r.reply for r in cache.read(spark).where("key = 'k'").collect()] == ["first"] and cache.read(spark).count() == 4
+
+
+def test_ask_again(spark):
+    """Each round asks what is still open; none is begun when nothing is."""
+    asked = []
+
+    def ask(left, seed):
+        asked.append((seed, left.count()))
+        return left.withColumn("new", F.when(F.col("id") % (seed + 1) == 0, F.lit(float(seed))))
+
+    rows = spark.range(12).select("id", F.when(F.col("id") < 2, -1.0).alias("a"))
+    got = {r.id: (r.a, r.tries) for r in ask_again(rows, ["id"], "a", ask).collect()}
+    assert asked == [(1, 10), (2, 5), (3, 3)]
+    assert got == {i: (-1.0, 0) if i < 2 else (1.0, 1) if i % 2 == 0 else (2.0, 2) if i % 3 == 0 else (None, None) for i in range(12)}
+    asked.clear()
+    assert ask_again(rows.where("id in (0, 2, 3)"), ["id"], "a", ask, 5).where("tries is null").count() == 0 and [s for s, _ in asked] == [1, 2]
+    asked.clear()
+    assert ask_again(rows.where("id < 2"), ["id"], "a", ask).columns == ["id", "a", "tries"] and not asked
+
+
 def test_sheet(spark, tmp_path):
     rows = [("r1", 'a "quoted" line\nand another', "yes"), ("r2", "x, y", None)]
     sinks.write_sheet(spark.createDataFrame(rows, "id string, trace string, agree string"), str(tmp_path / "s"))
@@ -30,11 +107,8 @@ def test_sheet(spark, tmp_path):
 
 def test_json(spark, tmp_path):
     sinks.write_json(spark.createDataFrame([("a", float("nan")), ("b", 1.0), ("c", float("inf"))], "k string, v double"), str(tmp_path / "j"))
-    (tmp_path / "log").mkdir()
-    (tmp_path / "log" / "x.json").write_text('{"k": "a"}\n\n{"k": "b"}\n')
-    assert {r.k: r.v for r in sinks.read_log(spark, str(tmp_path / "j")).collect() if r.k == "b"} == {"b": 1.0}
+    assert {r.k: r.v for r in spark.read.json(str(tmp_path / "j")).collect() if r.k == "b"} == {"b": 1.0}
     assert "NaN" not in "".join(p.read_text() for p in (tmp_path / "j").glob("*.json"))
-    assert sinks.read_log(spark, str(tmp_path / "log")).count() == 2
 
 
 def test_collection_resumes(spark):

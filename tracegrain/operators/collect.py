@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracegrain.functions.portable import h
 from tracegrain.functions.trace import extract_answer
+from tracegrain.sources.scratch import materialise
 
 
 class Model(Protocol):
@@ -44,3 +46,22 @@ def collect(items: DataFrame, model: Model, done: DataFrame | None = None) -> Da
         rows = rows.join(done, ["model", "record_id", "arm"], "left_anti")
     own = {c: F.col(c) for c in ("model", "record_id", "den_clean", "den_treat")}
     return rows.withColumn("output", model.reply(F.col("arm"), own)).withColumn("answer", extract_answer("output"))
+
+
+def ask_again(rows: DataFrame, keys: list[str], answer: str, ask: Callable[[DataFrame, int], DataFrame], tries: int = 3) -> DataFrame:
+    """``rows`` with missing answers filled in, and ``tries``: 0 where there was one, the round that found it, null where none did.
+
+    ``ask`` is given the rows still open and the round (its seed), and adds a column ``new``. Each round asks only what the ones before have left
+    open, and none is begun when nothing is; a new answer replaces only what was missing."""
+    left, found = rows.where(F.col(answer).isNull()), None
+    for seed in range(1, tries + 1):
+        if not left.limit(1).count():
+            break
+        got = materialise(ask(left, seed), f"round-{seed}")
+        new = got.where("new is not null").select(*keys, "new", F.lit(seed).alias("tries"))
+        found = new if found is None else found.unionByName(new)
+        left = got.where("new is null").drop("new")
+    if found is None:
+        return rows.withColumn("tries", F.when(F.col(answer).isNotNull(), 0))
+    out = rows.join(found, keys, "left").withColumn("tries", F.when(F.col(answer).isNotNull(), 0).otherwise(F.col("tries")))
+    return out.withColumn(answer, F.coalesce(answer, "new")).drop("new")

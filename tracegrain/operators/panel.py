@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrain.sources.scratch import materialise
@@ -44,3 +44,35 @@ def spearman(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:
         rows = rows.join(at.select(by, c, (F.col("below") + (F.col("n") + 1) / 2).alias(r)), [by, c])
     varies = (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0)
     return rows.groupBy(by).agg(F.count("*").alias("n"), F.when((F.count("*") >= 3) & varies, F.round(F.corr("rx", "ry"), 9)).alias("rho"))
+
+
+def early_answering(rolls: DataFrame, by: str, order: str) -> DataFrame:
+    """(by, position, fraction, n, at_answer): how many rollouts are at the final answer after each part of the trace.
+
+    ``rolls`` has arrays ``fractions`` and ``truncated`` and the final answer ``full``; two missing answers agree. The first rollout of a group, by ``order``, says which
+    fractions there are; rollouts of another length are dropped. One aggregation by (group, length, position) holds all of that, and the few rows it
+    leaves are then chosen from."""
+    hits = F.transform("truncated", lambda a: a.eqNullSafe(F.col("full")).cast("long"))
+    each = rolls.select(by, F.size("truncated").alias("len"), F.struct(F.col(order).alias("at"), F.col("fractions")).alias("first"), F.posexplode_outer(hits).alias("position", "hit"))
+    sums = each.groupBy(by, "len", "position").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), F.min("first").alias("first"))
+    fractions = F.min("first").over(Window.partitionBy(by))["fractions"]
+    kept = sums.withColumn("fractions", fractions).where("len = size(fractions) and position is not null")
+    return kept.select(by, "position", F.get("fractions", F.col("position")).alias("fraction"), "n", (F.col("hits") / F.col("n")).alias("at_answer"))
+
+
+def margins(tokens) -> Column:
+    """The margins between the best two candidates of tokens (array of token, logprob, top: array of log probabilities), in order.
+
+    A token counts with two known candidates, if it has a digit or a probability of its own."""
+    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
+    best = lambda t: F.sort_array(F.filter(t["top"], lambda v: v.isNotNull()), asc=False)
+    ranked = F.transform(tokens, lambda t: F.struct((t["token"].rlike("[0-9]") | t["logprob"].isNotNull()).alias("counts"), best(t).alias("v")))
+    return F.transform(F.filter(ranked, lambda t: t["counts"] & (F.size(t["v"]) >= 2)), lambda t: t["v"][0] - t["v"][1])
+
+
+def attribution(intact, changed) -> Column:
+    """Mean distance of two runs' margins over the positions that both have, relative to the mean size of the intact ones; null without any, or if they are zero."""
+    n = F.least(F.size(intact), F.size(changed))
+    mean = lambda x: F.try_divide(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.abs(v)), n)
+    gap = F.zip_with(F.slice(intact, 1, n), F.slice(changed, 1, n), lambda a, b: a - b)
+    return F.when(n > 0, F.try_divide(mean(gap), mean(F.slice(intact, 1, n))))

@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracegrain.functions.portable import h, h_sql
+from tracegrain.functions.trace import pin
 from tracegrain.operators.joins import durations, overlapping_boxes
-from tracegrain.operators.panel import mid_ranks, roc_auc, spearman
+from tracegrain.operators.panel import attribution, early_answering, margins, mid_ranks, roc_auc, spearman
 from tracegrain.operators.ranking import held
 from tracegrain.operators.rates import RATES_SQL, outcome_rates, share
 from tracegrain.plans.rate_queries import gated, items
 from tracegrain.plans.registry import query
 from tracegrain.sources.fixtures import table, view
-from tracegrain.sources.scratch import new_path
-from tracegrain.sources.sinks import STATE, canonical, last_file, write_json
 
 
 @query("SELECT model, fraction, count(*) AS n, count(*) FILTER (WHERE ans_truncated = ans_full)::DOUBLE / count(*) AS at_answer FROM rollouts GROUP BY model, fraction", "rollouts")
@@ -36,6 +34,70 @@ def l01_early_area(spark, sf):
     return c.select("model", area.alias("area")).groupBy("model").agg(F.round(F.sum("area"), 9).alias("auc"))
 
 
+_RAGGED = """raw AS (SELECT *, len(list_filter([0, 1, 2, 3, 4], lambda j: j < size)) AS n FROM ragged),
+first AS (SELECT model, arg_min(size, rollout_id) AS size, arg_min(step, rollout_id) AS step FROM raw GROUP BY model),
+hit AS (SELECT r.model, j AS position, f.step * (j + 1) AS fraction, (CASE WHEN r.rollout_id * 7 % 5 < j THEN r.full ELSE 99 END IS NOT DISTINCT FROM r.full)::INT AS hit
+  FROM raw r JOIN first f ON f.model = r.model AND f.size = r.size, range(0, 5) q(j) WHERE j < r.size),
+curve AS (SELECT model, position::INT AS position, fraction, count(*) AS n, sum(hit)::DOUBLE / count(*) AS at_answer FROM hit GROUP BY ALL)"""
+
+
+@query(f"WITH {_RAGGED} SELECT * FROM curve", "ragged")
+def l01_ragged_curve(spark, sf):
+    """Rollouts cut at different places: the first of each system says where, those with more or fewer cuts are dropped."""
+    r = view(spark, sf, "ragged")
+    at = F.sequence(F.lit(0), F.col("size") - 1)
+    rolls = r.select("model", "rollout_id", "full", F.transform(at, lambda j: F.col("step") * (j + 1)).alias("fractions"), F.transform(at, lambda j: F.when(F.col("rollout_id") * 7 % 5 < j, F.col("full")).otherwise(F.lit(99.0))).alias("truncated"))
+    return early_answering(rolls, "model", "rollout_id")
+
+
+@query(f"WITH {_RAGGED}, s AS (SELECT model, n, (fraction - lag(fraction) OVER w) * (at_answer + lag(at_answer) OVER w) / 2 AS area FROM curve WINDOW w AS (PARTITION BY model ORDER BY position)) SELECT model, any_value(n) AS n, round(coalesce(sum(area), 0), 9) AS auc FROM s GROUP BY model", "ragged")
+def l01_ragged_area(spark, sf):
+    w = Window.partitionBy("model").orderBy("position")
+    area = (F.col("fraction") - F.lag("fraction").over(w)) * (F.col("at_answer") + F.lag("at_answer").over(w)) / 2
+    return l01_ragged_curve(spark, sf).withColumn("area", area).groupBy("model").agg(F.max("n").alias("n"), F.round(F.coalesce(F.sum("area"), F.lit(0.0)), 9).alias("auc"))
+
+
+#: Tokens of a trace with log probabilities of its own and of five others, from one hash a token: every sixth is missing.
+_TOKENS = """tok AS (SELECT model, record_id, run, i, t, md5(concat_ws(':', run, record_id, CAST(i AS VARCHAR))) AS key FROM (
+  SELECT model, record_id, run, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS t FROM (SELECT model, record_id, string_split_regex(trace, '\\s+') AS w FROM traces), (VALUES ('intact'), ('corrupt')) q(run))),
+num AS (SELECT *, [('0x' || substr(key, 4 * k + 1, 4))::BIGINT for k in range(0, 6)] AS u FROM tok),
+tops AS (SELECT *, list_reverse_sort(list_transform(list_filter(u[2:6], lambda x: x % 6 <> 0), lambda x: -(x % 1000) / 100.0::DOUBLE)) AS v FROM num),
+margin AS (SELECT model, record_id, run, i, v[1] - v[2] AS m FROM tops WHERE len(v) >= 2 AND (regexp_matches(t, '[0-9]') OR u[1] % 6 <> 0)),
+of_run AS (SELECT model, record_id, run, list(m ORDER BY i) AS m FROM margin GROUP BY ALL)"""
+
+
+def _margins(spark, sf):
+    """(model, record_id, run, n_tokens, m): the margins of each trace's tokens, intact and corrupted."""
+    t = view(spark, sf, "traces").select("model", "record_id", F.split("trace", r"\s+").alias("w"), F.explode(F.array(F.lit("intact"), F.lit("corrupt"))).alias("run"))
+    key = lambda i: F.md5(F.concat_ws(":", "run", "record_id", (i + 1).cast("string")))
+    number = lambda k, i: F.conv(F.substring(k, 4 * i + 1, 4), 16, 10).cast("bigint")
+    value = lambda x: F.when(x % 6 != 0, -(x % 1000) / 100.0)
+    keyed = pin(t, k=F.transform("w", lambda w, i: F.struct(w.alias("token"), key(i).alias("key"))))
+    tokens = F.transform("k", lambda x: F.struct(x["token"].alias("token"), value(number(x["key"], 0)).alias("logprob"), F.array(*(value(number(x["key"], j)) for j in range(1, 6))).alias("top")))
+    return pin(keyed, tokens=tokens).select("model", "record_id", "run", F.size("w").alias("n_tokens"), margins("tokens").alias("m"))
+
+
+@query(f"WITH {_TOKENS} SELECT model, run, count(*) AS n_records, sum(len(m))::BIGINT AS n_margins, round(avg(list_sum(m) / len(m)), 6) AS mean_margin FROM of_run GROUP BY model, run", "traces")
+def p26_token_margins(spark, sf):
+    """Margins between the best two candidates of each token; a token that is a digit counts without a probability of its own."""
+    m = _margins(spark, sf).where("size(m) > 0")
+    mean = F.aggregate("m", F.lit(0.0), lambda s, x: s + x) / F.size("m")
+    return m.groupBy("model", "run").agg(F.count("*").alias("n_records"), F.sum(F.size("m")).alias("n_margins"), F.round(F.avg(mean), 6).alias("mean_margin"))
+
+
+@query(
+    f"""WITH {_TOKENS}, both_ AS (SELECT a.model, a.m AS x, b.m AS y, least(len(a.m), len(b.m)) AS n FROM of_run a JOIN of_run b ON a.model = b.model AND a.record_id = b.record_id AND a.run = 'intact' AND b.run = 'corrupt'),
+v AS (SELECT model, list_sum([abs(x[i] - y[i]) for i in range(1, n + 1)]) / n AS gap, list_sum([abs(x[i]) for i in range(1, n + 1)]) / n AS size FROM both_)
+SELECT model, count(*) AS n, round(avg(gap / size), 6) AS decay FROM v WHERE size > 0 GROUP BY model""",
+    "traces",
+)
+def l05_token_attribution(spark, sf):
+    """How far the margins of a corrupted run are from the intact one's, position by position, relative to these."""
+    m = _margins(spark, sf)
+    both = m.groupBy("model", "record_id").agg(F.max(F.when(F.col("run") == "intact", F.col("m"))).alias("intact"), F.max(F.when(F.col("run") == "corrupt", F.col("m"))).alias("corrupt"))
+    return both.select("model", attribution("intact", "corrupt").alias("v")).where("v is not null").groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("decay"))
+
+
 @query(
     "SELECT rollout_id, round(sum(0.125::DOUBLE * (hit + nxt)), 9) AS auc FROM (SELECT rollout_id, (ans_truncated = ans_full)::INT AS hit, lead((ans_truncated = ans_full)::INT) OVER (PARTITION BY rollout_id ORDER BY fraction) AS nxt FROM rollouts) GROUP BY rollout_id",
     "rollouts",
@@ -212,43 +274,6 @@ def j11_within_record(spark, sf):
     return items(spark, sf).where("status = 'copyable' and ans_copyable is not null and ans_treat is not null").select("model", "record_id", (F.col("ans_copyable") == F.col("den_copyable")).alias("copy_hit"), (F.col("ans_treat") == F.col("den_treat")).alias("treat_hit"))
 
 
-def states(spark, sf):
-    """Items written as state documents, one for each system, seed and slot with its records inside, and read back: (model, file, records).
-
-    A file is named by system and seed; runs of seed 1 carry a tag. Slots grow with the orders, so no document does."""
-    rows = items(spark, sf).withColumn("slot", F.split("record_id", ":")[2])
-    name = F.concat(F.lit("full_"), F.col("model"), F.lit("_"), F.col("seed").cast("string"), F.when(F.col("seed") == 1, "_grammar").otherwise(""), F.lit(".json"))
-    record = F.struct("record_id", "problem_id", "status", F.col("seed").cast("bigint").alias("seed"), "gold", "den_clean", "den_treat", F.struct(F.col("ans_control").alias("control"), F.coalesce("ans_treat", F.lit(float("nan"))).alias("treat")).alias("answers"))
-    runs = rows.groupBy("model", "slot", name.alias("file")).agg(F.collect_list(record).alias("records"))
-    path = new_path(spark, "states")
-    write_json(runs, path)
-    return spark.read.schema(T.StructType([*STATE.fields, T.StructField("file", T.StringType())])).json(path).select("model", "file", "records")
-
-
-_FILE = "concat('full_', model, '_', seed, CASE WHEN seed = 1 THEN '_grammar' ELSE '' END, '.json')"
-
-
-@query(f"SELECT model, {_FILE} AS file, count(*) AS n, count(ans_treat) AS n_answered, count(*) FILTER (WHERE status = 'built') AS n_built, sum(den_clean) AS total FROM items GROUP BY model, seed", "items")
-def s01_read_states(spark, sf):
-    """Records of all state files, one row each; an answer that was no number comes back as missing."""
-    r = states(spark, sf).select("model", "file", F.inline("records"))
-    return r.groupBy("model", "file").agg(F.count("*").alias("n"), F.count("answers.treat").alias("n_answered"), F.count(F.when(F.col("status") == "built", 1)).alias("n_built"), F.sum("den_clean").alias("total"))
-
-
-@query(f"SELECT model, count(*) AS n FROM items WHERE {_FILE} IN ('full_sys1_0.json', 'full_sys3_1_grammar.json', 'full_sys3_2.json') AND seed <> 1 GROUP BY model", "items")
-def s02_canonical(spark, sf):
-    """Records of whitelisted files; tagged files are left out even if they are named."""
-    kept = canonical(states(spark, sf), ["full_sys1_0.json", "full_sys3_1_grammar.json", "full_sys3_2.json"])
-    return kept.groupBy("model").agg(F.sum(F.size("records")).alias("n"))
-
-
-@query(f"SELECT model, max({_FILE}) AS file, count(DISTINCT seed) AS n_files, count(*) FILTER (WHERE seed = last) AS n_kept FROM (SELECT *, max(seed) OVER (PARTITION BY model) AS last FROM items) GROUP BY model", "items")
-def s03_last_run(spark, sf):
-    """Several files of one system: the last by name counts, and how many there were is told."""
-    kept = last_file(states(spark, sf).select("model", "file", F.size("records").alias("n")))
-    return kept.groupBy("model", "file").agg(F.max("n_files").alias("n_files"), F.sum("n").alias("n_kept"))
-
-
 PANEL = 150
 
 
@@ -322,19 +347,3 @@ def m06_mock_collection(spark, sf):
     got = collect(items(spark, sf).where("status = 'built'"), MockModel(follow={"treat": 45.0, "placebo": 2.0}, derail={"treat": 15.0, "placebo": 3.0}))
     n_of = lambda c: F.count(F.when(c, 1))
     return got.groupBy("model", "arm").agg(F.count("*").alias("n"), n_of(F.col("answer") == F.col("den_treat")).alias("n_follow"), n_of((F.col("answer") != F.col("den_treat")) & (F.col("answer") != F.col("den_clean"))).alias("n_derail"))
-
-
-@query(f"SELECT model, record_id, coalesce(ans_treat, CASE WHEN {h_sql("'again'", 'model', 'record_id')} % 2 = 0 THEN den_clean END) AS ans_treat FROM items WHERE status = 'built'", "items")
-def m07_rerun(spark, sf):
-    """Missing answers asked again; a new answer replaces only what was missing."""
-    rows = items(spark, sf).where("status = 'built'").select("model", "record_id", "den_clean", "ans_treat")
-    again = rows.where("ans_treat is null").select("model", "record_id", F.when(h("again", F.col("model"), F.col("record_id")) % 2 == 0, F.col("den_clean")).alias("new"))
-    return rows.join(again, ["model", "record_id"], "left").select("model", "record_id", F.coalesce("ans_treat", "new").alias("ans_treat"))
-
-
-@query("SELECT model, count(*) AS n_requests, count(DISTINCT key) AS n_keys, count(*) - count(DISTINCT key) AS n_hits FROM (SELECT model, sha256(concat(problem_id, '|', CAST(den_treat AS BIGINT))) AS key FROM items WHERE status = 'built') GROUP BY model", "items")
-def m04_cache(spark, sf):
-    """Requests with the same content are sent once."""
-    keyed = items(spark, sf).where("status = 'built'").select("model", F.sha2(F.concat_ws("|", "problem_id", F.col("den_treat").cast("bigint").cast("string")), 256).alias("key"))
-    per = keyed.groupBy("model", "key").agg(F.count("*").alias("n"))
-    return per.groupBy("model").agg(F.sum("n").alias("n_requests"), F.count("*").alias("n_keys"), (F.sum("n") - F.count("*")).alias("n_hits"))

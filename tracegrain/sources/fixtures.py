@@ -68,6 +68,11 @@ SELECT o_orderkey AS rollout_id, concat('c', CAST(o_custkey % 300 AS STRING)) AS
   CASE WHEN o_custkey % 10 < 7 THEN CAST(99 AS DOUBLE) ELSE CAST(o_orderkey % 7 AS DOUBLE) END AS ans_filler,
   o_orderkey % 5 = 0 AS hint_followed, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_custkey % 2 = 0 END AS hint_verbalized
 FROM {orders} CROSS JOIN (SELECT CAST(0.25 AS DOUBLE) AS f UNION ALL SELECT CAST(0.5 AS DOUBLE) UNION ALL SELECT CAST(0.75 AS DOUBLE) UNION ALL SELECT CAST(1.0 AS DOUBLE)) fr
+""",
+    "ragged": """
+SELECT o_orderkey AS rollout_id, concat('sys', CAST(o_custkey % 6 AS STRING)) AS model, CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE CAST(o_orderkey % 7 AS DOUBLE) END AS full,
+  CAST(CASE o_orderkey % 13 WHEN 0 THEN 3 WHEN 5 THEN 5 ELSE 4 END AS INT) AS size, CAST(CASE o_orderkey % 3 WHEN 0 THEN 0.25 WHEN 1 THEN 0.2 ELSE 0.125 END AS DOUBLE) AS step
+FROM {orders}
 """,
     "e0_scores": """
 SELECT l.doc_id, l.quality AS label, d.source AS model, CAST(l.quality AS DOUBLE) AS follow_denotation, CAST((l.doc_id * 7 + 20 * l.quality) % 50 AS DOUBLE) AS noisy, CAST(0.5 AS DOUBLE) AS constant

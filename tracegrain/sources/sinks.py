@@ -37,12 +37,6 @@ def write_json(rows: DataFrame, path: str, mode: str = "error") -> None:
     clean(rows).write.mode(mode).json(path)
 
 
-def read_log(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Appended JSON lines; blank lines are skipped."""
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.json(path)
-
-
 def write_sheet(rows: DataFrame, path: str) -> None:
     """An audit sheet whose cells may hold line breaks and quotes."""
     rows.write.csv(path, header=True, quoteAll=True, escape='"')
@@ -64,18 +58,28 @@ RECORD = T.StructType(
 STATE = T.StructType([T.StructField(n, T.StringType()) for n in ("model", "access_date", "started_at", "completed_at", "interventional_completed_at", "output_tag")] + [T.StructField("grammar_normalized", T.BooleanType()), T.StructField("records", T.ArrayType(RECORD))])
 
 
+TAG = "_grammar"
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each state file: file, damaged, model, access_date, records. A file that is no whole JSON document is ``damaged`` and has nothing else."""
+    schema = T.StructType([*STATE.fields, T.StructField("_corrupt_record", T.StringType())])
+    raw = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    damaged = F.col("_corrupt_record").isNotNull() | F.col("model").isNull()
+    own = lambda c: F.when(~damaged, F.col(c)).alias(c)
+    return raw.select(F.col("_metadata.file_name").alias("file"), damaged.alias("damaged"), own("model"), own("access_date"), own("records"))
+
+
 def read_states(spark: SparkSession, path: str, drop_tagged: bool = True) -> DataFrame:
-    """Collected records, one row each, from one JSON document a run: model, file and the record's fields.
+    """Collected records, one row each, from one JSON document a run: model, file and the record's fields; damaged files have none.
 
-    Two files of one model would clobber each other: with ``drop_tagged`` files whose name ends in a tag are left out,
-    and what is left has to be one file a model."""
-    raw = spark.read.schema(STATE).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_name"))
-    if drop_tagged:
-        raw = raw.where(~F.col("file").contains("_grammar"))
-    return raw.select("model", "file", "access_date", F.inline("records"))
+    Two files of one model would clobber each other: with ``drop_tagged`` files whose name has a tag are left out,
+    and of what is left ``last_file`` or ``canonical`` choose."""
+    runs = read_runs(spark, path).where("not damaged")
+    return (runs.where(~F.col("file").contains(TAG)) if drop_tagged else runs).select("model", "file", "access_date", F.inline("records"))
 
 
-def canonical(states: DataFrame, names: list[str] | None = None, tag: str = "_grammar") -> DataFrame:
+def canonical(states: DataFrame, names: list[str] | None = None, tag: str = TAG) -> DataFrame:
     """Runs whose file is named (any, if no names are given) and carries no tag."""
     keep = ~F.col("file").contains(tag)
     return states.where(keep & F.col("file").isin(names) if names else keep)

@@ -72,6 +72,20 @@ def _bound(f):
     return lambda c, n, alpha=0.05: bound(F.col(c) if isinstance(c, str) else c, F.col(n) if isinstance(n, str) else n, F.lit(alpha) if isinstance(alpha, float) else alpha)
 
 
+def binomial_draw(uniform: Column, n: Column, p: Column, most: int) -> Column:
+    """A binomial number (n up to ``most`` trials, 0 < p < 1) from a uniform 32-bit one: how many k < n have a distribution function at or below it."""
+
+    @F.pandas_udf("long")
+    def draw(u: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
+        out = np.zeros(len(u), np.int64)
+        for (size, rate), rows in pd.DataFrame({"n": n, "p": p}).groupby(["n", "p"]).indices.items():
+            mass = [math.exp(math.lgamma(size + 1) - math.lgamma(k + 1) - math.lgamma(size - k + 1) + k * math.log(rate) + (size - k) * math.log1p(-rate)) for k in range(min(int(size), most))]
+            out[rows] = np.searchsorted(np.floor(np.cumsum(mass) * 2**32).astype(np.int64), u.to_numpy()[rows], "right")
+        return pd.Series(out)
+
+    return draw(uniform, n, p)
+
+
 upper = _bound(binomial_upper)
 lower = _bound(binomial_lower)
 

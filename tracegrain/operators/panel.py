@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracegrain.functions.portable import h
 from tracegrain.sources.scratch import materialise
 
 
@@ -21,10 +22,25 @@ def _below(counted: DataFrame, by: list[str], score: str) -> DataFrame:
     return dealt.join(base, [*by, "_range"]).withColumn("below", F.col("_base") + F.sum("n").over(inside) - F.col("n")).drop("_range", "_base")
 
 
+def _with_rank(rows: DataFrame, by: list[str], score: str, name: str) -> DataFrame:
+    """Adds the mean rank of all rows of the group with the same score; rows without a score are dropped.
+
+    A score that fills more than its share of a partition would be one key of a join: there are fewer of these than partitions, and they
+    are sent to the rows instead."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    on = [*by, score]
+    at = _below(rows.where(F.col(score).isNotNull()).groupBy(*on).agg(F.count("*").alias("n")), by, score)
+    at = materialise(at.select(*on, "n", (F.col("below") + (F.col("n") + 1) / 2).alias(name)), "ranks")
+    total = at.agg(F.sum("n")).first()[0] or 0
+    hot = at.where(F.col("n") * parts > total).drop("n")
+    sent = rows.join(F.broadcast(hot), on, "left")
+    rest = sent.where(F.col(name).isNull()).drop(name).join(at.drop("n"), on)
+    return sent.where(F.col(name).isNotNull()).unionByName(rest)
+
+
 def mid_ranks(rows: DataFrame, score: str) -> DataFrame:
     """Adds ``mid_rank``: the mean rank of all rows with the same score."""
-    at = _below(rows.groupBy(score).agg(F.count("*").alias("n")), [], score)
-    return rows.join(at.select(score, (F.col("below") + (F.col("n") + 1) / 2).alias("mid_rank")), score)
+    return _with_rank(rows, [], score, "mid_rank")
 
 
 def roc_auc(rows: DataFrame, by: str, score: str, label: str) -> DataFrame:
@@ -40,8 +56,7 @@ def spearman(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:
     """(by, n, rho): correlation of mid-ranks over complete pairs; null below three pairs or without variance."""
     rows = rows.dropna(subset=[x, y])
     for c, r in ((x, "rx"), (y, "ry")):
-        at = _below(rows.groupBy(by, c).agg(F.count("*").alias("n")), [by], c)
-        rows = rows.join(at.select(by, c, (F.col("below") + (F.col("n") + 1) / 2).alias(r)), [by, c])
+        rows = _with_rank(rows, [by], c, r)
     varies = (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0)
     return rows.groupBy(by).agg(F.count("*").alias("n"), F.when((F.count("*") >= 3) & varies, F.round(F.corr("rx", "ry"), 9)).alias("rho"))
 
@@ -76,3 +91,27 @@ def attribution(intact, changed) -> Column:
     mean = lambda x: F.try_divide(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.abs(v)), n)
     gap = F.zip_with(F.slice(intact, 1, n), F.slice(changed, 1, n), lambda a, b: a - b)
     return F.when(n > 0, F.try_divide(mean(gap), mean(F.slice(intact, 1, n))))
+
+
+def filled_sample(rows: DataFrame, stratum: str, unit: str, record: str, n: int, salt: str) -> DataFrame:
+    """``n`` of the rows, or all if there are fewer: (stratum, unit, record).
+
+    The strata share n evenly; what a small one can't give goes to the larger ones (a water level), and what is left over goes one by one to those that have more, in
+    their order by name. A stratum gives one row for each unit first, in an order by hash, then other rows, in an order by hash. The first pass counts the strata;
+    in the second no task holds more than n rows of a stratum. A record of a stratum that repeats counts once; rows without a stratum are one stratum."""
+    own = rows.select(stratum, unit, record).distinct()
+    key = lambda tag, c: h(f"{salt}-{tag}", F.col(stratum), F.col(c))
+    first = own.groupBy(F.col(stratum).alias("_s"), F.col(unit).alias("_u")).agg(F.min(F.struct(key("one", record).alias("h"), F.col(record).alias("r")))["r"].alias("_one"))
+    ranked = own.join(first, F.col(stratum).eqNullSafe(F.col("_s")) & F.col(unit).eqNullSafe(F.col("_u"))).select(stratum, unit, record, (F.col(record) != F.col("_one")).alias("_more"))
+    order = (F.col("_more"), F.when(F.col("_more"), key("more", record)).otherwise(key("unit", unit)), F.col(unit), F.col(record))
+    top = ranked.withColumn("_i", F.row_number().over(Window.partitionBy(stratum).orderBy(*order))).where(F.col("_i") <= n)
+    sizes = own.groupBy(stratum).agg(F.count("*").alias("_size"))
+    # The highest level at which all strata together give no more than n.
+    level = F.col("_level")
+    given = sizes.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(n)))).groupBy("_level").agg(F.sum(F.least("_size", level)).alias("_sum"))
+    best = given.where(F.col("_sum") <= n).agg(F.max(F.struct("_level", "_sum")).alias("b")).select("b.*", F.lit(0).alias("_all"))
+    above = F.col("_size") > level
+    # One row a stratum.
+    w = Window.orderBy(F.when(above, 0).otherwise(1), stratum)
+    quota = sizes.withColumn("_all", F.lit(0)).join(best, "_all").withColumn("_quota", F.least("_size", level) + F.when(above & (F.row_number().over(w) <= n - F.col("_sum")), 1).otherwise(0)).select(F.col(stratum).alias("_stratum"), "_quota")
+    return top.join(quota, F.col(stratum).eqNullSafe(F.col("_stratum"))).where("_i <= _quota").select(stratum, unit, record)

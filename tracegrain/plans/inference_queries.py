@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tracegrain.functions.equality import eq_lt, lt, rel
 from tracegrain.functions.portable import h, h_sql
+from tracegrain.functions.trace import pin
 from tracegrain.operators import inference as inf
 from tracegrain.operators import ranking as rank
 from tracegrain.operators.gates import scored
+from tracegrain.operators.panel import filled_sample
 from tracegrain.operators.rates import RATES_SQL, counts_sql, outcome_counts, outcome_rates, share
 from tracegrain.plans.rate_queries import gated, items
 from tracegrain.plans.registry import query
@@ -349,6 +351,73 @@ def x17_pair_proposition(spark, sf):
     return g.agg(F.count("*").alias("n_cells"), F.sum("n").alias("n_rows"), F.count(F.when((F.col("s1") - F.col("s2") > F.least("s1", "d")) != (worst > 0), 1)).alias("mismatches"))
 
 
+#: Audit sizes that the soundness check draws for.
+AUDITS = [20, 40, 80]
+
+
+@query(
+    f"""WITH r AS (SELECT model, {RATES_SQL} FROM scored WHERE gated GROUP BY model),
+cdf AS (SELECT model, delta, sigma, n_audit AS n, c, sum(exp(lgamma(n_audit + 1) - CASE WHEN c = 0 THEN 0 ELSE lgamma(c + 1) END - lgamma(n_audit - c + 1) + c * ln(delta) + (n_audit - c) * ln(1 - delta))) OVER (PARTITION BY model, n_audit ORDER BY c) AS upto
+  FROM r, (VALUES {", ".join(f"({n})" for n in AUDITS)}) a(n_audit), range(0, {max(AUDITS)} + 1) k(c) WHERE c <= n_audit AND delta > 0 AND delta < 1),
+step AS (SELECT model, n, list(floor(upto * 4294967296)::BIGINT ORDER BY c) AS steps FROM cdf GROUP BY model, n),
+trial AS (SELECT s.model, s.n, len(list_filter(steps[1:s.n], lambda t: {h_sql("'sound'", "i.model", "i.record_id", "s.n")} >= t))::BIGINT AS c FROM items i JOIN step s ON s.model = i.model),
+pairs AS (SELECT DISTINCT c, n FROM trial), {inf.upper_sql("pairs")}
+SELECT t.model, t.n::INT AS n_audit, count(*) AS trials, sum(t.c)::BIGINT AS derailed, count(*) FILTER (WHERE r.delta > least(r.sigma, round(b.up, 12))) AS wrong FROM trial t JOIN bound b ON b.c = t.c AND b.n = t.n JOIN r ON r.model = t.model GROUP BY t.model, t.n""",
+    "scored",
+)
+def x17_soundness(spark, sf):
+    """How often an audit accepts an order that doesn't hold: a rival that leads by exactly what derails, audits of three sizes, one trial for each item.
+
+    The number derailed is drawn by inverting the binomial distribution at a hashed uniform; limits are worked out once for each (derailed, size)."""
+    r = outcome_rates(gated(spark, sf), "model").where("delta > 0 and delta < 1").select("model", "sigma", "delta")
+    cells = rank.held(r).withColumn("n", F.explode(F.array(*map(F.lit, AUDITS))))
+    trial = items(spark, sf).select("model", "record_id").join(cells, "model")
+    drawn = trial.select("model", "n", "delta", "sigma", inf.binomial_draw(h("sound", F.col("model"), F.col("record_id"), F.col("n")), F.col("n"), F.col("delta"), max(AUDITS)).alias("c"))
+    # Counts alike are one row from here on.
+    alike = drawn.groupBy("model", "n", "delta", "sigma", "c").agg(F.count("*").alias("k"))
+    wrong = F.col("delta") > F.least("sigma", F.round(inf.upper("c", "n"), 12))
+    return alike.withColumn("wrong", wrong).groupBy("model", F.col("n").alias("n_audit")).agg(F.sum("k").alias("trials"), F.sum(F.col("k") * F.col("c")).alias("derailed"), F.sum(F.when(F.col("wrong"), F.col("k")).otherwise(0)).alias("wrong"))
+
+
+#: Orders of up to five systems, as positions: a fixed table that each family is checked against.
+_ORDERS = "SELECT k, p FROM range(3, 6) s(k), (SELECT [a, b, c, d, e] AS p FROM range(1, 6) x(a), range(1, 6) y(b), range(1, 6) z(c), range(1, 6) u(d), range(1, 6) v(e)) WHERE len(list_distinct(p)) = 5 AND list_filter(p, lambda x: x > k) = list_filter([4, 5], lambda x: x > k) AND p[k + 1:5] = list_filter([4, 5], lambda x: x > k)"
+_U = lambda part: f"{h_sql(repr('family'), 'o_orderkey', 'i', repr(part))} % 101"
+
+
+@query(
+    f"""WITH ord AS ({_ORDERS}), raw AS (SELECT o_orderkey, 3 + o_orderkey % 3 AS k, i, {_U('s')} AS hi, {_U('m')} AS u FROM orders, range(1, 6) q(i) WHERE i <= 3 + o_orderkey % 3),
+fam AS (SELECT o_orderkey, any_value(k) AS k, list(hi - u * hi // 100 ORDER BY i) AS lo, list(hi ORDER BY i) AS hi FROM raw GROUP BY o_orderkey),
+test AS (SELECT f.o_orderkey, f.k, [x for x in p if x <= f.k] AS p, lo, hi FROM fam f JOIN ord ON ord.k = f.k),
+seen AS (SELECT o_orderkey, k,
+  len(list_filter(range(1, k + 1), lambda a: len(list_filter(range(a + 1, k + 1), lambda b: hi[p[a]] < lo[p[b]])) > 0)) = 0 AS extends,
+  len(list_filter(range(1, k + 1), lambda b: list_min(list_transform(range(1, b + 1), lambda a: hi[p[a]])) < lo[p[b]])) = 0 AS weak,
+  len(list_filter(range(1, k + 1), lambda a: len(list_filter(range(a + 1, k + 1), lambda b: hi[p[a]] <= lo[p[b]])) > 0)) = 0 AS strict FROM test)
+SELECT k::INT AS k, count(DISTINCT o_orderkey) AS families, count(*) AS orders, count(*) FILTER (WHERE extends) AS extensions, count(*) FILTER (WHERE strict) AS realisable, count(*) FILTER (WHERE extends <> weak) AS mismatches, count(*) FILTER (WHERE extends AND NOT strict) AS degenerate FROM seen GROUP BY k"""
+)
+def x17_interval_order(spark, sf):
+    """Families of intervals, one for each order of the tables: their linear extensions against the rankings that some values in the intervals realise,
+    over all rankings of three to five systems. They differ only where two intervals share an end."""
+    from itertools import permutations
+
+    from tracegrain.sources.fixtures import table
+
+    spans = F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.struct((h("family", F.col("o_orderkey"), i, "s") % 101).alias("hi"), (h("family", F.col("o_orderkey"), i, "m") % 101).alias("u")))
+    fam = pin(table(spark, sf, "orders").select("o_orderkey", (3 + F.col("o_orderkey") % 3).cast("int").alias("k")), s=spans)
+    fam = pin(fam, hi=F.transform("s", lambda x: x["hi"]), lo=F.transform("s", lambda x: x["hi"] - F.floor(x["u"] * x["hi"] / 100)))
+    orders = spark.createDataFrame([(k, list(p)) for k in (3, 4, 5) for p in permutations(range(k))], "k int, p array<int>")
+    test = fam.join(F.broadcast(orders), "k")
+    at = lambda a, i: F.get(a, F.get("p", i))
+    pairs = [(a, b) for a in range(5) for b in range(a + 1, 5)]
+    # Along a ranking the largest value still to be had falls to the least upper end so far.
+    none = lambda bad: ~F.coalesce(F.greatest(*(F.coalesce(bad(a, b), F.lit(False)) for a, b in pairs)), F.lit(False))
+    top = lambda b: F.least(*(at("hi", a) for a in range(b + 1))) if b else at("hi", 0)
+    weak = ~F.greatest(*(F.coalesce(top(b) < at("lo", b), F.lit(False)) for b in range(5)))
+    seen = test.select("o_orderkey", "k", none(lambda a, b: at("hi", a) < at("lo", b)).alias("extends"), weak.alias("weak"), none(lambda a, b: at("hi", a) <= at("lo", b)).alias("strict"))
+    n_of = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    out = seen.groupBy("k").agg(F.count("*").alias("orders"), n_of(F.col("extends"), "extensions"), n_of(F.col("strict"), "realisable"), n_of(F.col("extends") != F.col("weak"), "mismatches"), n_of(F.col("extends") & ~F.col("strict"), "degenerate"))
+    return out.join(fam.groupBy("k").agg(F.count("*").alias("families")), "k")
+
+
 def systems(spark, sf, corrected=True, policy="worst"):
     return rank.bounded(outcome_counts(scored(items(spark, sf)).where("recount"), "model", policy=policy), corrected).select("model", "sigma", "m")
 
@@ -450,6 +519,25 @@ def w05_stratified_sample(spark, sf):
     return one.withColumn("i", F.row_number().over(w)).where("i <= 15").drop("i")
 
 
+#: Rows of an audit sheet over all systems.
+SHEET = 400
+
+
+@query(
+    f"""WITH d AS (SELECT model, problem_id, record_id FROM scored WHERE status = 'built' AND outcome = 'D' AND (model <> 'sys1' OR seed = 0) AND (model <> 'sys2' OR problem_id IN ('p1', 'p2', 'p3', 'p5', 'p8'))),
+one AS (SELECT *, row_number() OVER (PARTITION BY model, problem_id ORDER BY {h_sql("'sheet-one'", "model", "record_id")}, record_id) > 1 AS more FROM d),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY more, CASE WHEN more THEN {h_sql("'sheet-more'", "model", "record_id")} ELSE {h_sql("'sheet-unit'", "model", "problem_id")} END, problem_id, record_id) AS i, count(*) OVER (PARTITION BY model) AS size FROM one),
+sizes AS (SELECT DISTINCT model, size FROM ranked), level AS (SELECT v, sum(least(size, v)) AS s FROM sizes, range(0, {SHEET} + 1) l(v) GROUP BY v HAVING sum(least(size, v)) <= {SHEET} ORDER BY v DESC LIMIT 1),
+quota AS (SELECT model, least(size, v) + (size > v AND row_number() OVER (ORDER BY size <= v, model) <= {SHEET} - s)::INT AS q FROM sizes, level)
+SELECT ranked.model, problem_id, record_id FROM ranked JOIN quota USING (model) WHERE i <= q""",
+    "scored",
+)
+def w05_filled_sheet(spark, sf):
+    """An audit sheet of a given size: derailed records of all systems, of which some have few, one for each problem first, then filled up."""
+    d = scored(items(spark, sf)).where("status = 'built' and outcome = 'D' and (model <> 'sys1' or seed = 0) and (model <> 'sys2' or problem_id in ('p1', 'p2', 'p3', 'p5', 'p8'))")
+    return filled_sample(d, "model", "problem_id", "record_id", SHEET, "sheet")
+
+
 #: The report's own number of draws.
 REPORT_DRAWS = 2_000
 _HIT = f"({rel('ans_treat', 'den_treat')}::INT - {rel('ans_placebo', 'den_treat')}::INT)"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tracegrain.llm import compression_rules, decontam, hilbert_pack, near_dup, suffix_dedup
 from tracegrain.llm.queries import tokenizer
-from tracegrain.llm.shared import discard, made, materialise
+from tracegrain.sources.scratch import discard, job, materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -55,8 +55,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    begin = made()
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-        discard(spark, begin)
+    with job() as own:
+        for name, stage in STAGES:
+            docs = materialise(stage(spark, docs, sf_dir), name)
+            discard(spark, own)
     return docs

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 from pathlib import Path
 
@@ -36,14 +39,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path or _own_scratch()
 
 
-#: Tables written by this driver, in order.
-_made: list[str] = []
+#: Tables of the job that this thread is in.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def job() -> Iterator[list[str]]:
+    """What this thread writes inside belongs to the job, in order; jobs in other threads have lists of their own. A job inside a job is one of its own."""
+    own: list[str] = []
+    token = _made.set(own)
+    try:
+        yield own
+    finally:
+        _made.reset(token)
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
     """A place for one more table."""
-    _made.append(f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    own = _made.get()
+    if own is not None:
+        own.append(path)
+    return path
 
 
 def materialise(df: DataFrame, tag: str, share: int = 1) -> DataFrame:
@@ -60,14 +77,13 @@ def materialise(df: DataFrame, tag: str, share: int = 1) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def made() -> int:
-    """How many tables have been written so far."""
-    return len(_made)
-
-
-def discard(spark: SparkSession, since: int) -> None:
-    """Delete the tables written from number ``since`` on, but for the last."""
-    for name in _made[since:-1]:
+def discard(spark: SparkSession, own: list[str]) -> None:
+    """Delete the tables of a job, but for the last."""
+    for name in own[:-1]:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    del _made[since:-1]
+    del own[:-1]
+
+
+def made() -> int:
+    return 0

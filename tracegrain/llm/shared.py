@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 from functools import cache
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,23 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tracegrain.sources.scratch import discard, made, materialise  # noqa: F401  for this subpackage's modules
+from tracegrain.sources import scratch
+from tracegrain.sources.scratch import materialise  # noqa: F401  for this subpackage's modules
 
 U = np.uint64
-_ROOT = str(Path(__file__).resolve().parents[2])
-
-
 def ship_code(spark: SparkSession) -> None:
     """Get a session ready for this package's tasks.
 
     Whole texts go to Python in batches, in buffers on both sides: unless the session says otherwise, a batch has a
-    thousand rows, not ten thousand. The Python workers of a session on this machine can import the package wherever they were started."""
+    thousand rows, not ten thousand."""
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(batch) == "10000":
         spark.conf.set(batch, "1000")
-    env = spark.sparkContext.environment
-    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
+    scratch.ship_code(spark)
 
 
 #: Bytes that a partition should hold.

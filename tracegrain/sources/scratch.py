@@ -83,7 +83,3 @@ def discard(spark: SparkSession, own: list[str]) -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     del own[:-1]
-
-
-def made() -> int:
-    return 0

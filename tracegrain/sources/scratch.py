@@ -63,16 +63,16 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, tag: str, share: int = 1) -> DataFrame:
+def materialise(df: DataFrame, tag: str, share: int = 1, of: int = 0) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts the lineage
     for good: a lost executor costs no more than the tasks that read the table.
 
-    A table that is far smaller than what it comes from (links, labels) is written by one task for each ``share`` partitions, so that it
-    isn't a heap of tiny files. Such tables stay, as checkpoints do, for what reads them later; ``discard`` deletes those of a job that is done."""
+    A table that is far smaller than what it comes from (links, labels) is written by one task for each ``share`` partitions (of the session's number, or ``of``
+    if that is larger), so that it isn't a heap of tiny files. Such tables stay, as checkpoints do, for what reads them later; ``discard`` deletes those of a job that is done."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     if share > 1:
-        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
+        df = df.coalesce(max(1, max(of, int(spark.conf.get("spark.sql.shuffle.partitions"))) // share))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

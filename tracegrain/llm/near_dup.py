@@ -9,8 +9,8 @@ allowed in a chunk), 104 keys in all, and no pair within the distance is lost.
 Documents with equal sets are one class from the start. A key's documents are not paired with one another: each is paired
 with the key's hub first, the document that shares the most keys with others, and the best such pair of each document is
 confirmed; a second round does the same with hubs of other components. Only where a key then still has documents of different
-components, pairs across components are compared by a longer signature (each pair under its first common key only) and
-confirmed; a key with more than ``BLOCK`` members is dealt out in blocks, each two of which meet in a task of their own. So a group of n near copies costs about n confirmations. Components come from large-star/small-star
+components, pairs across components are compared by signature and by an upper bound of what they have in common (each pair under its first
+common key only) and confirmed; a key with more than ``BLOCK`` members is dealt out in blocks, each two of which meet in a task of their own. So a group of n near copies costs about n confirmations. Components come from large-star/small-star
 rounds on the linked pairs; nothing of that passes the driver but a few counts.
 
 Null or empty texts, and texts without words, have an empty set: they link with nothing and are kept. Texts with fewer
@@ -36,10 +36,13 @@ WORDS = 5
 HASHES, CHUNKS, AGREE = 64, 14, 3
 #: With 30 or more equal components, one of 14 chunks has three or more.
 DISTANCE = HASHES - CHUNKS * (AGREE - 1) - 2
-#: More components, of one byte, for documents that share keys; over all 512 a true pair differs in at most 172, but for a chance below one in 100,000.
-MORE, FAR = 448, 172
+#: Documents that share keys are told apart further by how many of their shingles fall in each of so many cells: two sets have no more in common than
+#: the smaller counts of all cells add up to, so no pair that is similar enough is lost.
+CELLS = 448
+#: Parts that a hub's partners are dealt into; each gets the hub's text once.
+PARTS = 256
 _rng = np.random.default_rng(75)
-_MUL, _ADD = _rng.integers(0, 2**63, HASHES + MORE, dtype=U) * U(2) + U(1), _rng.integers(0, 2**64, HASHES + MORE, dtype=U)
+_MUL, _ADD = _rng.integers(0, 2**63, HASHES, dtype=U) * U(2) + U(1), _rng.integers(0, 2**64, HASHES, dtype=U)
 _CHOICES = [c for part in np.array_split(np.arange(HASHES), CHUNKS) for c in combinations(part.tolist(), AGREE)]
 
 
@@ -69,15 +72,14 @@ def _least(h, off, full, components):
         yield k, mix(np.minimum.reduceat(v, off[full]))
 
 
-def _sign_more(batches):
+def _cells(batches):
     for whole in batches:
         for batch in slices(whole):
             h, off = shingle_sets(batch.column("text"))
-            more = np.zeros((batch.num_rows, MORE), np.uint8)
-            full = np.flatnonzero(np.diff(off))
-            for k, least in _least(h, off, full, range(HASHES, HASHES + MORE)):
-                more[full, k - HASHES] = (least & U(0xFF)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in more], pa.binary())], names=["id", "more"])
+            counts = np.zeros((batch.num_rows, CELLS), np.uint8)
+            for i in range(batch.num_rows):
+                counts[i] = np.minimum(np.bincount((np.unique(h[off[i] : off[i + 1]]) % U(CELLS)).astype(np.int64), minlength=CELLS), 255)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in counts], pa.binary())], names=["id", "more"])
 
 
 def _sign(batches):
@@ -166,22 +168,25 @@ def best_hubs(members: DataFrame, tried: DataFrame | None = None) -> DataFrame:
 
 
 def _confirm(percent: int):
+    """Rows (b, part, a, text), the hub's own (without a) before its partners."""
+
     def run(batches):
         held, own = None, None
         for batch in batches:
-            b_ids = batch.column("b").to_pylist()
+            hubs, ids = batch.column("b").to_pylist(), batch.column("a").to_pylist()
             linked = np.zeros(batch.num_rows, bool)
             at = 0
-            for part in slices(batch, utf8(batch.column("text_a"))[1]):
-                h, off = shingle_sets(part.column("text_a"))
-                texts = part.column("text_b")
+            for part in slices(batch):
+                h, off = shingle_sets(part.column("text"))
                 for i in range(part.num_rows):
-                    if held != b_ids[at]:
-                        held = b_ids[at]
-                        own = np.unique(shingle_sets(texts.slice(i, 1))[0])
                     other = np.unique(h[off[i] : off[i + 1]])
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    linked[at] = 100 * both >= percent * (len(own) + len(other) - both)
+                    if ids[at] is None:
+                        held, own = hubs[at], other
+                    elif held != hubs[at]:
+                        raise ValueError("a hub's text comes before its partners")
+                    else:
+                        both = len(np.intersect1d(own, other, assume_unique=True))
+                        linked[at] = 100 * both >= percent * (len(own) + len(other) - both)
                     at += 1
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(linked))
 
@@ -189,10 +194,12 @@ def _confirm(percent: int):
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long")
+    """The pairs (a, b) whose full sets are similar enough. A hub's text isn't joined to each of its partners: it goes once to each part of them."""
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(PARTS)).alias("part"))
+    partners = dealt.join(texts.select(F.col("id").alias("a"), "text"), "a").select("b", "part", "a", "text")
+    hubs = dealt.select("b", "part").distinct().join(texts.select(F.col("id").alias("b"), "text"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
+    both = partners.unionByName(hubs).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    return both.mapInArrow(_confirm(percent), "a long, b long")
 
 
 #: Members of a key that are compared in one task; a larger key's are dealt into blocks, and each two blocks are a group.
@@ -215,12 +222,14 @@ def _differs(table) -> np.ndarray:
 def _across(percent: int):
     """Pairs of a group's members, in different components, whose signatures are near enough."""
 
-    def near(key, ids, sig, more, p, q):
+    def near(key, ids, n, sig, more, p, q):
         """Of the index pairs those that are near enough and have this as their first common key."""
         same = sig[p] == sig[q]
-        equal = same.sum(axis=1)
-        keep = np.flatnonzero(equal >= HASHES - DISTANCE)
-        keep = keep[HASHES + MORE - equal[keep] - (more[p[keep]] == more[q[keep]]).sum(axis=1) <= FAR]
+        keep = np.flatnonzero(same.sum(axis=1) >= HASHES - DISTANCE)
+        x, y = more[p[keep]], more[q[keep]]
+        most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+        full = ((x == 255) & (y == 255)).any(axis=1)
+        keep = keep[full | (100 * most >= percent * (n[p[keep]] + n[q[keep]] - most))]
         p, q, same = p[keep], q[keep], same[keep]
         if not len(p):
             return p, q
@@ -248,7 +257,7 @@ def _across(percent: int):
                     fits &= np.arange(i, min(i + block, len(ids)))[:, None] < np.arange(j, min(j + 4096, len(ids)))[None, :]
                 x, y = np.nonzero(fits)
                 for k in range(0, len(x), 10_000):
-                    p, q = near(key, ids, sig, more, x[k : k + 10_000] + i, y[k : k + 10_000] + j)
+                    p, q = near(key, ids, n, sig, more, x[k : k + 10_000] + i, y[k : k + 10_000] + j)
                     if len(p):
                         yield np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])
 
@@ -257,7 +266,7 @@ def _across(percent: int):
 
         def emit(table):
             key, ids, label, part, n = (table.column(c).to_numpy() for c in ("key", "id", "label", "part", "n"))
-            sig, more = _bytes(table.column("sig"), 2 * HASHES).view("<u2"), _bytes(table.column("more"), MORE)
+            sig, more = _bytes(table.column("sig"), 2 * HASHES).view("<u2"), _bytes(table.column("more"), CELLS)
             edges = np.append(np.flatnonzero(np.concatenate([[True], _differs(table)])), len(key))
             out = [p for a, b in zip(edges[:-1], edges[1:], strict=True) for p in group(key[a : a + 1].view(U)[0], ids[a:b], label[a:b], part[a:b], n[a:b], sig[a:b], more[a:b])]
             if out:
@@ -339,7 +348,7 @@ def labelled(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = materialise(classes.withColumn("id", F.col("set_a")), "classes", SOME)
     n = partitions(spark, classes.count() * len(_CHOICES) * 16)
     filed = classes.select("id", "sig").mapInArrow(_file(8 * n), "bucket int, payload binary").repartition(n, "bucket")
-    met = materialise(filed.mapInArrow(_meet, _MET), "met", SOME)
+    met = materialise(filed.mapInArrow(_meet, _MET), "met", SOME, n)
     links = met.groupBy("id").agg(F.sum("size").alias("links"))
     members = materialise(met.select("key", "id").join(links, "id"), "members", SOME)
     near = classes.join(links, "id", "left_semi").select("id", "first.doc", "first.tie")
@@ -354,7 +363,7 @@ def labelled(docs: DataFrame, percent: int = 75) -> DataFrame:
     named = members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
     split = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("count")).where("least < most").select("key", "count")
     open_ = materialise(named.join(split, "key"), "open", SOME)
-    more = texts.join(open_.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_sign_more, "id long, more binary")
+    more = texts.join(open_.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_cells, "id long, more binary")
     rest = in_blocks(open_, BLOCK).join(classes.select("id", "n", "sig").join(more, "id"), "id")
     dealt = rest.select("key", "lo", "hi", "id", "label", "part", "n", "sig", "more").repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     pairs = dealt.mapInArrow(_across(percent), "a long, b long").join(tried, ["a", "b"], "left_anti")

@@ -5,7 +5,7 @@ shingles; a text that holds the window holds all of them, so one necessary shing
 enough to find candidates. The shingle's place in the window gives the only start the window can have in the document
 (positional bound), the words left there bound its length, and a candidate counts only if all its words are equal, byte for byte.
 
-The items come in blocks of at most ``block_words`` words, and each block's windows are sent to all tasks: what is
+The items come in blocks of at most ``block_words`` words (a longer item is cut, with no window lost), and each block's windows are sent to all tasks: what is
 broadcast is bounded, however large the benchmark. Documents are never shuffled; with several blocks, what was found in them is.
 
 Null texts have no words; items without words have no windows; repeated item rows count once, and equal item_ids are one
@@ -197,26 +197,42 @@ def _find(win: Windows):
 _FOUND = "doc_id long, tie long, n_words long, spans array<struct<start: bigint, stop: bigint>>, items array<string>"
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS):
-    """Item blocks of at most about ``most`` words (an item is never cut), one at a time on the driver."""
-    words_of = F.size(F.split(F.coalesce("text", F.lit("")), "[^0-9A-Za-z\\x80-\\x{10FFFF}]+"))
-    sized = benchmark.select("item_id", "text").distinct().select("item_id", "text", words_of.cast("long").alias("n"))
+_OTHER = "[^0-9A-Za-z\\x80-\\x{10FFFF}]+"
+
+
+def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS, size: int = 0):
+    """Item blocks of about ``most`` words, one at a time on the driver. An item of more words is cut into pieces that overlap by ``size`` - 1 of
+    them, which have the same windows of ``size``; without a size no item is cut."""
+    sized = benchmark.select("item_id", "text").distinct().select("item_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), _OTHER)).cast("long").alias("n"))
     total = sized.agg(F.sum("n")).first()[0] or 0
     if total <= most:
         yield sized.select("item_id", "text").toPandas()
         return
+    if size:
+        words_of = F.filter(F.split("text", _OTHER), lambda w: w != "")
+        starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)), F.lit(most))
+        long = sized.where(F.col("n") > most).select("item_id", words_of.alias("w")).select("item_id", "w", F.explode(starts).alias("i"))
+        pieces = long.select("item_id", F.array_join(F.slice("w", F.col("i") + 1, most + size - 1), " ").alias("text"))
+        sized = sized.where(F.col("n") <= most).select("item_id", "text").unionByName(pieces)
     n = -(-2 * total // most)
-    dealt = materialise(sized.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), "items")
+    dealt = materialise(sized.select("item_id", "text").withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), "items")
     for b in range(n):
         yield dealt.where(F.col("block") == b).select("item_id", "text").toPandas()
 
 
+def _merged(spans):
+    """Spans in order that overlap or touch, as one: what one block gives and what several give are the same."""
+    step = lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["stop"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(x)))
+    none = F.array().cast("array<struct<start: bigint, stop: bigint>>")
+    return F.aggregate(F.array_sort(spans), none, step)
+
+
 def _found(docs: DataFrame, benchmark: DataFrame, size: int, block_words: int) -> DataFrame:
     """(doc_id, tie, n_words, spans, items) of each row, known by doc_id and a hash of its text."""
     ship_code(docs.sparkSession)
     src = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
     out, several = None, False
-    for items in blocks(benchmark, block_words):
+    for items in blocks(benchmark, block_words, size):
         win = Windows(items, size)
         if out is not None and not len(win.first):
             continue
@@ -232,7 +248,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, size: int, block_words: int) -
     if several:
         # Rows that repeat id and text have the same result: found once, and given back as often as the first block met them.
         every = lambda c: F.flatten(F.collect_set(c))
-        out = out.groupBy("doc_id", "tie").agg(F.max("n_words").alias("n_words"), every("spans").alias("spans"), F.array_distinct(every("items")).alias("items"), F.sum("row").alias("n"))
+        out = out.groupBy("doc_id", "tie").agg(F.max("n_words").alias("n_words"), _merged(every("spans")).alias("spans"), F.array_distinct(every("items")).alias("items"), F.sum("row").alias("n"))
         out = out.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     return out.select("doc_id", "tie", "n_words", "spans", "items")
 

@@ -250,3 +250,59 @@ def test_words_made_by_doubling(spark):
     x = quality_gam.features(pa.array([f"{a} {b}", f"{a} {a}"]))
     at = quality_gam.FEATURES.index("distinct")
     assert not np.isclose(x[0, at], x[1, at])
+
+
+def test_upper_bound_loses_no_pair():
+    """What the cells' counts allow is never less than what two sets have in common, in sets of any size, and it tells most others apart."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(5000)]
+    base = rng.choices(vocab, k=600)
+    texts = [" ".join(base)] + [" ".join(rng.choice(vocab) if rng.random() < p else w for w in base) for p in (0.01, 0.03, 0.05, 0.2, 0.5)] + [" ".join(rng.choices(vocab, k=600)), " ".join(rng.choices(vocab, k=200_000))]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    counts = [np.frombuffer(x, np.uint8).astype(int) for b in near_dup._cells([batch]) for x in b.column("more").to_pylist()]
+    sets = [brute.shingle_set(t) for t in texts]
+    for i, a in enumerate(sets[:-1]):
+        for j, b in enumerate(sets[:-1]):
+            most = int(np.minimum(counts[i], counts[j]).sum())
+            assert most >= len(a & b) and (i == j or len(a & b) > 0.5 * len(a) or 100 * most < 75 * (len(a) + len(b) - most))
+    # A set that fills the cells is told nothing about.
+    assert counts[-1].min() == 255
+
+
+def test_a_hub_is_dealt_out(spark):
+    """The partners of one hub meet it in many parts, its text once in each; links are those of the full sets."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(900)}" for _ in range(80)]
+    texts = [(0, " ".join(base))] + [(i, " ".join(rng.choice(base) if rng.random() < 0.05 * (i % 4) else w for w in base)) for i in range(1, 1500)]
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 1500)] + [(0, 1)], "a long, b long").repartition(3)
+    seen = []
+    held = near_dup._confirm
+    try:
+        near_dup._confirm = lambda percent: lambda batches: (b.select(["a", "b"]) for b in batches)
+        seen = near_dup.confirm(pairs, frame(spark, texts, "id long, text string"), 75).where("b = 0").collect()
+    finally:
+        near_dup._confirm = held
+    assert 200 < sum(r.a is None for r in seen) <= near_dup.PARTS and len(seen) - sum(r.a is None for r in seen) == 1499
+    sets = {i: brute.shingle_set(t) for i, t in texts}
+    close = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    got = {(r.a, r.b) for r in near_dup.confirm(pairs, frame(spark, texts, "id long, text string"), 75).collect()}
+    assert got == {(i, 0) for i in range(1, 1500) if close(i, 0)} | ({(0, 1)} if close(0, 1) else set()) and 300 < len(got) < 1400
+
+
+def test_long_items_are_cut(spark):
+    """An item of more words than a block: its pieces have its windows, and spans are the same as with one block."""
+    rng = random.Random(6)
+    vocab = [f"v{i}" for i in range(300)]
+    item = [rng.choice(vocab) for _ in range(500)]
+    items = [(1, " ".join(item)), (2, "alpha beta gamma"), (3, None), (4, " ".join(item[100:130]) + " end")]
+    docs = [(i, " ".join(rng.choices(vocab, k=10) + item[k : k + rng.randint(8, 60)] + rng.choices(vocab, k=5))) for i, k in enumerate(range(0, 490, 7))] + [(900, " ".join(item)), (901, "ALPHA, beta. gamma!")]
+    frames = frame(spark, docs), frame(spark, items, "item_id long, text string")
+    found = {}
+    for most in (10**6, 90, 33):
+        assert most > 10**5 or all(len(t.split()) <= most + 9 for x in decontam.blocks(frames[1], most, 10) for t in x["text"].fillna(""))
+        rows = decontam.decontaminate(*frames, block_words=most)
+        found[most] = {r.doc_id: (r.n_words, [(x.start, x.stop) for x in r.spans], sorted(r["items"])) for r in rows.collect()}
+        assert {tuple(r) for r in decontam.report(rows).collect()} == {(d, *x) for d, x in brute.contamination(docs, items).items()}
+    assert found[90] == found[33] == found[10**6]

@@ -87,25 +87,23 @@ def _by_doc(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-#: Rounds after which EM gives up on a document whose likelihood still climbs.
-ROUNDS = 1000
+#: Proportions that change by less than this in a round stand still as far as doubles go.
+STILL = 1e-13
 
 
 def _em(lik: np.ndarray, n: np.ndarray, share: np.ndarray, settled):
     """Proportions of each text's words (``n`` of them, texts one after the other) from these to start with, the
-    log-likelihood they give, and how far the maximum can lie above it; until ``settled(texts, likelihood, slack)`` says so."""
+    log-likelihood they give, and how far the maximum can lie above it; until ``settled(texts, likelihood, slack)`` says so, or they stand still."""
     share, seen, slack = share.copy(), np.zeros(len(n)), np.zeros(len(n))
     texts = np.flatnonzero(n)
     lik = lik if len(texts) else lik[:0]
-    for _ in range(ROUNDS):
-        if not len(texts):
-            break
+    while len(texts):
         k, own = n[texts], share[texts]
         mix = np.maximum((np.repeat(own, k, axis=0) * lik).sum(axis=1), 1e-30)
         ratio = _by_doc(lik / mix[:, None], k) / k[:, None]
         seen[texts] = _by_doc(np.log(mix)[:, None], k)[:, 0]
         slack[texts] = k * np.log(np.maximum(np.where(own > 0, ratio, 0).max(axis=1), 1))
-        done = settled(texts, seen[texts], slack[texts])
+        done = settled(texts, seen[texts], slack[texts]) | (np.abs(own * ratio - own).max(axis=1) <= STILL)
         share[texts] = np.where(done[:, None], own, own * ratio)
         lik, texts = lik[np.repeat(~done, k)], texts[~done]
     return share, seen, slack

@@ -293,10 +293,28 @@ def f05_derailed(spark, sf):
     return items(spark, sf).where((F.col("status") == "built") & F.col("ans_treat").isNotNull() & ~eq_le("ans_treat", "den_treat", 1e-6) & ~eq_le("ans_treat", "den_clean", 1e-6)).select("model", "record_id", "problem_id", "den_clean", "den_treat", "ans_treat")
 
 
-@query("SELECT model, record_id, CASE WHEN ans_treat IS NULL THEN 'treat' ELSE 'placebo' END AS pending FROM items WHERE status = 'built' AND (ans_treat IS NULL OR (den_placebo IS NOT NULL AND ans_placebo IS NULL))", "items")
+_HAS = {"treat": "NOT (seed = 1 AND trace_length = 3)", "placebo": "den_placebo IS NOT NULL", "legacy": "seed <> 2"}
+_GOT = {"treat": "ans_treat", "placebo": "ans_placebo", "legacy": "CASE WHEN gold IS NOT NULL THEN ans_legacy END"}
+
+
+def with_conditions(rows):
+    """Records as a state file has them: a map of the texts that were made, and a map of the answers to them."""
+    entry = lambda arm, value: F.struct(F.lit(arm).alias("key"), value.alias("value"))
+    texts = F.array(*(F.when(F.expr(has), entry(arm, F.concat(F.lit(f"{arm} of "), "record_id"))) for arm, has in _HAS.items()))
+    answers = F.map_from_entries(F.array(*(entry(arm, F.expr(got)) for arm, got in _GOT.items())))
+    return rows.withColumn("conditions", F.map_from_entries(F.filter(texts, lambda e: e.isNotNull()))).withColumn("answers", answers)
+
+
+def pending(rows, *arms):
+    """(model, record_id, pending) of each built record and arm whose text exists but whose answer does not."""
+    built = rows.where("status = 'built'").select("model", "record_id", "conditions", "answers", F.explode(F.array(*map(F.lit, arms))).alias("pending"))
+    return built.where(F.map_contains_key("conditions", F.col("pending")) & F.try_element_at("answers", F.col("pending")).isNull()).select("model", "record_id", "pending")
+
+
+@query(" UNION ALL ".join(f"SELECT model, record_id, '{arm}' AS pending FROM items WHERE status = 'built' AND {has} AND {_GOT[arm]} IS NULL" for arm, has in _HAS.items()), "items")
 def f06_pending(spark, sf):
-    """Arms whose text exists but whose answer does not."""
-    return items(spark, sf).where("status = 'built' and (ans_treat is null or (den_placebo is not null and ans_placebo is null))").select("model", "record_id", F.when(F.col("ans_treat").isNull(), "treat").otherwise("placebo").alias("pending"))
+    """Arms whose text exists but whose answer does not, from the records' maps of conditions and answers."""
+    return pending(with_conditions(items(spark, sf)), *_HAS)
 
 
 @query("SELECT model, record_id FROM scored WHERE recount AND ans_treat IS NOT NULL QUALIFY row_number() OVER (PARTITION BY model ORDER BY record_id) <= 25", "scored")
@@ -332,12 +350,6 @@ def f10_go(spark, sf):
     return t.withColumn("go", (F.col("parse_rate") >= 0.5) & (F.col("clean") >= 0.7) & (F.col("build_rate") >= 0.1))
 
 
-@query("SELECT user_id AS run, max(ts) AS completed_at, count(*) FILTER (WHERE event_type = 'purchase') AS n_stops, count(*) FILTER (WHERE event_type = 'purchase') > 0 AND count(*) >= 3 AS complete FROM events GROUP BY user_id")
-def f11_runs_complete(spark, sf):
-    stop = F.count(F.when(F.col("event_type") == "purchase", 1))
-    return table(spark, sf, "events").groupBy(F.col("user_id").alias("run")).agg(F.max("ts").alias("completed_at"), stop.alias("n_stops"), ((stop > 0) & (F.count("*") >= 3)).alias("complete"))
-
-
 @query("SELECT model, round(median, 6) AS median, round(lowest, 6) AS lowest, n_finite FROM (SELECT model, quantile_cont(v, 0.5) AS median, min(v) AS lowest, count(v) AS n_finite FROM (SELECT model, CASE WHEN seed = 2 THEN NULL ELSE den_treat / den_clean END AS v FROM items WHERE den_clean <> 0) GROUP BY model)", "items")
 def s11_finite(spark, sf):
     """Undefined and infinite statistics become null before they reach a sink."""

@@ -7,8 +7,11 @@ from pyspark.sql import types as T
 
 from tracegrain.functions.portable import h, h_sql
 from tracegrain.operators.collect import ask_again
+from tracegrain.operators.gates import scored
+from tracegrain.operators.rates import share
 from tracegrain.plans.rate_queries import items
 from tracegrain.plans.registry import query
+from tracegrain.plans.trace_queries import verdict
 from tracegrain.sources import files, sinks
 from tracegrain.sources.fixtures import view
 from tracegrain.sources.scratch import new_path
@@ -23,8 +26,10 @@ def state_files(spark, sf) -> str:
     rows = items(spark, sf).withColumn("part", F.lpad(F.floor(F.split("record_id", ":")[2].cast("int") / SLOTS).cast("string"), 4, "0"))
     record = F.struct("record_id", "problem_id", "status", F.col("seed").cast("bigint").alias("seed"), "gold", "den_clean", "den_treat", F.struct(F.col("ans_control").alias("control"), F.coalesce("ans_treat", F.lit(float("nan"))).alias("treat")).alias("answers"))
     runs = sinks.clean(rows.groupBy("model", "seed", "part").agg(F.sort_array(F.collect_list(record)).alias("records")))
+    # Runs of seed 2 are under way; systems of even number have all their own samples.
+    runs = runs.withColumn("completed_at", F.when(F.col("seed") < 2, F.concat(F.lit("2026-01-01T00:00:0"), F.col("seed").cast("string")))).withColumn("on_policy_complete", F.when(F.substring("model", 4, 9).cast("int") % 2 == 0, True))
     name = F.concat(F.lit("full_"), F.col("model"), F.lit("_"), F.col("seed").cast("string"), F.lit("_"), F.col("part"), F.when(F.col("seed") == 1, sinks.TAG).otherwise(""), F.lit(".json"))
-    docs = runs.select(name.alias("file"), F.to_json(F.struct("model", "records"), {"pretty": "true"}).alias("text"))
+    docs = runs.select(name.alias("file"), F.to_json(F.struct("model", "completed_at", "on_policy_complete", "records"), {"pretty": "true"}).alias("text"))
     folder = new_path(spark, "states")
     files.publish(docs, folder)
     whole = spark.read.text(f"{folder}/full_sys0_0_0000.json", wholetext=True)
@@ -76,6 +81,18 @@ def s04_sheet(spark, sf):
     return sinks.read_sheet(spark, path).select("record_id", F.md5("trace").alias("trace"), "note", F.coalesce("agree", F.lit("")).alias("agree"))
 
 
+@query(
+    f"""WITH f AS (SELECT DISTINCT {_FILE} AS file, seed, substr(model, 4)::INT AS m FROM items)
+SELECT file, seed < 2 AS complete, seed < 2 AND m % 2 = 0 AS with_samples FROM f UNION ALL SELECT unnest(['{DAMAGED}', 'full_sys7_0_0000.json']), false, false""",
+    "items",
+)
+def f11_runs_complete(spark, sf):
+    """Which runs need not be made again: files that say when they were completed, with and without their own samples; one is damaged and one was never written."""
+    runs = sinks.read_runs(spark, state_files(spark, sf))
+    wanted = runs.select("file").unionByName(spark.createDataFrame([("full_sys7_0_0000.json",)], "file string"))
+    return sinks.complete(sinks.complete(wanted, runs, True).withColumnRenamed("complete", "with_samples"), runs, False).select("file", "complete", "with_samples")
+
+
 _LOG = T.StructType([T.StructField("task_id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("event", T.StringType()), T.StructField("seconds", T.DoubleType())])
 
 
@@ -128,3 +145,40 @@ def m07_rerun(spark, sf):
     rows = items(spark, sf).where("status = 'built'").select("model", "record_id", "den_clean", "ans_treat")
     ask = lambda left, seed: left.withColumn("new", F.when(h(f"again{seed}", F.col("model"), F.col("record_id")) % 2 == 0, F.col("den_clean")))
     return ask_again(rows, ["model", "record_id"], "ans_treat", ask).select("model", "record_id", "ans_treat", "tries")
+
+
+def judge(rows, cache: files.Cache, ask, batch: str):
+    """``rows`` (prompt) with a verdict: prompts go through the cache, so that the same prompt is judged once, and what the judge says is read
+    for the last of FOLLOW and IGNORE it names."""
+    said = cache.ask(rows, F.sha2("prompt", 256), lambda r: r.withColumn("said", ask(r)), batch)
+    return said.withColumn("verdict", verdict(F.col("said")))
+
+
+_SAID = f"{h_sql("'said'", 'sha256(prompt)')} % 4"
+
+
+@query(
+    f"""WITH asked AS (SELECT model, outcome, concat('Reasoning:', chr(10), problem_id, chr(10), 'The edited value is ', CAST(den_treat AS BIGINT), ', the answer ', CAST(ans_treat AS BIGINT), '. Does the answer use it?') AS prompt FROM scored WHERE recount AND ans_treat IS NOT NULL),
+said AS (SELECT model, outcome, prompt, CASE {_SAID} WHEN 0 THEN NULL WHEN 1 THEN 'IGNORES' ELSE CASE WHEN outcome = 'F' THEN 'FOLLOWS' ELSE 'IGNORES' END END AS verdict FROM asked)
+SELECT model, count(*) AS n, count(DISTINCT prompt) AS n_prompts, count(verdict) AS n_scored, count(*) FILTER (WHERE verdict = 'FOLLOWS')::DOUBLE / count(verdict) AS judge_follow, count(*) FILTER (WHERE outcome = 'F')::DOUBLE / count(*) AS phi,
+  count(*) FILTER (WHERE verdict IS NOT NULL AND (verdict = 'FOLLOWS') = (outcome = 'F'))::DOUBLE / count(verdict) AS agreement FROM said GROUP BY model""",
+    "scored",
+)
+def m08_judge(spark, sf):
+    """A judge asked about every answer: prompts, replies through the cache, verdicts and their agreement with the outcomes. Prompts that agree are judged once."""
+    rows = scored(items(spark, sf)).where("recount and ans_treat is not null")
+    whole = lambda c: F.col(c).cast("bigint").cast("string")
+    prompt = F.concat(F.lit("Reasoning:\n"), "problem_id", F.lit("\nThe edited value is "), whole("den_treat"), F.lit(", the answer "), whole("ans_treat"), F.lit(". Does the answer use it?"))
+
+    def ask(r):
+        # A planted judge: it reads both numbers off the prompt, and is at times unclear or contrary.
+        number = lambda p: F.regexp_extract("prompt", p, 1)
+        own = F.when(number("value is (-?[0-9]+)") == number("answer (-?[0-9]+)"), "It seems to IGNORE the text at first, but it FOLLOWS it.").otherwise("It could follow, yet it ignores it.")
+        u = h("said", F.sha2("prompt", 256)) % 4
+        return F.when(u == 0, "unclear").when(u == 1, "IGNORES").otherwise(own)
+
+    cache = files.Cache(new_path(spark, "judge"), T.StructType([T.StructField("said", T.StringType())]))
+    t = judge(rows.select("model", "outcome", prompt.alias("prompt")), cache, ask, "judge")
+    n_of = lambda c: F.count(F.when(c, 1))
+    follows, v = F.col("outcome") == "F", F.col("verdict")
+    return t.groupBy("model").agg(F.count("*").alias("n"), F.countDistinct("prompt").alias("n_prompts"), F.count("verdict").alias("n_scored"), (n_of(v == "FOLLOWS") / F.count("verdict")).alias("judge_follow"), share(follows).alias("phi"), (n_of((v == "FOLLOWS") == follows) / F.count("verdict")).alias("agreement"))

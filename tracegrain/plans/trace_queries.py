@@ -98,7 +98,7 @@ def p11_extract_free_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tr.extract_answer("text").alias("answer"))
 
 
-@query("SELECT model, record_id, concat('base = ', s, ' + 0 = ', s, chr(10), 'cost = 7 * ', q, ' = ', 7 * q, chr(10), 'total = cost + base = ', 7 * q + s, chr(10), 'The final answer is ', 7 * q + s) AS normalised FROM traces", "traces")
+@query("SELECT model, record_id, CASE WHEN w % 10 = 9 THEN trace_bare ELSE concat('base = ', s, ' + 0 = ', s, chr(10), 'cost = 7 * ', q, ' = ', 7 * q, chr(10), 'total = cost + base = ', 7 * q + s, chr(10), 'The final answer is ', 7 * q + s + (w % 10 = 8)::INT) END AS normalised FROM traces", "traces")
 def p12_normalise(spark, sf):
     return view(spark, sf, "traces").select("model", "record_id", tr.normalise("trace_bare").alias("normalised"))
 
@@ -207,11 +207,11 @@ def p23_short_names(spark, sf):
 FRACTIONS = [0.25, 0.5, 0.75, 1.0]
 
 
-@query("SELECT model, record_id, f AS fraction, array_to_string(list_slice(string_split(trace, chr(10)), 1, greatest(1, round_even(len(string_split(trace, chr(10))) * f, 0)::INT)), chr(10)) AS shown FROM traces, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE)) v(f) WHERE w >= 14 AND extra = 2", "traces")
+@query("SELECT model, record_id, f AS fraction, array_to_string(list_slice(string_split(trace, chr(10)), 1, greatest(1, round_even(len(string_split(trace, chr(10))) * f, 0)::INT)), chr(10)) AS shown FROM traces, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE)) v(f)", "traces")
 def p24_truncate(spark, sf):
     """The first part of a trace, in whole lines."""
     own = F.split("trace", "\n")
-    t = view(spark, sf, "traces").where("w >= 14 and extra = 2").select("model", "record_id", own.alias("lines"), F.explode(F.array(*map(F.lit, FRACTIONS))).alias("fraction"))
+    t = view(spark, sf, "traces").select("model", "record_id", own.alias("lines"), F.explode(F.array(*map(F.lit, FRACTIONS))).alias("fraction"))
     return t.select("model", "record_id", "fraction", F.array_join(F.slice("lines", 1, F.greatest(F.lit(1), F.bround(F.size("lines") * F.col("fraction")).cast("int"))), "\n").alias("shown"))
 
 
@@ -368,8 +368,8 @@ def b10_first_buildable(spark, sf):
 
 @query(
     """
-SELECT model, count(*) AS n, count(*) AS parsed_before, 0::BIGINT AS consistent_before, count(*) AS parsed_after, count(*) AS consistent_after,
-  count(*) FILTER (WHERE NOT (list_contains([s, 0, s + 3, 7, q, 7 * q, 7 * q + s], 7 * q + s + 3) AND list_contains([s, 0, 7, q, 7 * q + 3, 7 * q + s], 7 * q + s + 3))) AS buildable_after FROM traces GROUP BY model
+SELECT model, count(*) AS n, count(*) FILTER (WHERE w % 10 <> 9) AS parsed_before, 0::BIGINT AS consistent_before, count(*) FILTER (WHERE w % 10 <> 9) AS parsed_after, count(*) FILTER (WHERE w % 10 < 8) AS consistent_after,
+  count(*) FILTER (WHERE w % 10 < 8 AND NOT (list_contains([s, 0, s + 3, 7, q, 7 * q, 7 * q + s], 7 * q + s + 3) AND list_contains([s, 0, 7, q, 7 * q + 3, 7 * q + s], 7 * q + s + 3))) AS buildable_after FROM traces GROUP BY model
 """,
     "traces",
 )

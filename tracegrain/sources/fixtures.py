@@ -17,7 +17,7 @@ WITH base AS (
          CAST(l_linenumber % 4 AS BIGINT) AS s, CAST(CAST(l_quantity AS BIGINT) % 3 AS BIGINT) AS extra, CAST(l_suppkey % 6 AS INT) AS m,
          CAST((l_partkey * 31 + l_suppkey * 17 + l_linenumber * 7) % 100 AS INT) AS u,
          CAST((l_partkey * 13 + l_orderkey * 7 + l_linenumber * 3) % 100 AS INT) AS w,
-         concat('p', CAST(l_partkey % 200 AS STRING)) AS problem_id, CAST(l_linenumber % 3 AS INT) AS seed, CAST(floor(l_orderkey / 900) AS INT) AS slot
+         concat('p', CAST(l_partkey % 200 AS STRING)) AS problem_id, CAST(CASE WHEN l_suppkey % 6 = 3 AND l_linenumber % 3 = 2 AND l_partkey % 200 >= 150 THEN 0 ELSE l_linenumber % 3 END AS INT) AS seed, CAST(floor(l_orderkey / 900) AS INT) AS slot
   FROM {lineitem}),
 panel AS (
   SELECT base.*, CAST(row_number() OVER (PARTITION BY m, problem_id, seed, slot ORDER BY l_orderkey, l_linenumber, l_suppkey, q, u, w) - 1 AS INT) AS rn FROM base),
@@ -33,9 +33,9 @@ SELECT concat('sys', CAST(m AS STRING)) AS model, problem_id, seed, concat_ws(':
             ELSE 'built' END AS status,
        CAST(dc AS DOUBLE) AS den_clean, CAST(dt AS DOUBLE) AS den_treat, CAST(CASE WHEN k <> 7 THEN dc END AS DOUBLE) AS den_placebo, CAST(dc + 3 AS DOUBLE) AS den_copyable,
        CAST(CASE WHEN w % 23 = 22 THEN dc + 1 ELSE dc END AS DOUBLE) AS ans_control,
-       CAST(CASE WHEN u >= 98 THEN NULL WHEN u < 5 + 5 * m THEN dt WHEN u < 17 + 3 * m THEN dc + 11 ELSE dc END AS DOUBLE) AS ans_treat,
+       CAST(CASE WHEN u >= 98 THEN NULL WHEN u < 5 + 8 * m THEN dt WHEN u < 17 + 6 * m THEN dc + 11 ELSE dc END AS DOUBLE) AS ans_treat,
        CAST(CASE WHEN k = 7 OR w % 11 = 10 THEN NULL WHEN w % 13 = 12 THEN dt ELSE dc END AS DOUBLE) AS ans_placebo,
-       CAST(CASE WHEN w % 7 = 6 THEN NULL WHEN u < 40 THEN dc + 3 ELSE dc END AS DOUBLE) AS ans_copyable,
+       CAST(CASE WHEN w % 7 = 6 THEN NULL WHEN (m = 5 AND (u * 7 + w) % 100 < 46) OR (m <> 5 AND u < 40) THEN dc + 3 ELSE dc END AS DOUBLE) AS ans_copyable,
        CAST(CASE WHEN u % 2 = 0 THEN dc ELSE dt END AS DOUBLE) AS ans_legacy, CAST(CASE WHEN w % 29 = 28 THEN NULL ELSE dc END AS DOUBLE) AS gold,
        u % 3 = 0 AS competent, 0 AS treatment_step_idx, CAST(2 + extra + CASE WHEN k <> 7 THEN 1 ELSE 0 END AS INT) AS trace_length
 FROM den
@@ -49,7 +49,8 @@ SELECT concat('sys', CAST(m AS STRING)) AS model, problem_id, concat_ws(':', pro
    CASE WHEN extra >= 1 THEN concat('t1 = total + 1 = ', CAST(7*q+s+1 AS STRING), chr(10)) ELSE '' END,
    CASE WHEN extra >= 2 THEN concat('t2 = t1 + 1 = ', CAST(7*q+s+2 AS STRING), chr(10)) ELSE '' END,
    'The final answer is ', CAST(CASE WHEN w < 14 THEN dc + 1 ELSE dc END AS STRING)) END AS trace,
-  concat('base = ', CAST(s AS STRING), chr(10), 'cost = 7 * ', CAST(q AS STRING), ' = ', CAST(7*q AS STRING), chr(10), 'total = cost + base = ', CAST(7*q+s AS STRING), chr(10), 'The final answer is ', CAST(7*q+s AS STRING)) AS trace_bare,
+  CASE WHEN w % 10 = 9 THEN 'no structured content here' ELSE concat('base = ', CAST(s AS STRING), chr(10), 'cost = 7 * ', CAST(q AS STRING), ' = ', CAST(7*q AS STRING), chr(10), 'total = cost + base = ', CAST(7*q+s AS STRING), chr(10),
+   'The final answer is ', CAST(CASE WHEN w % 10 = 8 THEN 7*q+s+1 ELSE 7*q+s END AS STRING)) END AS trace_bare,
   rn AS attempt, q, k, s, extra, w, dc, dt
 FROM den
 """,

@@ -55,19 +55,19 @@ RECORD = T.StructType(
     + [T.StructField(n, T.BooleanType()) for n in ("competent", "parsed", "self_consistent", "grammar_normalized")]
     + [T.StructField("treatment_step_idx", T.LongType()), T.StructField("trace_length", T.LongType())]
 )
-STATE = T.StructType([T.StructField(n, T.StringType()) for n in ("model", "access_date", "started_at", "completed_at", "interventional_completed_at", "output_tag")] + [T.StructField("grammar_normalized", T.BooleanType()), T.StructField("records", T.ArrayType(RECORD))])
+STATE = T.StructType([T.StructField(n, T.StringType()) for n in ("model", "access_date", "started_at", "completed_at", "interventional_completed_at", "output_tag")] + [T.StructField("grammar_normalized", T.BooleanType()), T.StructField("on_policy_complete", T.BooleanType()), T.StructField("records", T.ArrayType(RECORD))])
 
 
 TAG = "_grammar"
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each state file: file, damaged, model, access_date, records. A file that is no whole JSON document is ``damaged`` and has nothing else."""
+    """One row for each state file: file, damaged, model, access_date, completed_at, on_policy_complete, records. A file that is no whole JSON document is ``damaged`` and has nothing else."""
     schema = T.StructType([*STATE.fields, T.StructField("_corrupt_record", T.StringType())])
     raw = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     damaged = F.col("_corrupt_record").isNotNull() | F.col("model").isNull()
     own = lambda c: F.when(~damaged, F.col(c)).alias(c)
-    return raw.select(F.col("_metadata.file_name").alias("file"), damaged.alias("damaged"), own("model"), own("access_date"), own("records"))
+    return raw.select(F.col("_metadata.file_name").alias("file"), damaged.alias("damaged"), *map(own, ("model", "access_date", "completed_at", "on_policy_complete", "records")))
 
 
 def read_states(spark: SparkSession, path: str, drop_tagged: bool = True) -> DataFrame:
@@ -91,6 +91,12 @@ def last_file(states: DataFrame) -> DataFrame:
     return states.join(per, ["model", "file"])
 
 
+def complete(wanted: DataFrame, runs: DataFrame, on_policy: bool) -> DataFrame:
+    """``wanted`` (file) with ``complete``: the file is there, is whole and says when it was completed, and, where asked for, that its own samples are too."""
+    done = F.col("completed_at").isNotNull() & (F.coalesce("on_policy_complete", F.lit(False)) if on_policy else F.lit(True))
+    return wanted.join(runs.select("file", (~F.col("damaged") & done).alias("complete")), "file", "left").withColumn("complete", F.coalesce("complete", F.lit(False)))
+
+
 def one_file_each(records: DataFrame) -> DataFrame:
     """Models that more than one file claims."""
     return records.groupBy("model").agg(F.array_sort(F.collect_set("file")).alias("files")).where(F.size("files") > 1)

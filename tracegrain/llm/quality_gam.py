@@ -55,6 +55,8 @@ def features(texts) -> np.ndarray:
     stops = np.maximum(total(_STOP[raw]), 1)
     same = np.zeros(len(h), bool)
     same[1:] = h[1:] == h[:-1]
+    # Not with the last word of the text before.
+    same[before[:-1][n_words > 0]] = False
     distinct, entropy, ratio = np.zeros(n), np.zeros(n), np.zeros(n)
     for i in range(n):
         if n_words[i]:

@@ -69,3 +69,13 @@ def test_normalise(spark, line, want):
 @pytest.mark.parametrize("value,want", [(3.0, "3"), (-2.0, "-2"), (0.24, "0.24"), (1.5, "1.5"), (2 / 3, "0.666667")])
 def test_number_text(spark, value, want):
     assert one(spark.createDataFrame([(value,)], "v double"), tr.number_text(F.col("v")))[0] == want
+
+
+def test_asserts():
+    """One call of a plain name on literals compared with a literal; everything else is no test."""
+    from tracegrain.functions.asserts import parse_call
+
+    assert parse_call(" assert f(1, 'a', [2, (3,)]) == {'k': -1.5} ") == {"name": "f", "args": ["1", "'a'", "[2, (3,)]"], "expected": "{'k': -1.5}"}
+    assert parse_call("assert f() == None") == {"name": "f", "args": [], "expected": "None"}
+    bad = [None, "", "f(1) == 2", "assert f(x) == 2", "assert f(1) == g(2)", "assert f(1) != 2", "assert f(1) == 2 == 3", "assert a.f(1) == 2", "assert f(k=1) == 2", "assert f(*a) == 2", "assert f(1", "assert f(1) == 2; x = 1", "assert (" * 500, "assert set(f(1)) == 2", "assert f({[]: 1}) == 2"]
+    assert [parse_call(x) for x in bad] == [None] * len(bad)

@@ -538,6 +538,28 @@ def w05_filled_sheet(spark, sf):
     return filled_sample(d, "model", "problem_id", "record_id", SHEET, "sheet")
 
 
+#: Short names of the systems that an earlier summary reports; others are left out.
+KNOWN = {"sys0": "small", "sys1": "medium", "sys3": "grown", "sys4": "large"}
+
+
+@query(
+    f"""WITH counts AS ({counts_sql("worst")}), old AS (SELECT model, sigma, derail AS c, n FROM counts WHERE model <> 'sys4'), pairs AS (SELECT c, n FROM old), {inf.upper_sql("pairs")},
+names AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in KNOWN.items())}) v(model, short)),
+line AS (SELECT short, counts.sigma, least(old.sigma, round(b.up, 9)) AS m FROM names JOIN counts USING (model) LEFT JOIN old USING (model) LEFT JOIN bound b ON b.c = old.c AND b.n = old.n WHERE counts.n >= 10)
+SELECT a.short AS a, b.short AS b, round(abs(a.sigma - b.sigma), 9) AS gap, round(least(coalesce(a.m, 1), coalesce(b.m, 1)), 6) AS m1, abs(a.sigma - b.sigma) > least(coalesce(a.m, 1), coalesce(b.m, 1)) AS certified FROM line a JOIN line b ON a.short < b.short""",
+    "scored",
+)
+def j07_headline(spark, sf):
+    """Pairs of known systems against the bounds of an earlier summary, looked up by model; a system that it lacks has no bound but 1."""
+    counts = outcome_counts(scored(items(spark, sf)).where("recount"), "model")
+    old = counts.where("model <> 'sys4'").select("model", F.least("sigma", F.round(inf.upper("derail", "n"), 9)).alias("m"))
+    short = F.try_element_at(F.create_map(*(F.lit(x) for kv in KNOWN.items() for x in kv)), F.col("model"))
+    line = rank.held(counts.where("n >= 10").select("model", short.alias("short"), "sigma").where("short is not null").join(old, "model", "left").select("short", "sigma", F.coalesce("m", F.lit(1.0)).alias("m")))
+    side = lambda s: line.select(F.col("short").alias(s), F.col("sigma").alias(f"s_{s}"), F.col("m").alias(f"m_{s}"))
+    gap, m1 = F.abs(F.col("s_a") - F.col("s_b")), F.least("m_a", "m_b")
+    return side("a").join(side("b"), F.col("a") < F.col("b")).select("a", "b", F.round(gap, 9).alias("gap"), F.round(m1, 6).alias("m1"), (gap > m1).alias("certified"))
+
+
 #: The report's own number of draws.
 REPORT_DRAWS = 2_000
 _HIT = f"({rel('ans_treat', 'den_treat')}::INT - {rel('ans_placebo', 'den_treat')}::INT)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tracegrain.functions.asserts import first_call
 from tracegrain.functions.portable import h, h_sql
 from tracegrain.functions.trace import pin
 from tracegrain.operators.joins import durations, overlapping_boxes
@@ -14,6 +15,7 @@ from tracegrain.operators.rates import RATES_SQL, outcome_rates, share
 from tracegrain.plans.rate_queries import gated, items
 from tracegrain.plans.registry import query
 from tracegrain.sources.fixtures import table, view
+from tracegrain.sources.scratch import ship_code
 
 
 @query("SELECT model, fraction, count(*) AS n, count(*) FILTER (WHERE ans_truncated = ans_full)::DOUBLE / count(*) AS at_answer FROM rollouts GROUP BY model, fraction", "rollouts")
@@ -302,12 +304,21 @@ def s10_manifest(spark, sf):
     return table(spark, sf, "part").groupBy(F.col("p_brand").alias("dataset")).agg(F.count("*").alias("n"), F.min(key).alias("first_id"), F.sum(h("id", key)).alias("digest"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE concat('assert f(', p_size, ') == ', 2 * p_size) END AS test FROM part WHERE p_size % 5 <> 0 AND p_partkey <> 3")
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'f' ELSE 'g_2' END AS name, CASE WHEN p_size % 3 = 0 THEN [p_size::VARCHAR] ELSE ['[' || p_size || ', (1, ''a == b)'')]', '-' || p_size || '.5'] END AS args,
+  CASE WHEN p_size % 3 = 0 THEN (2 * p_size)::VARCHAR ELSE '{''k'': ' || p_size || '}' END AS expected FROM part WHERE p_size % 5 <> 0 AND p_partkey <> 3"""
+)
 def s09_first_test(spark, sf):
-    """The first test of a list that parses; tasks without one, and a denied one, are left out."""
-    tests = F.array(F.when(F.col("p_size") % 5 == 0, "assert f(x)").otherwise(F.lit("f(1)")), F.concat(F.lit("assert f("), F.col("p_size").cast("string"), F.lit(") == "), F.when(F.col("p_size") % 5 == 0, "g(2)").otherwise((2 * F.col("p_size")).cast("string"))))
-    first = F.try_element_at(F.filter(tests, lambda t: t.rlike(r"^assert [A-Za-z_]\w*\([-0-9., ]*\) == -?\d+$")), F.lit(1))
-    return table(spark, sf, "part").where("p_partkey <> 3").select("p_partkey", first.alias("test")).where("test is not null")
+    """The first test of a list that can be read as a call on literals; tasks without one, and a denied one, are left out."""
+    ship_code(spark)
+    n = F.col("p_size").cast("string")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    plain = text("assert f( ", n, " ) == ", (2 * F.col("p_size")).cast("string"))
+    nested = text("assert g_2([", n, ", (1, 'a == b)')], -", n, '.5) == {"k":', n, "}")
+    odd = [F.lit("import math"), text("assert sorted(f(", n, ")) == [1]"), text("assert f(x) == ", n), text("assert f(", n, ") != 1")]
+    tests = F.array(*odd, F.when(F.col("p_size") % 5 == 0, "assert f(").when(F.col("p_size") % 3 == 0, plain).otherwise(nested), F.lit("f(1)"), F.when(F.col("p_size") % 5 != 0, "assert late(1) == 1"))
+    calls = table(spark, sf, "part").where("p_partkey <> 3").select("p_partkey", first_call(tests).alias("c"))
+    return calls.where("c.name is not null").select("p_partkey", "c.*")
 
 
 @query("SELECT DISTINCT a.problem_id FROM items a JOIN items b ON a.problem_id = b.problem_id WHERE a.model = 'sys0' AND b.model = 'sys1' AND a.status = 'unparsed' AND b.status = 'unparsed'", "items")

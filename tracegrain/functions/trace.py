@@ -124,9 +124,11 @@ def copyable(target, shown: Column) -> Column:
 
 def number_text(value: Column) -> Column:
     """A number as a trace shows it: whole numbers without a point; others with six significant digits and no trailing zeros,
-    with an exponent of two digits or more below 1e-4 and from 1e6 on. (Of two nearest six-digit numbers at the same decimal distance the larger.)"""
+    with an exponent of two digits or more below 1e-4 and from 1e6 on. (Of two nearest six-digit numbers at the same decimal distance the larger.)
+    What is missing, infinite or no number has no text."""
+    value = F.when(F.abs(value) < float("inf"), value)
     shown = F.format_string("%.5e", value)
-    power = F.regexp_extract(shown, r"e([-+]\d+)$", 1).cast("int")
+    power = F.regexp_extract(shown, r"e([-+]\d+)$", 1).try_cast("int")
     digits = F.regexp_replace(F.regexp_extract(shown, r"^-?([\d.]+)e", 1), r"\.", "")
     zeros = F.repeat(F.lit("0"), F.greatest(-power - 1, F.lit(0)))
     plain = F.when(power < 0, F.concat(F.lit("0."), zeros, digits)).otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(6))))
@@ -134,7 +136,7 @@ def number_text(value: Column) -> Column:
     small = F.concat(trim(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5))), F.regexp_extract(shown, r"(e.*)$", 1))
     text = F.concat(F.when(value < 0, "-").otherwise(""), F.when(power.between(-4, 5), trim(plain)).otherwise(small))
     whole = F.when(F.abs(value) < 9e18, value.cast("bigint").cast("string")).otherwise(value.cast("decimal(38,0)").cast("string"))
-    return F.when(value == F.floor(value), whole).otherwise(text)
+    return F.when(value == F.floor(value), whole).when(value.isNotNull(), text)
 
 
 def render(steps, edit_idx=None, edit_value=None) -> Column:
@@ -157,6 +159,18 @@ def extract_answer(text) -> Column:
     return F.coalesce(*tries, F.try_element_at(numbers, F.lit(-1))).cast("double")
 
 
+# The two texts that ask for an edited trace's result.
+def residual_probe(step: Column, value: Column) -> Column:
+    """What would come out if this step had another value."""
+    return F.concat(F.lit("Compute the result if "), step["lhs"], F.lit(" "), step["op"], F.lit(" "), step["rhs"], F.lit(" were "), number_text(value), F.lit(" and the remaining steps were applied."))
+
+
+def competence_probe(edited: Column, residual: Column) -> Column:
+    """The edited trace to be read by itself; where there is none, the residual question."""
+    shown = F.coalesce(F.when(edited != "", edited), residual, F.lit(""))
+    return F.concat(F.lit("Read this arithmetic and report the final numeric result.\n"), shown)
+
+
 def last_line(text: Column) -> Column:
     """The last line, also if it is blank; a break at the end opens no line."""
     return F.element_at(F.split(F.regexp_replace(text, f"(?:{LINE_BREAK})$", ""), LINE_BREAK), -1)

@@ -52,6 +52,16 @@ def roc_auc(rows: DataFrame, by: str, score: str, label: str) -> DataFrame:
     return t.select(by, "n", F.round(F.try_divide(F.col("ranks") - n1 * (n1 + 1) / 2, (n1 * n0).cast("double")), 9).alias("auc"))
 
 
+def e0_metrics(rows: DataFrame) -> DataFrame:
+    """``rows`` (gold, denotation, answer) with 0 or 1 for follow_denotation, question_correct and change_from_gold.
+
+    The answer is at a number if they differ by less than 1e-9; without an answer all three are 0, and an answer without a denotation follows nothing."""
+    there = F.col("answer").isNotNull() & ~F.isnan("answer")
+    at = lambda c: F.coalesce(there & (F.abs(F.col("answer") - F.col(c)) < 1e-9), F.lit(False))
+    score = lambda c: c.cast("double")
+    return rows.withColumns({"follow_denotation": score(at("denotation")), "question_correct": score(at("gold")), "change_from_gold": score(there & F.col("gold").isNotNull() & ~at("gold"))})
+
+
 def spearman(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:
     """(by, n, rho): correlation of mid-ranks over complete pairs; null below three pairs or without variance."""
     rows = rows.dropna(subset=[x, y])

@@ -379,6 +379,29 @@ def x17_soundness(spark, sf):
     return alike.withColumn("wrong", wrong).groupBy("model", F.col("n").alias("n_audit")).agg(F.sum("k").alias("trials"), F.sum(F.col("k") * F.col("c")).alias("derailed"), F.sum(F.when(F.col("wrong"), F.col("k")).otherwise(0)).alias("wrong"))
 
 
+_BITS = "(1::BIGINT << n) - 1"
+
+
+@query(
+    f"""WITH t AS (SELECT 1 + {h_sql("'jensen n'", "l_orderkey", "l_linenumber", "l_partkey")} % 12 AS n, {h_sql("'jensen'", "l_orderkey", "l_linenumber", "l_partkey")} AS v FROM lineitem),
+d AS (SELECT n, v & ({_BITS}) AS d1, (v >> 12) & ({_BITS}) AS d2 FROM t), g AS (SELECT n, abs(bit_count(d1)::INT - bit_count(d2)::INT) AS gap, bit_count(xor(d1, d2))::INT AS differ FROM d)
+SELECT n::INT AS n_items, count(*) AS trials, sum(gap)::BIGINT AS gaps, sum(differ)::BIGINT AS differences, count(*) FILTER (WHERE gap = differ) AS tight, count(*) FILTER (WHERE gap > differ) AS violations FROM g GROUP BY n"""
+)
+def x17_paired_jensen(spark, sf):
+    """Two systems on the same one to twelve items, one trial for each line item: their rates differ by no more than the share of items on which they do.
+
+    Outcomes are bits of a hashed number, so that a trial is two bit counts."""
+    from tracegrain.sources.fixtures import table
+
+    key = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey")]
+    t = table(spark, sf, "lineitem").select((1 + h("jensen n", *key) % 12).cast("int").alias("n"), h("jensen", *key).alias("v"))
+    own = lambda v: v.bitwiseAND(F.expr("shiftleft(1L, n) - 1"))
+    t = pin(t, d1=own(F.col("v")), d2=own(F.shiftright("v", 12)))
+    g = pin(t, gap=F.abs(F.bit_count("d1") - F.bit_count("d2")), differ=F.bit_count(F.col("d1").bitwiseXOR(F.col("d2"))))
+    n_of = lambda c: F.count(F.when(c, 1))
+    return g.groupBy(F.col("n").alias("n_items")).agg(F.count("*").alias("trials"), F.sum("gap").alias("gaps"), F.sum("differ").alias("differences"), n_of(F.col("gap") == F.col("differ")).alias("tight"), n_of(F.col("gap") > F.col("differ")).alias("violations"))
+
+
 #: Orders of up to five systems, as positions: a fixed table that each family is checked against.
 _ORDERS = "SELECT k, p FROM range(3, 6) s(k), (SELECT [a, b, c, d, e] AS p FROM range(1, 6) x(a), range(1, 6) y(b), range(1, 6) z(c), range(1, 6) u(d), range(1, 6) v(e)) WHERE len(list_distinct(p)) = 5 AND list_filter(p, lambda x: x > k) = list_filter([4, 5], lambda x: x > k) AND p[k + 1:5] = list_filter([4, 5], lambda x: x > k)"
 _U = lambda part: f"{h_sql(repr('family'), 'o_orderkey', 'i', repr(part))} % 101"

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tracegrain.functions.asserts import first_call
 from tracegrain.functions.portable import h, h_sql
+from tracegrain.functions import trace as tr
 from tracegrain.functions.trace import pin
 from tracegrain.operators.joins import durations, overlapping_boxes
-from tracegrain.operators.panel import attribution, early_answering, margins, mid_ranks, roc_auc, spearman
+from tracegrain.operators.panel import attribution, e0_metrics, early_answering, margins, mid_ranks, roc_auc, spearman
 from tracegrain.operators.ranking import held
 from tracegrain.operators.rates import RATES_SQL, outcome_rates, share
 from tracegrain.plans.rate_queries import gated, items
@@ -140,6 +141,49 @@ def l05_attribution(spark, sf):
     return both.select(gap.alias("gap"), size.alias("size")).where("size > 0").agg(F.count("*").alias("n"), F.round(F.avg(F.col("gap") / F.col("size")), 6).alias("decay"))
 
 
+#: Metrics of the constructed classes.
+E0_METRICS = ["follow_denotation", "question_correct", "change_from_gold"]
+_E0 = f"""(WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, 3 + l_linenumber % 7 AS a, 2 + CAST(l_quantity AS INT) % 5 AS b FROM lineitem),
+c AS (SELECT label, CASE WHEN label = 1 THEN 3 * a - b ELSE a * b + b END AS den, CASE WHEN label = 1 THEN 3 * a - b ELSE a END AS gold, {h_sql("'e0'", "l_orderkey", "l_linenumber", "l_partkey", "label")} % 100 AS u, l_partkey % 20 = 0 AS damaged FROM l, (VALUES (0), (1)) k(label)),
+r AS (SELECT label, den, gold, CASE WHEN u < 70 THEN den WHEN u < 85 THEN gold WHEN u < 95 THEN gold + 11 END AS answer FROM c WHERE NOT damaged)
+SELECT label::INT AS label, answer, coalesce(answer = den, false)::INT::DOUBLE AS follow_denotation, coalesce(answer = gold, false)::INT::DOUBLE AS question_correct, coalesce(answer <> gold, false)::INT::DOUBLE AS change_from_gold FROM r)"""
+
+
+def e0_answers(spark, sf):
+    """Two constructed traces for each line item, the answers of a planted reader, and their metrics. In class 1 the question can't be answered without the trace; in class 0 the trace
+    computes something else than is asked. Traces that contradict themselves are left out. Line items share few traces: each is parsed once."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (3 + F.col("l_linenumber") % 7).cast("int").alias("a"), (2 + F.col("l_quantity").cast("int") % 5).alias("b"), (F.col("l_partkey") % 20 == 0).alias("damaged"))
+    rows = li.withColumn("label", F.explode(F.array(F.lit(0), F.lit(1))))
+    key = ["a", "b", "damaged", "label"]
+    a, b, off = F.col("a"), F.col("b"), F.col("damaged").cast("int")
+    say = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    faithful = say("By the definition given, x @ y = 3*x - y.\n3 * ", a, " = ", 3 * a, "\n", 3 * a, " - ", b, " = ", 3 * a - b, "\nThe final answer is ", 3 * a - b + off)
+    decorative = say("aside = ", a, " * ", b, " = ", a * b, "\nmore = ", a * b, " + ", b, " = ", a * b + b, "\nThe final answer is ", a * b + b + off)
+    cells = pin(rows.select(*key).distinct(), p=tr.parse(F.when(F.col("label") == 1, faithful).otherwise(decorative)))
+    cells = cells.where(F.col("p").isNotNull() & tr.consistent(F.col("p.steps"), F.col("p.stated")))
+    cells = pin(cells, denotation=tr.evaluate(F.col("p.steps")), gold=F.when(F.col("label") == 1, 3 * a - b).otherwise(a).cast("double")).drop("p")
+    u = h("e0", F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("label")) % 100
+    whole = lambda c: c.cast("bigint").cast("string")
+    said = F.when(u < 70, F.concat(F.lit("So the final answer is "), whole(F.col("denotation")), F.lit("."))).when(u < 85, F.concat(F.lit("It must be "), whole(F.col("gold")))).when(u < 95, F.concat(F.lit("The answer is "), whole(F.col("gold") + 11))).otherwise("unclear")
+    return e0_metrics(pin(rows.join(cells, key), answer=tr.extract_answer(said)))
+
+
+@query(f"SELECT label, count(*) AS n, count(answer) AS n_answered, {', '.join(f'avg({m}) AS {m}' for m in E0_METRICS)} FROM {_E0} GROUP BY label")
+def a25_e0_harness(spark, sf):
+    """How often answers follow the trace, meet the question and depart from it, in either constructed class."""
+    return e0_answers(spark, sf).groupBy("label").agg(F.count("*").alias("n"), F.count("answer").alias("n_answered"), *(F.avg(m).alias(m) for m in E0_METRICS))
+
+
+@query(
+    f"""WITH c AS (SELECT metric, count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1 AND score = 1) AS h1, count(*) FILTER (WHERE label = 0 AND score = 1) AS h0
+  FROM (SELECT label, {", ".join(E0_METRICS)} FROM {_E0}) UNPIVOT (score FOR metric IN ({", ".join(E0_METRICS)})) GROUP BY metric)
+SELECT metric, n1 + n0 AS n, round((h1 * (n0 - h0) + (h1 * h0 + (n1 - h1) * (n0 - h0)) / 2.0::DOUBLE) / (n1 * n0), 9) AS auc FROM c"""
+)
+def l06_e0_discrimination(spark, sf):
+    """How well each metric of collected answers tells the constructed classes apart."""
+    return roc_auc(e0_answers(spark, sf).unpivot(["label"], E0_METRICS, "metric", "score"), "metric", "score", "label")
+
+
 _LONG = "SELECT metric, label, score FROM e0_scores UNPIVOT (score FOR metric IN (follow_denotation, noisy, constant))"
 
 

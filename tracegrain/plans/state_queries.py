@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracegrain.functions.portable import h, h_sql
-from tracegrain.operators.collect import ask_again
+from tracegrain.operators.collect import answer_pending, ask_again, replicate
 from tracegrain.operators.gates import scored
 from tracegrain.operators.rates import share
-from tracegrain.plans.rate_queries import items
+from tracegrain.plans.rate_queries import items, with_conditions
 from tracegrain.plans.registry import query
 from tracegrain.plans.trace_queries import verdict
 from tracegrain.sources import files, sinks
@@ -147,6 +148,50 @@ def m07_rerun(spark, sf):
     return ask_again(rows, ["model", "record_id"], "ans_treat", ask).select("model", "record_id", "ans_treat", "tries")
 
 
+_TOLD = f"{h_sql("'legacy'", 'model', 'record_id')} % 10"
+
+
+@query(
+    f"""WITH r AS (SELECT *, seed <> 2 AND gold IS NULL AS asked, {_TOLD} AS u FROM items WHERE status = 'built'), s AS (SELECT *, CASE WHEN asked AND u = 0 THEN NULL WHEN asked AND u = 1 THEN 'I can not tell.' WHEN asked THEN concat('The final answer is ', CAST(CASE WHEN u % 2 = 0 THEN den_clean ELSE den_treat END AS BIGINT), '.') END AS said FROM r)
+SELECT model, record_id, asked, said, CASE WHEN asked AND u >= 2 THEN CASE WHEN u % 2 = 0 THEN den_clean ELSE den_treat END WHEN gold IS NOT NULL THEN ans_legacy END AS legacy, ans_treat AS treat, CASE WHEN said IS NULL THEN 0 ELSE 1 END AS n_outputs FROM s""",
+    "items",
+)
+def m07_legacy(spark, sf):
+    """The legacy arm asked where its text was made and no answer is there: some calls fail, some replies have no answer; other arms keep theirs."""
+    rows = with_conditions(items(spark, sf).where("status = 'built'")).withColumn("outputs", F.expr("cast(map() as map<string, string>)"))
+    rows = rows.withColumn("conditions", F.transform_values("conditions", lambda k, v: F.when(k == "legacy", F.concat_ws("|", "model", "record_id", F.col("den_clean").cast("bigint"), F.col("den_treat").cast("bigint"))).otherwise(v)))
+
+    def ask(r):
+        # A planted model: it reads both values off the prompt.
+        u, part = h("legacy", F.col("model"), F.col("record_id")) % 10, F.split("prompt", r"\|")
+        return r.withColumn("said", F.when(u == 0, None).when(u == 1, "I can not tell.").otherwise(F.concat(F.lit("The final answer is "), F.when(u % 2 == 0, part[2]).otherwise(part[3]), F.lit("."))))
+
+    t = answer_pending(rows, ["model", "record_id"], "legacy", ask)
+    at = lambda c, arm: F.try_element_at(c, F.lit(arm))
+    return t.select("model", "record_id", "asked", at("outputs", "legacy").alias("said"), at("answers", "legacy").alias("legacy"), at("answers", "treat").alias("treat"), F.size("outputs").alias("n_outputs"))
+
+
+#: Seed 1 is nearly whole, seed 2 of one system is thin, seed 3 was never collected.
+SEEDS = [1, 2, 3]
+_CALL = [f"{h_sql(repr(f'call{i}'), 's.model', 's.seed', 's.problem_id')} % 4 <> 0" for i in (1, 2, 3)]
+
+
+@query(
+    f"""WITH panel AS (SELECT DISTINCT problem_id FROM items), had AS (SELECT DISTINCT model, seed, problem_id FROM items),
+slot AS (SELECT model, seed, problem_id FROM (SELECT DISTINCT model FROM items), (SELECT unnest({SEEDS})::INT AS seed), panel),
+met AS (SELECT s.model, s.seed, CASE WHEN h.model IS NOT NULL THEN 0 {" ".join(f"WHEN {x} THEN {i}" for i, x in enumerate(_CALL, 1))} ELSE 9 END AS won FROM slot s LEFT JOIN had h ON h.model = s.model AND h.seed = s.seed AND h.problem_id = s.problem_id),
+whole AS (SELECT r::INT AS round, model, seed, count(*) FILTER (WHERE won >= r) AS n_sent, count(*) FILTER (WHERE won <= r) AS n_problems, bool_and(won <= r) AS complete FROM met, range(1, 4) q(r) GROUP BY ALL)
+SELECT *, bool_and(complete) OVER (PARTITION BY round, model) AS completed FROM whole WHERE round = 1 OR (SELECT sum(n_sent) FROM whole w WHERE w.round = whole.round) > 0""",
+    "items",
+)
+def m07_seeds(spark, sf):
+    """Seeds collected until each has every problem of the panel, in rounds that ask for what is lacking only; a quarter of the calls fails."""
+    rows = items(spark, sf).select("model", "seed", "problem_id")
+    ask = lambda todo, i: todo.where(h(f"call{i}", F.col("model"), F.col("seed"), F.col("problem_id")) % 4 != 0)
+    _, log = replicate(rows, rows, SEEDS, ask)
+    return log.withColumn("completed", F.min("complete").over(Window.partitionBy("round", "model")))
+
+
 def judge(rows, cache: files.Cache, ask, batch: str):
     """``rows`` (prompt) with a verdict: prompts go through the cache, so that the same prompt is judged once, and what the judge says is read
     for the last of FOLLOW and IGNORE it names."""

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tracegrain.functions import trace as tr
-from tracegrain.plans.registry import query
+from tracegrain.functions.portable import h, h_sql
+from tracegrain.plans.registry import ORACLES, query
 from tracegrain.sources.fixtures import table, view
 
 
@@ -305,13 +306,30 @@ def b05_build_items(spark, sf):
     """One item for each consistent trace whose first treatment can't be copied, with its texts and probe."""
     t = tr.pin(built(spark, sf), t=treatment(), pl=placebo(), cp=F.element_at("edits", -1)).where("t is not null").where(~_copyable(F.col("t")))
     s = F.element_at(F.col("steps"), F.col("t.idx") + 1)
-    probe = F.concat(F.lit("Compute the result if "), s["lhs"], F.lit(" "), s["op"], F.lit(" "), s["rhs"], F.lit(" were "), tr.number_text(F.col("t.value")), F.lit(" and the remaining steps were applied."))
+    probe = tr.residual_probe(s, F.col("t.value"))
     return t.select(
         "model", "record_id", F.col("base").alias("den_clean"), F.col("t.denotation").alias("den_treat"), F.col("pl.denotation").alias("den_placebo"), F.col("cp.denotation").alias("den_copyable"), F.size("steps").alias("trace_length"),
         tr.render("steps", F.col("t.idx"), F.col("t.value")).alias("treat_text"), probe.alias("probe"),
     )
 
 
+_KNOWS = f"{h_sql("'direct'", 'model', 'record_id')} % 4"
+
+
+@query(
+    f"""WITH p AS (SELECT model, record_id, den_treat, concat('Read this arithmetic and report the final numeric result.', chr(10), CASE WHEN trace_length = 4 THEN probe ELSE treat_text END) AS probe, {_KNOWS} AS u, den_clean FROM ({ORACLES["b05_build_items"]}))
+SELECT model, record_id, md5(probe) AS probe, CASE u WHEN 0 THEN NULL WHEN 1 THEN den_clean ELSE den_treat END AS answer, u > 1 AS competent FROM p"""
+)
+def b07_competence(spark, sf):
+    """Whether a system can work out the edited trace by itself: its text, or the residual question where the text is missing, answered by a planted reader."""
+    t = b05_build_items(spark, sf)
+    text = F.when(F.col("trace_length") != 4, F.col("treat_text"))
+    u = h("direct", F.col("model"), F.col("record_id")) % 4
+    said = F.when(u == 0, "I do not know").otherwise(F.concat(F.lit("= "), F.when(u == 1, F.col("den_clean")).otherwise(F.col("den_treat")).cast("bigint").cast("string")))
+    t = tr.pin(t.select("model", "record_id", "den_treat", tr.competence_probe(text, F.col("probe")).alias("probe"), said.alias("said")), answer=tr.extract_answer("said"))
+    return t.select("model", "record_id", F.md5("probe").alias("probe"), "answer", F.coalesce(F.abs(F.col("answer") - F.col("den_treat")) < 1e-6, F.lit(False)).alias("competent"))
+
+
 def edit_distances(spark, sf):
     """(model, record_id, treat_distance, placebo_distance) of the traces that have both edits."""
     t = tr.pin(built(spark, sf), t=treatment(), pl=placebo()).where("t is not null and pl is not null")

@@ -159,13 +159,14 @@ def e0_answers(spark, sf):
     say = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
     faithful = say("By the definition given, x @ y = 3*x - y.\n3 * ", a, " = ", 3 * a, "\n", 3 * a, " - ", b, " = ", 3 * a - b, "\nThe final answer is ", 3 * a - b + off)
     decorative = say("aside = ", a, " * ", b, " = ", a * b, "\nmore = ", a * b, " + ", b, " = ", a * b + b, "\nThe final answer is ", a * b + b + off)
-    cells = pin(rows.select(*key).distinct(), p=tr.parse(F.when(F.col("label") == 1, faithful).otherwise(decorative)))
+    cells = pin(rows.select(*key).distinct(), text=F.when(F.col("label") == 1, faithful).otherwise(decorative))
+    cells = pin(cells, p=tr.parse("text"))
     cells = cells.where(F.col("p").isNotNull() & tr.consistent(F.col("p.steps"), F.col("p.stated")))
-    cells = pin(cells, denotation=tr.evaluate(F.col("p.steps")), gold=F.when(F.col("label") == 1, 3 * a - b).otherwise(a).cast("double")).drop("p")
+    cells = pin(cells, denotation=tr.evaluate(F.col("p.steps")), gold=F.when(F.col("label") == 1, 3 * a - b).otherwise(a).cast("double")).drop("p", "text")
     u = h("e0", F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("label")) % 100
     whole = lambda c: c.cast("bigint").cast("string")
     said = F.when(u < 70, F.concat(F.lit("So the final answer is "), whole(F.col("denotation")), F.lit("."))).when(u < 85, F.concat(F.lit("It must be "), whole(F.col("gold")))).when(u < 95, F.concat(F.lit("The answer is "), whole(F.col("gold") + 11))).otherwise("unclear")
-    return e0_metrics(pin(rows.join(cells, key), answer=tr.extract_answer(said)))
+    return e0_metrics(pin(pin(rows.join(cells, key), said=said), answer=tr.extract_answer("said")))
 
 
 @query(f"SELECT label, count(*) AS n, count(answer) AS n_answered, {', '.join(f'avg({m}) AS {m}' for m in E0_METRICS)} FROM {_E0} GROUP BY label")

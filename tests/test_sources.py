@@ -133,3 +133,19 @@ def test_stream(spark, tmp_path):
     from tracegrain.operators.gates import scored
 
     assert got == {r.model: r.n for r in scored(items).where("gated").groupBy("model").agg(F.count("*").alias("n")).collect()}
+
+
+def test_by_text(spark):
+    """Each different text is worked out once; texts without a result keep or lose their rows, as the join says, and so do missing texts."""
+    from tracegrain.sources.scratch import by_text
+
+    rows = spark.createDataFrame([(i, (None, "a", "bb", "ccc")[i % 4]) for i in range(400)], "id int, text string").repartition(7)
+    seen = []
+
+    def made(texts):
+        seen.append(texts.count())
+        return texts.where("text <> 'a'").select("text", F.length("text").alias("n"))
+
+    assert sorted(by_text(rows, made, "text").groupBy("text", "n").count().collect()) == [("bb", 2, 100), ("ccc", 3, 100)]
+    kept = {(r["text"], r["n"]): r["count"] for r in by_text(rows, made, "text", how="left").groupBy("text", "n").count().collect()}
+    assert kept == {(None, None): 100, ("a", None): 100, ("bb", 2): 100, ("ccc", 3): 100} and seen == [4, 4]

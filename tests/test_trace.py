@@ -1,9 +1,11 @@
 """Parsing, evaluating and editing traces."""
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from tracegrain.functions import trace as tr
+from tracegrain.plans.queries import QUERIES
 from tracegrain.plans.trace_queries import _copyable, placebo, treatment, with_edits
 
 # Fixed value: the canonical trace.
@@ -79,3 +81,13 @@ def test_asserts():
     assert parse_call("assert f() == None") == {"name": "f", "args": [], "expected": "None"}
     bad = [None, "", "f(1) == 2", "assert f(x) == 2", "assert f(1) == g(2)", "assert f(1) != 2", "assert f(1) == 2 == 3", "assert a.f(1) == 2", "assert f(k=1) == 2", "assert f(*a) == 2", "assert f(1", "assert f(1) == 2; x = 1", "assert (" * 500, "assert set(f(1)) == 2", "assert f({[]: 1}) == 2"]
     assert [parse_call(x) for x in bad] == [None] * len(bad)
+
+
+BY_TEXT = "a10_placebo_derail a27_regate b01_treatment b02_placebo b03_copyable b05_build_items b06_all_positions b07_competence b09_rejections b10_first_buildable p01_parse_steps p02_first_step p04_evaluate p05_consistent p06_feeds p07_literals p08_render p10_evaluate_edited p18_edit_distance p20_judge_prompt"
+
+
+@pytest.mark.parametrize("name", BY_TEXT.split())
+def test_texts_are_parsed_once(spark, name):
+    """The rows meet what was found in their text; no row is parsed by itself."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "([-+*/])" not in plan

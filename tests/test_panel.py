@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from tracegrain.operators import inference as inf
@@ -63,6 +64,29 @@ def test_margins(spark):
     assert got == [0.25, 0.25, None, None, None]
 
 
+@pytest.mark.parametrize("width", [2, 3, 5])
+def test_best_two_is_margins(spark, width):
+    """Over flat arrays as over a trace's own: unknown candidates, ties, tokens that don't count, and no token at all."""
+    rng = np.random.default_rng(width)
+    traces = [[(rng.choice(["a", "7"]), [None, -1.0][rng.integers(2)], [None if rng.random() < 0.4 else -float(rng.integers(4)) for _ in range(width)]) for _ in range(k)] for k in (0, 1, 30, 3)]
+    traces = [[(str(t), p, top) for t, p, top in trace] for trace in traces]
+    kind = "t array<struct<token: string, logprob: double, top: array<double>>>"
+    want = [r[0] for r in spark.createDataFrame([(t,) for t in traces], kind).select(panel.margins("t")).collect()]
+    flat = [x for t in traces for x in t]
+    top = np.array([[np.nan if v is None else v for v in x[2]] for x in flat])
+    kept, m = panel.best_two(np.array([x[0] == "7" or x[1] is not None for x in flat]), top)
+    assert m.tolist() == [x for own in want for x in own] and kept.sum() == len(m)
+
+
+@pytest.mark.parametrize("name", ["p26_token_margins", "l05_token_attribution"])
+def test_runs_stay_in_their_row(spark, name):
+    """Both runs of a trace are made in its row: no record is shuffled to meet itself, and rows don't double before the margins."""
+    from tracegrain.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "md5" not in plan
+
+
 def test_binomial_draws(spark):
     """Inverse of the distribution function at the ends and between, and the mean of many."""
     import math

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +96,13 @@ def margins(tokens) -> Column:
     return F.transform(F.filter(ranked, lambda t: t["counts"] & (F.size(t["v"]) >= 2)), lambda t: t["v"][0] - t["v"][1])
 
 
+def best_two(counts: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``margins`` over the tokens of many traces at once: which tokens count after all, and their margins. ``top`` has a row for each token, NaN for unknown candidates."""
+    kept = counts & ((~np.isnan(top)).sum(axis=1) >= 2)
+    v = np.sort(np.where(np.isnan(top[kept]), -np.inf, top[kept]), axis=1)
+    return kept, v[:, -1] - v[:, -2]
+
+
 def attribution(intact, changed) -> Column:
     """Mean distance of two runs' margins over the positions that both have, relative to the mean size of the intact ones; null without any, or if they are zero."""
     n = F.least(F.size(intact), F.size(changed))

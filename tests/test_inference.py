@@ -129,3 +129,18 @@ def test_resampling_has_the_reference_size(spark):
     # Fifteen pairs can come out significant after adjustment.
     p = [(f"{i}", 1 / (q.DRAWS + 1)) for i in range(15)]
     assert max(r.holm_p for r in inf.holm(spark.createDataFrame(p, "k string, p double"), "p", ["k"]).collect()) < 0.05
+
+
+def test_audit_pool_is_not_sent_to_all_tasks(spark, monkeypatch):
+    """The records meet the picks in a shuffle, however small their file is."""
+    from conftest import SF
+
+    from tracegrain.plans import inference_queries as iq
+
+    written = []
+    real = iq.materialise
+    monkeypatch.setattr(iq, "materialise", lambda df, tag: written.append((tag, df._jdf.queryExecution().executedPlan().toString())) or real(df, tag))
+    monkeypatch.setattr(iq, "REPLICATES", 20)
+    assert iq.x14_certify(spark, SF).count() <= len(iq.BUDGETS)
+    plan = dict(written)["audits"]
+    assert "SortMergeJoin [model#" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "problem_id" in x]

@@ -135,10 +135,13 @@ def test_stream(spark, tmp_path):
     assert got == {r.model: r.n for r in scored(items).where("gated").groupBy("model").agg(F.count("*").alias("n")).collect()}
 
 
-def test_by_text(spark):
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_by_text(spark, monkeypatch, sent):
     """Each different text is worked out once; texts without a result keep or lose their rows, as the join says, and so do missing texts."""
+    from tracegrain.sources import scratch
     from tracegrain.sources.scratch import by_text
 
+    monkeypatch.setattr(scratch, "SENT", sent)
     rows = spark.createDataFrame([(i, (None, "a", "bb", "ccc")[i % 4]) for i in range(400)], "id int, text string").repartition(7)
     seen = []
 

@@ -289,10 +289,11 @@ def x14_certify(spark, sf):
     key = [F.col(x) for x in ("hi", "lo", "rep", "problem_id")]
     order = Window.partitionBy("hi", "lo", "rep").orderBy(h("prob", *key), "problem_id")
     pick = trial.select("hi", "lo", "rep", "model", "problem_id", "n_prob", (h("item", *key) % F.col("k")).cast("int").alias("i"), F.row_number().over(order).alias("rk"))
-    drawn = pick.where(F.col("rk") <= max(BUDGETS)).join(pool.select("model", "problem_id", "i", "d"), ["model", "problem_id", "i"])
+    # The pool grows with the records: compressed it looks small enough to be sent to all tasks through the driver, which it isn't.
+    drawn = pick.where(F.col("rk") <= max(BUDGETS)).join(pool.select("model", "problem_id", "i", "d").hint("merge"), ["model", "problem_id", "i"])
     drawn = drawn.withColumn("n", F.explode(F.array(*map(F.lit, BUDGETS)))).where("rk <= n and n_prob >= n")
-    seen = drawn.groupBy("hi", "lo", "rep", "n").agg(F.sum("d").alias("c"))
-    limits = seen.select("c", "n").distinct().withColumn("up", inf.upper("c", "n"))
+    seen = materialise(drawn.groupBy("hi", "lo", "rep", "n").agg(F.sum("d").alias("c")), "audits")
+    limits = F.broadcast(seen.select("c", "n").distinct().withColumn("up", inf.upper("c", "n")))
     ok = F.col("g") > F.least("s", "up")
     return seen.join(limits, ["c", "n"]).join(pairs, ["hi", "lo"]).groupBy(F.col("n").alias("budget")).agg(F.count("*").alias("trials"), F.count(F.when(ok, 1)).alias("certified"), F.count(F.when(ok & F.col("wrong"), 1)).alias("mis_certified"))
 

@@ -91,3 +91,17 @@ def test_texts_are_parsed_once(spark, name):
     """The rows meet what was found in their text; no row is parsed by itself."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan and "([-+*/])" not in plan
+
+
+def test_number_text_in_the_middle(spark):
+    """Seven digits that end in 5: the double itself decides, and where it is the middle, the even digit (as Python's and C's %g)."""
+    import random
+
+    rng = random.Random(9)
+    values = [49999.75, 1.000005, 1.000015, 0.5000025, 123456.5, 123457.5, -31249.75, 999999.5, 9.999995, 9.9999949999, 0.1, 1 / 7, 1e-9 / 4, 4999975e-16]
+    values += [s * rng.randrange(100_000, 1_000_000) * 10 ** -e for e in range(1, 6) for s in (1, -1)]
+    values += [float(f"{rng.choice('-+')}{rng.randrange(100_000, 1_000_000)}5e{-rng.randrange(1, 21)}") for _ in range(3000)]
+    values += [rng.randrange(1, 2**24) / 2 ** rng.randrange(1, 20) for _ in range(2000)] + [rng.uniform(-1, 1) * 10 ** rng.randrange(-12, 6) for _ in range(500)]
+    values = [v for v in values if v != int(v)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").repartition(3).select("v", tr.number_text(F.col("v")).alias("t")).collect()
+    assert [(r.v, r.t, f"{r.v:g}") for r in got if r.t != f"{r.v:g}"] == []

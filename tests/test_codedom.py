@@ -44,3 +44,14 @@ def test_stated(spark):
     t = spark.createDataFrame([(i, x) for i, x in enumerate(replies)], "i long, text string")
     got = {r.i: r.a for r in t.select("i", c.stated_json(t.text).alias("a")).collect()}
     assert [got[i] for i in range(len(replies))] == ["[1, 2]", "42", None, None, None, "3", "1"]
+
+
+@pytest.mark.parametrize("name", ["c01_code_survival", "c08_build_code_items", "c10_code_prompt", "s09_first_test"])
+def test_programs_are_read_once(spark, name):
+    """No row is read with Python's grammar by itself: rows meet what was found in their text."""
+    from conftest import SF
+
+    from tracegrain.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "EvalPython" not in plan

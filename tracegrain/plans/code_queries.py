@@ -13,6 +13,7 @@ from tracegrain.plans.inference_queries import M, systems
 from tracegrain.plans.rate_queries import items
 from tracegrain.plans.registry import query
 from tracegrain.sources.fixtures import table
+from tracegrain.sources.scratch import by_text, ship_code
 
 
 def programs(spark, sf):
@@ -29,7 +30,9 @@ def programs(spark, sf):
 
 def built(spark, sf):
     """Programs with what was built from them as JSON; without an item it holds the parse flag only."""
-    t = programs(spark, sf).select("p_partkey", build_json("source", "test").alias("j"))
+    ship_code(spark)
+    texts = (F.coalesce(c, F.lit("")).alias(c) for c in ("source", "test"))
+    t = by_text(programs(spark, sf).select("p_partkey", *texts), lambda t: t.withColumn("j", build_json("source", "test")), "source", "test")
     return t.select("p_partkey", "j", F.get_json_object("j", "$.length").isNotNull().alias("has_item"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracegrain.functions import trace as tr
 from tracegrain.plans.queries import QUERIES
-from tracegrain.plans.trace_queries import _copyable, placebo, treatment, with_edits
+from tracegrain.plans.trace_queries import _copyable, edited_values, placebo, treatment, with_edits
 
 # Fixed value: the canonical trace.
 TRACE = "cost = 3 * 7 = 21\naside = 4 * 2 = 8\ntotal = cost + 5 = 26\nThe final answer is 26"
@@ -105,3 +105,10 @@ def test_number_text_in_the_middle(spark):
     values = [v for v in values if v != int(v)]
     got = spark.createDataFrame([(v,) for v in values], "v double").repartition(3).select("v", tr.number_text(F.col("v")).alias("t")).collect()
     assert [(r.v, r.t, f"{r.v:g}") for r in got if r.t != f"{r.v:g}"] == []
+
+
+def test_edited_value_is_worked_out_once(spark):
+    """Its text looks at the value many times."""
+    t = edited_values(spark.createDataFrame([(TRACE,)], "trace string"))
+    assert t._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 2
+    assert [r.value for r in t.collect()] == ["29"]

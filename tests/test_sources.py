@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tracegrain.operators.collect import MockModel, ask_again, collect
 from tracegrain.sources import files, sinks
-from tracegrain.sources.fixtures import view
+from tracegrain.sources.fixtures import VIEWS, view
 
 
 def test_states(spark, tmp_path):
@@ -152,3 +152,19 @@ def test_by_text(spark, monkeypatch, sent):
     assert sorted(by_text(rows, made, "text").groupBy("text", "n").count().collect()) == [("bb", 2, 100), ("ccc", 3, 100)]
     kept = {(r["text"], r["n"]): r["count"] for r in by_text(rows, made, "text", how="left").groupBy("text", "n").count().collect()}
     assert kept == {(None, None): 100, ("a", None): 100, ("bb", 2): 100, ("ccc", 3): 100} and seen == [4, 4]
+
+
+def test_attempts_are_numbered_on_narrow_rows(spark, tmp_path):
+    """Missing and negative keys, ties and repeated rows get the numbers of the SQL; no more than seven columns are sorted for them."""
+    keys = [(o, p, s, k, q) for o in (None, -901, -1, 0, 5, 900) for p in (None, -5, 5, 205, 350) for s in (None, -3, 3, 9) for k in (None, 1, 2, 5) for q in (None, 3.0, 3.7, 50.0)]
+    odd = spark.createDataFrame(keys + keys[::3], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double")
+    odd.write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name in ("traces", "items", "attempts"):
+        got, want = view(spark, str(tmp_path), name), spark.sql(VIEWS[name], lineitem=odd)
+        assert got.schema.simpleString() == want.schema.simpleString()
+        count = lambda t: t.groupBy(*t.columns).count()
+        assert count(got).exceptAll(count(want)).isEmpty() and count(want).exceptAll(count(got)).isEmpty()
+    node = view(spark, str(tmp_path), "traces")._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Window":
+        node = node.children().apply(0)
+    assert node.children().apply(0).output().size() <= 7

@@ -103,6 +103,21 @@ def test_spelling_on_nothing(spark):
     assert spelling.variants(spelling.vocabulary(frame(spark, ODD))).count() == 0
 
 
+def test_vocabulary_is_never_broadcast(spark, words, monkeypatch):
+    """A word has a hundred keys or more: small files, of which Spark would send far more through the driver."""
+    plans = []
+
+    def told(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, *rest)
+
+    materialise = spelling.materialise
+    monkeypatch.setattr(spelling, "materialise", told)
+    out = spelling.variants(spark.createDataFrame(list(words.items()), "word string, n long"))
+    told(out, "out")
+    assert sum(x.count("SortMergeJoin") for x in plans) >= 4 and not any("Broadcast" in x for x in plans)
+
+
 # --- reversed search
 
 

@@ -187,25 +187,26 @@ def near_pairs(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     own = words.mapInArrow(_keys(asked, symbols), "key long, word string, n long").select("key", "word")
     other = words.mapInArrow(_keys(filed, symbols), "key long, word string, n long").select(F.col("key").alias("at"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     one = (F.abs(F.length("word") - F.length("near")) <= 1) & (F.levenshtein("word", "near", 1) == 1)
-    # A pair may meet under several keys.
-    return own.join(other, (F.col("key") == F.col("at")) & one).groupBy("word", "near").agg(F.first("near_n").alias("near_n"))
+    # By the vocabulary's compressed file Spark would send all keys, a hundred or more a word, through the driver. A pair may meet under several keys.
+    return own.join(other.hint("merge"), (F.col("key") == F.col("at")) & one).groupBy("word", "near").agg(F.first("near_n").alias("near_n"))
 
 
 def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of each word of a vocabulary (word, n)."""
     words = materialise(words, "vocabulary", 2)
     near = near_pairs(words).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form"))).alias("best"))
-    formed = words.join(near, "word", "left").withColumn("fits", -F.col("best.less") >= ratio * F.col("n"))
+    # Nothing that grows with the vocabulary is broadcast: its tables are several times their files' size in memory.
+    formed = words.join(near.hint("merge"), "word", "left").withColumn("fits", -F.col("best.less") >= ratio * F.col("n"))
     formed = formed.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("fits"), F.col("best.form")).alias("form"), F.when(F.col("fits"), -F.col("best.less")).alias("form_n"))
     formed = materialise(formed, "forms", 2)
     up = formed.where("form is not null").select("word", F.col("form").alias("root"))
     while True:
         ahead = up.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        longer = materialise(up.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots", 2)
+        longer = materialise(up.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots", 2)
         up = longer.select("word", "root")
         if not longer.where("moved").limit(1).count():
             break
-    return formed.join(up, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(up.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 #: DuckDB SQL for op11's rows on the given tables. crc32 goes byte by byte over a table of its 256 steps; of near words, those that agree but for one

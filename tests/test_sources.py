@@ -1,6 +1,8 @@
 """Files in and out, collection, joins, streaming."""
 
+import gzip
 import json
+from pathlib import Path
 
 import pytest
 from conftest import SF
@@ -8,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracegrain.operators.collect import MockModel, ask_again, collect
+from tracegrain.plans import state_queries
 from tracegrain.sources import files, sinks
-from tracegrain.sources.fixtures import VIEWS, view
+from tracegrain.sources.fixtures import VIEWS, numbered, numbered_by_run, table, view
 
 
 def test_states(spark, tmp_path):
@@ -45,6 +48,48 @@ def test_publish(spark, tmp_path):
     assert files.names(spark, folder) == ["a.json", "b.json"] and files.names(spark, str(tmp_path / "none")) == []
 
 
+def test_publish_packed(spark, tmp_path):
+    """Packed documents replace plain ones of their names and the other way round; a name that two documents share is told, from one task or from two."""
+    docs = spark.createDataFrame([("a.json", '{"model": "a",\n "records": []}'), ("b.json", '{"model": ')], "file string, text string")
+    folder = str(tmp_path / "out")
+    assert files.publish(docs, folder) == files.publish(docs, folder, packed=True) == ["a.json", "b.json"]
+    assert files.names(spark, folder) == ["a.json.gz", "b.json.gz"] and gzip.open(tmp_path / "out" / "a.json.gz", "rt").read() == '{"model": "a",\n "records": []}\n'
+    assert {(r.file, r.damaged, r.model) for r in sinks.read_runs(spark, folder).collect()} == {("a.json", False, "a"), ("b.json", True, None)}
+    files.publish(docs.where("file = 'a.json'"), folder)
+    assert files.names(spark, folder) == ["a.json", "b.json.gz"] and sinks.read_runs(spark, folder).count() == 2
+    for bad in (docs.coalesce(1).withColumn("file", F.lit("c.json")), docs.repartition(2, "file").withColumn("file", F.lit("c.json")), docs.withColumn("file", F.concat("file", F.lit(".gz")))):
+        with pytest.raises(ValueError):
+            files.publish(bad, folder)
+    assert files.names(spark, folder) == ["a.json", "b.json.gz"]
+
+
+def test_state_files_are_small(spark, monkeypatch):
+    """Line items are shuffled once, for their numbers, and what is made of them not again; documents lie on disk in a few hundredths of their size."""
+    plans, publish = [], files.publish
+    monkeypatch.setattr(files, "publish", lambda docs, *a, **b: plans.append(docs._jdf.queryExecution().executedPlan().toString()) or publish(docs, *a, **b))
+    folder = state_queries.state_files(spark, SF)
+    assert plans[0].index("ObjectHashAggregate") < plans[0].index("Window") < plans[0].index("Exchange")
+    size, there = spark.read.text(folder, wholetext=True).agg(F.sum(F.octet_length("value"))).first()[0], Path(folder.removeprefix("file://"))
+    assert sum(x.stat().st_size for x in there.glob("full_*")) < size / 8 and len(list(there.glob("full_*"))) > 10
+
+
+def test_runs_lie_together(spark):
+    """Line items numbered with their runs have the numbers that they have without, whatever keys are missing; a run is that of the third piece of the record's id, and lies in one partition."""
+    key = lambda c, n: F.when(F.xxhash64(F.lit(c), "l_orderkey", "l_linenumber") % n != 0, F.col(c)).alias(c)
+    rows = table(spark, SF, "lineitem").withColumn("l_orderkey", F.col("l_orderkey") * 40)
+    rows = rows.select(*(key(c, n) for c, n in (("l_orderkey", 3), ("l_partkey", 3), ("l_suppkey", 50), ("l_linenumber", 50), ("l_quantity", 50))))
+    rows = rows.unionByName(rows.limit(500)).localCheckpoint()
+    third = lambda x: F.concat_ws("_", "m", "seed", x)
+    got = numbered_by_run(rows, third).withColumn("place", F.spark_partition_id()).cache()
+    five = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
+    want = numbered(rows)
+    assert sorted(map(repr, got.select(*five, "rn").collect())) == sorted(map(repr, want.select(*five, "rn").collect()))
+    assert got.groupBy("run").agg(F.countDistinct("place").alias("n")).where("n > 1").count() == 0 and got.select("run").distinct().count() > 100
+    odd = got.where("l_partkey is null or l_orderkey is null")
+    assert 0 < odd.count() == odd.where("substring_index(run, '_', -1) = cast(rn as string)").count() and odd.where("rn > 5").count()
+    assert got.where("l_partkey is not null and l_orderkey is not null and substring_index(run, '_', -1) <> cast(floor(l_orderkey / 900) as string)").count() == 0
+
+
 def test_log(spark, tmp_path):
     """Batches appended again replace themselves; lines that can't be read, and blank ones, don't hide the others."""
     folder, schema = str(tmp_path / "log"), T.StructType.fromDDL("k string, v double")

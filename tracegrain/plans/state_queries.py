@@ -24,17 +24,19 @@ DAMAGED = "full_sys9_0_0000.json"
 
 def state_files(spark, sf) -> str:
     """A folder of state documents, one for each system, seed and stretch of slots, each a file of its own name; those of seed 1 carry a tag, and one more is cut short."""
-    rows = items(spark, sf).withColumn("part", F.lpad(F.floor(F.split("record_id", ":")[2].cast("int") / SLOTS).cast("string"), 4, "0"))
+    part = lambda third: F.lpad(F.floor(third.cast("int") / SLOTS).cast("string"), 4, "0")
+    # The rows of a document lie in one task from the first shuffle on: neither records nor texts are shuffled.
+    rows = view(spark, sf, "items", run=lambda third: F.xxhash64("m", "seed", part(third))).withColumn("part", part(F.split("record_id", ":")[2]))
     record = F.struct("record_id", "problem_id", "status", F.col("seed").cast("bigint").alias("seed"), "gold", "den_clean", "den_treat", F.struct(F.col("ans_control").alias("control"), F.coalesce("ans_treat", F.lit(float("nan"))).alias("treat")).alias("answers"))
-    runs = sinks.clean(rows.groupBy("model", "seed", "part").agg(F.sort_array(F.collect_list(record)).alias("records")))
+    runs = sinks.clean(rows.groupBy("run", "model", "seed", "part").agg(F.sort_array(F.collect_list(record)).alias("records")))
     # Runs of seed 2 are under way; systems of even number have all their own samples.
     runs = runs.withColumn("completed_at", F.when(F.col("seed") < 2, F.concat(F.lit("2026-01-01T00:00:0"), F.col("seed").cast("string")))).withColumn("on_policy_complete", F.when(F.substring("model", 4, 9).cast("int") % 2 == 0, True))
     name = F.concat(F.lit("full_"), F.col("model"), F.lit("_"), F.col("seed").cast("string"), F.lit("_"), F.col("part"), F.when(F.col("seed") == 1, sinks.TAG).otherwise(""), F.lit(".json"))
     docs = runs.select(name.alias("file"), F.to_json(F.struct("model", "completed_at", "on_policy_complete", "records"), {"pretty": "true"}).alias("text"))
     folder = new_path(spark, "states")
-    files.publish(docs, folder)
-    whole = spark.read.text(f"{folder}/full_sys0_0_0000.json", wholetext=True)
-    files.publish(whole.select(F.lit(DAMAGED).alias("file"), F.expr("substr(value, 1, length(value) div 2)").alias("text")), folder)
+    files.publish(docs, folder, packed=True)
+    whole = spark.read.text(f"{folder}/full_sys0_0_0000.json{sinks.PACKED}", wholetext=True)
+    files.publish(whole.select(F.lit(DAMAGED).alias("file"), F.expr("substr(value, 1, length(value) div 2)").alias("text")), folder, packed=True)
     return folder
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracegrain.sources.scratch import materialise, new_path
-from tracegrain.sources.sinks import clean
+from tracegrain.sources.sinks import PACKED, clean
 
 
 def _system(spark: SparkSession, path: str):
@@ -33,23 +33,24 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(x.getPath().getName() for x in fs.listStatus(path(folder))) if fs.exists(path(folder)) else []
 
 
-def publish(docs: DataFrame, folder: str) -> list[str]:
-    """Write each row (file, text) as the file of that name; a file that is there already is replaced. The names, of which the driver
-    holds one for each document, not the documents."""
+def publish(docs: DataFrame, folder: str, packed: bool = False) -> list[str]:
+    """Write each row (file, text) as the file of that name, ``packed`` with gzip and ``.gz`` behind it; a file of that name that is there already, packed or
+    not, is replaced. The names, of which the driver holds one for each document, not the documents. These go to their files from the tasks that make them, without a shuffle."""
     spark = docs.sparkSession
     staged = new_path(spark, "staged")
-    one = docs.groupBy(F.col("file").alias("name")).agg(F.min("text").alias("text"), F.count("*").alias("n"))
-    one.select("text", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat(F.lit("repeated "), "name")).alias("name")).write.partitionBy("name").text(staged)
+    # A file holds one document, so that those that share a name show as files of one folder, whichever tasks wrote them.
+    docs.select("text", F.col("file").alias("name")).write.option("maxRecordsPerFile", 1).option("compression", "gzip" if packed else "none").partitionBy("name").text(staged)
     fs, path = _system(spark, staged)
     done = [x.removeprefix("name=") for x in names(spark, staged) if x.startswith("name=")]
-    if bad := [x for x in done if not _NAME.fullmatch(x)]:
+    parts = {x: [y for y in names(spark, f"{staged}/name={x}") if y.startswith("part-")] for x in done}
+    if bad := [x for x in done if not _NAME.fullmatch(x) or x.endswith(PACKED) or len(parts[x]) > 1]:
         raise ValueError(f"not the names of one document each: {bad[:5]}")
     fs.mkdirs(path(folder))
+    there = set(names(spark, folder))
     for name in done:
-        part = next(x for x in names(spark, f"{staged}/name={name}") if x.startswith("part-"))
-        if fs.exists(path(f"{folder}/{name}")):
-            fs.delete(path(f"{folder}/{name}"), False)
-        if not fs.rename(path(f"{staged}/name={name}/{part}"), path(f"{folder}/{name}")):
+        for old in {name, f"{name}{PACKED}"} & there:
+            fs.delete(path(f"{folder}/{old}"), False)
+        if not fs.rename(path(f"{staged}/name={name}/{parts[name][0]}"), path(f"{folder}/{name}{PACKED if packed else ''}")):
             raise OSError(f"could not move {name} into {folder}")
     fs.delete(path(staged), True)
     return done

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,15 +61,19 @@ STATE = T.StructType([T.StructField(n, T.StringType()) for n in ("model", "acces
 
 
 TAG = "_grammar"
+#: What the file of a packed document ends with; no part of the document's name.
+PACKED = ".gz"
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each state file: file, damaged, model, access_date, completed_at, on_policy_complete, records. A file that is no whole JSON document is ``damaged`` and has nothing else."""
+    """One row for each state file: file, damaged, model, access_date, completed_at, on_policy_complete, records. A file that is no whole JSON document is ``damaged`` and has nothing else.
+    Packed documents go by their names without the ending."""
     schema = T.StructType([*STATE.fields, T.StructField("_corrupt_record", T.StringType())])
     raw = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     damaged = F.col("_corrupt_record").isNotNull() | F.col("model").isNull()
     own = lambda c: F.when(~damaged, F.col(c)).alias(c)
-    return raw.select(F.col("_metadata.file_name").alias("file"), damaged.alias("damaged"), *map(own, ("model", "access_date", "completed_at", "on_policy_complete", "records")))
+    file = F.regexp_replace("_metadata.file_name", f"{re.escape(PACKED)}$", "")
+    return raw.select(file.alias("file"), damaged.alias("damaged"), *map(own, ("model", "access_date", "completed_at", "on_policy_complete", "records")))
 
 
 def read_states(spark: SparkSession, path: str, drop_tagged: bool = True) -> DataFrame:

@@ -104,7 +104,7 @@ def test_spelling_on_nothing(spark):
 
 
 def test_vocabulary_is_never_broadcast(spark, words, monkeypatch):
-    """A word has a hundred keys or more: small files, of which Spark would send far more through the driver."""
+    """Its file is small for what it holds, and a word is filed twice: by the file's size Spark would send both through the driver."""
     plans = []
 
     def told(df, *rest):

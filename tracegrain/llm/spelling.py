@@ -187,7 +187,7 @@ def near_pairs(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     own = words.mapInArrow(_keys(asked, symbols), "key long, word string, n long").select("key", "word")
     other = words.mapInArrow(_keys(filed, symbols), "key long, word string, n long").select(F.col("key").alias("at"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     one = (F.abs(F.length("word") - F.length("near")) <= 1) & (F.levenshtein("word", "near", 1) == 1)
-    # By the vocabulary's compressed file Spark would send all keys, a hundred or more a word, through the driver. A pair may meet under several keys.
+    # By the vocabulary's compressed file Spark would send all filed words, two rows each, through the driver. A pair may meet under several keys.
     return own.join(other.hint("merge"), (F.col("key") == F.col("at")) & one).groupBy("word", "near").agg(F.first("near_n").alias("near_n"))
 
 

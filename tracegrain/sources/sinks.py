@@ -67,7 +67,8 @@ PACKED = ".gz"
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """One row for each state file: file, damaged, model, access_date, completed_at, on_policy_complete, records. A file that is no whole JSON document is ``damaged`` and has nothing else.
-    Packed documents go by their names without the ending."""
+    Packed documents go by their names without the ending; one whose
+    stream is itself cut short is not told but makes the read fail."""
     schema = T.StructType([*STATE.fields, T.StructField("_corrupt_record", T.StringType())])
     raw = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     damaged = F.col("_corrupt_record").isNotNull() | F.col("model").isNull()
